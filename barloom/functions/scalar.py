@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,14 +23,6 @@ def clip(x: Column, lo: float | None = None, hi: float | None = None) -> Column:
     return x if out is None else out.otherwise(x)
 
 
-def clip_between(x: Column, lo: Column, hi: Column) -> Column:
-    return F.when(x < lo, lo).when(x > hi, hi).otherwise(x)
-
-
-def zero_to_null(x: Column) -> Column:
-    return F.when(x != 0.0, x)
-
-
 def finite(x: Column) -> Column:
     """NULL for NaN and both infinities."""
     return F.when(~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))), x)
@@ -52,15 +42,6 @@ def flag_float(cond: Column) -> Column:
     return F.when(cond, 1.0).otherwise(0.0)
 
 
-def larger(a: Column, b: Column) -> Column:
-    """Maximum that is NULL when either side is."""
-    return F.when(a >= b, a).when(a < b, b)
-
-
-def smaller(a: Column, b: Column) -> Column:
-    return F.when(a <= b, a).when(a > b, b)
-
-
 def local_seconds(ts: Column) -> Column:
     """Seconds since 1970-01-01 on the wall clock that `ts` shows (no time zone shift for TIMESTAMP_NTZ)."""
     return (
@@ -76,19 +57,6 @@ def from_local_seconds(seconds: Column) -> Column:
     return F.expr("timestamp_ntz'1970-01-01 00:00:00'") + F.make_dt_interval(secs=seconds)
 
 
-def calendar_cycle(ts: Column) -> dict[str, Column]:
-    """Hour of day and day of week (Monday = 0) on the unit circle."""
-    hour = F.hour(ts) + F.minute(ts) / F.lit(60.0)
-    day = F.weekday(ts).cast("double")
-    turn = 2.0 * math.pi
-    return {
-        "hour_sin": F.sin(hour * turn / 24.0),
-        "hour_cos": F.cos(hour * turn / 24.0),
-        "dow_sin": F.sin(day * turn / 7.0),
-        "dow_cos": F.cos(day * turn / 7.0),
-    }
-
-
 def code_name(code: Column, names: dict[int, str]) -> Column:
     """Name of an integer code, as a CASE chain."""
     out = None

@@ -107,9 +107,9 @@ def sequences(
 ) -> DataFrame:
     """Add `sequence`: the feature vectors of the last `window` bars, oldest first, where that many exist."""
     b = in_blocks(rows, back=window - 1, keys=keys)
-    vector = F.array(*[F.col(f).cast("float") for f in features])
-    frame = b.ordered().rowsBetween(1 - window, 0)
-    b = b.with_columns({"sequence": F.collect_list(vector).over(frame)})
+    vector = "array(" + ", ".join(f"float({f})" for f in features) + ")"
+    over = b.window(f"rows between {window - 1} preceding and current row")
+    b = b.with_columns({"sequence": f"collect_list({vector}) {over}"})
     return b.core().where(F.size("sequence") == window)
 
 

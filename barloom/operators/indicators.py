@@ -1,20 +1,18 @@
-"""Indicators built on the rolling and exponentially weighted primitives.
+"""Indicators built on the rolling and exponentially weighted primitives, as SQL text over numbered bars.
 
-Functions take a `Blocked` frame of numbered bars and add columns. Names that start with an underscore are
-intermediate.
+Column names that start with an underscore are intermediate.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from barloom.functions.scalar import sdiv
+from barloom.functions.text import div, sdiv
 from barloom.plans.blocks import Blocked, Ewm, memory_rows
 
-c, h, l, o, v = (F.col(x) for x in ("close", "high", "low", "open", "volume"))
+MACD_FAST, MACD_SLOW, MACD_SIGNAL = 12, 26, 9
+MACD_LINE = f"(_ema{MACD_FAST} - _ema{MACD_SLOW})"
+PREVIOUS = {"_pc": "close", "_ph": "high", "_pl": "low"}
 
 
 def span(n: int) -> float:
@@ -30,77 +28,72 @@ def reach(*alphas: float) -> int:
     return sum(memory_rows(a) for a in alphas)
 
 
-def with_moves(b: Blocked) -> Blocked:
-    """Previous bar, true range, gain and loss, directional moves, returns."""
-    b = b.with_columns({"_pc": b.lag(c, 1), "_ph": b.lag(h, 1), "_pl": b.lag(l, 1)})
-    up, down, delta = h - F.col("_ph"), F.col("_pl") - l, c - F.col("_pc")
-    return b.with_columns(
-        {
-            "_tr": F.greatest(h - l, F.abs(h - F.col("_pc")), F.abs(l - F.col("_pc"))),
-            "_gain": F.when(delta < 0.0, 0.0).otherwise(delta),
-            "_loss": F.when(delta > 0.0, 0.0).otherwise(-delta),
-            "_pdm": F.when((up > down) & (up > 0.0), up).otherwise(0.0),
-            "_ndm": F.when((down > up) & (down > 0.0), down).otherwise(0.0),
-            "_lr1": F.ln(F.try_divide(c, F.col("_pc"))),
-            "_ret": F.try_divide(c, F.col("_pc")) - 1.0,
-        }
-    )
+def previous_bar(b: Blocked) -> dict[str, str]:
+    return {name: b.lag(x, 1) for name, x in PREVIOUS.items()}
+
+
+def moves() -> dict[str, str]:
+    """True range, gain and loss, directional moves and returns, from the previous bar."""
+    up, down = "(high - _ph)", "(_pl - low)"
+    return {
+        "_tr": "greatest(high - low, abs(high - _pc), abs(low - _pc))",
+        "_gain": "case when close < _pc then 0D else close - _pc end",
+        "_loss": "case when close > _pc then 0D else _pc - close end",
+        "_pdm": f"case when {up} > {down} and {up} > 0 then {up} else 0D end",
+        "_ndm": f"case when {down} > {up} and {down} > 0 then {down} else 0D end",
+        "_lr1": f"ln({div('close', '_pc')})",
+        "_ret": f"{div('close', '_pc')} - 1",
+    }
 
 
 def atr_request(n: int = 14) -> Ewm:
-    return Ewm(F.col("_tr"), wilder(n), n)
+    return Ewm("_tr", wilder(n), n)
 
 
-def rsi_requests(n: int) -> dict[str, Ewm]:
-    return {
-        f"_gain{n}": Ewm(F.col("_gain"), wilder(n), n, skip=1),
-        f"_loss{n}": Ewm(F.col("_loss"), wilder(n), n, skip=1),
-    }
+def rsi_requests(*lengths: int) -> dict[str, Ewm]:
+    out = {}
+    for n in lengths:
+        out[f"_gain{n}"] = Ewm("_gain", wilder(n), n, skip=1)
+        out[f"_loss{n}"] = Ewm("_loss", wilder(n), n, skip=1)
+    return out
 
 
-def rsi(n: int) -> Column:
-    return 100.0 - F.try_divide(F.lit(100.0), 1.0 + sdiv(F.col(f"_gain{n}"), F.col(f"_loss{n}")))
+def rsi(n: int) -> str:
+    return f"(100 - try_divide(100D, 1 + {sdiv(f'_gain{n}', f'_loss{n}')}))"
 
 
 def ema_requests(*periods: int) -> dict[str, Ewm]:
-    return {f"_ema{n}": Ewm(c, span(n), n) for n in periods}
+    return {f"_ema{n}": Ewm("close", span(n), n) for n in periods}
 
 
 def dmi_requests(n: int = 14) -> dict[str, Ewm]:
-    return {"_pdmn": Ewm(F.col("_pdm"), wilder(n), n), "_ndmn": Ewm(F.col("_ndm"), wilder(n), n)}
+    return {"_pdmn": Ewm("_pdm", wilder(n), n), "_ndmn": Ewm("_ndm", wilder(n), n)}
 
 
-def with_dmi(b: Blocked, atr: Column) -> Blocked:
-    """+DI, -DI and the directional index that ADX smooths."""
-    b = b.with_columns({"_dmp": 100.0 * sdiv(F.col("_pdmn"), atr), "_dmn": 100.0 * sdiv(F.col("_ndmn"), atr)})
-    gap = F.abs(F.col("_dmp") - F.col("_dmn"))
-    return b.with_columns({"_dx": 100.0 * sdiv(gap, F.col("_dmp") + F.col("_dmn"))})
+def dmi() -> dict[str, str]:
+    """+DI and -DI from the smoothed moves."""
+    return {"_dmp": f"100 * {sdiv('_pdmn', '_atr')}", "_dmn": f"100 * {sdiv('_ndmn', '_atr')}"}
 
 
 def adx_request(n: int = 14) -> Ewm:
-    return Ewm(F.col("_dx"), wilder(n), n, skip=n - 1)
-
-
-MACD_FAST, MACD_SLOW, MACD_SIGNAL = 12, 26, 9
-MACD_LINE = F.col(f"_ema{MACD_FAST}") - F.col(f"_ema{MACD_SLOW}")
+    """Smoothing of the directional index of `_dmp` and `_dmn`."""
+    return Ewm(f"100 * {sdiv('abs(_dmp - _dmn)', '_dmp + _dmn')}", wilder(n), n, skip=n - 1)
 
 
 def macd_signal_request() -> Ewm:
     return Ewm(MACD_LINE, span(MACD_SIGNAL), MACD_SIGNAL, skip=MACD_SLOW - 1)
 
 
-def bollinger(mid: Column, std: Column) -> tuple[Column, Column]:
+def bollinger(mid: str, std: str) -> tuple[str, str]:
     """Upper and lower band at two sample standard deviations."""
-    return mid + 2.0 * std, mid - 2.0 * std
+    return f"({mid} + 2 * {std})", f"({mid} - 2 * {std})"
 
 
-def weighted_mean(values: list[Column]) -> Column:
+def weighted_mean(values: list[str]) -> str:
     """Linearly weighted mean; `values[0]` is the newest and weighs most. NULL if any value is."""
     n = len(values)
-    total = values[0] * float(n)
-    for k, x in enumerate(values[1:], start=1):
-        total = total + x * float(n - k)
-    return total / (n * (n + 1) / 2.0)
+    total = " + ".join(f"{n - k}D * {x}" for k, x in enumerate(values))
+    return f"({total}) / {n * (n + 1) // 2}D"
 
 
 def hull_parts(n: int) -> tuple[int, int, int]:
@@ -108,49 +101,14 @@ def hull_parts(n: int) -> tuple[int, int, int]:
     return max(n // 2, 1), n, max(math.isqrt(n), 1)
 
 
-def with_hull(b: Blocked, periods: tuple[int, ...], lagged: dict[int, Column]) -> Blocked:
-    """Hull averages `_hma{n}` of the close; `lagged[k]` is the close k bars ago."""
-
-    def raw(n: int) -> Column:
-        half, full, _ = hull_parts(n)
-        return 2.0 * weighted_mean([lagged[k] for k in range(half)]) - weighted_mean([lagged[k] for k in range(full)])
-
-    b = b.with_columns({f"_raw{n}": raw(n) for n in periods})
-    lags = {
-        f"_raw{n}_{k}": b.lag(F.col(f"_raw{n}"), k) for n in periods for k in range(1, hull_parts(n)[2])
-    }
-    b = b.with_columns(lags)
-    out = {
-        f"_hma{n}": weighted_mean(
-            [F.col(f"_raw{n}")] + [F.col(f"_raw{n}_{k}") for k in range(1, hull_parts(n)[2])]
-        )
-        for n in periods
-    }
-    return b.with_columns(out).drop(*lags, *[f"_raw{n}" for n in periods])
-
-
-def percent_rank_of_last(values: Column, size: int) -> Column:
+def percent_rank_of_last(values: str, size: int) -> str:
     """Average-rank percentile of the last element of a full array of `size` values."""
-    last = F.element_at(values, -1)
-    below = F.size(F.filter(values, lambda x: x < last))
-    same = F.size(F.filter(values, lambda x: x == last))
-    return (below + (same + 1) / F.lit(2.0)) / F.lit(float(size))
-
-
-def crossed_above(a: Column, b: Column, a_before: Column, b_before: Column) -> Column:
-    return (a > b) & (a_before <= b_before)
+    last = f"element_at({values}, -1)"
+    below = f"size(filter({values}, x -> x < {last}))"
+    same = f"size(filter({values}, x -> x = {last}))"
+    return f"({below} + ({same} + 1) / 2D) / {size}D"
 
 
-def crossed_below(a: Column, b: Column, a_before: Column, b_before: Column) -> Column:
-    return (a < b) & (a_before >= b_before)
-
-
-def signed_volume(pc: Column) -> Column:
+def signed_volume() -> str:
     """Volume with the sign of the close-to-close move, 0 on the first bar."""
-    return F.coalesce(F.signum(c - pc), F.lit(0.0)) * v
-
-
-def vwap(price_volume: Column, volume: Column) -> Column:
-    return sdiv(price_volume, volume)
-
-
+    return "coalesce(signum(close - _pc), 0D) * volume"

@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.config import KEYS, LOOKAHEAD_BARS, MAX_RETURN_PCT
-from barloom.functions.scalar import calendar_cycle, clip, finite, larger, smaller, zero_to_null
+from barloom.functions.scalar import clip as clip_column
+from barloom.functions.text import (
+    calendar_cycle,
+    change_pct,
+    clip,
+    div,
+    finite_or,
+    larger,
+    sdiv,
+    smaller,
+    zero_to_null,
+)
 from barloom.operators import indicators as ind
-from barloom.operators.indicators import c, h, l, o, v
 from barloom.plans.blocks import POS, TOTAL, Blocked, in_blocks
 
 ALPHAS = [ind.span(n) for n in (9, 12, 21, 26, 50)] + [ind.wilder(14)]
@@ -17,43 +27,40 @@ BACK = max(ind.reach(ind.span(50)), ind.reach(ind.span(26), ind.span(9)), ind.re
 
 def add_model_features(b: Blocked) -> Blocked:
     """Append the model inputs; warm-up values are filled as the model expects them."""
-    b = ind.with_moves(b)
     b = b.with_columns(
         {
-            "_c6": b.lag(c, 6),
-            "_mid": b.roll(F.avg, c, 20, skip=0),
-            "_std": b.roll(F.stddev_samp, c, 20, skip=0),
-            "_v20": b.roll(F.avg, v, 20, min_periods=1),
+            **ind.previous_bar(b),
+            "_c6": b.lag("close", 6),
+            "_mid": b.roll("avg", "close", 20, skip=0),
+            "_std": b.roll("stddev_samp", "close", 20, skip=0),
+            "_v20": b.roll("avg", "volume", 20, min_periods=1),
         }
     )
+    b = b.with_columns({**ind.moves(), "_rng": zero_to_null("high - low")})
     b = b.ewm({"_atr": ind.atr_request(), **ind.ema_requests(9, 12, 21, 26, 50), **ind.rsi_requests(14)})
     b = b.ewm({"_sig": ind.macd_signal_request()})
-    rng = zero_to_null(h - l)
-    upper, lower = ind.bollinger(F.col("_mid"), F.col("_std"))
-    ema9, ema21, ema50 = F.col("_ema9"), F.col("_ema21"), F.col("_ema50")
-
-    def filled(x: Column, default: float) -> Column:
-        return F.coalesce(finite(x), F.lit(default))
-
-    out = {
-        "body_pct": clip(filled(F.try_divide(F.abs(c - o), rng), 0.0), 0.0, 1.0),
-        "upper_shadow_pct": clip(filled(F.try_divide(h - larger(o, c), rng), 0.0), 0.0, 1.0),
-        "lower_shadow_pct": clip(filled(F.try_divide(smaller(o, c) - l, rng), 0.0), 0.0, 1.0),
-        "natr": filled(F.try_divide(F.col("_atr"), c) * 100.0, 0.0),
-        "candle_vs_atr": filled(F.try_divide(rng, F.col("_atr")), 1.0),
-        "log_return_1": filled(F.col("_lr1"), 0.0),
-        "roc_6": filled((F.try_divide(c, F.col("_c6")) - 1.0) * 100.0, 0.0),
-        "dist_ema_21_pct": filled(F.try_divide(c - ema21, ema21) * 100.0, 0.0),
-        "ema_9_21_spread_pct": filled(F.try_divide(ema9 - ema21, ema21) * 100.0, 0.0),
-        "dist_ema_50_pct": filled(F.try_divide(c - ema50, ema50) * 100.0, 0.0),
-        "macd_hist_pct": filled(F.try_divide(ind.MACD_LINE - F.col("_sig"), c) * 100.0, 0.0),
-        "rsi_14": filled(ind.rsi(14), 50.0),
-        "bb_position": clip(filled(F.try_divide(c - lower, upper - lower + 1e-9), 0.5), 0.0, 1.0),
-        "volume_ratio_20": filled(F.try_divide(v, F.col("_v20") + 1e-9), 1.0),
-        **calendar_cycle(F.col("ts")),
+    upper, lower = ind.bollinger("_mid", "_std")
+    raw = {
+        "body_pct": (div("abs(close - open)", "_rng"), 0.0, True),
+        "upper_shadow_pct": (div(f"high - {larger('open', 'close')}", "_rng"), 0.0, True),
+        "lower_shadow_pct": (div(f"{smaller('open', 'close')} - low", "_rng"), 0.0, True),
+        "natr": (f"{div('_atr', 'close')} * 100", 0.0, False),
+        "candle_vs_atr": (div("_rng", "_atr"), 1.0, False),
+        "log_return_1": ("_lr1", 0.0, False),
+        "roc_6": (f"({div('close', '_c6')} - 1) * 100", 0.0, False),
+        "dist_ema_21_pct": (change_pct("close", "_ema21"), 0.0, False),
+        "ema_9_21_spread_pct": (change_pct("_ema9", "_ema21"), 0.0, False),
+        "dist_ema_50_pct": (change_pct("close", "_ema50"), 0.0, False),
+        "macd_hist_pct": (f"{div(f'{ind.MACD_LINE} - _sig', 'close')} * 100", 0.0, False),
+        "rsi_14": (ind.rsi(14), 50.0, False),
+        "bb_position": (sdiv(f"close - {lower}", f"{upper} - {lower}"), 0.5, True),
+        "volume_ratio_20": (sdiv("volume", "_v20"), 1.0, False),
     }
-    b = b.with_columns(out)
-    return b.drop(*[x for x in b.df.columns if x.startswith("_") and not x.startswith("_seg")])
+    filled = {}
+    for name, (text, default, unit) in raw.items():
+        value = finite_or(text, default)
+        filled[name] = clip(value, 0.0, 1.0) if unit else value
+    return b.with_columns({**filled, **calendar_cycle("ts")}).drop_scratch()
 
 
 def model_features(bars: DataFrame, keys: tuple[str, ...] = KEYS, rows: int | None = None) -> DataFrame:
@@ -67,23 +74,17 @@ def add_horizon_label(b: Blocked, lookahead: int = LOOKAHEAD_BARS) -> Blocked:
 
     The tail of a series uses the bars that exist and is flagged invalid.
     """
-    b = b.with_columns({"_top": b.forward(F.max, h, lookahead), "_bottom": b.forward(F.min, l, lookahead)})
+    b = b.with_columns({"_top": b.forward("max", "high", lookahead), "_bottom": b.forward("min", "low", lookahead)})
 
-    def move(diff: Column) -> Column:
-        percent = F.when(c > 0.0, F.try_divide(diff, c) * 100.0).otherwise(0.0)
-        return clip(F.coalesce(percent, F.lit(0.0)), 0.0, 100.0).cast("float")
+    def move(diff: str) -> str:
+        percent = f"coalesce(case when close > 0 then {div(diff, 'close')} * 100 end, 0D)"
+        return f"float({clip(percent, 0.0, 100.0)})"
 
-    b = b.with_columns(
-        {"upside_max_return": move(F.col("_top") - c), "downside_max_return": move(c - F.col("_bottom"))}
-    )
-    up, down = F.col("upside_max_return"), F.col("downside_max_return")
-    b = b.with_columns(
-        {
-            "max_return": F.when(up >= down, up).otherwise(-down).cast("float"),
-            "horizon_label_valid": F.col(POS) < F.col(TOTAL) - lookahead,
-        }
-    )
-    return b.drop("_top", "_bottom")
+    b = b.with_columns({"upside_max_return": move("_top - close"), "downside_max_return": move("close - _bottom")})
+    larger_move = "if(upside_max_return >= downside_max_return, upside_max_return, -downside_max_return)"
+    return b.with_columns(
+        {"max_return": larger_move, "horizon_label_valid": f"{POS} < {TOTAL} - {lookahead}"}
+    ).drop("_top", "_bottom")
 
 
 def horizon_labels(bars: DataFrame, lookahead: int = LOOKAHEAD_BARS, keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -92,8 +93,8 @@ def horizon_labels(bars: DataFrame, lookahead: int = LOOKAHEAD_BARS, keys: tuple
 
 def direction_targets(labeled: DataFrame, cap: float = MAX_RETURN_PCT) -> DataFrame:
     """Capped targets `y_up`, `y_dn` and `y_dir` (1 when the move up is at least the move down)."""
-    up = clip(F.col("upside_max_return").cast("double"), 0.0, cap).cast("float")
-    down = clip(F.col("downside_max_return").cast("double"), 0.0, cap).cast("float")
+    up = clip_column(F.col("upside_max_return").cast("double"), 0.0, cap).cast("float")
+    down = clip_column(F.col("downside_max_return").cast("double"), 0.0, cap).cast("float")
     out = labeled.withColumns({"y_up": up, "y_dn": down})
     return out.withColumn("y_dir", F.when(F.col("y_up") >= F.col("y_dn"), 1.0).otherwise(0.0).cast("float"))
 

@@ -13,7 +13,7 @@ import math
 from collections.abc import Iterable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.config import KEYS
@@ -22,6 +22,9 @@ from barloom.functions.scalar import local_seconds
 POS, TOTAL, BLOCK, CORE = "rn", "n", "blk", "in_core"
 BLOCK_ROWS = 1 << 15
 TILE_SECONDS = 30 * 86400
+BYTES_PER_TASK = 32 << 20
+MAX_TASKS = 100_000
+UNKNOWN_SIZE = 1 << 60
 
 
 def number_rows(
@@ -54,6 +57,14 @@ def number_rows(
     )
 
 
+def number_short_series(df: DataFrame, keys: Iterable[str] = KEYS, ts: str = "ts") -> DataFrame:
+    """`number_rows` with plain windows, for bars of an hour or wider: the calendar allows 8,784 a year."""
+    whole = Window.partitionBy(*keys)
+    return df.withColumns(
+        {POS: F.row_number().over(whole.orderBy(ts)).cast("long") - 1, TOTAL: F.count(F.lit(1)).over(whole)}
+    )
+
+
 def decay_rate(alpha: float) -> float:
     return -math.log1p(-alpha)
 
@@ -81,11 +92,16 @@ def segment_sizes(alphas: Iterable[float], largest: int = BLOCK_ROWS) -> tuple[i
     return tuple(sorted(sizes, reverse=True))
 
 
+def back(trail: str, k: int) -> str:
+    """Value k rows ago from a `Blocked.trail`; NULL where the series has no such row."""
+    return f"get({trail}, size({trail}) - {k + 1})"
+
+
 @dataclass(frozen=True)
 class Ewm:
     """Request for one exponentially weighted mean: input, weight, values needed, leading missing values."""
 
-    source: Column
+    source: str
     alpha: float
     min_periods: int
     skip: int = 0
@@ -93,45 +109,53 @@ class Ewm:
 
 @dataclass(frozen=True)
 class Blocked:
-    """A numbered frame cut into blocks; every method adds columns and keeps the layout."""
+    """A numbered frame cut into blocks; every method adds columns (as SQL text) and keeps the layout."""
 
     df: DataFrame
     keys: tuple[str, ...]
     segments: tuple[int, ...] = ()
 
-    def _segment(self, size: int) -> str:
-        return f"_seg{size}"
+    def window(self, frame: str = "", level: int = 0) -> str:
+        """Window over the block, or over its segments down to `level`; all of them share one sort."""
+        names = [f"_seg{s}" for s in self.segments]
+        parts = ", ".join([*self.keys, BLOCK, *names[:level]])
+        order = ", ".join([*names[level:], POS])
+        return f"over (partition by {parts} order by {order} {frame})"
 
-    def ordered(self, upto: int = 0):
-        """Window over the block, or over the first `upto` segment levels; all of them share one sort."""
-        names = [self._segment(s) for s in self.segments]
-        return Window.partitionBy(*self.keys, BLOCK, *names[:upto]).orderBy(*names[upto:], POS)
-
-    def with_columns(self, columns: dict[str, Column]) -> Blocked:
-        return replace(self, df=self.df.withColumns(columns)) if columns else self
+    def with_columns(self, columns: dict[str, str]) -> Blocked:
+        """Add new columns in one projection; they cannot refer to each other."""
+        if not columns:
+            return self
+        return replace(self, df=self.df.selectExpr("*", *[f"{text} as {name}" for name, text in columns.items()]))
 
     def drop(self, *names: str) -> Blocked:
         return replace(self, df=self.df.drop(*names))
 
-    def lag(self, x: Column, k: int) -> Column:
-        return F.lag(x, k).over(self.ordered())
+    def drop_scratch(self) -> Blocked:
+        return self.drop(*[x for x in self.df.columns if x.startswith("_") and not x.startswith("_seg")])
+
+    def lag(self, x: str, k: int) -> str:
+        return f"lag({x}, {k}) {self.window()}"
 
-    def roll(self, fn, x: Column, size: int, skip: int | None = None, min_periods: int | None = None) -> Column:
+    def trail(self, x: str, size: int) -> str:
+        """Array of the last `size` values, newest last; `back` reads it. One frame instead of a lag per offset."""
+        return f"collect_list({x}) {self.window(f'rows between {size - 1} preceding and current row')}"
+
+    def roll(self, fn: str, x: str, size: int, skip: int | None = None, min_periods: int | None = None) -> str:
         """Rolling aggregate over the last `size` rows; NULL until `min_periods` (default all) values are there.
 
         `skip` states that only the first `skip` values of a series are missing, which saves the count.
         """
-        frame = self.ordered().rowsBetween(1 - size, 0)
+        over = self.window(f"rows between {size - 1} preceding and current row")
         need = size if min_periods is None else min_periods
-        value = fn(x).over(frame)
         if need <= 1:
-            return value
-        full = F.col(POS) >= skip + need - 1 if skip is not None else F.count(x).over(frame) >= need
-        return F.when(full, value)
+            return f"{fn}({x}) {over}"
+        full = f"{POS} >= {skip + need - 1}" if skip is not None else f"count({x}) {over} >= {need}"
+        return f"case when {full} then {fn}({x}) {over} end"
 
-    def forward(self, fn, x: Column, size: int) -> Column:
+    def forward(self, fn: str, x: str, size: int) -> str:
         """Aggregate over the next `size` rows, without the row itself."""
-        return fn(x).over(self.ordered().rowsBetween(1, size))
+        return f"{fn}({x}) {self.window(f'rows between 1 following and {size} following')}"
 
     def ewm(self, requests: dict[str, Ewm]) -> Blocked:
         """Exponentially weighted means y0 = x0, y = (1-a) y + a x, several in one pass.
@@ -146,56 +170,56 @@ class Blocked:
             if not fits:
                 raise ValueError(f"layout has no segment for alpha {req.alpha}")
             level_of[req.alpha] = fits[-1]
-        offset = {a: F.pmod(F.col(POS), F.lit(self.segments[lv])) for a, lv in level_of.items()}
-        decays = {a: f"_g{i}" for i, a in enumerate(level_of)}
-        step = self.with_columns({g: F.pow(F.lit(1.0 - a), offset[a].cast("double")) for a, g in decays.items()})
-
-        weighted = {}
-        for name, req in requests.items():
-            rn = F.col(POS)
-            term = F.when(rn == req.skip, req.source).when(rn > req.skip, F.lit(req.alpha) * req.source)
-            weighted[f"_u_{name}"] = term / F.col(decays[req.alpha])
-        step = step.with_columns(weighted)
-
+        offset = {a: f"pmod({POS}, {self.segments[lv]})" for a, lv in level_of.items()}
+        decay = {a: f"_g{i}" for i, a in enumerate(level_of)}
+        step = self.with_columns({g: f"pow({1.0 - a!r}D, {offset[a]})" for a, g in decay.items()})
+        step = step.with_columns(
+            {
+                f"_u_{name}": f"(case when {POS} = {r.skip} then {r.source} "
+                f"when {POS} > {r.skip} then {r.alpha!r}D * ({r.source}) end) / {decay[r.alpha]}"
+                for name, r in requests.items()
+            }
+        )
         for lv in sorted(set(level_of.values())):
-            running = self.ordered(lv + 1).rowsBetween(Window.unboundedPreceding, 0)
-            step = step.with_columns(
-                {
-                    f"_s_{name}": F.sum(f"_u_{name}").over(running)
-                    for name, req in requests.items()
-                    if level_of[req.alpha] == lv
-                }
-            )
-        before = self.ordered().rowsBetween(Window.unboundedPreceding, -1)
-        local = {n: F.col(f"_s_{n}") * F.col(decays[r.alpha]) for n, r in requests.items()}
+            over = self.window("rows between unbounded preceding and current row", lv + 1)
+            mine = [name for name, r in requests.items() if level_of[r.alpha] == lv]
+            step = step.with_columns({f"_s_{name}": f"sum(_u_{name}) {over}" for name in mine})
+        before = self.window("rows between unbounded preceding and 1 preceding")
         step = step.with_columns(
             {
-                f"_c_{name}": F.last(
-                    F.when(offset[req.alpha] == self.segments[level_of[req.alpha]] - 1, local[name]),
-                    ignorenulls=True,
-                ).over(before)
-                for name, req in requests.items()
+                f"_c_{name}": f"last(case when {offset[r.alpha]} = {self.segments[level_of[r.alpha]] - 1} "
+                f"then _s_{name} * {decay[r.alpha]} end, true) {before}"
+                for name, r in requests.items()
             }
         )
         step = step.with_columns(
             {
-                name: F.when(
-                    F.col(POS) >= req.skip + req.min_periods - 1,
-                    F.coalesce(local[name], F.lit(0.0))
-                    + F.coalesce(F.col(f"_c_{name}") * F.col(decays[req.alpha]) * (1.0 - req.alpha), F.lit(0.0)),
-                )
-                for name, req in requests.items()
+                name: f"case when {POS} >= {r.skip + r.min_periods - 1} then {decay[r.alpha]} * "
+                f"(coalesce(_s_{name}, 0D) + coalesce(_c_{name} * {1.0 - r.alpha!r}D, 0D)) end"
+                for name, r in requests.items()
             }
         )
-        scratch = [f"_{tag}_{name}" for tag in "usc" for name in requests]
-        return step.drop(*scratch, *decays.values())
+        return step.drop(*[f"_{tag}_{name}" for tag in "usc" for name in requests], *decay.values())
 
     def core(self) -> DataFrame:
         """The rows the blocks own, without copies and layout columns."""
-        names = [self._segment(s) for s in self.segments]
+        names = [f"_seg{s}" for s in self.segments]
         return self.df.where(F.col(CORE)).drop(CORE, BLOCK, *names)
 
 
+def block_partitions(df: DataFrame) -> int:
+    """Tasks for block-wise work: the session's shuffle width, or more when the input's size asks for it.
+
+    Block-wise work is compute-heavy for its size, so a small input is not folded into one task.
+    """
+    spark = df.sparkSession
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    size = sum(s for s in sizes if s < UNKNOWN_SIZE)
+    return max(width, min(math.ceil(size / BYTES_PER_TASK), MAX_TASKS))
+
+
 def in_blocks(
     df: DataFrame,
     back: int = 0,
@@ -214,4 +238,4 @@ def in_blocks(
     spread = spread.withColumn(CORE, F.col(BLOCK) == F.col("_own")).drop("_own")
     spread = spread.withColumns({f"_seg{s}": F.floor(F.col(POS) / s) for s in sizes})
     # One exchange for every window that follows, whichever segment level it is partitioned by.
-    return Blocked(spread.repartition(*keys, BLOCK), tuple(keys), sizes)
+    return Blocked(spread.repartition(block_partitions(df), *keys, BLOCK), tuple(keys), sizes)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.scalar import from_local_seconds, local_seconds
-from barloom.plans.blocks import number_rows
+from barloom.plans.blocks import number_short_series
 from barloom.plans.settle import settle
 from barloom.sources.bars import ticks_to_bars
 
@@ -90,7 +90,7 @@ def weekly_brand_bars(lineitem: DataFrame, part: DataFrame) -> DataFrame:
             "l_orderkey",
             "l_linenumber",
             "l_partkey",
-            F.round(F.try_divide("l_extendedprice", "l_quantity"), 4).alias("price"),
+            F.try_divide("l_extendedprice", "l_quantity").alias("price"),
             F.col("l_quantity").alias("quantity"),
         )
     )
@@ -110,4 +110,8 @@ def brand_bars(spark: SparkSession, folder: str) -> DataFrame:
 
 def numbered_bars(spark: SparkSession, folder: str) -> DataFrame:
     """Numbered hourly bars, written once so that several consumers do not re-read the events."""
-    return settle(number_rows(settle(hourly_bars(spark, folder))))
+    return settle(number_short_series(hourly_bars(spark, folder)))
+
+
+def numbered_brand_bars(spark: SparkSession, folder: str) -> DataFrame:
+    return settle(number_short_series(brand_bars(spark, folder)))
