@@ -82,6 +82,20 @@ def outcome(tp_step: str, sl_step: str) -> str:
     )
 
 
+def _exit_text(t: str, s: str, tp: str, sl: str, entry: str, side: int | None, params: BarrierParams) -> dict[str, str]:
+    """Exit code, price, gross return and bars of a trade; `side` None reads it from `_best`."""
+    code = outcome(t, s)
+    sign = f"if(_best.side = {LONG}, 1, -1)" if side is None else str(SIDES[side])
+    return {
+        "code": code,
+        "price": f"case {code} when {EXIT_SL} then {entry} * (1 - {sign} * {sl} / 100D) "
+        f"when {EXIT_TP} then {entry} * (1 + {sign} * {tp} / 100D) else _last_close end",
+        "gross": f"case {code} when {EXIT_SL} then -{sl} when {EXIT_TP} then {tp} "
+        f"else {sign} * (_last_close - {entry}) / {entry} * 100 end",
+        "held": f"int(case {code} when {EXIT_SL} then {s} when {EXIT_TP} then {t} else {params.lookahead} end)",
+    }
+
+
 def barrier_price(entry: str, pct: str, up: bool) -> str:
     return f"({entry} * (1 {'+' if up else '-'} {pct} / 100D))"
 
@@ -190,49 +204,63 @@ def add_best_trade(
     usable = f"atr_pct > 0 and {POS} < {TOTAL} - {params.lookahead} and {base} is not null"
     if not fixed:
         usable += f" and atr_level <= {params.max_atr_ratio!r}D"
+    checks = {f"_rr{i}_{j}": f"_tp{i} / greatest(_sl{j}, 1e-9)" for i in range(len(targets)) for j in range(len(stops))}
+    for side in SIDES:
+        trend = f" and close {'>' if side == LONG else '<'} sma20_or_close" if use_sma_filter else ""
+        checks[f"_ok{side}"] = usable + trend
+    b = b.with_columns(checks)
+
+    # A cell is (net, order, target, stop, side); the largest net wins and the earliest among equals.
     cells = []
     for i in range(len(targets)):
         for j in range(len(stops)):
-            for side, sign in SIDES.items():
-                tp, sl, entry = f"_tp{i}", f"_sl{j}", f"_e{side}"
-                t, s = f"_t{side}_{i}", f"_s{side}_{j}"
-                ratio = f"{tp} / greatest({sl}, 1e-9)"
-                allowed = f"{usable} and {ratio} >= {params.min_rr!r}D"
-                if use_sma_filter:
-                    allowed += f" and close {'>' if side == LONG else '<'} sma20_or_close"
-                code = outcome(t, s)
-                timeout = f"{sign} * (_last_close - {entry}) / {entry} * 100"
-                gross = f"case {code} when {EXIT_SL} then -{sl} when {EXIT_TP} then {tp} else {timeout} end"
-                exit_price = (
-                    f"case {code} when {EXIT_SL} then {barrier_price(entry, sl, side != LONG)} "
-                    f"when {EXIT_TP} then {barrier_price(entry, tp, side == LONG)} else _last_close end"
-                )
-                held = f"case {code} when {EXIT_SL} then {s} when {EXIT_TP} then {t} else {params.lookahead} end"
-                if not keep_all_outcomes:
-                    allowed += f" and {code} = {EXIT_TP} and {tp} - {params.cost_pct!r}D > 0"
+            for side in SIDES:
+                allowed = f"_ok{side} and _rr{i}_{j} >= {params.min_rr!r}D"
+                net = f"_tp{i} - {params.cost_pct!r}D"
+                if keep_all_outcomes:
+                    exits = _exit_text(f"_t{side}_{i}", f"_s{side}_{j}", f"_tp{i}", f"_sl{j}", f"_e{side}", side, params)
+                    net = f"{exits['gross']} - {params.cost_pct!r}D"
+                else:
+                    allowed += f" and _t{side}_{i} < coalesce(_s{side}_{j}, {params.lookahead + 1}) and {net} > 0"
                 cells.append(
-                    f"case when {allowed} then named_struct('net', {gross} - {params.cost_pct!r}D, "
-                    f"'rank', {-len(cells)}, 'side', {side}, 'tp', {tp}, 'sl', {sl}, 'entry', {entry}, "
-                    f"'exit', {exit_price}, 'code', {code}, 'held', int({held}), 'gross', {gross}, 'rr', {ratio}) end"
+                    f"case when {allowed} then named_struct('net', {net}, 'place', {-len(cells)}, "
+                    f"'i', {i}, 'j', {j}, 'side', {side}) end"
                 )
     b = b.with_columns({"_best": f"array_max(array({', '.join(cells)}))"})
-    none = "_best is null"
+
+    def pick(prefix: str, count: int, index: str) -> str:
+        return f"get(array({', '.join(f'{prefix}{k}' for k in range(count))}), {index})"
+
+    def by_side(text: str) -> str:
+        return f"case _best.side {' '.join(f'when {side} then {text.format(side=side)}' for side in SIDES)} end"
+
+    b = b.with_columns(
+        {
+            "_tp": pick("_tp", len(targets), "_best.i"),
+            "_sl": pick("_sl", len(stops), "_best.j"),
+            "_entry": by_side("_e{side}"),
+            "_t": " ".join(["case _best.side", *[f"when {d} then {pick(f'_t{d}_', len(targets), '_best.i')}" for d in SIDES], "end"]),
+            "_s": " ".join(["case _best.side", *[f"when {d} then {pick(f'_s{d}_', len(stops), '_best.j')}" for d in SIDES], "end"]),
+        }
+    )
+    exits = _exit_text("_t", "_s", "_tp", "_sl", "_entry", None, params)
+    b = b.with_columns({f"_x_{name}": f"case when _best is not null then {text} end" for name, text in exits.items()})
     return b.with_columns(
         {
             "direction_label": f"coalesce(_best.side, {NEUTRAL})",
-            "take_profit_pct": "coalesce(_best.tp, 0D)",
-            "stop_loss_pct": "coalesce(_best.sl, 0D)",
+            "take_profit_pct": "coalesce(_tp, 0D)",
+            "stop_loss_pct": "coalesce(_sl, 0D)",
             "expected_return_pct": "coalesce(_best.net, 0D)",
-            "time_to_target": f"double(coalesce(_best.held, {params.lookahead}))",
-            "magnitude_label": f"case when {none} then 0D when _best.side = {LONG} then _best.tp else -_best.tp end",
-            "entry_price": "_best.entry",
-            "exit_price": "_best.exit",
-            "exit_code": f"coalesce(_best.code, {EXIT_NONE})",
-            "bars_to_exit": "coalesce(_best.held, 0)",
+            "time_to_target": f"double(coalesce(_x_held, {params.lookahead}))",
+            "magnitude_label": f"coalesce(if(_best.side = {LONG}, _tp, -_tp), 0D)",
+            "entry_price": "_entry",
+            "exit_price": "_x_price",
+            "exit_code": f"coalesce(_x_code, {EXIT_NONE})",
+            "bars_to_exit": "coalesce(_x_held, 0)",
             "trade_return_pct": "coalesce(_best.net, 0D)",
-            "gross_return_pct": "coalesce(_best.gross, 0D)",
+            "gross_return_pct": "coalesce(_x_gross, 0D)",
             "net_return_pct": "coalesce(_best.net, 0D)",
-            "rr_ratio": "coalesce(_best.rr, 0D)",
+            "rr_ratio": "coalesce(_tp / greatest(_sl, 1e-9), 0D)",
             "sma_filter_used": str(bool(use_sma_filter)).lower(),
             "labeling_mode": f"'{mode}'",
             "entry_mode": f"'{entry_mode}'",

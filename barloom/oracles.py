@@ -13,12 +13,15 @@ ORACLES: dict[str, str] = {}
 W = "over (partition by symbol order by ts)"
 
 
+FINE = ("sma20", "sma50", "sma200", "entry_price", "exit_price")
+
+
 def r6(expr: str, name: str) -> str:
-    return f"round({expr}, 6) + 0.0 as {name}"
+    return f"round({expr}, {8 if name in FINE else 6}) + 0.0 as {name}"
 
 
 def rolled(*names: str, fine: bool = False) -> str:
-    digits = {n: 8 if fine or n in ("sma20", "sma50", "sma200") else 6 for n in names}
+    digits = {n: 8 if fine or n in FINE else 6 for n in names}
     return ", ".join(f"round({n}, {digits[n]}) + 0.0 as {n}" for n in names)
 
 

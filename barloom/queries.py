@@ -252,7 +252,7 @@ def higher_timeframe_context(spark, folder):
 
 
 def _only_features(df: DataFrame, *drop: str) -> DataFrame:
-    fine = ("sma20", "sma50", "sma200")
+    fine = ("sma20", "sma50", "sma200", "entry_price", "exit_price")
     return tidy(df, "rn", "n", "open", "high", "low", "close", "volume", *drop, fine=fine)
 
 
@@ -323,4 +323,4 @@ def _labeled(spark, folder, **options) -> DataFrame:
 def confirmed_labels(spark, folder):
     labeled = _labeled(spark, folder, confirm_params=ConfirmParams(enabled=True))
     confirmation = [x for x in TRADE_LABEL_COLUMNS if x not in ("label_valid", "labeling_mode", "entry_mode")]
-    return tidy(labeled.select("symbol", "ts", *[x for x in confirmation if x != "sma_filter_used"]))
+    return _only_features(labeled.select("symbol", "ts", *[x for x in confirmation if x != "sma_filter_used"]))
