@@ -716,3 +716,376 @@ ORACLES["confirmed_labels"] = statement(
       case when {KEEP} then exit_reason else 'NONE' end as exit_reason
     from confirmed""",
 )
+
+# Label reports
+
+
+def drawdown_sql(source: str, keys: str, order: str, factor: str, start: bool = False) -> str:
+    """Worst fall of the running product, by plain windows over each key."""
+    peak = "max(eq) over w"
+    if start:
+        peak = f"greatest({peak}, 1.0)"
+    return f"""(select {keys}, least(min(eq / peak - 1), 0) * 100 as max_drawdown_pct
+      from (select *, {peak} as peak from (
+              select {keys}, {order}, product({factor}) over (partition by {keys} order by {order}) as eq from {source})
+            window w as (partition by {keys} order by {order})) group by {keys})"""
+
+
+def pct(a: str, b: str) -> str:
+    return f"case when {b} = 0 then 0 else {a}::double / {b} * 100 end"
+
+
+PF = """case when coalesce(sum(net_return_pct) filter (net_return_pct < 0), 0) = 0
+      then case when coalesce(sum(net_return_pct) filter (net_return_pct > 0), 0) > 0 then 'inf'::double else 0 end
+      else sum(net_return_pct) filter (net_return_pct > 0) / abs(sum(net_return_pct) filter (net_return_pct < 0)) end"""
+STATS = ["trade_rate_pct", "gross_return_pct", "net_return_pct", "avg_return_per_trade", "win_rate_pct",
+         "loss_rate_pct", "profit_factor", "average_win_pct", "average_loss_pct", "max_drawdown_pct",
+         "avg_bars_to_exit", "median_bars_to_exit", "avg_tp_pct", "avg_sl_pct", "long_win_rate_pct",
+         "short_win_rate_pct"]
+
+
+def label_stats_select(source: str, keys: str) -> str:
+    trade = "direction_label <> 1"
+    return f"""select {keys}, total_rows, total_trades, long_trades, short_trades, neutral_count, {rolled(*STATS)}
+    from (select {keys}, count(*) as total_rows, count(*) filter ({trade}) as total_trades,
+        count(*) filter (direction_label = 0) as long_trades, count(*) filter (direction_label = 2) as short_trades,
+        count(*) filter (direction_label = 1) as neutral_count,
+        {pct(f"count(*) filter ({trade})", "count(*)")} as trade_rate_pct,
+        {pct(f"count(*) filter ({trade} and net_return_pct > 0)", f"count(*) filter ({trade})")} as win_rate_pct,
+        {pct(f"count(*) filter ({trade} and net_return_pct < 0)", f"count(*) filter ({trade})")} as loss_rate_pct,
+        {pct("count(*) filter (direction_label = 0 and net_return_pct > 0)", "count(*) filter (direction_label = 0)")}
+          as long_win_rate_pct,
+        {pct("count(*) filter (direction_label = 2 and net_return_pct > 0)", "count(*) filter (direction_label = 2)")}
+          as short_win_rate_pct
+      from {source} group by {keys})
+    left join (select {keys}, sum(gross_return_pct) as gross_return_pct, sum(net_return_pct) as net_return_pct,
+        avg(net_return_pct) as avg_return_per_trade, {PF} as profit_factor,
+        coalesce(avg(net_return_pct) filter (net_return_pct > 0), 0) as average_win_pct,
+        coalesce(avg(net_return_pct) filter (net_return_pct < 0), 0) as average_loss_pct,
+        avg(bars_to_exit) as avg_bars_to_exit, median(bars_to_exit) as median_bars_to_exit,
+        avg(take_profit_pct) as avg_tp_pct, avg(stop_loss_pct) as avg_sl_pct
+      from {source} where {trade} group by {keys}) using ({keys})
+    left join {drawdown_sql(f"(select * from {source} where {trade})", keys, "rn", "1 + net_return_pct / 100")}
+      using ({keys})"""
+
+
+ORACLES["label_statistics"] = statement(
+    HOURLY + VOLATILITY + label_ctes("fixed_rule", False, every=True), label_stats_select("labels", "symbol")
+)
+_with = [c.replace("labels as", "labels_b as", 1).replace("from best)", "from best_b)").replace("best as", "best_b as", 1)
+         for c in label_ctes("fixed_rule", True)[-2:]]
+ORACLES["sma_filter_comparison"] = statement(
+    HOURLY + VOLATILITY + label_ctes("fixed_rule", False) + _with
+    + ["both_ways as materialized (select *, 'without_sma20' as scenario from labels union all "
+       "select *, 'with_sma20' from labels_b)"],
+    label_stats_select("both_ways", "symbol, scenario"),
+)
+ORACLES["label_quality"] = statement(
+    HOURLY + VOLATILITY + label_ctes("oracle_best", True),
+    f"""select symbol, count(*) as total_rows, count(*) filter (direction_label = 0) as long_count,
+      count(*) filter (direction_label = 1) as neutral_count, count(*) filter (direction_label = 2) as short_count,
+      {", ".join(r6(pct(f"count(*) filter (direction_label = {k})", "count(*)"), f"{n}_pct")
+                 for k, n in enumerate(("long", "neutral", "short")))},
+      {", ".join(r6(f"coalesce(avg({c}) filter (direction_label <> 1), 0)", n) for c, n in (
+          ("take_profit_pct", "avg_tp_pct"), ("stop_loss_pct", "avg_sl_pct"), ("net_return_pct", "avg_return_pct"),
+          ("bars_to_exit", "avg_time_to_target")))},
+      count(*) filter (exit_reason = 'TIMEOUT') as timeout_trades, count(*) filter (exit_reason = 'SL') as sl_hits,
+      count(*) filter (exit_reason = 'TP') as tp_hits
+    from labels group by symbol""",
+)
+
+STATE_DOUBLES = ["trade_pct_of_direction", "profitable_trade_pct_of_direction", "win_rate_pct", "loss_rate_pct",
+                 "gross_return_pct", "net_return_pct", "avg_return_per_trade", "profit_factor", "average_win_pct",
+                 "average_loss_pct", "max_drawdown_pct", "avg_bars_to_exit"]
+
+
+def state_ctes(state: str, listed: str) -> list[str]:
+    """`state`: rows (symbol, rn, state columns) a trade was in; `listed`: all states."""
+    names = "moving_average, relationship" if "relationship" in listed else "condition"
+    return [
+        """deals as materialized (
+  select symbol, rn, case direction_label when 0 then 'BUY' else 'SELL' end as direction, net_return_pct,
+    gross_return_pct, bars_to_exit from labels where direction_label <> 1)""",
+        f"held as materialized (select * from deals join ({state}) using (symbol, rn))",
+        f"""report as materialized (
+  select symbol, direction, {names}, coalesce(k, 0) as total_trades, coalesce(w, 0) as profitable_trades,
+    {pct("coalesce(k, 0)", "of_direction")} as trade_pct_of_direction,
+    {pct("coalesce(w, 0)", "profitable")} as profitable_trade_pct_of_direction,
+    {pct("coalesce(w, 0)", "coalesce(k, 0)")} as win_rate_pct, {pct("coalesce(lo, 0)", "coalesce(k, 0)")} as loss_rate_pct,
+    {", ".join(f"coalesce({c}, 0) as {c}" for c in STATE_DOUBLES[4:])}
+  from (select symbol, direction, count(d.rn) as of_direction, count(d.rn) filter (net_return_pct > 0) as profitable
+        from (select distinct symbol from b) cross join (values ('BUY'), ('SELL')) v(direction)
+        left join deals d using (symbol, direction) group by symbol, direction)
+  cross join ({listed})
+  left join (select symbol, direction, {names}, count(*) as k, count(*) filter (net_return_pct > 0) as w,
+      count(*) filter (net_return_pct < 0) as lo, sum(gross_return_pct) as gross_return_pct,
+      sum(net_return_pct) as net_return_pct, avg(net_return_pct) as avg_return_per_trade, {PF} as profit_factor,
+      avg(net_return_pct) filter (net_return_pct > 0) as average_win_pct,
+      avg(net_return_pct) filter (net_return_pct < 0) as average_loss_pct, avg(bars_to_exit) as avg_bars_to_exit
+    from held group by all) using (symbol, direction, {names})
+  left join {drawdown_sql("held", f"symbol, direction, {names}", "rn", "1 + net_return_pct / 100")}
+    using (symbol, direction, {names}))""",
+    ]
+
+
+MA_STATES = state_ctes(
+    " union all ".join(
+        f"select symbol, rn, '{m}' as moving_average, case when price_above_{m} then 'above' else 'below' end "
+        "as relationship from ma" for m in AVERAGES
+    ),
+    "select * from (values " + ", ".join(f"('{m}')" for m in AVERAGES)
+    + ") x(moving_average) cross join (values ('above'), ('below')) y(relationship)",
+)
+MA_REPORT = f"""select symbol, direction, moving_average, relationship,
+  concat('price_', relationship, '_', moving_average) as condition,
+  (relationship = 'above') = (direction = 'BUY') as is_expected_trend_side, total_trades, profitable_trades,
+  {rolled(*STATE_DOUBLES)} from report"""
+MA_BASE = HOURLY + SMOOTH + HULL + [MA_STATUS] + VOLATILITY
+ORACLES["moving_average_report"] = statement(
+    MA_BASE + label_ctes("fixed_rule", False, every=True) + MA_STATES, MA_REPORT
+)
+ORACLES["best_moving_average_conditions"] = statement(
+    MA_BASE + label_ctes("oracle_best", True) + MA_STATES, MA_REPORT + " where total_trades >= 25"
+)
+CONDITION_STATES = state_ctes(
+    " union all ".join(
+        f"select symbol, rn, 'condition_{n}' as condition from cond where condition_{n}" for n in FLAGS
+    ),
+    "select * from (values " + ", ".join(f"('condition_{n}')" for n in FLAGS) + ") x(condition)",
+)
+CONDITION_REPORT = f"""select symbol, direction, condition, total_trades, profitable_trades, {rolled(*STATE_DOUBLES)}
+  from report"""
+COND_BASE = WIDE + CTX + [CONDITIONS] + VOLATILITY
+ORACLES["technical_condition_report"] = statement(
+    COND_BASE + label_ctes("fixed_rule", False, every=True) + CONDITION_STATES, CONDITION_REPORT
+)
+ORACLES["best_technical_conditions"] = statement(
+    COND_BASE + label_ctes("oracle_best", True) + CONDITION_STATES, CONDITION_REPORT + " where total_trades >= 25"
+)
+
+# Predictions and their evaluation
+
+PREDICTED = f"""pr as materialized (
+  select lab.* exclude (n, upside_max_return, downside_max_return, max_return, horizon_label_valid), lab.n - 20 as n,
+    round(1 / (1 + exp(-0.4 * round(roc_6, 6))), 6) as p_up, round(least(5.0, 2 * round(natr, 5)), 6) as up_pred,
+    round(least(5.0, 1.5 * round(natr, 5)), 6) as dn_pred
+  from lab join (select symbol, rn, roc_6, natr from ft) using (symbol, rn) where horizon_label_valid)"""
+EVALUATED = """er as materialized (
+  select *, p_up >= 0.5 as pred_up, y_up >= y_dn as actual_up, (p_up >= 0.5) = (y_up >= y_dn) as correct,
+    greatest(p_up, 1 - p_up) as confidence, case when p_up >= 0.5 then up_pred else dn_pred end as pred_mag,
+    (case when p_up >= 0.5 then y_up else y_dn end)::double as achieved_mag from pr)"""
+PRED = HOURLY + [LABELED] + model_feature_ctes() + [PREDICTED]
+EVAL = PRED + [EVALUATED]
+ORACLES["prediction_rows"] = statement(
+    EVAL, f"select symbol, ts, pred_up, actual_up, correct, {rolled('confidence', 'pred_mag', 'achieved_mag')} from er"
+)
+ORACLES["direction_scorecard"] = statement(
+    EVAL,
+    f"""select symbol, count(*) as n_total, {r6("avg(correct::int)", "accuracy")},
+      {r6("avg(actual_up::int)", "base_rate_up")}, count(*) filter (pred_up) as n_pred_up,
+      count(*) filter (pred_up and actual_up) as n_pred_up_correct, count(*) filter (not pred_up) as n_pred_down,
+      count(*) filter (not pred_up and not actual_up) as n_pred_down_correct,
+      {r6("avg(abs(up_pred - y_up::double))", "mae_up")}, {r6("avg(abs(dn_pred - y_dn::double))", "mae_down")},
+      {r6("count(*) filter (pred_up and actual_up) / nullif(count(*) filter (pred_up), 0)", "up_accuracy")},
+      {r6("count(*) filter (not pred_up and not actual_up) / nullif(count(*) filter (not pred_up), 0)", "down_accuracy")},
+      {r6("greatest(avg(actual_up::int), 1 - avg(actual_up::int))", "best_constant")}
+    from er group by symbol""",
+)
+ORACLES["confidence_buckets"] = statement(
+    EVAL,
+    f"""select symbol, {r6("lo", "lo")}, {r6("hi", "hi")}, count(confidence) as n,
+      {r6("count(confidence) / any_value(total)::double", "share")}, {r6("avg(correct::int)", "accuracy")}
+    from (select symbol, count(*) as total from er group by symbol)
+    cross join (values (0.50::double, 0.55::double), (0.55::double, 0.60::double), (0.60::double, 0.65::double),
+                       (0.65::double, 1.01::double)) e(lo, hi)
+    left join er using (symbol) where confidence is null or true
+    group by symbol, lo, hi""".replace(
+        "left join er using (symbol) where confidence is null or true",
+        "left join er on er.symbol = s.symbol and confidence >= lo and confidence < hi",
+    ).replace("from er group by symbol)", "from er group by symbol) s").replace("select symbol, round", "select s.symbol, round")
+    .replace("group by symbol, lo, hi", "group by s.symbol, lo, hi"),
+)
+ORACLES["probability_calibration"] = statement(
+    EVAL,
+    f"""select symbol, bucket, count(*) as n, {r6("avg(p_up)", "mean_p_up")}, {r6("avg(actual_up::int)", "actual_up_rate")}
+    from (select *, case {" ".join(f"when p_up < {(k + 1) * 0.1!r}::double then {k}" for k in range(9))} else 9 end::bigint
+            as bucket from er)
+    group by symbol, bucket having count(*) >= 20""",
+)
+ORACLES["magnitude_buckets"] = statement(
+    EVAL,
+    f"""select s.symbol, {r6("lo", "lo")}, {r6("hi", "hi")}, count(pred_mag) as n, {r6("avg(pred_mag)", "mean_predicted")},
+      {r6("avg(achieved_mag)", "mean_achieved")}, {r6("median(achieved_mag)", "median_achieved")},
+      {r6("avg((achieved_mag >= pred_mag)::int)", "hit_full")},
+      {r6("avg((achieved_mag >= 0.8::double * pred_mag)::int)", "hit_80")}
+    from (select distinct symbol from er) s
+    cross join (values (0::double, 0.5::double), (0.5::double, 1::double), (1::double, 1.5::double),
+                       (1.5::double, 'inf'::double)) e(lo, hi)
+    left join er on er.symbol = s.symbol and pred_mag >= lo and pred_mag < hi
+    group by s.symbol, lo, hi""",
+)
+ORACLES["achieved_move_histogram"] = statement(
+    EVAL,
+    f"""select symbol, correct, bin, count(*) as n, {r6("bin * any_value(p99) / 49", "lo")},
+      {r6("count(*) / (sum(count(*)) over (partition by symbol, correct) * any_value(p99) / 49)", "density")},
+      {r6("any_value(greatest(p99, top)) * 1.05", "axis_limit")}
+    from (select er.*, p99, top, least(cast(floor(achieved_mag / (p99 / 49)) as bigint), 48) as bin
+          from er join (select symbol, quantile_cont(achieved_mag, 0.99) as p99, max(pred_mag) as top
+                        from er group by symbol) using (symbol) where achieved_mag <= p99)
+    group by symbol, correct, bin""",
+)
+ORACLES["validation_metrics"] = statement(
+    PRED
+    + [
+        """lo as (
+      select *, (ln(1 + exp(logit)) - logit * y_dir) * (1 + least(abs(y_up::double - y_dn::double), 3)) as loss_dir,
+        (case when abs(up_pred - y_up::double) <= 1.5 then (up_pred - y_up::double) ** 2 / 2
+              else 1.5 * (abs(up_pred - y_up::double) - 0.75) end) * (1 + y_up::double) as loss_up,
+        (case when abs(dn_pred - y_dn::double) <= 1.5 then (dn_pred - y_dn::double) ** 2 / 2
+              else 1.5 * (abs(dn_pred - y_dn::double) - 0.75) end) * (1 + y_dn::double) as loss_dn
+      from (select *, ln(p_up / (1 - p_up)) as logit from pr))"""
+    ],
+    f"""select symbol, count(*) as n, {r6("avg(loss_dir)", "loss_dir")}, {r6("avg(loss_up)", "loss_up")},
+      {r6("avg(loss_dn)", "loss_dn")}, {r6("avg(loss_dir + 0.5 * (loss_up + loss_dn))", "loss")},
+      {r6("avg(((logit >= 0) = (y_dir >= 0.5))::int)", "direction_accuracy")},
+      {r6("avg(abs(up_pred - y_up::double) + abs(dn_pred - y_dn::double)) / 2", "magnitude_mae")}
+    from lo group by symbol""",
+)
+
+# Trades
+
+SCENARIOS = """sc(scenario, min_conf, min_move, tpf, slf, cost, frac, capital, ruin, hold) as (values
+  ('base', 0.6::double, 0.6::double, 0.8::double, 0.5::double, 0.0014::double, 0.95::double, 100.0::double, 1.0::double, 20),
+  ('bold', 0.5::double, 0.3::double, 1.0::double, 0.8::double, 0.0014::double, 0.95::double, 100.0::double, 1.0::double, 20),
+  ('short_hold', 0.6::double, 0.6::double, 0.8::double, 0.5::double, 0.0014::double, 0.5::double, 100.0::double, 1.0::double, 5),
+  ('ruin', 0.5::double, 0.1::double, 0.8::double, 0.5::double, 0.1204::double, 0.95::double, 100.0::double, 40.0::double, 20))"""
+CANDIDATES = [
+    SCENARIOS,
+    """paths as materialized (
+  select *, greatest(p_up, 1 - p_up) as confidence, p_up >= 0.5 as is_long,
+    case when p_up >= 0.5 then up_pred else dn_pred end as pred_move, lead(open) over (partition by symbol order by ts) as entry,
+    list({'h': high, 'l': low, 'c': close, 'ts': ts})
+      over (partition by symbol order by ts rows between 1 following and 20 following) as path from pr)""",
+    """aimed as materialized (
+  select *, list_slice(path, 1, hold) as held,
+    entry * (case when is_long then 1 + pred_move * tpf / 100 else 1 - pred_move * tpf / 100 end) as tp_price,
+    entry * (case when is_long then 1 - pred_move * slf / 100 else 1 + pred_move * slf / 100 end) as sl_price
+  from paths, sc where confidence >= min_conf and pred_move >= min_move and entry is not null)""",
+    """touching as (
+  select *, list_transform(held, lambda x: case when is_long then x.l <= sl_price else x.h >= sl_price end) as stops,
+    list_transform(held, lambda x: case when is_long then x.l <= sl_price else x.h >= sl_price end
+                                or case when is_long then x.h >= tp_price else x.l <= tp_price end) as touches
+  from aimed)""",
+    """cand as materialized (
+  select symbol, scenario, rn, rn + hold_bars as exit_rn, held[1].ts as entry_time, held[hold_bars].ts as exit_time,
+    case when is_long then 'LONG' else 'SHORT' end as side, confidence, pred_move,
+    (case when is_long then y_up else y_dn end)::double as achieved, is_long = (y_up >= y_dn) as dir_correct,
+    exit_reason, cast(hold_bars as bigint) as hold_bars, frac, capital, ruin,
+    (xp - entry) / entry * (case when is_long then 1 else -1 end) as raw,
+    (xp - entry) / entry * (case when is_long then 1 else -1 end) - cost as net
+  from (select *, case when step is null then 'TIME' when stops[step] then 'SL' else 'TP' end as exit_reason,
+          coalesce(step, len(held)) as hold_bars,
+          case when step is null then held[len(held)].c when stops[step] then sl_price else tp_price end as xp
+        from (select *, nullif(list_position(touches, true), 0) as step from touching)))""",
+]
+ORACLES["candidate_trades"] = statement(
+    PRED + CANDIDATES,
+    f"""select symbol, scenario, rn, exit_rn, entry_time, exit_time, side, {rolled("confidence", "pred_move", "achieved")},
+      dir_correct, exit_reason, hold_bars from cand""",
+)
+CHOSEN = [
+    """pointers as materialized (
+  select c.symbol, c.scenario, c.rn, d.rn as next_rn from cand c asof left join cand d
+    on c.symbol = d.symbol and c.scenario = d.scenario and d.rn > c.exit_rn)""",
+    """chain as (
+  select symbol, scenario, min(rn) as rn from cand group by symbol, scenario
+  union all
+  select c.symbol, c.scenario, p.next_rn from chain c join pointers p using (symbol, scenario, rn)
+  where p.next_rn is not null)""",
+    """grown as materialized (
+  select *, capital * product(1 + frac * net) over (partition by symbol, scenario order by rn) as equity
+  from cand join chain using (symbol, scenario, rn))""",
+    """tr as materialized (
+  select *, raw * 100 as raw_ret_pct, net * 100 as net_ret_pct, equity - equity / (1 + frac * net) as pnl_usd
+  from (select *, coalesce(max((equity <= ruin)::int) over (partition by symbol, scenario order by rn
+                    rows between unbounded preceding and 1 preceding), 0) as over_before from grown)
+  where over_before = 0)""",
+]
+DEALS = PRED + CANDIDATES + CHOSEN
+LEDGER_SELECT = f"""select symbol, scenario, entry_time, exit_time, side, dir_correct, exit_reason, hold_bars,
+  {rolled("confidence", "pred_move", "achieved", "raw_ret_pct", "net_ret_pct", "pnl_usd", "equity")}"""
+ORACLES["trade_ledger"] = statement(DEALS, LEDGER_SELECT + " from tr")
+ORACLES["last_ten_trades"] = statement(
+    DEALS,
+    LEDGER_SELECT + " from (select *, row_number() over (partition by symbol, scenario order by rn desc) as nr from tr)"
+    " where nr <= 10",
+)
+ORACLES["equity_curve"] = statement(
+    DEALS,
+    f"""select symbol, scenario, trade_no, {rolled("equity", "peak")}, {r6("(equity - peak) / peak", "drawdown")}
+    from (select symbol, scenario, row_number() over w as trade_no, equity, greatest(max(equity) over w, capital) as peak
+          from tr window w as (partition by symbol, scenario order by rn)
+          union all select symbol, scenario, 0, max(capital), max(capital) from tr group by 1, 2)""",
+)
+SUMMARY = f"""summ as materialized (
+  select symbol, scenario, start_capital, final_capital, (final_capital / start_capital - 1) * 100 as total_return_pct,
+    (c1 / c0 - 1) * 100 as buy_hold_pct, max_drawdown_pct, trades, days, trades / days as trades_per_day
+  from (select symbol, scenario, max(capital) as start_capital, arg_max(equity, rn) as final_capital, count(*) as trades
+        from tr group by 1, 2)
+  join (select symbol, arg_min(close, ts) as c0, arg_max(close, ts) as c1,
+          greatest((epoch(max(ts)) - epoch(min(ts))) / 86400, 1) as days from pr group by 1) using (symbol)
+  join {drawdown_sql("tr", "symbol, scenario", "rn", "1 + frac * net", True)} using (symbol, scenario))"""
+ORACLES["capital_summary"] = statement(
+    DEALS + [SUMMARY],
+    f"""select symbol, scenario, trades, {rolled("start_capital", "final_capital", "total_return_pct", "buy_hold_pct",
+        "max_drawdown_pct", "days", "trades_per_day")} from summ""",
+)
+ORACLES["trade_statistics"] = statement(
+    DEALS + [SUMMARY],
+    f"""select symbol, scenario, trades, wins, trades - wins as losses, {r6("wins / trades * 100", "win_rate_pct")},
+      {rolled("avg_win_pct", "avg_loss_pct", "expectancy_pct", "profit_factor", "sharpe", "avg_hold_bars")}
+    from (select symbol, scenario, count(*) as trades, count(*) filter (pnl_usd > 0) as wins,
+        avg(net_ret_pct) filter (pnl_usd > 0) as avg_win_pct, avg(net_ret_pct) filter (pnl_usd <= 0) as avg_loss_pct,
+        avg(net_ret_pct) as expectancy_pct,
+        case when coalesce(abs(sum(pnl_usd) filter (pnl_usd <= 0)), 0) > 0
+             then coalesce(sum(pnl_usd) filter (pnl_usd > 0), 0) / abs(sum(pnl_usd) filter (pnl_usd <= 0))
+             else 'inf'::double end as profit_factor,
+        case when stddev_pop(net_ret_pct) > 0 then avg(net_ret_pct) / stddev_pop(net_ret_pct)
+             * sqrt(count(*) / any_value(days) * 365) else 0 end as sharpe,
+        avg(hold_bars) as avg_hold_bars
+      from tr join (select symbol, scenario, days from summ) using (symbol, scenario) group by 1, 2)""",
+)
+ORACLES["exit_breakdown"] = statement(
+    DEALS,
+    f"""select s.symbol, s.scenario, e.exit_reason, count(rn) as trades,
+      {r6("avg((pnl_usd > 0)::int) * 100", "win_rate_pct")}, {r6("avg(net_ret_pct)", "avg_net_pct")}
+    from (select distinct symbol, scenario from tr) s cross join (values ('TP'), ('SL'), ('TIME')) e(exit_reason)
+    left join tr on tr.symbol = s.symbol and tr.scenario = s.scenario and tr.exit_reason = e.exit_reason
+    group by 1, 2, 3""",
+)
+ORACLES["direction_on_trades"] = statement(
+    DEALS,
+    f"""select s.symbol, s.scenario, e.side, count(rn) as trades,
+      {r6("avg(dir_correct::int) * 100", "direction_accuracy_pct")}, {r6("avg(pred_move)", "avg_predicted")},
+      {r6("median(achieved)", "median_achieved")}
+    from (select distinct symbol, scenario from tr) s cross join (values ('LONG'), ('SHORT'), ('ALL')) e(side)
+    left join tr on tr.symbol = s.symbol and tr.scenario = s.scenario and (tr.side = e.side or e.side = 'ALL')
+    group by 1, 2, 3""",
+)
+ORACLES["monthly_results"] = statement(
+    DEALS,
+    f"""select symbol, scenario, strftime(exit_time, '%Y-%m') as month, count(*) as trades,
+      {r6("avg((pnl_usd > 0)::int) * 100", "win_rate_pct")}, {r6("(product(1 + frac * net) - 1) * 100", "return_pct")},
+      {r6("arg_max(equity, rn)", "equity_end")}
+    from tr group by 1, 2, 3""",
+)
+ORACLES["pnl_histogram"] = statement(
+    DEALS,
+    f"""select symbol, scenario, bin, {r6("any_value(lo + bin * (hi - lo) / 39)", "lo")},
+      count(*) filter (net_ret_pct > 0) as wins, count(*) filter (net_ret_pct <= 0) as losses
+    from (select *, case when hi = lo then 0 else least(cast(floor((net_ret_pct - lo) / ((hi - lo) / 39)) as bigint), 38) end
+            as bin
+          from tr join (select symbol, scenario, min(net_ret_pct) as lo, max(net_ret_pct) as hi from tr group by 1, 2)
+          using (symbol, scenario))
+    group by 1, 2, 3""",
+)

@@ -11,9 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.config import ConfirmParams, SplitParams
+from barloom.config import ConfirmParams, SplitParams, TradeParams
 from barloom.functions.names import MODEL_FEATURES, TRADE_LABEL_COLUMNS
-from barloom.operators import dataset, labels as lb, model_features as mf, resample as rs, wide_features as wf
+from barloom.operators import (
+    dataset,
+    evaluate as ev,
+    labels as lb,
+    model_features as mf,
+    reports as rp,
+    resample as rs,
+    trades as td,
+    wide_features as wf,
+)
 from barloom.plans.blocks import number_rows
 from barloom.plans.settle import settle
 from barloom.sources import bars as src
@@ -324,3 +333,191 @@ def confirmed_labels(spark, folder):
     labeled = _labeled(spark, folder, confirm_params=ConfirmParams(enabled=True))
     confirmation = [x for x in TRADE_LABEL_COLUMNS if x not in ("label_valid", "labeling_mode", "entry_mode")]
     return _only_features(labeled.select("symbol", "ts", *[x for x in confirmation if x != "sma_filter_used"]))
+
+
+# Label reports
+
+
+def _settled_labels(spark, folder, *more: str, **options) -> DataFrame:
+    """Labels without features, written once because every report reads them several times."""
+    labels = lb.trade_labels(tab.numbered_bars(spark, folder), **options)
+    columns = ["direction_label", "net_return_pct", "gross_return_pct", "bars_to_exit", "take_profit_pct"]
+    return settle(labels.select("symbol", "ts", "rn", *columns, "stop_loss_pct", "exit_reason", *more))
+
+
+FIXED_RULE = {"mode": "fixed_rule", "use_sma_filter": False, "keep_all_outcomes": True}
+
+
+@query
+def label_statistics(spark, folder):
+    return tidy(rp.label_stats(_settled_labels(spark, folder, **FIXED_RULE)))
+
+
+@query
+def sma_filter_comparison(spark, folder):
+    bars = tab.numbered_bars(spark, folder)
+    both = {
+        "without_sma20": lb.trade_labels(bars, mode="fixed_rule", use_sma_filter=False),
+        "with_sma20": lb.trade_labels(bars, mode="fixed_rule", use_sma_filter=True),
+    }
+    return tidy(rp.compare_scenarios(both))
+
+
+@query
+def label_quality(spark, folder):
+    return tidy(rp.label_quality(_settled_labels(spark, folder)))
+
+
+def _settled_states(spark, folder, prefix: str, **options) -> DataFrame:
+    labeled = _labeled(spark, folder, **options)
+    flags = [x for x in labeled.columns if x.startswith(prefix)]
+    columns = ["direction_label", "net_return_pct", "gross_return_pct", "bars_to_exit"]
+    return settle(labeled.select("symbol", "rn", *columns, *flags))
+
+
+@query
+def moving_average_report(spark, folder):
+    return tidy(rp.moving_average_report(_settled_states(spark, folder, "price_above_", **FIXED_RULE)))
+
+
+@query
+def technical_condition_report(spark, folder):
+    return tidy(rp.condition_report(_settled_states(spark, folder, "condition_", **FIXED_RULE)))
+
+
+@query
+def best_moving_average_conditions(spark, folder):
+    report = rp.moving_average_report(_settled_states(spark, folder, "price_above_"))
+    return tidy(rp.best_conditions(report, 25))
+
+
+@query
+def best_technical_conditions(spark, folder):
+    report = rp.condition_report(_settled_states(spark, folder, "condition_"))
+    return tidy(rp.best_conditions(report, 25))
+
+
+# Predictions and their evaluation
+
+
+def _predictions(spark, folder) -> DataFrame:
+    """Labelled bars with predictions that follow from two features, so that no model has to be trained."""
+    rows = mf.labeled_features(tab.numbered_bars(spark, folder))
+    roc, natr = F.round("roc_6", 6), F.round("natr", 5)
+    rows = rows.withColumns(
+        {
+            "p_up": F.round(1.0 / (1.0 + F.exp(-0.4 * roc)), 6),
+            "up_pred": F.round(F.least(F.lit(5.0), 2.0 * natr), 6),
+            "dn_pred": F.round(F.least(F.lit(5.0), 1.5 * natr), 6),
+        }
+    )
+    rows = rows.withColumn("n", F.col("n") - 20)
+    columns = ["open", "high", "low", "close", "rn", "n", "y_up", "y_dn", "y_dir", "p_up", "up_pred", "dn_pred"]
+    return settle(rows.select("symbol", "ts", *columns))
+
+
+@query
+def prediction_rows(spark, folder):
+    rows = ev.evaluation_rows(_predictions(spark, folder))
+    columns = ["pred_up", "actual_up", "correct", "confidence", "pred_mag", "achieved_mag"]
+    return tidy(rows.select("symbol", "ts", *columns))
+
+
+@query
+def direction_scorecard(spark, folder):
+    return tidy(ev.direction_scorecard(ev.evaluation_rows(_predictions(spark, folder))))
+
+
+@query
+def confidence_buckets(spark, folder):
+    return tidy(ev.confidence_buckets(ev.evaluation_rows(_predictions(spark, folder))))
+
+
+@query
+def probability_calibration(spark, folder):
+    return tidy(ev.calibration(ev.evaluation_rows(_predictions(spark, folder))))
+
+
+@query
+def magnitude_buckets(spark, folder):
+    return tidy(ev.magnitude_buckets(ev.evaluation_rows(_predictions(spark, folder))))
+
+
+@query
+def achieved_move_histogram(spark, folder):
+    return tidy(ev.move_histogram(ev.evaluation_rows(_predictions(spark, folder))))
+
+
+@query
+def validation_metrics(spark, folder):
+    rows = _predictions(spark, folder).withColumn("logit", F.ln(F.col("p_up") / (1.0 - F.col("p_up"))))
+    return tidy(dataset.validation_metrics(rows))
+
+
+# Trades
+
+SWEEP = (
+    TradeParams(name="base"),
+    TradeParams(name="bold", confidence=0.5, min_move=0.3, tp_fraction=1.0, sl_fraction=0.8),
+    TradeParams(name="short_hold", max_hold=5, position_fraction=0.5),
+    TradeParams(name="ruin", confidence=0.5, min_move=0.1, fee_pct=6.0, ruin_equity=40.0),
+)
+
+
+@query
+def candidate_trades(spark, folder):
+    rows = td.candidate_trades(_predictions(spark, folder), SWEEP)
+    return tidy(rows.drop(*[x for x in rows.columns if x.startswith("_")]))
+
+
+def _trades(spark, folder, predictions=None) -> DataFrame:
+    predictions = _predictions(spark, folder) if predictions is None else predictions
+    return settle(td.backtest(predictions, SWEEP))
+
+
+@query
+def trade_ledger(spark, folder):
+    return tidy(td.ledger(td.backtest(_predictions(spark, folder), SWEEP)))
+
+
+@query
+def equity_curve(spark, folder):
+    return tidy(td.equity_curve(_trades(spark, folder)))
+
+
+@query
+def capital_summary(spark, folder):
+    predictions = _predictions(spark, folder)
+    return tidy(rp.capital_summary(_trades(spark, folder, predictions), predictions))
+
+
+@query
+def trade_statistics(spark, folder):
+    predictions = _predictions(spark, folder)
+    trades = _trades(spark, folder, predictions)
+    return tidy(rp.trade_stats(trades, rp.capital_summary(trades, predictions)))
+
+
+@query
+def exit_breakdown(spark, folder):
+    return tidy(rp.exit_breakdown(_trades(spark, folder)))
+
+
+@query
+def direction_on_trades(spark, folder):
+    return tidy(rp.direction_on_trades(_trades(spark, folder)))
+
+
+@query
+def monthly_results(spark, folder):
+    return tidy(rp.monthly(_trades(spark, folder)))
+
+
+@query
+def last_ten_trades(spark, folder):
+    return tidy(td.ledger(rp.last_trades(_trades(spark, folder))))
+
+
+@query
+def pnl_histogram(spark, folder):
+    return tidy(rp.pnl_histogram(_trades(spark, folder)))
