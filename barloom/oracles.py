@@ -13,15 +13,15 @@ ORACLES: dict[str, str] = {}
 W = "over (partition by symbol order by ts)"
 
 
-FINE = ("sma20", "sma50", "sma200", "entry_price", "exit_price")
+FINE = {"sma20": 8, "sma50": 8, "sma200": 8, "entry_price": 8, "exit_price": 8, "pnl_usd": 9, "avg_predicted": 10}
 
 
 def r6(expr: str, name: str) -> str:
-    return f"round({expr}, {8 if name in FINE else 6}) + 0.0 as {name}"
+    return f"round({expr}, {FINE.get(name, 6)}) + 0.0 as {name}"
 
 
 def rolled(*names: str, fine: bool = False) -> str:
-    digits = {n: 8 if fine or n in FINE else 6 for n in names}
+    digits = {n: 8 if fine else FINE.get(n, 6) for n in names}
     return ", ".join(f"round({n}, {digits[n]}) + 0.0 as {n}" for n in names)
 
 
@@ -1089,3 +1089,111 @@ ORACLES["pnl_histogram"] = statement(
           using (symbol, scenario))
     group by 1, 2, 3""",
 )
+
+# Single series operators
+
+ORACLES["rolling_statistics"] = statement(
+    HOURLY,
+    "select symbol, ts, "
+    + ", ".join(
+        r6(roll(fn, "close", n), f"{kind}_{n}")
+        for kind, fn in (("mean", "avg"), ("sum", "sum"), ("min", "min"), ("max", "max"), ("std", "stddev_samp"))
+        for n in (5, 50)
+    )
+    + ", " + r6(f"avg(volume) {frame(20)}", "mean_20_from_1") + " from b",
+)
+ORACLES["lagged_changes"] = statement(
+    HOURLY,
+    "select symbol, ts, "
+    + ", ".join(
+        f"{r6(f'close - {lag('close', k)}', f'diff_{k}')}, {r6(f'close / {lag('close', k)} - 1', f'pct_change_{k}')}, "
+        f"{r6(f'ln(close / {lag('close', k)})', f'log_return_{k}')}"
+        for k in (1, 3, 12, 24)
+    )
+    + " from b",
+)
+ORACLES["smoothed_means"] = statement(
+    HOURLY
+    + ewm("e", "b", {f"ema_{n}": ("close", span(n), n) for n in (5, 21, 200)}
+          | {"wilder_volume_14": ("volume", 1.0 / 14, 14)}),
+    f"select symbol, ts, {rolled('ema_5', 'ema_21', 'ema_200', 'wilder_volume_14')} from b join e using (symbol, rn)",
+)
+ORACLES["weighted_means"] = statement(
+    HOURLY
+    + [f"""w1 as materialized (select symbol, ts, {", ".join(f"{wma('close', n)} as wma{n}" for n in (4, 10, 25))},
+      {", ".join(f"2 * {wma('close', h)} - {wma('close', n)} as raw{n}" for n, h in ((9, 4), (21, 10), (50, 25)))} from b)"""],
+    f"select symbol, ts, {rolled('wma4', 'wma10', 'wma25')}, "
+    + ", ".join(r6(wma(f"raw{n}", s), f"hull{n}") for n, s in ((9, 3), (21, 4), (50, 7))) + " from w1",
+)
+ORACLES["rolling_percent_rank"] = statement(
+    HOURLY,
+    f"""select symbol, ts, {r6("case when rn >= 99 then (len(list_filter(l, lambda x: x < volume)) + (len(list_filter(l, lambda x: x = volume)) + 1) / 2.0) / 100 end", "volume_rank")}
+    from (select *, list(volume) {frame(100)} as l from b)""",
+)
+ORACLES["on_balance_volume"] = statement(
+    HOURLY,
+    f"""select symbol, ts, {r6("sv", "signed_volume")}, {r6(f"sum(sv) {W}", "obv")}
+    from (select *, coalesce(sign(close - {lag("close", 1)}), 0) * volume as sv from b)""",
+)
+ORACLES["forward_filled_gaps"] = statement(
+    HOURLY,
+    f"""select symbol, ts,
+      {r6(f"coalesce(last_value(case when extract('hour' from ts) % 6 = 0 then close end ignore nulls) {frame(10**9)}, 0)", "sparse")}
+    from b""",
+)
+ORACLES["price_crossings"] = statement(
+    HOURLY + ewm("e", "b", {"ema": ("close", 0.2, 9)}),
+    f"""select symbol, ts, coalesce(close > ema and pc <= pe, false) as crossed_above,
+      coalesce(close < ema and pc >= pe, false) as crossed_below
+    from (select *, {lag("close", 1)} as pc, {lag("ema", 1)} as pe from b join e using (symbol, rn))""",
+)
+ORACLES["basic_indicators"] = statement(
+    HOURLY
+    + [MOVES, *ewm("e1", "mv", smoothing((12, 26), (14,))), dmi_cte("dm", "e1"),
+       "ml as materialized (select *, ema12 - ema26 as line from dm)",
+       *ewm("e2", "ml", {"macd_signal": ("line", span(9), 9), "adx": ("dx", 1.0 / 14, 14)})],
+    f"""select symbol, ts, {r6("tr", "true_range")}, {r6("atr", "atr")}, {r6("coalesce(atr / close * 100, 0)", "atr_pct")},
+      {r6(rsi_sql(14), "rsi")}, {r6("dmp", "plus_di")}, {r6("dmn", "minus_di")}, {r6("adx", "adx")}, {r6("line", "macd")},
+      {rolled("macd_signal")}, {r6("line - macd_signal", "macd_hist")}, {r6("mid", "bb_mid")},
+      {r6("mid + 2 * sd", "bb_upper")}, {r6("mid - 2 * sd", "bb_lower")},
+      {r6("pv / (vv + 1e-9)", "vwap")}
+    from (select *, {roll("avg", "close", 20)} as mid, {roll("stddev_samp", "close", 20)} as sd,
+            {roll("sum", "(high + low + close) / 3 * volume", 20)} as pv, {roll("sum", "volume", 20)} as vv from mv)
+    join ml using (symbol, rn) join e2 using (symbol, rn)""",
+)
+ORACLES["external_model_scores"] = statement(
+    HOURLY + model_feature_ctes(),
+    f"""select symbol, ts, {rolled("p_up", "up_pred", "dn_pred")}, {r6("greatest(p_up, 1 - p_up)", "confidence")},
+      {r6("case when p_up >= 0.5 then up_pred else dn_pred end", "magnitude")}
+    from (select symbol, ts, 1 / (1 + exp(-0.4 * roc_6)) as p_up, least(greatest(2 * natr, 0), 5) as up_pred,
+            least(greatest(1.5 * natr, 0), 5) as dn_pred from ft)""",
+)
+ORACLES["json_export"] = statement(
+    HOURLY + VOLATILITY + label_ctes("oracle_best", True)
+    + [f"ls as ({label_stats_select('labels', 'symbol')})"],
+    """select symbol, total_rows, total_trades, case when isfinite(profit_factor) then profit_factor end as profit_factor,
+      win_rate_pct from ls""",
+)
+ORACLES["candle_json_records"] = statement(
+    HOURLY,
+    """select '{"symbol":"' || symbol || '","ts":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || '","traded":'
+      || (volume > 0) || '}' as record from bars""",
+)
+
+# Streams
+
+ORACLES["streamed_value_bars"] = f"""
+select event_type as symbol, time_bucket(interval 6 hours, events.ts) as ts, {r6("arg_min(value, (events.ts, event_id))", "open")},
+  {r6("max(value)", "high")}, {r6("min(value)", "low")}, {r6("arg_max(value, (events.ts, event_id))", "close")},
+  {r6("sum(value)", "volume")}
+from events group by event_type, time_bucket(interval 6 hours, events.ts)"""
+ORACLES["streamed_first_candles"] = """
+select event_type as symbol, count(distinct date_trunc('hour', ts)) as candles, min(date_trunc('hour', ts))::timestamp as first_ts
+from events group by 1"""
+ORACLES["streamed_indicators"] = statement(
+    HOURLY + [MOVES, *ewm("e", "mv", {"ema": ("close", span(21), 21), "atr": ("tr", 1.0 / 14, 14),
+                                      "g": ("gain", 1.0 / 14, 14), "l": ("loss", 1.0 / 14, 14)})],
+    f"""select symbol, ts, {rolled("close", "ema", "atr")}, {r6("100 - 100 / (1 + g / (l + 1e-9))", "rsi")}
+    from b join e using (symbol, rn)""",
+)
+ORACLES["streamed_context"] = ORACLES["higher_timeframe_context"]

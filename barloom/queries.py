@@ -18,15 +18,19 @@ from barloom.operators import (
     evaluate as ev,
     labels as lb,
     model_features as mf,
+    predict as pm,
     reports as rp,
     resample as rs,
+    series as sr,
     trades as td,
     wide_features as wf,
 )
 from barloom.plans.blocks import number_rows
 from barloom.plans.settle import settle
 from barloom.sources import bars as src
+from barloom.sources import export as ex
 from barloom.sources import tables as tab
+from barloom.streaming import bars as sm
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -37,6 +41,10 @@ def query(fn: Query) -> Query:
     return fn
 
 
+# Columns with a finite decimal expansion that can end in a 5 at the seventh place get more digits.
+FINE = {"sma20": 8, "sma50": 8, "sma200": 8, "entry_price": 8, "exit_price": 8, "pnl_usd": 9, "avg_predicted": 10}
+
+
 def tidy(df: DataFrame, *drop: str, fine: tuple[str, ...] = ()) -> DataFrame:
     """Drop layout columns, round doubles and floats (to 8 decimals if in `fine`), and turn -0.0 into 0.0."""
     out = []
@@ -45,7 +53,7 @@ def tidy(df: DataFrame, *drop: str, fine: tuple[str, ...] = ()) -> DataFrame:
             continue
         col = F.col(field.name)
         if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
-            digits = 8 if field.name in fine else 6
+            digits = 8 if field.name in fine else FINE.get(field.name, 6)
             col = (F.round(col.cast("double"), digits) + F.lit(0.0)).alias(field.name)
         elif isinstance(field.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
             col = col.cast("long").alias(field.name)
@@ -261,8 +269,7 @@ def higher_timeframe_context(spark, folder):
 
 
 def _only_features(df: DataFrame, *drop: str) -> DataFrame:
-    fine = ("sma20", "sma50", "sma200", "entry_price", "exit_price")
-    return tidy(df, "rn", "n", "open", "high", "low", "close", "volume", *drop, fine=fine)
+    return tidy(df, "rn", "n", "open", "high", "low", "close", "volume", *drop)
 
 
 @query
@@ -521,3 +528,192 @@ def last_ten_trades(spark, folder):
 @query
 def pnl_histogram(spark, folder):
     return tidy(rp.pnl_histogram(_trades(spark, folder)))
+
+
+# Single series operators
+
+
+@query
+def rolling_statistics(spark, folder):
+    outputs = {f"{kind}_{size}": (kind, "close", size, None) for kind in sr.ROLLING for size in (5, 50)}
+    outputs["mean_20_from_1"] = ("mean", "volume", 20, 1)
+    return _only_features(sr.rolling(tab.numbered_bars(spark, folder), outputs))
+
+
+@query
+def lagged_changes(spark, folder):
+    return _only_features(sr.changes(tab.numbered_bars(spark, folder), "close", (1, 3, 12, 24)))
+
+
+@query
+def smoothed_means(spark, folder):
+    outputs = {f"ema_{n}": ("close", 2.0 / (n + 1), n) for n in (5, 21, 200)}
+    outputs["wilder_volume_14"] = ("volume", 1.0 / 14, 14)
+    return _only_features(sr.smoothed(tab.numbered_bars(spark, folder), outputs))
+
+
+@query
+def weighted_means(spark, folder):
+    return _only_features(sr.weighted_means(tab.numbered_bars(spark, folder), "close", (4, 10, 25), (9, 21, 50)))
+
+
+@query
+def rolling_percent_rank(spark, folder):
+    return _only_features(sr.percent_rank(tab.numbered_bars(spark, folder), "volume", 100, "volume_rank"))
+
+
+@query
+def on_balance_volume(spark, folder):
+    return _only_features(sr.on_balance_volume(tab.numbered_bars(spark, folder)))
+
+
+@query
+def forward_filled_gaps(spark, folder):
+    """The close only where the hour is a multiple of six, carried forward and 0 before the first."""
+    bars = tab.numbered_bars(spark, folder).withColumn("sparse", F.when(F.hour("ts") % 6 == 0, F.col("close")))
+    return _only_features(sr.fill_forward(bars, ["sparse"], 0.0))
+
+
+@query
+def price_crossings(spark, folder):
+    bars = sr.smoothed(tab.numbered_bars(spark, folder), {"ema": ("close", 2.0 / 10, 9)})
+    return _only_features(sr.crossings(bars, "close", "ema"), "ema")
+
+
+@query
+def basic_indicators(spark, folder):
+    return _only_features(sr.basic_indicators(tab.numbered_bars(spark, folder)))
+
+
+@query
+def model_input_columns(spark, folder):
+    """How many columns of the wide table may enter a model, with the average fill of those columns."""
+    bars = mf.horizon_labels(tab.numbered_bars(spark, folder))
+    wide = wf.wide_features(bars, ["averages", "technical"], conditions=False)
+    names = wf.feature_columns(wf.drop_derived(wide))
+    present = F.size(F.filter(F.array(*[F.col(x).cast("double") for x in names]), lambda x: x.isNotNull()))
+    out = wide.groupBy("symbol").agg(F.sum(present).alias("present"), F.count(F.lit(1)).alias("bars"))
+    return tidy(out.withColumn("columns", F.lit(len(names)).cast("long")))
+
+
+# Model
+
+
+def _scored(spark, folder) -> DataFrame:
+    rows = settle(dataset.standardize(settle(_dataset(spark, folder))))
+    model = pm.train(rows.where(F.col("split") == "train"))
+    return pm.score(model, rows.where(F.col("split").isNotNull()))
+
+
+@query
+def trained_model_metrics(spark, folder):
+    """Loss, accuracy and magnitude error of the fitted models per symbol and split."""
+    return tidy(dataset.validation_metrics(_scored(spark, folder), keys=("symbol", "split")))
+
+
+@query
+def external_model_scores(spark, folder):
+    """Scores of a model given as a plain function on feature batches."""
+
+    def predict(x):
+        import numpy as np
+
+        p = 1.0 / (1.0 + np.exp(-0.4 * x["roc_6"]))
+        return x.assign(p_up=p, up_pred=(2.0 * x["natr"]).clip(0.0, 5.0), dn_pred=(1.5 * x["natr"]).clip(0.0, 5.0))
+
+    rows = mf.model_features(tab.numbered_bars(spark, folder)).select("symbol", "ts", "roc_6", "natr")
+    scored = pm.with_confidence(pm.score_with(predict, rows, ["roc_6", "natr"]))
+    return tidy(scored, "roc_6", "natr")
+
+
+# Export
+
+
+@query
+def json_export(spark, folder):
+    """Sections written as JSON lines and read back: infinite profit factors come back as NULL."""
+    from uuid import uuid4
+
+    from barloom.plans.settle import shared_folder
+
+    stats = rp.label_stats(_settled_labels(spark, folder))
+    result = ex.ResultFolder(spark, interval="1h").add("label_stats", stats).set_meta(source="events")
+    path = result.save(f"{shared_folder(spark)}/result-{uuid4().hex}")
+    back = spark.read.schema(stats.schema).json(f"{path}/label_stats")
+    return tidy(back.select("symbol", "total_rows", "total_trades", "profit_factor", "win_rate_pct"))
+
+
+@query
+def candle_json_records(spark, folder):
+    """Hourly bars as JSON records with ISO times."""
+    bars = tab.hourly_bars(spark, folder).select("symbol", "ts", (F.col("volume") > 0).alias("traded"))
+    return ex.json_rows(bars.withColumn("_private", F.lit(1)))
+
+
+# Streams
+
+
+def _paths(spark, name: str) -> tuple[str, str]:
+    from uuid import uuid4
+
+    from barloom.plans.settle import shared_folder
+
+    base = f"{shared_folder(spark)}/{name}-{uuid4().hex}"
+    return f"{base}/rows", f"{base}/checkpoint"
+
+
+def _event_stream(spark, folder) -> DataFrame:
+    schema = tab.table(spark, folder, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+
+
+@query
+def streamed_value_bars(spark, folder):
+    """Six-hour bars of the event values from a replayed stream."""
+    ticks = _event_stream(spark, folder).select(
+        F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), "event_id", "value"
+    )
+    bars = sm.stream_bars(ticks, "value", "value", ["ts", "event_id"], "6 hours", "1 day")
+    rows, checkpoint = _paths(spark, "stream-bars")
+    sm.run_updates(bars, rows, checkpoint)
+    out = sm.latest(spark, rows, ["symbol", "ts"])
+    return tidy(out.withColumn("ts", F.col("ts").cast("timestamp_ntz")))
+
+
+@query
+def streamed_first_candles(spark, folder):
+    """One event per type and hour survives; reported as counts because which one arrives first may vary."""
+    events = _event_stream(spark, folder).select(
+        F.col("event_type").alias("symbol"), F.date_trunc("hour", F.col("ts")).alias("ts"), "event_id"
+    )
+    rows, checkpoint = _paths(spark, "stream-first")
+    sm.run_updates(sm.first_seen(events, "60 days"), rows, checkpoint)
+    kept = spark.read.parquet(rows)
+    return tidy(kept.groupBy("symbol").agg(F.count(F.lit(1)).alias("candles"), F.min("ts").cast("timestamp_ntz").alias("first_ts")))
+
+
+def _bar_stream(spark, folder) -> DataFrame:
+    """Hourly bars as a stream of files."""
+    from uuid import uuid4
+
+    from barloom.plans.settle import shared_folder
+
+    path = f"{shared_folder(spark)}/bar-files-{uuid4().hex}"
+    bars = tab.hourly_bars(spark, folder)
+    bars.write.parquet(path)
+    return spark.readStream.schema(bars.schema).parquet(path)
+
+
+@query
+def streamed_indicators(spark, folder):
+    rows, checkpoint = _paths(spark, "stream-indicators")
+    sm.run_updates(sm.running_indicators(_bar_stream(spark, folder)), rows, checkpoint)
+    return tidy(spark.read.parquet(rows).drop("part", sm.BATCH))
+
+
+@query
+def streamed_context(spark, folder):
+    rows, checkpoint = _paths(spark, "stream-context")
+    out, _ = _paths(spark, "stream-context-out")
+    sm.run_live_context(_bar_stream(spark, folder), rows, out, checkpoint)
+    return _only_features(spark.read.parquet(out).drop("part"))
