@@ -101,12 +101,12 @@ def hull_parts(n: int) -> tuple[int, int, int]:
     return max(n // 2, 1), n, max(math.isqrt(n), 1)
 
 
-def percent_rank_of_last(values: str, size: int) -> str:
-    """Average-rank percentile of the last element of a full array of `size` values."""
+def percent_rank_of_last(values: str, ordered: str, size: int) -> str:
+    """Average-rank percentile of the last of `size` values; `ordered` holds the same values sorted."""
     last = f"element_at({values}, -1)"
-    below = f"size(filter({values}, x -> x < {last}))"
-    same = f"size(filter({values}, x -> x = {last}))"
-    return f"({below} + ({same} + 1) / 2D) / {size}D"
+    below = f"(array_position({ordered}, {last}) - 1)"
+    above = f"(array_position(reverse({ordered}), {last}) - 1)"
+    return f"({below} + ({size + 1} - {below} - {above}) / 2D) / {size}D"
 
 
 def signed_volume() -> str:

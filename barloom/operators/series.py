@@ -73,8 +73,8 @@ def weighted_means(
 def percent_rank(bars: DataFrame, column: str, size: int, out: str, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Average-rank percentile of each value among the last `size`; NULL until that many exist."""
     b = in_blocks(bars, back=size, keys=keys)
-    b = b.with_columns({"_trail": b.trail(column, size)})
-    text = f"case when size(_trail) = {size} then {ind.percent_rank_of_last('_trail', size)} end"
+    b = b.with_columns({"_trail": b.trail(column, size)}).with_columns({"_sorted": "sort_array(_trail)"})
+    text = f"case when size(_trail) = {size} then {ind.percent_rank_of_last('_trail', '_sorted', size)} end"
     return b.with_columns({out: text}).drop_scratch().core()
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.config import KEYS
@@ -20,7 +20,6 @@ from barloom.functions.names import (
     REPEATED_DISTANCES,
     TRADE_LABEL_COLUMNS,
 )
-from barloom.functions.scalar import finite
 from barloom.functions.text import (
     calendar_cycle,
     clip,
@@ -28,6 +27,7 @@ from barloom.functions.text import (
     crossed_below,
     div,
     filled,
+    finite_or,
     flag,
     flag_float,
     larger,
@@ -37,8 +37,7 @@ from barloom.functions.text import (
 )
 from barloom.operators import indicators as ind
 from barloom.operators.resample import with_context
-from barloom.plans.blocks import BLOCK_ROWS, POS, Blocked, Ewm, back, in_blocks
-from barloom.plans.scan import forward_fill
+from barloom.plans.blocks import BLOCK, BLOCK_ROWS, CORE, POS, Blocked, Ewm, back, in_blocks
 
 ALPHAS = [ind.span(n) for n in (5, 9, 12, 20, 21, 26, 50, 200)] + [ind.wilder(n) for n in (7, 14, 21)]
 # The slowest mean plus its slope look-back; the longest finite chain (192 bars) is shorter.
@@ -175,7 +174,10 @@ def _technical_levels(b: Blocked, levels: list[Level]) -> None:
             "_rv_list": f"collect_list(realized_vol_24) {b.window('rows between 99 preceding and current row')}",
             **{f"_{n}_1": b.lag(f"_{n}", 1) for n in ("ema5", "ema20", "hma9", "hma21")},
         },
-        values={"stochrsi_k": f"{sdiv('rsi_14 - _rsi_lo', '_rsi_hi - _rsi_lo')} * 100"},
+        values={
+            "stochrsi_k": f"{sdiv('rsi_14 - _rsi_lo', '_rsi_hi - _rsi_lo')} * 100",
+            "_rv_sorted": "sort_array(_rv_list)",
+        },
     )
     wicks = f"(high - {larger('open', 'close')}) - ({smaller('open', 'close')} - low)"
     averages = [f"ema{n}" for n in (5, 9, 20, 21, 50, 200)] + ["sma50", "sma200"] + [f"hma{n}" for n in HULL_PERIODS]
@@ -218,7 +220,8 @@ def _technical_levels(b: Blocked, levels: list[Level]) -> None:
         "surprise_20": sdiv("_ret - _ret20", "_rets20"),
         "volume_momentum_norm": sdiv("_moved10", "_moved_s50"),
         "bb_squeeze": flag_float(f"{sdiv('bb_width', '_bbw50')} < 0.5D"),
-        "vol_percentile_100": f"case when {POS} >= 123 then {ind.percent_rank_of_last('_rv_list', 100)} end",
+        "vol_percentile_100": f"case when {POS} >= 123 then "
+        f"{ind.percent_rank_of_last('_rv_list', '_rv_sorted', 100)} end",
         **calendar_cycle("ts"),
     }
     levels[3].add(windows={"stochrsi_d": b.roll("avg", "stochrsi_k", 3, skip=27)}, values=out)
@@ -339,6 +342,12 @@ def add_wide_features(b: Blocked, groups: Iterable[str] = tuple(GROUPS), conditi
     return b.drop_scratch()
 
 
+def _wide_blocks(bars, groups, conditions, keys, rows) -> Blocked:
+    base = with_context(bars, keys=keys) if conditions else bars
+    b = in_blocks(base, back=BACK, alphas=ALPHAS, keys=keys, rows=rows)
+    return add_wide_features(b, groups, conditions)
+
+
 def wide_features(
     bars: DataFrame,
     groups: Iterable[str] = tuple(GROUPS),
@@ -350,23 +359,42 @@ def wide_features(
 
     Context columns are joined to the narrow bars, then one exchange serves all windows.
     """
-    base = with_context(bars, keys=keys) if conditions else bars
-    b = in_blocks(base, back=BACK, alphas=ALPHAS, keys=keys, rows=rows)
-    return add_wide_features(b, groups, conditions).core()
+    return _wide_blocks(bars, groups, conditions, keys, rows).core()
 
 
-def fill_features(wide: DataFrame, keys: tuple[str, ...] = KEYS, rows: int = BLOCK_ROWS) -> DataFrame:
-    """Model-ready table: infinities and gaps take the last earlier value, then 0.
+def filled_features(
+    bars: DataFrame,
+    groups: Iterable[str] = tuple(GROUPS),
+    conditions: bool = True,
+    keys: tuple[str, ...] = KEYS,
+    rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """Model-ready wide table: infinities and gaps take the last earlier value, then 0.
 
-    Only the range features can miss a value after warm-up (the bars contract excludes other gaps), so
-    only they are carried over a series; the rest have nothing earlier to take.
+    Only the range features can miss a value after warm-up (the bars contract excludes other gaps), so only
+    they are carried: inside a block by a window on the layout that is there anyway, and into a block from
+    the last value of the blocks before it, a small table computed from the range features alone.
     """
-    doubles = [n for n, t in wide.dtypes if t == "double" and n not in ("open", "high", "low", "close", "volume")]
-    clean = wide.withColumns({n: finite(F.col(n)) for n in doubles})
+    keys = tuple(keys)
+    b = _wide_blocks(bars, groups, conditions, keys, rows)
+    raw = ("open", "high", "low", "close", "volume")
+    doubles = [n for n, t in b.df.dtypes if t == "double" and n not in raw]
     sparse = [n for n in RANGE_FEATURES if n in doubles]
-    if sparse:
-        clean = forward_fill(clean, sparse, F.floor(F.col(POS) / rows), [POS], keys)
-    return clean.withColumns({n: F.coalesce(F.col(n), F.lit(0.0)) for n in doubles})
+    ends = b.df.where(CORE).groupBy(*keys, BLOCK).agg(
+        *[F.max_by(n, F.when(F.col(n).isNotNull(), F.col(POS))).alias(f"_e_{n}") for n in sparse]
+    )
+    earlier = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(
+        *keys, BLOCK, *[F.last(f"_e_{n}", ignorenulls=True).over(earlier).alias(f"_c_{n}") for n in sparse]
+    )
+    so_far = b.window("rows between unbounded preceding and current row")
+    b = b.with_columns({f"_f_{n}": f"last({n}, true) {so_far}" for n in sparse})
+    joined = b.df.where(CORE).join(carried, [*keys, BLOCK])
+    values = [
+        f"coalesce(_f_{n}, _c_{n}, 0D) as {n}" if n in sparse else f"{finite_or(n, 0.0)} as {n}" for n in doubles
+    ]
+    kept = [n for n in bars.columns] + [n for n, t in b.df.dtypes if t == "boolean" and n != CORE]
+    return joined.selectExpr(*kept, *values)
 
 
 def feature_columns(df: DataFrame, keys: Iterable[str] = KEYS) -> list[str]:

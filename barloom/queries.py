@@ -286,9 +286,8 @@ def technical_features(spark, folder):
 
 @query
 def filled_features(spark, folder):
-    wide = wf.wide_features(tab.numbered_bars(spark, folder), ["technical"], conditions=False)
-    averages = [x for x in wide.columns if x.startswith(("ema", "sma", "hma"))]
-    return _only_features(wf.fill_features(wide.drop(*averages)))
+    filled = wf.filled_features(tab.numbered_bars(spark, folder), ["technical"], conditions=False)
+    return _only_features(filled, *[x for x in filled.columns if x.startswith(("ema", "sma", "hma"))])
 
 
 @query
