@@ -5,16 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed value: guard added to a denominator by `sdiv`.
-EPS = 1e-9
-
-
-def sdiv(num: Column, den: Column | float) -> Column:
-    """num / (den + EPS); NULL when the guarded denominator is exactly zero."""
-    den = den if isinstance(den, Column) else F.lit(float(den))
-    return F.try_divide(num, den + F.lit(EPS))
-
-
 def clip(x: Column, lo: float | None = None, hi: float | None = None) -> Column:
     """Bound x on either side and keep NULL (greatest/least would skip it)."""
     out = F.when(x < F.lit(lo), F.lit(lo)) if lo is not None else None
@@ -23,11 +13,6 @@ def clip(x: Column, lo: float | None = None, hi: float | None = None) -> Column:
     return x if out is None else out.otherwise(x)
 
 
-def finite(x: Column) -> Column:
-    """NULL for NaN and both infinities."""
-    return F.when(~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))), x)
-
-
 def pct(num: Column, den: Column) -> Column:
     """Share in percent; 0 when the denominator is 0 or missing."""
     return F.coalesce(F.try_divide(num.cast("double"), den.cast("double")) * 100.0, F.lit(0.0))

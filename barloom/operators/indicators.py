@@ -103,7 +103,7 @@ def hull_parts(n: int) -> tuple[int, int, int]:
 
 def percent_rank_of_last(values: str, ordered: str, size: int) -> str:
     """Average-rank percentile of the last of `size` values; `ordered` holds the same values sorted."""
-    last = f"element_at({values}, -1)"
+    last = f"get({values}, size({values}) - 1)"
     below = f"(array_position({ordered}, {last}) - 1)"
     above = f"(array_position(reverse({ordered}), {last}) - 1)"
     return f"({below} + ({size + 1} - {below} - {above}) / 2D) / {size}D"
