@@ -10,7 +10,7 @@ from barloom.functions.names import CONTEXT_FEATURES
 from barloom.functions.scalar import from_local_seconds, local_seconds
 from barloom.functions.text import sdiv
 from barloom.operators import indicators as ind
-from barloom.plans.blocks import Blocked, in_blocks, number_short_series
+from barloom.plans.blocks import Blocked, as_one_block, in_blocks
 
 # Widths of the two context timeframes in seconds, widest last; each must divide the next.
 CONTEXTS = {"mtf_4h_": 4 * 3600, "mtf_1d_": 86400}
@@ -84,7 +84,7 @@ def context_features(bars: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame
 
 def _closed_context(coarse: DataFrame, prefix: str, seconds: int, keys: tuple[str, ...]) -> DataFrame:
     """Per coarse bar, the features of the bar before it and of the one before that."""
-    b = add_context_features(in_blocks(number_short_series(coarse, keys), back=BACK, alphas=ALPHAS, keys=keys))
+    b = add_context_features(as_one_block(coarse, ALPHAS, keys))
     both = f"struct({', '.join(CONTEXT_FEATURES)})"
     b = b.with_columns({f"{prefix}1": b.lag(both, 1), f"{prefix}2": b.lag(both, 2)})
     return b.core().select(*keys, local_seconds(F.col("ts")).alias(f"_bin{seconds}"), f"{prefix}1", f"{prefix}2")

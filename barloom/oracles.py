@@ -1197,3 +1197,14 @@ ORACLES["streamed_indicators"] = statement(
     from b join e using (symbol, rn)""",
 )
 ORACLES["streamed_context"] = ORACLES["higher_timeframe_context"]
+
+_LEFT_OUT = {*AVERAGES, "ema21", "vwap", "vol_percentile_100", "dist_ema_5", "dist_ema_9", "dist_ema_20", "dist_ema_50",
+             "dist_hma_9", "dist_hma_21"}
+INPUTS = [f"tf.{c}" for c in TECHNICAL_COLUMNS if c not in _LEFT_OUT] + [
+    f"ma.{c}" for c in MA_DOUBLES if c.startswith("dist_") or "_vs_" in c
+]
+ORACLES["model_input_columns"] = statement(
+    WIDE + [MA_STATUS],
+    f"""select symbol, count(*) as bars, cast(sum({" + ".join(f"({c} is not null)::int" for c in INPUTS)}) as bigint) as present,
+      cast({len(INPUTS)} as bigint) as columns from tf join ma using (symbol, rn) group by symbol""",
+)

@@ -239,3 +239,13 @@ def in_blocks(
     spread = spread.withColumns({f"_seg{s}": F.floor(F.col(POS) / s) for s in sizes})
     # One exchange for every window that follows, whichever segment level it is partitioned by.
     return Blocked(spread.repartition(block_partitions(df), *keys, BLOCK), tuple(keys), sizes)
+
+
+def as_one_block(df: DataFrame, alphas: Iterable[float] = (), keys: Iterable[str] = KEYS) -> Blocked:
+    """Number short series (hours or wider, see `number_short_series`) and keep each in one block.
+
+    Numbering and all windows then share the exchange by key.
+    """
+    keys, sizes = tuple(keys), segment_sizes(alphas)
+    one = number_short_series(df, keys).withColumns({BLOCK: F.lit(0).cast("long"), CORE: F.lit(True)})
+    return Blocked(one.withColumns({f"_seg{s}": F.floor(F.col(POS) / s) for s in sizes}), keys, sizes)

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from barloom.config import KEYS
 
+# Stands in for a factor of zero or less, which has no logarithm.
+RUIN = 1e-300
+
 
 def running(
     df: DataFrame,
@@ -85,10 +88,11 @@ def max_drawdown(
     """Worst relative fall (<= 0) of the running product of `factor` below its earlier peak, per key.
 
     Rows fold to one summary per tile (log total, highest and lowest running log, worst fall inside) and
-    the summaries are combined in order. `start_at_one` counts the starting value as a peak.
+    the summaries are combined in order. `start_at_one` counts the starting value as a peak. A factor of
+    zero or less ends at a fall of 1.
     """
     keys, order = list(keys), list(order)
-    logs = df.select(*keys, tile.alias("_tile"), *order, F.ln(factor).alias("_l"))
+    logs = df.select(*keys, tile.alias("_tile"), *order, F.ln(F.greatest(factor, F.lit(RUIN))).alias("_l"))
     inside = Window.partitionBy(*keys, "_tile").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     curve = logs.withColumn("_s", F.sum("_l").over(inside)).withColumn("_m", F.max("_s").over(inside))
     tiles = curve.groupBy(*keys, "_tile").agg(
