@@ -6,6 +6,7 @@ Doubles are rounded to 6 decimals so that summation order does not show.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,7 @@ from barloom.operators import (
     wide_features as wf,
 )
 from barloom.plans.blocks import number_rows
+from barloom.plans.session import tune
 from barloom.plans.settle import settle
 from barloom.sources import bars as src
 from barloom.sources import export as ex
@@ -37,8 +39,12 @@ QUERIES: dict[str, Query] = {}
 
 
 def query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = fn
-    return fn
+    @wraps(fn)
+    def tuned(spark: SparkSession, folder: str) -> DataFrame:
+        return fn(tune(spark), folder)
+
+    QUERIES[fn.__name__] = tuned
+    return tuned
 
 
 # Columns with a finite decimal expansion that can end in a 5 at the seventh place get more digits.

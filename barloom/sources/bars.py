@@ -138,32 +138,33 @@ def backfill_manifest(
     """Missing bars of each symbol on the grid [start, end), rolled up to request chunks.
 
     The expected count of a chunk is arithmetic, so only bars that exist are shuffled (one count per
-    symbol and chunk after map-side combining); the grid itself is never generated.
+    symbol and chunk after map-side combining); the grid itself is never generated. The counts of a symbol
+    then fit a map with one entry per chunk of the span.
     """
     keys = list(keys)
     width = chunk_days * 86400
     t0, t1 = local_seconds(start), local_seconds(end)
-    spot = local_seconds(F.col("ts")) - t0
-    on_grid = bars.where((spot >= 0) & (local_seconds(F.col("ts")) < t1) & (F.pmod(spot, F.lit(step_seconds)) == 0))
-    present = on_grid.groupBy(*keys, F.floor(spot / width).alias("chunk")).agg(
+    at = local_seconds(F.col("ts"))
+    on_grid = (at >= t0) & (at < t1) & (F.pmod(at - t0, F.lit(step_seconds)) == 0)
+    per_chunk = bars.groupBy(*keys, F.when(on_grid, F.floor((at - t0) / width)).alias("chunk")).agg(
         F.count_distinct("ts").alias("present")
     )
-    symbols = bars.select(*keys).distinct()
+    entry = F.when(F.col("chunk").isNotNull(), F.struct("chunk", "present"))
+    found = per_chunk.groupBy(*keys).agg(F.map_from_entries(F.collect_list(entry)).alias("_found"))
     chunks = F.sequence(F.lit(0).cast("long"), F.floor((t1 - t0 - 1) / width))
-    grid = symbols.withColumn("chunk", F.explode(chunks))
+    grid = found.select(*keys, "_found", F.explode(chunks).alias("chunk"))
     first = F.col("chunk") * width
     past = F.least((F.col("chunk") + 1) * width, t1 - t0)
     slots = F.ceil(past / step_seconds) - F.ceil(first / step_seconds)
-    joined = grid.join(present, [*keys, "chunk"], "left")
-    found = F.coalesce(F.col("present"), F.lit(0).cast("long"))
-    return joined.select(
+    present = F.coalesce(F.try_element_at("_found", F.col("chunk")), F.lit(0).cast("long"))
+    return grid.select(
         *keys,
         "chunk",
         from_local_seconds(t0 + first).alias("chunk_start"),
         from_local_seconds(t0 + past).alias("chunk_end"),
         slots.alias("expected"),
-        found.alias("present"),
-        (slots - found).alias("missing"),
+        present.alias("present"),
+        (slots - present).alias("missing"),
     )
 
 
