@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from barloom.config import KEYS
 from barloom.functions.names import LONG, MOVING_AVERAGES, NEUTRAL, SHORT
-from barloom.functions.scalar import pct
+from barloom.functions.scalar import local_seconds, pct
 from barloom.plans.blocks import BLOCK_ROWS, POS
 from barloom.plans.quantile import exact_quantile
 from barloom.plans.scan import max_drawdown
@@ -45,7 +45,7 @@ def capital_summary(trades: DataFrame, positions: DataFrame, keys: Iterable[str]
         F.min_by("close", "ts").alias("_c0"), F.max_by("close", "ts").alias("_c1"),
         F.min("ts").alias("start"), F.max("ts").alias("end"),
     )
-    seconds = F.unix_timestamp(F.col("end").cast("timestamp")) - F.unix_timestamp(F.col("start").cast("timestamp"))
+    seconds = local_seconds(F.col("end")) - local_seconds(F.col("start"))
     span = span.withColumn("days", F.greatest(seconds / 86400.0, F.lit(1.0)))
     result = trades.groupBy(*keys).agg(
         F.max("_capital").alias("start_capital"),
