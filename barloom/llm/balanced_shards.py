@@ -9,8 +9,8 @@ Quotas: for each two shards only as much weight moves one way as moves the other
 for. Who moves is decided by a hash of the text. At the end documents are ranked inside their shard; those beyond
 the shard's share fill the free places of the others, so counts differ by one at most.
 
-A hot text is one node, a hot line one row after map-side combining; the joins that bring them back to their
-documents or texts have one row on the other side, which AQE can split.
+A hot text is one node, a hot line one row after map-side combining. Such rows are written before they are joined
+back to their documents or texts, so both sides of the join are plain exchanges and AQE may split the hot one.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ def memberships(rows: DataFrame, min_line: int = MIN_LINE) -> DataFrame:
     lines = F.array_distinct(F.transform(long_lines, lambda x: F.xxhash64(x, F.lit(SEED))))
     texts = rows.where("text IS NOT NULL").select("node", F.explode(lines).alias("hub")).distinct()
     pairs = settle(texts)
-    shared = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hub")
+    shared = settle(pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hub"))
     return pairs.join(shared, "hub")
 
 
@@ -67,7 +67,8 @@ def propagated(nodes: DataFrame, pairs: DataFrame, shards: int = SHARDS, rounds:
     for turn in range(rounds):
         hubs = pairs.join(state, "node").groupBy("hub").agg(F.array(*per_shard).alias("held"), F.sum("weight").cast("double").alias("all"))
         # a line's word counts by how few texts share it
-        rows = pairs.join(hubs.select("hub", F.transform("held", lambda x: x / F.col("all")).alias("held")), "hub")
+        hubs = settle(hubs.select("hub", F.transform("held", lambda x: x / F.col("all")).alias("held")))
+        rows = pairs.join(hubs, "hub")
         votes = rows.groupBy("node").agg(F.array(*[F.sum(F.col("held")[s]) for s in range(shards)]).alias("votes"))
         best = F.array_max("votes")
         to = (F.array_position("votes", best) - 1).cast("int")

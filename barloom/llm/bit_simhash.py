@@ -198,7 +198,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", radi
     parts = settle(connected(near_links(nodes.select("fp"), radius).distinct()))
     named = nodes.join(parts, nodes["fp"] == parts["node"], "left").select("fp", "low", F.coalesce("component", "fp").alias("part"))
     named = settle(named)
-    first = named.groupBy("part").agg(F.min("low").alias("component"))
+    first = settle(named.groupBy("part").agg(F.min("low").alias("component")))
     found = settle(named.join(first, "part").select("fp", "component"))
     return rows.join(found, "fp").select(F.col("key").alias(key), "fp", "component")
 

@@ -246,7 +246,7 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
     part = connected(found.select("node", "root").distinct(), "node", "root")
     full = nodes.join(linked, "node", "left").join(part, "node", "left")
     full = settle(full.select("vector", "low", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "node").alias("part")))
-    first = full.groupBy("part").agg(F.min("low").alias("component"))
+    first = settle(full.groupBy("part").agg(F.min("low").alias("component")))
     named = settle(full.join(first, "part").select("vector", "n_links", "component"))
     joined = good.join(named, "vector").select(F.col("key").alias(key), "n_links", "component")
     alone = rows.where(~_valid(F.col("vector"))).select(F.col("key").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("key").alias("component"))

@@ -34,16 +34,17 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node with an edge to another one; component is its smallest reachable node.
 
     A hub with any number of edges is only ever reduced by an aggregate or joined to one row (its smallest
-    neighbour), so a hot node never has to fit in a task. Every round is written to the shared folder.
+    neighbour), so a hot node never has to fit in a task. Minima are written before they are joined: both sides of
+    the join are then plain exchanges, whose hot partitions AQE may split. Every round is written to the shared folder.
     """
     u, v = F.greatest(F.col(a), F.col(b)), F.least(F.col(a), F.col(b))
     edges = settle(edges.where(F.col(a) != F.col(b)).select(u.alias("u"), v.alias("v")).distinct())
     state = _state(edges)
     while state[0]:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = settle(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")))
+        large = settle(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        low = settle(large.groupBy("u").agg(F.min("v").alias("m")))
         moved = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = settle(moved.union(low.select("u", F.col("m").alias("v"))).distinct())
         before, state = state, _state(edges)

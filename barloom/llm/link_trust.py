@@ -23,8 +23,6 @@ from barloom.plans.settle import settle
 DAMPING = 0.85
 TOLERANCE = 1e-6
 ROUNDS = 24
-#: Rounds between two written tables.
-STRIDE = 6
 DOMAIN_WEIGHT = 1.0
 MARGIN = 1.0
 LINK = r"""(?i)\b(?:href|src|action)\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s<>]+)"""
@@ -112,13 +110,11 @@ def host_trust(edges: DataFrame, hosts: DataFrame, rules: list[Rule], damping: f
     seed = [F.col(c) / F.lit(sums[c] or 1.0) for c in ("good", "bad")]
     seeds = settle(seeds.select("host", seed[0].alias("good"), seed[1].alias("bad")))
     ranks = seeds.select("host", F.col("good").alias("trust"), F.col("bad").alias("distrust"))
-    for _ in range(0, rounds, STRIDE):
-        before = ranks
-        for _ in range(STRIDE):
-            sent = ways.join(ranks, F.col("from") == F.col("host"))
-            sent = sent.groupBy("to").agg(F.sum(F.col("trust") * F.col("forth")).alias("t"), F.sum(F.col("distrust") * F.col("back")).alias("d"))
-            step = lambda s, v: ((1 - damping) * F.col(s) + damping * F.coalesce(F.col(v), F.lit(0.0)))
-            ranks = seeds.join(sent, F.col("host") == F.col("to"), "left").select("host", step("good", "t").alias("trust"), step("bad", "d").alias("distrust"))
+    for _ in range(rounds):
+        sent = ways.join(ranks, F.col("from") == F.col("host"))
+        sent = sent.groupBy("to").agg(F.sum(F.col("trust") * F.col("forth")).alias("t"), F.sum(F.col("distrust") * F.col("back")).alias("d"))
+        step = lambda s, v: ((1 - damping) * F.col(s) + damping * F.coalesce(F.col(v), F.lit(0.0)))
+        before, ranks = ranks, seeds.join(sent, F.col("host") == F.col("to"), "left").select("host", step("good", "t").alias("trust"), step("bad", "d").alias("distrust"))
         ranks = settle(ranks)
         old = before.select("host", F.col("trust").alias("t"), F.col("distrust").alias("d"))
         moved = ranks.join(old, "host").agg(F.sum(F.abs(F.col("trust") - F.col("t")) + F.abs(F.col("distrust") - F.col("d")))).first()[0]
