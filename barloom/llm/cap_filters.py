@@ -5,9 +5,10 @@ inner product with it exceeds the cap height. The product structure lets a vecto
 looking at the others: block by block, prefixes that cannot reach the height any more are cut (list decoding).
 Vectors that share a filter are candidates and are verified by their cosine in double precision.
 
-- Cap height and number of filters follow from the number of vectors: about `load` unrelated vectors share a
-  filter, and a pair at exactly the cosine asked for shares `common` filters on average, so it is missed with
-  probability exp(-common); closer pairs share more.
+- Cap height and number of filters follow from the number of vectors: a filter holds about `load` unrelated vectors,
+  and a pair at exactly the cosine asked for shares `common` filters on average; closer pairs share more. Filters of
+  one product code stand or fall together, so they come from `tables` independent codes: measured on pairs at the
+  cosine itself, where it is highest, the share of missed pairs is about 0.001 (tests/llm/test_near_duplicates.py).
 - Equal vectors are one node with a weight, so copies cost one row however many there are.
 - A filter with many vectors is dealt out by hash into chunks, and pairs of chunks are compared in separate cells:
   neither a task nor a row holds a whole hot filter.
@@ -19,21 +20,24 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import lru_cache
-from math import ceil, log
+from math import ceil
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barloom.llm.components import connected, forest
+from barloom.llm.text import slices
 from barloom.plans.settle import settle
 
 COSINE = 0.9
-COMMON = 14.0
-LOAD = 0.5
+COMMON = 30.0
+LOAD = 0.1
 BLOCKS = 3
+TABLES = 20
 SEED = 7
 CHUNK = 512
 GROUP_ROWS = 4000
@@ -42,11 +46,12 @@ LEAST_DIMS = 12
 
 @dataclass(frozen=True)
 class CapCode:
-    """A random product code for vectors of `dims` coordinates."""
+    """Random product codes, `tables` of them, for vectors of `dims` coordinates."""
 
     dims: int
     words: int
     height: float
+    tables: int = TABLES
     blocks: int = BLOCKS
     seed: int = SEED
 
@@ -54,45 +59,41 @@ class CapCode:
     def width(self) -> int:
         return -(-max(self.dims, LEAST_DIMS) // self.blocks)
 
-    def rotation(self) -> np.ndarray:
-        """Spreads the vector evenly over the blocks; short vectors are padded with zeros, which keeps cosines."""
-        return _rotation(self.dims, self.width * self.blocks, self.seed)
-
-    def code(self) -> np.ndarray:
-        return _code(self.blocks, self.words, self.width, self.seed)
-
     def filters(self, units: np.ndarray) -> list[np.ndarray]:
-        """Sorted filter numbers of each unit vector."""
-        return [f for at in range(0, len(units), 256) for f in self._decode(units[at : at + 256])]
-
-    def _decode(self, units: np.ndarray) -> list[np.ndarray]:
-        turned = (units @ self.rotation()).reshape(len(units), self.blocks, self.width)
-        scores = np.einsum("nbw,bkw->nbk", turned, self.code(), optimize=True)
-        order = np.argsort(-scores, axis=2, kind="stable")
-        ranked = -np.take_along_axis(scores, order, axis=2)  # ascending in the negated score
-        best = -ranked[:, :, 0]
-        rest = best[:, ::-1].cumsum(axis=1)[:, ::-1] - best  # most that the later blocks can add
-        out = []
-        for v in range(len(units)):
-            number, total = np.zeros(1, np.int64), np.zeros(1)
-            for b in range(self.blocks):
-                need = self.height - total - rest[v, b]
-                many = np.searchsorted(ranked[v, b], -need, side="right")
-                parent = np.repeat(np.arange(len(number)), many)
-                place = np.arange(len(parent)) - np.repeat(np.cumsum(many) - many, many)
-                number = number[parent] * self.words + order[v, b][place]
-                total = total[parent] - ranked[v, b][place]
-            out.append(np.sort(number))
+        """Sorted filter numbers of each unit vector, over all tables."""
+        step = max(1, (1 << 15) // self.words)
+        out: list[np.ndarray] = []
+        for at in range(0, len(units), step):
+            part = units[at : at + step]
+            found = [self._decode(part, t) for t in range(self.tables)]
+            owner, number = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.lexsort((number, owner))
+            out += np.split(number[order], np.searchsorted(owner[order], np.arange(1, len(part))))
         return out
 
-
-@lru_cache(maxsize=8)
+    def _decode(self, units: np.ndarray, table: int) -> tuple[np.ndarray, np.ndarray]:
+        """(vector, filter) for every filter of one table above the height: words are added block by block, and a
+        prefix is dropped when even the best later words cannot lift it to the height."""
+        turned = (units @ _rotation(self.dims, self.width * self.blocks, self.seed + 2 * table)).reshape(len(units), self.blocks, self.width)
+        scores = np.einsum("nbw,bkw->nbk", turned, _code(self.blocks, self.words, self.width, self.seed + 2 * table), optimize=True)
+        best = scores.max(axis=2)
+        later = best[:, ::-1].cumsum(axis=1)[:, ::-1] - best
+        owner, number, total = np.arange(len(units)), np.zeros(len(units), np.int64), np.zeros(len(units))
+        for b in range(self.blocks):
+            sums = total[:, None] + scores[owner, b]
+            parent, word = np.nonzero(sums >= (self.height - later[owner, b])[:, None])
+            owner, number, total = owner[parent], number[parent] * self.words + word, sums[parent, word]
+        return owner, number + table * self.words**self.blocks
+
+
+@lru_cache(maxsize=64)
 def _rotation(dims: int, full: int, seed: int) -> np.ndarray:
+    """Spreads a vector evenly over the blocks; short vectors are padded with zeros, which keeps cosines."""
     turn, _ = np.linalg.qr(np.random.default_rng(seed).normal(size=(full, full)))
     return np.ascontiguousarray(turn[:dims])
 
 
-@lru_cache(maxsize=8)
+@lru_cache(maxsize=64)
 def _code(blocks: int, words: int, width: int, seed: int) -> np.ndarray:
     code = np.random.default_rng(seed + 1).normal(size=(blocks, words, width))
     return code / (np.linalg.norm(code, axis=2, keepdims=True) * np.sqrt(blocks))
@@ -114,15 +115,15 @@ def _both(height: float, cosine: float, dims: int) -> float:
     return float(density[inside].sum() / density.sum())
 
 
-def plan_code(n: int, dims: int, cosine: float = COSINE, common: float = COMMON, load: float = LOAD, blocks: int = BLOCKS, seed: int = SEED) -> CapCode:
+def plan_code(n: int, dims: int, cosine: float = COSINE, common: float = COMMON, load: float = LOAD, tables: int = TABLES, blocks: int = BLOCKS, seed: int = SEED) -> CapCode:
     full = -(-max(dims, LEAST_DIMS) // blocks) * blocks
     target = load / max(n, 64)
     low, high = 0.0, 0.999
     for _ in range(40):
         middle = (low + high) / 2
         low, high = (middle, high) if _cap(middle, full) > target else (low, middle)
-    count = common / max(_both(low, cosine, full), 1e-15)
-    return CapCode(dims, max(2, ceil(count ** (1 / blocks))), low, blocks, seed)
+    count = common / tables / max(_both(low, cosine, full), 1e-15)
+    return CapCode(dims, max(2, ceil(count ** (1 / blocks))), low, tables, blocks, seed)
 
 
 def _valid(vector: Column) -> Column:
@@ -132,26 +133,28 @@ def _valid(vector: Column) -> Column:
     return F.coalesce(~odd & some, F.lit(False))
 
 
-def _units(vectors: list, dims: int) -> np.ndarray:
+def _units(vectors, dims: int) -> np.ndarray:
+    """Unit vectors in double precision."""
     flat = np.asarray(vectors, np.float64).reshape(-1, dims)
     flat = flat / np.abs(flat).max(axis=1, keepdims=True)  # norms of very large or small vectors stay finite
-    return flat / np.linalg.norm(flat, axis=1, keepdims=True)
+    return flat / np.sqrt((flat * flat).sum(axis=1, keepdims=True))
 
 
-def _coded(codes: dict[int, CapCode]):
+def _coded(codes: dict[int, CapCode], kind: str):
     def coded(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             vectors = batch.column("vector").to_pylist()
-            units, lists = [b""] * len(vectors), [b""] * len(vectors)
+            plain = [np.asarray(v, kind).tobytes() for v in vectors]
+            lists = [b""] * len(vectors)
             by_dims: dict[int, list[int]] = {}
             for i, v in enumerate(vectors):
                 by_dims.setdefault(len(v), []).append(i)
             for dims, rows in by_dims.items():
                 block = _units([vectors[i] for i in rows], dims)
-                for i, unit, found in zip(rows, block, codes[dims].filters(block), strict=True):
-                    units[i], lists[i] = unit.tobytes(), found.astype("<i8").tobytes()
-            out = [pa.array(units, pa.binary()), pa.array(lists, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), *out], names=["node", "unit", "filters"])
+                for i, found in zip(rows, codes[dims].filters(block), strict=True):
+                    lists[i] = found.astype("<i8").tobytes()
+            out = [pa.array(plain, pa.binary()), pa.array(lists, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("dims"), *out], names=["node", "dims", "plain", "filters"])
 
     return coded
 
@@ -180,17 +183,17 @@ def _shared(smaller: list[np.ndarray]) -> np.ndarray:
     return member @ member.T > 0
 
 
-def _compare(cosine: float):
+def _compare(cosine: float, kind: str):
     def compared(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["dims", "filter", "a", "b"], ignore_index=True)
         keys = rows[["dims", "filter", "a", "b"]].to_numpy()
         starts = np.concatenate([[0], np.nonzero((keys[1:] != keys[:-1]).any(axis=1))[0] + 1, [len(rows)]])
         node, weight, part = (rows[c].to_numpy() for c in ("node", "weight", "part"))
-        unit, filters, place = rows["unit"].tolist(), rows["filters"].tolist(), rows["place"].to_numpy()
+        plain, filters, place = rows["plain"].tolist(), rows["filters"].tolist(), rows["place"].to_numpy()
         found = []
         for s, e in zip(starts[:-1], starts[1:], strict=True):
             dims, _, a, b = keys[s]
-            block = np.frombuffer(b"".join(unit[s:e]), np.float64).reshape(e - s, dims)
+            block = _units(np.frombuffer(b"".join(plain[s:e]), kind), dims)
             linked = block @ block.T >= cosine
             np.fill_diagonal(linked, False)
             if a != b:
@@ -227,11 +230,11 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
     nodes = settle(nodes.select("*", F.size("vector").alias("dims"), F.monotonically_increasing_id().alias("node")))
     counts = {r["dims"]: r["n"] for r in nodes.groupBy("dims").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per vector length
     codes = {d: plan_code(n, d, cosine, common) for d, n in counts.items()}
-    coded = nodes.select("node", F.col("vector").cast("array<double>").alias("vector")).mapInArrow(_coded(codes), "node long, unit binary, filters binary")
-    coded = settle(coded)
-    weights = nodes.select("node", "weight", "dims")
-    entries = coded.select("node", "filters", (F.length("unit") / 8).cast("int").alias("dims")).mapInArrow(_listed, "dims int, filter long, node long, place int")
-    entries = settle(entries)
+    kind = "<f4" if isinstance(rows.schema["vector"].dataType.elementType, T.FloatType) else "<f8"
+    # vectors are sent to the tasks that compare them in their own type and made unit vectors in double precision there
+    spread = nodes.select("node", "dims", F.col("vector").cast("array<double>").alias("vector")).repartition("node")
+    coded = settle(spread.mapInArrow(_coded(codes, kind), "node long, dims int, plain binary, filters binary"))
+    entries = settle(coded.select("node", "dims", "filters").mapInArrow(_listed, "dims int, filter long, node long, place int"))
     sizes = settle(entries.groupBy("dims", "filter").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
     total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     parts = entries.join(sizes, ["dims", "filter"]).withColumn("chunks", F.ceil(F.col("size") / chunk).cast("int"))
@@ -239,9 +242,10 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
     cells = parts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     cells = cells.select("dims", "filter", "node", "place", "part", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"))
     smaller = F.expr("substring(filters, 1, place * 8)").alias("filters")
-    cells = cells.join(coded.join(weights.drop("dims"), "node"), "node").select("dims", "filter", "a", "b", "part", "node", "weight", "place", "unit", smaller)
+    vectors = settle(coded.drop("dims").join(nodes.select("node", "weight"), "node"))
+    cells = cells.join(vectors, "node").select("dims", "filter", "a", "b", "part", "node", "weight", "place", "plain", smaller)
     slot = F.pmod(F.xxhash64("dims", "filter", "a", "b"), F.lit(max(1, -(-total // GROUP_ROWS)))).alias("slot")
-    found = settle(cells.select("*", slot).groupBy("slot").applyInPandas(_compare(cosine), "node long, links long, root long"))
+    found = settle(cells.select("*", slot).groupBy("slot").applyInPandas(_compare(cosine, kind), "node long, links long, root long"))
     linked = found.groupBy("node").agg(F.sum("links").alias("links"))
     part = connected(found.select("node", "root").distinct(), "node", "root")
     full = nodes.join(linked, "node", "left").join(part, "node", "left")
