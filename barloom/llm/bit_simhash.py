@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barloom.llm.components import connected, forest
-from barloom.llm.text import utf8
+from barloom.llm.text import slices, utf8
 from barloom.plans.settle import settle
 
 BITS = 64
@@ -68,7 +68,7 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", width:
     """(key, fp): the fingerprint of every row as a signed long. NULL, empty and blank texts have fingerprint 0."""
 
     def hashed(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             values = np.array([fingerprint(t, width) for t in batch.column("bytes").to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(values, pa.int64())], names=["key", "fp"])
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.text import packed, utf8
+from barloom.llm.text import packed, slices, utf8
 
 PIECE_CHARS = 50_000
 #: No alternative of the pattern goes from a letter or digit on to white space, nor between letters and digits.
@@ -66,7 +66,7 @@ def tokenized(df: DataFrame, path: str, pattern: str, text: str = "text", piece_
 
     def encoded(batches):
         enc = encoding(path, pattern)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             ids = [encode(t.decode("utf-8", "replace"), enc, piece_chars) for t in batch.column("bytes").to_pylist()]
             out = [pa.array(ids, pa.list_(pa.int32())), pa.array([decode(i, enc) for i in ids], pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column("row"), *out], names=["row", "ids", "decoded"])
@@ -81,7 +81,7 @@ def token_digests(df: DataFrame, path: str, pattern: str, key: str = "doc_id", t
 
     def digests(batches):
         enc = encoding(path, pattern)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             counts, of_ids, of_bytes = [], [], []
             for data in batch.column("bytes").to_pylist():
                 ids = encode(data.decode("utf-8", "replace"), enc, piece_chars)

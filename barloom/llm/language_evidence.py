@@ -37,12 +37,16 @@ OVERLAP = 3.0
 STRENGTH = 20.0
 #: Counts added to every class, so that nothing is impossible.
 SMOOTH = 0.5
-BLOCK = 1 << 20
+BLOCK = 1 << 18
+
+
+#: A-Z in lower case, every white-space character as a blank.
+FOLD = bytes(32 if chr(b).isspace() and b < 128 and not 28 <= b <= 31 else ord(chr(b).lower()) if b < 128 else b for b in range(256))
 
 
 def trigrams(data: bytes):
-    """Yields arrays of trigram buckets of a text given as UTF-8, in blocks; white space counts as one blank."""
-    bare = b" ".join(data.lower().split())
+    """Yields arrays of trigram buckets of a text given as UTF-8, in blocks, from its first to its last word."""
+    bare = data.strip().translate(FOLD)
     if not bare:
         return
     codes = np.frombuffer(b" " + bare + b" ", np.uint8).astype(np.uint32)
@@ -105,7 +109,7 @@ def _text_scores(df: DataFrame, model: TextModel):
     @F.pandas_udf("array<double>")
     def scores(texts: pd.Series) -> pd.Series:
         known = sent.value
-        return pd.Series([[*known.scores(t), 0.0] if t and t.split() else None for t in texts])
+        return pd.Series([[*known.scores(t), 0.0] if t and t.strip() else None for t in texts])
 
     return scores
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.text import packed, utf8
+from barloom.llm.text import packed, slices, utf8
 
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 50
@@ -209,7 +209,7 @@ def judged(df: DataFrame, field: LineField, text: str = "text", min_content: flo
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             found = []
             for data in batch.column("bytes").to_pylist():
                 t = read_text(data)
