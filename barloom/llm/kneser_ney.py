@@ -336,7 +336,7 @@ def _score_chunk(model: Model, hashes: np.ndarray, sizes: np.ndarray):
         own[k][rows] = values
     total = float(model.word_classes[3])
     spare = sum(d * n for d, n in zip(model.word_discounts, model.word_classes[:3], strict=True)) / total if total else 1.0
-    lower = (_discounted(own["before"], model.word_discounts) / total if total else 0.0) + spare / (model.types + 1.0)
+    lower = _discounted(own["before"], model.word_discounts) / (total or 1.0) + spare / (model.types + 1.0)
     # bigram level
     start = model.stats(np.array([model.types]))
     table = {k: np.append(own[k], start[k]) for k in STATS}

@@ -111,10 +111,10 @@ def copies(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float =
     targets = settle(source_targets(rows, weights, share, most).withColumnRenamed("source", "of"))
     wide = rows.join(targets, F.col("source").eqNullSafe(F.col("of"))).drop("of")
     want = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    want = F.when(F.col("size") > 0, want).otherwise(0.0)
     whole = F.floor(want)
     chance = F.pmod(F.xxhash64("key", "mark", F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
-    part = F.when(F.col("size") > 0, want - whole).otherwise(0.0)
-    wide = wide.select("*", whole.cast("long").alias("whole"), part.alias("part"), chance.alias("chance"))
+    wide = wide.select("*", whole.cast("long").alias("whole"), (want - whole).alias("part"), chance.alias("chance"))
     chunks = F.greatest(F.lit(1), F.ceil(F.col("n_rows") / CHUNK_ROWS)).cast("long")
     wide = wide.select("*", F.pmod(F.xxhash64("key", "mark", F.lit(seed + 1)), chunks).alias("chunk"), F.lit(True).alias("left"))
     largest = targets.agg(F.max(F.ceil(F.col("n_rows") / CHUNK_ROWS))).first()[0] or 1
