@@ -145,7 +145,7 @@ def mounted(folder: str) -> str:
     parsed = urlparse(folder)
     if parsed.scheme not in ("", "file"):
         raise ValueError(f"{folder}: workers map the model's files, so this folder must be a path mounted on every executor")
-    return unquote(parsed.path)
+    return os.path.abspath(unquote(parsed.path))
 
 
 def token_hashes(data: bytes) -> np.ndarray:
