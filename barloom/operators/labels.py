@@ -31,8 +31,6 @@ from barloom.sources.bars import check_choice
 MODES = ("oracle_best", "fixed_rule")
 ENTRIES = ("next_open", "current_close")
 SIDES = {LONG: 1, SHORT: -1}
-# A cell whose multiples give exactly the minimum reward to risk qualifies, whatever its last bit rounds to.
-RATIO_SLACK = 1e-9
 
 
 def add_volatility(b: Blocked, params: BarrierParams) -> Blocked:
@@ -217,7 +215,7 @@ def add_best_trade(
     for i in range(len(targets)):
         for j in range(len(stops)):
             for side in SIDES:
-                allowed = f"_ok{side} and _rr{i}_{j} >= {params.min_rr - RATIO_SLACK!r}D"
+                allowed = f"_ok{side} and _rr{i}_{j} >= {float(params.min_rr)!r}D"
                 net = f"_tp{i} - {params.cost_pct!r}D"
                 if keep_all_outcomes:
                     exits = _exit_text(f"_t{side}_{i}", f"_s{side}_{j}", f"_tp{i}", f"_sl{j}", f"_e{side}", side, params)

@@ -99,19 +99,44 @@ def with_context(bars: DataFrame, contexts: dict[str, int] | None = None, keys:
     is joined once.
     """
     contexts = dict(CONTEXTS if contexts is None else contexts)
-    widths = list(contexts.values())
+    return join_context(bars, context_table(resample(bars, narrowest(contexts), keys), contexts, keys), contexts, keys)
+
+
+def narrowest(contexts: dict[str, int] | None = None) -> int:
+    """Width of the narrowest context."""
+    widths = list((CONTEXTS if contexts is None else contexts).values())
     if any(b % a for a, b in zip(widths, widths[1:])):
         raise ValueError("context widths must be given narrow to wide, each dividing the next")
-    table, coarse, narrow = None, bars, widths[0]
+    if widths[0] < 3600:
+        raise ValueError("context bars are an hour or wider: each series of them is kept in one block")
+    return widths[0]
+
+
+def context_table(
+    coarse: DataFrame, contexts: dict[str, int] | None = None, keys: tuple[str, ...] = KEYS
+) -> DataFrame:
+    """Features of the finished bars of all contexts, per bin of the narrowest, from the narrowest bars."""
+    contexts = dict(CONTEXTS if contexts is None else contexts)
+    widths = list(contexts.values())
+    table, narrow = None, narrowest(contexts)
     for prefix, seconds in contexts.items():
-        coarse = resample(coarse, seconds, keys)
+        if seconds != narrow:
+            coarse = resample(coarse, seconds, keys)
         closed = _closed_context(coarse, prefix, seconds, keys)
         if table is None:
             table = closed
         else:
             edge = F.ceil(F.col(f"_bin{narrow}") / seconds) * seconds
             table = table.withColumn(f"_bin{seconds}", edge).join(closed, [*keys, f"_bin{seconds}"])
-    table = table.drop(*[f"_bin{s}" for s in widths[1:]])
+    return table.drop(*[f"_bin{s}" for s in widths[1:]])
+
+
+def join_context(
+    bars: DataFrame, table: DataFrame, contexts: dict[str, int] | None = None, keys: tuple[str, ...] = KEYS
+) -> DataFrame:
+    """Look up what each bar may see in a `context_table`."""
+    contexts = dict(CONTEXTS if contexts is None else contexts)
+    narrow = narrowest(contexts)
     joined = bars.withColumn(f"_bin{narrow}", bin_label(F.col("ts"), narrow)).join(table, [*keys, f"_bin{narrow}"])
     joined = joined.withColumn("_now", local_seconds(F.col("ts")))
     picked = [

@@ -638,7 +638,7 @@ ORACLES["barrier_outcomes"] = statement(
 
 
 def label_ctes(mode: str, sma_filter: bool, entry: str = "next_open", every: bool = False) -> list[str]:
-    allowed = "tp / greatest(sl, 1e-9) >= 1.5::double - 1e-9 and rn < n - 20"
+    allowed = "tp / greatest(sl, 1e-9) >= 1.5::double and rn < n - 20"
     if mode == "oracle_best":
         allowed += " and atr_level <= 2.0"
     if sma_filter:

@@ -12,9 +12,6 @@ from pyspark.sql import functions as F
 
 from barloom.config import KEYS
 
-# Stands in for a factor of zero or less, which has no logarithm.
-RUIN = 1e-300
-
 
 def running(
     df: DataFrame,
@@ -23,12 +20,16 @@ def running(
     sums: dict[str, Column] | None = None,
     maxima: dict[str, Column] | None = None,
     keys: Iterable[str] = KEYS,
+    products: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """Add inclusive running sums and maxima of each series. `tile` must not decrease along `order`."""
+    """Add inclusive running sums, maxima and products of each series; NULL is left out. `tile` must not decrease
+    along `order`."""
     keys, order = list(keys), list(order)
     wanted = [(name, F.sum, F.col(f"_x_{name}")) for name in sums or {}]
     wanted += [(name, F.max, F.col(f"_x_{name}")) for name in maxima or {}]
-    inputs = {f"_x_{name}": expr for name, expr in {**(sums or {}), **(maxima or {})}.items()}
+    wanted += [(name, F.product, F.col(f"_x_{name}")) for name in products or {}]
+    given = {**(sums or {}), **(maxima or {}), **(products or {})}
+    inputs = {f"_x_{name}": expr for name, expr in given.items()}
     tiled = df.withColumns({"_tile": tile, **inputs})
     earlier = Window.partitionBy(*keys).orderBy("_tile").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -40,9 +41,13 @@ def running(
     joined = tiled.join(offsets, [*keys, "_tile"]).withColumns({f"_r_{n}": fn(x).over(inside) for n, fn, x in wanted})
     joined = joined.withColumns(
         {
-            name: F.coalesce(F.col(f"_o_{name}") + F.col(f"_r_{name}"), F.col(f"_r_{name}"), F.col(f"_o_{name}"))
-            if fn is F.sum
-            else F.greatest(f"_o_{name}", f"_r_{name}")
+            name: F.greatest(f"_o_{name}", f"_r_{name}")
+            if fn is F.max
+            else F.coalesce(
+                F.col(f"_o_{name}") + F.col(f"_r_{name}") if fn is F.sum else F.col(f"_o_{name}") * F.col(f"_r_{name}"),
+                F.col(f"_r_{name}"),
+                F.col(f"_o_{name}"),
+            )
             for name, fn, _ in wanted
         }
     )
@@ -87,24 +92,14 @@ def max_drawdown(
 ) -> DataFrame:
     """Worst relative fall (<= 0) of the running product of `factor` below its earlier peak, per key.
 
-    Rows fold to one summary per tile (log total, highest and lowest running log, worst fall inside) and
-    the summaries are combined in order. `start_at_one` counts the starting value as a peak. A factor of
-    zero or less ends at a fall of 1.
+    The product is a plain one, so factors of zero or less count as they are; NULL factors are left out. Product
+    and peak are two-level scans: a long series is spread over its tiles. `start_at_one` counts the starting value
+    as a peak.
     """
     keys, order = list(keys), list(order)
-    logs = df.select(*keys, tile.alias("_tile"), *order, F.ln(F.greatest(factor, F.lit(RUIN))).alias("_l"))
-    inside = Window.partitionBy(*keys, "_tile").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    curve = logs.withColumn("_s", F.sum("_l").over(inside)).withColumn("_m", F.max("_s").over(inside))
-    tiles = curve.groupBy(*keys, "_tile").agg(
-        F.sum("_l").alias("_total"),
-        F.max("_s").alias("_high"),
-        F.min("_s").alias("_low"),
-        F.min(F.col("_s") - F.col("_m")).alias("_fall"),
-    )
-    earlier = Window.partitionBy(*keys).orderBy("_tile").rowsBetween(Window.unboundedPreceding, -1)
-    based = tiles.withColumn("_base", F.coalesce(F.sum("_total").over(earlier), F.lit(0.0)))
-    peaked = based.withColumn("_peak", F.max(F.col("_base") + F.col("_high")).over(earlier))
-    if start_at_one:
-        peaked = peaked.withColumn("_peak", F.greatest(F.col("_peak"), F.lit(0.0)))
-    worst = F.least(F.col("_fall"), F.col("_base") + F.col("_low") - F.col("_peak"))
-    return peaked.groupBy(*keys).agg((F.exp(F.least(F.min(worst), F.lit(0.0))) - 1.0).alias("max_drawdown"))
+    rows = df.select(*keys, tile.alias("_at"), *order, factor.alias("_f"))
+    curve = running(rows, F.col("_at"), order, keys=keys, products={"_eq": F.col("_f")})
+    peaked = running(curve, F.col("_at"), order, keys=keys, maxima={"_peak": F.col("_eq")})
+    peak = F.greatest(F.col("_peak"), F.lit(1.0)) if start_at_one else F.col("_peak")
+    fall = F.least(F.min(F.try_divide(F.col("_eq"), peak) - 1.0), F.lit(0.0))
+    return peaked.groupBy(*keys).agg(fall.alias("max_drawdown"))

@@ -21,9 +21,16 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Scratch tables live as long as the application: results that read them may still be open."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write `df` once and read it back: several consumers then share one computation, still column-pruned."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
+    remove_at_exit(spark, path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -53,21 +53,37 @@ def ticks_to_bars(
 def bars_from_payloads(payloads: DataFrame, body: str = "body", time_zone: str | None = None) -> DataFrame:
     """Candle payloads (`success`, `result[]` with numbers as text) to typed bars.
 
-    Payloads without success or rows give nothing; an empty, null or zero volume becomes 0. `ts` is the
+    Payloads without success or rows give nothing; an empty or null volume becomes 0. A candle with a price or
+    volume that is not a number is left out and reported by `malformed_candles`. `ts` is the
     UTC instant as a wall-clock time, or the wall clock of `time_zone`. The other columns are kept.
     """
+    rows, good = _candles(payloads, body, time_zone)
+    prices = [F.expr(f"try_cast(_c.{name} as double)").alias(name) for name in BAR_COLUMNS if name != "volume"]
+    volume = F.coalesce(F.expr("try_cast(nullif(_c.volume, '') as double)"), F.lit(0.0))
+    kept = [c for c in rows.columns if c != "_c"]
+    return rows.where(good).select(*kept, *prices, volume.alias("volume"))
+
+
+def malformed_candles(payloads: DataFrame, body: str = "body", time_zone: str | None = None) -> DataFrame:
+    """The candles that `bars_from_payloads` leaves out, as they came, in `candle`: a price or volume that is there
+    but not a number."""
+    rows, good = _candles(payloads, body, time_zone)
+    kept = [c for c in rows.columns if c != "_c"]
+    return rows.where(~good).select(*kept, F.to_json("_c").alias("candle"))
+
+
+def _candles(payloads: DataFrame, body: str, time_zone: str | None) -> tuple[DataFrame, Column]:
+    """One row per candle with its fields in `_c`, and whether all its fields are numbers or missing."""
     kept = [c for c in payloads.columns if c != body]
     opened = payloads.select(*kept, F.from_json(body, PAYLOAD_TYPE).alias("_p")).where(F.col("_p.success"))
     rows = opened.select(*kept, F.posexplode("_p.result").alias("pos", "_c"))
     utc = from_local_seconds(F.col("_c.time"))
     ts = utc if time_zone is None else F.convert_timezone(F.lit("UTC"), F.lit(time_zone), utc)
-    return rows.select(
-        *kept,
-        "pos",
-        ts.alias("ts"),
-        *[F.col(f"_c.{name}").cast("double").alias(name) for name in BAR_COLUMNS if name != "volume"],
-        F.coalesce(F.expr("try_cast(nullif(_c.volume, '') as double)"), F.lit(0.0)).alias("volume"),
-    )
+    good = F.lit(True)
+    for name in BAR_COLUMNS:
+        given = f"nullif(_c.{name}, '')" if name == "volume" else f"_c.{name}"
+        good = good & F.expr(f"{given} is null or try_cast({given} as double) is not null")
+    return rows.select(*kept, "pos", ts.alias("ts"), "_c"), good
 
 
 def first_of_duplicates(df: DataFrame, order: Sequence[str], keys: Iterable[str] = KEYS, ts: str = "ts") -> DataFrame:

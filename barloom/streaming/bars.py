@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from barloom.config import KEYS
-from barloom.operators.resample import with_context
-from barloom.plans.blocks import number_rows
+from barloom.functions.scalar import from_local_seconds
+from barloom.operators.resample import bin_label, context_table, join_context, narrowest
+from barloom.plans.settle import settle
 
 BATCH = "batch_id"
 
@@ -102,30 +103,51 @@ def running_indicators(bars: DataFrame, ema_span: int = 21, length: int = 14) ->
     )
 
 
+def _partial_bars(bars: DataFrame, seconds: int, keys: tuple[str, ...]) -> DataFrame:
+    """What one batch adds to the coarse bars: first and last bar of each bin keep their time."""
+    return bars.groupBy(*keys, from_local_seconds(bin_label(F.col("ts"), seconds)).alias("bin")).agg(
+        F.min(F.struct("ts", "open")).alias("first"),
+        F.max("high").alias("high"),
+        F.min("low").alias("low"),
+        F.max(F.struct("ts", "close")).alias("last"),
+        F.sum("volume").alias("volume"),
+    )
+
+
+def _merged_bars(partial: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    return (
+        partial.groupBy(*keys, F.col("bin").alias("ts"))
+        .agg(
+            F.min("first").alias("first"), F.max("high").alias("high"), F.min("low").alias("low"),
+            F.max("last").alias("last"), F.sum("volume").alias("volume"),
+        )
+        .select(*keys, "ts", F.col("first.open").alias("open"), "high", "low", F.col("last.close").alias("close"), "volume")
+    )
+
+
 def run_live_context(
-    bars: DataFrame, history: str, out: str, checkpoint: str, history_days: int = 1100, keys: tuple[str, ...] = KEYS
+    bars: DataFrame, history: str, out: str, checkpoint: str, keys: tuple[str, ...] = KEYS
 ) -> None:
-    """Drain a stream of finished bars: append it to the history table and add the coarse context to new rows.
+    """Drain a stream of finished bars and add the coarse context to the new ones.
 
-    Windows over rows do not run on streams, so each batch works on the stretch of history its features
-    reach back to (1,100 days cover a 50-day mean to double precision), read by a pushed time filter.
+    The history table holds what each batch adds to the narrowest coarse bars, so a batch reads coarse bars
+    only, of the symbols it touches only, and all of their past: smoothing forgets nothing. Bars that arrive
+    late are merged into their bin by time.
     """
     columns = [*keys, "ts", "open", "high", "low", "close", "volume"]
+    width = narrowest()
 
     def step(batch: DataFrame, number: int) -> None:
-        batch.select(*columns).write.mode("overwrite").parquet(f"{history}/part={number}")
         spark = batch.sparkSession
+        new = settle(batch.select(*columns))
+        if new.isEmpty():
+            return
+        _partial_bars(new, width, keys).write.mode("overwrite").parquet(f"{history}/part={number}")
         # A retried batch must not see folders a later batch wrote.
         stored = spark.read.parquet(history).where(F.col("part") <= number)
-        new = stored.where(F.col("part") == number)
-        first = new.agg(F.min("ts")).first()[0]
-        if first is None:
-            return
-        reach: Column = F.lit(first) - F.make_dt_interval(days=F.lit(history_days))
-        context = with_context(number_rows(stored.where(F.col("ts") >= reach), keys), keys=keys)
-        context.where(F.col("part") == number).drop("part", "rn", "n").write.mode("overwrite").parquet(
-            f"{out}/part={number}"
-        )
+        touched = stored.join(new.select(*keys).distinct(), list(keys), "left_semi")
+        table = context_table(_merged_bars(touched, keys), keys=keys)
+        join_context(new, table, keys=keys).write.mode("overwrite").parquet(f"{out}/part={number}")
 
     query = (
         bars.writeStream.option("checkpointLocation", checkpoint)

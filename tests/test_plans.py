@@ -113,3 +113,17 @@ def test_quantile_equals_numpy(spark, q):
     got = exact_quantile(spark.createDataFrame(frame), ["k"], "x", q, "v", width=0.1).toPandas().set_index("k")["v"]
     want = frame.groupby("k")["x"].quantile(q)
     np.testing.assert_allclose(got.loc[want.index], want, atol=1e-12)
+
+
+def test_drawdown_takes_losses_beyond_everything_and_leaves_null_out(spark):
+    from pyspark.sql import functions as F
+
+    from barloom.plans.scan import max_drawdown
+
+    factors = {"deep": [1.1, -0.5, 1.2], "null": [1.1, None, 0.9], "flat": [1.0, 1.1], "zero": [2.0, 0.0, 3.0]}
+    rows = [(k, i, f) for k, fs in factors.items() for i, f in enumerate(fs)]
+    df = spark.createDataFrame(rows, "k string, rn long, f double")
+    for tile in (1, 2, 100):
+        got = {r["k"]: r["max_drawdown"] for r in max_drawdown(df, F.col("f"), F.floor(F.col("rn") / tile), ["rn"], ["k"]).collect()}
+        want = {"deep": -0.66 / 1.1 - 1, "null": -0.1, "flat": 0.0, "zero": -1.0}
+        assert all(abs(got[k] - v) < 1e-12 for k, v in want.items()), got

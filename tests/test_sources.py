@@ -103,3 +103,17 @@ def test_model_is_saved_and_loaded(bars, tmp_path):
     np.testing.assert_allclose(a["p_up"], b["p_up"])
     assert a[["up_pred", "dn_pred"]].to_numpy().min() >= 0 and a[["up_pred", "dn_pred"]].to_numpy().max() <= 5
     np.testing.assert_allclose(a["p_up"], 1 / (1 + np.exp(-a["logit"])), rtol=1e-9)
+
+
+def test_malformed_candles_are_reported_not_guessed(spark):
+    from barloom.sources.bars import bars_from_payloads, malformed_candles
+
+    body = (
+        '{"success": true, "result": [{"time": 0, "open": "1", "high": "2", "low": "0.5", "close": "1.5", "volume": "abc"},'
+        ' {"time": 60, "open": "n/a", "high": "2", "low": "1", "close": "1", "volume": "1"},'
+        ' {"time": 120, "open": "1", "high": "2", "low": "1", "close": "1", "volume": ""},'
+        ' {"time": 180, "open": "1", "high": "2", "low": "1", "close": "1", "volume": null}]}'
+    )
+    payloads = spark.createDataFrame([("a", body)], "symbol string, body string")
+    assert [(r["pos"], r["volume"]) for r in bars_from_payloads(payloads).orderBy("pos").collect()] == [(2, 0.0), (3, 0.0)]
+    assert [r["pos"] for r in malformed_candles(payloads).orderBy("pos").collect()] == [0, 1]

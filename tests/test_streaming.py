@@ -62,3 +62,23 @@ def test_stream_bars_equal_batch_bars(spark, bars, tmp_path):
     np.testing.assert_allclose(got["high"], frame["close"].max())
     np.testing.assert_allclose(got["close"], frame["close"].last())
     np.testing.assert_allclose(got["volume"], frame["volume"].sum())
+
+
+def test_context_of_sparse_weekly_bars_with_a_late_symbol(spark, tmp_path):
+    """Ten years of weekly bars of two symbols in three batches, one symbol behind: nothing is forgotten."""
+    from conftest import SCHEMA, walk
+
+    import pandas as pd
+
+    frame = pd.concat([walk("a", 520, 5, "2014-01-05", "7D"), walk("b", 520, 6, "2014-01-05", "7D")], ignore_index=True)
+    rows = spark.createDataFrame(frame, SCHEMA)
+    parts = ["symbol = 'a' and rn < 300", "symbol = 'b' and rn < 400 or symbol = 'a' and rn between 300 and 419", "rn >= 400 and symbol = 'b' or rn >= 420"]
+    for i, part in enumerate(parts):
+        rows.where(part).select(*BARS).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    stream = spark.readStream.schema(rows.select(*BARS).schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    sm.run_live_context(stream, str(tmp_path / "history"), str(tmp_path / "out"), str(tmp_path / "cp"))
+    got = collected(spark.read.parquet(str(tmp_path / "out")), ("symbol", "ts"))
+    want = collected(rs.with_context(rows), ("symbol", "ts"))
+    assert len(got) == len(want) == 1040 and got["part"].nunique() == 3
+    for name in [c for c in want.columns if c.startswith("mtf_")]:
+        np.testing.assert_allclose(got[name].astype(float), want[name].astype(float), rtol=1e-12, err_msg=name)
