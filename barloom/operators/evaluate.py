@@ -109,7 +109,9 @@ def calibration(rows: DataFrame, keys: Iterable[str] = KEYS, min_rows: int = MIN
         F.avg("p_up").alias("mean_p_up"),
         _share(F.col("actual_up")).alias("actual_up_rate"),
     )
-    return stats.where(F.col("n") >= min_rows)
+    place = F.col("bucket")
+    bounds = {"lo": place * 0.1, "hi": (place + 1) * 0.1}
+    return stats.where(F.col("n") >= min_rows).withColumns(bounds)
 
 
 def magnitude_buckets(rows: DataFrame, keys: Iterable[str] = KEYS) -> DataFrame:
@@ -135,6 +137,7 @@ def magnitude_buckets(rows: DataFrame, keys: Iterable[str] = KEYS) -> DataFrame:
 def move_histogram(rows: DataFrame, keys: Iterable[str] = KEYS, bins: int = HISTOGRAM_BINS) -> DataFrame:
     """Density of the achieved move between 0 and its 99th percentile, apart for right and wrong calls.
 
+    Every bin is listed, empty ones with 0; without any right (or wrong) call the density is NULL.
     `axis_limit` is the span a chart of predicted against achieved move needs.
     """
     keys = list(keys)
@@ -144,18 +147,19 @@ def move_histogram(rows: DataFrame, keys: Iterable[str] = KEYS, bins: int = HIST
     inside = inside.where(F.col("achieved_mag") <= F.col("p99"))
     width = F.col("p99") / bins
     place = F.least(F.floor(F.try_divide(F.col("achieved_mag"), width)), F.lit(bins - 1))
-    counts = inside.groupBy(*keys, "correct", F.coalesce(place, F.lit(0).cast("long")).alias("bin")).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.first(width).alias("_width"),
-        F.first(F.greatest("_top", "p99") * 1.05).alias("axis_limit"),
-    )
+    none = F.lit(0).cast("long")
+    counts = inside.groupBy(*keys, "correct", F.coalesce(place, none).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     totals = counts.groupBy(*keys, "correct").agg(F.sum("n").alias("_total"))
-    return counts.join(totals, [*keys, "correct"]).select(
+    calls = limits.select(*keys, "p99", "_top", F.explode(F.array(F.lit(True), F.lit(False))).alias("correct"))
+    numbers = F.sequence(none, F.lit(bins - 1).cast("long"))
+    every = calls.join(totals, [*keys, "correct"], "left").select("*", F.explode(numbers).alias("bin"))
+    n = F.coalesce("n", none)
+    return every.join(counts, [*keys, "correct", "bin"], "left").select(
         *keys,
         "correct",
         "bin",
-        "n",
-        (F.col("bin") * F.col("_width")).alias("lo"),
-        F.try_divide(F.col("n").cast("double"), F.col("_total") * F.col("_width")).alias("density"),
-        "axis_limit",
+        n.alias("n"),
+        (F.col("bin") * width).alias("lo"),
+        F.try_divide(n.cast("double"), F.col("_total") * width).alias("density"),
+        (F.greatest("_top", "p99") * 1.05).alias("axis_limit"),
     )

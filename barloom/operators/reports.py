@@ -34,33 +34,44 @@ def _ratio_or_infinite(wins: Column, losses: Column) -> Column:
 # Trades
 
 
-def capital_summary(trades: DataFrame, positions: DataFrame, keys: Iterable[str] = TRADE_KEYS) -> DataFrame:
+def traded_span(positions: DataFrame, keys: Iterable[str] = KEYS) -> DataFrame:
+    """First and last bar that could have been traded, with their closes and the days between (1 at least)."""
+    span = positions.groupBy(*keys).agg(
+        F.min_by("close", "ts").alias("_c0"), F.max_by("close", "ts").alias("_c1"),
+        F.min("ts").alias("start"), F.max("ts").alias("end"),
+    )
+    seconds = local_seconds(F.col("end")) - local_seconds(F.col("start"))
+    return span.withColumn("days", F.greatest(seconds / 86400.0, F.lit(1.0)))
+
+
+def capital_summary(
+    trades: DataFrame, positions: DataFrame, keys: Iterable[str] = TRADE_KEYS, opened: DataFrame | None = None
+) -> DataFrame:
     """Account result, buy and hold over the same bars, worst drawdown and trade frequency.
 
-    `positions` are the bars that could have been traded, with `symbol`, `ts` and `close`.
+    `positions` are the bars that could have been traded, with `symbol`, `ts` and `close`. `opened` lists all
+    accounts, so that those without trades are reported with their start capital.
     """
     keys = list(keys)
     symbol = [k for k in keys if k != "scenario"]
-    span = positions.groupBy(*symbol).agg(
-        F.min_by("close", "ts").alias("_c0"), F.max_by("close", "ts").alias("_c1"),
-        F.min("ts").alias("start"), F.max("ts").alias("end"),
-    )
-    seconds = local_seconds(F.col("end")) - local_seconds(F.col("start"))
-    span = span.withColumn("days", F.greatest(seconds / 86400.0, F.lit(1.0)))
-    result = trades.groupBy(*keys).agg(
-        F.max("_capital").alias("start_capital"),
-        F.max_by("equity", POS).alias("final_capital"),
-        F.count(F.lit(1)).alias("trades"),
-    )
+    span = traded_span(positions, symbol)
+    opened = trades if opened is None else opened
+    held = opened.groupBy(*keys).agg(F.max("_capital").alias("start_capital"))
+    result = trades.groupBy(*keys).agg(F.max_by("equity", POS).alias("_last"), F.count(F.lit(1)).alias("_n"))
     fall = max_drawdown(trades, 1.0 + F.col("_fraction") * F.col("_net"), _tile(), [POS], keys, start_at_one=True)
-    out = result.join(fall, keys).join(span, symbol)
+    out = held.join(result, keys, "left").join(fall, keys, "left").join(span, symbol).withColumns(
+        {
+            "final_capital": F.coalesce("_last", "start_capital"),
+            "trades": F.coalesce("_n", F.lit(0).cast("long")),
+        }
+    )
     return out.select(
         *keys,
         "start_capital",
         "final_capital",
         ((F.col("final_capital") / F.col("start_capital") - 1.0) * 100.0).alias("total_return_pct"),
         ((F.col("_c1") / F.col("_c0") - 1.0) * 100.0).alias("buy_hold_pct"),
-        (F.col("max_drawdown") * 100.0).alias("max_drawdown_pct"),
+        (_zero(F.col("max_drawdown")) * 100.0).alias("max_drawdown_pct"),
         "trades",
         "days",
         (F.col("trades") / F.col("days")).alias("trades_per_day"),
@@ -70,9 +81,11 @@ def capital_summary(trades: DataFrame, positions: DataFrame, keys: Iterable[str]
 def trade_stats(trades: DataFrame, days: DataFrame, keys: Iterable[str] = TRADE_KEYS) -> DataFrame:
     """Win rate, average win and loss, expectancy, profit factor, yearly Sharpe ratio, average hold.
 
-    `days` holds the traded span per key, as `capital_summary` reports it.
+    `days` holds the traded span per account or per symbol, see `traded_span`. Accounts without trades have no
+    statistics.
     """
     keys = list(keys)
+    of_span = [k for k in keys if k in days.columns]
     net, pnl = F.col("net_ret_pct"), F.col("pnl_usd")
     win = pnl > 0.0
     stats = trades.groupBy(*keys).agg(
@@ -91,7 +104,7 @@ def trade_stats(trades: DataFrame, days: DataFrame, keys: Iterable[str] = TRADE_
     sharpe = F.when(F.col("_spread") > 0.0, F.try_divide(F.col("expectancy_pct"), F.col("_spread")) * yearly)
     lost = F.abs(F.coalesce(F.col("_lost"), F.lit(0.0)))
     won = F.coalesce(F.col("_won"), F.lit(0.0))
-    return stats.join(days.select(*keys, "days"), keys).select(
+    return stats.join(days.select(*of_span, "days"), of_span).select(
         *keys,
         "trades",
         "wins",
@@ -155,17 +168,25 @@ def last_trades(trades: DataFrame, count: int = 10, keys: Iterable[str] = TRADE_
 
 
 def pnl_histogram(trades: DataFrame, keys: Iterable[str] = TRADE_KEYS, bins: int = PNL_BINS) -> DataFrame:
-    """Wins and losses in equal bins between the worst and the best trade."""
+    """Wins and losses in equal bins between the worst and the best trade; empty bins stay with 0."""
     keys = list(keys)
     x = F.col("net_ret_pct")
     span = trades.groupBy(*keys).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
     width = (F.col("_hi") - F.col("_lo")) / bins
     place = F.coalesce(F.floor(F.try_divide(x - F.col("_lo"), width)), F.lit(0).cast("long"))
     binned = trades.join(span, keys).withColumn("bin", F.least(place, F.lit(bins - 1).cast("long")))
-    return binned.groupBy(*keys, "bin").agg(
-        F.first(F.col("_lo") + F.col("bin") * width).alias("lo"),
-        F.sum((x > 0.0).cast("long")).alias("wins"),
-        F.sum((x <= 0.0).cast("long")).alias("losses"),
+    counts = binned.groupBy(*keys, "bin").agg(
+        F.sum((x > 0.0).cast("long")).alias("_wins"), F.sum((x <= 0.0).cast("long")).alias("_losses")
+    )
+    numbers = F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))
+    every = span.select(*keys, "_lo", "_hi", F.explode(numbers).alias("bin"))
+    none = F.lit(0).cast("long")
+    return every.join(counts, [*keys, "bin"], "left").select(
+        *keys,
+        "bin",
+        (F.col("_lo") + F.col("bin") * width).alias("lo"),
+        F.coalesce("_wins", none).alias("wins"),
+        F.coalesce("_losses", none).alias("losses"),
     )
 
 

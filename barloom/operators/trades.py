@@ -50,11 +50,15 @@ def candidate_trades(
     ahead = b.window(f"rows between 1 following and {longest} following")
     b = b.with_columns({"_path": f"collect_list(struct(high as h, low as l, close as c, open as o, ts)) {ahead}"})
     rows = b.core().where("p_up is not null and size(_path) > 0")
-    rows = rows.select("*", F.inline(_scenario_column(scenarios)))
     rows = rows.selectExpr("*", "greatest(p_up, 1 - p_up) as confidence", "p_up >= 0.5 as _long").selectExpr(
         "*", "if(_long, up_pred, dn_pred) as pred_move", "if(_long, 1D, -1D) as _sign"
     )
-    rows = rows.where("confidence >= _min_conf and pred_move >= _min_move")
+    # a bar is copied only for the scenarios whose thresholds it passes
+    passed = F.filter(
+        _scenario_column(scenarios),
+        lambda s: (F.col("confidence") >= s["_min_conf"]) & (F.col("pred_move") >= s["_min_move"]),
+    )
+    rows = rows.select("*", F.inline(passed))
     rows = rows.selectExpr("*", "slice(_path, 1, _hold) as _held", "_path[0].o as _entry").drop("_path")
     rows = rows.selectExpr(
         "*",
@@ -236,15 +240,30 @@ def ledger(trades: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     return trades.select(*keys, "scenario", *LEDGER)
 
 
-def equity_curve(trades: DataFrame, keys: Iterable[str] = (*KEYS, "scenario")) -> DataFrame:
-    """Account by trade number with peak and drawdown; number 0 is the start capital."""
+def accounts(
+    predictions: DataFrame, scenarios: Sequence[TradeParams] = (TradeParams(),), keys: tuple[str, ...] = KEYS
+) -> DataFrame:
+    """Start capital of every symbol and scenario, whether or not it ever trades."""
+    every = predictions.select(*keys).distinct().select(*keys, F.inline(_scenario_column(scenarios)))
+    return every.select(*keys, "scenario", "_capital")
+
+
+def equity_curve(
+    trades: DataFrame, keys: Iterable[str] = (*KEYS, "scenario"), opened: DataFrame | None = None
+) -> DataFrame:
+    """Account by trade number with peak and drawdown; number 0 is the start capital.
+
+    `opened` lists all accounts (see `accounts`), so that those without trades keep their first row; without it
+    the accounts are those that traded.
+    """
     keys = list(keys)
     tile = F.floor(F.col(POS) / TILE)
     counted = running(
         trades.select(*keys, POS, "equity", "_capital"), tile, [POS], sums={"trade_no": F.lit(1)},
         maxima={"_peak": F.col("equity")}, keys=keys,
     )
-    start = trades.groupBy(*keys).agg(F.max("_capital").alias("equity")).withColumns(
+    opened = trades if opened is None else opened
+    start = opened.groupBy(*keys).agg(F.max("_capital").alias("equity")).withColumns(
         {"trade_no": F.lit(0).cast("long"), "peak": F.col("equity"), "drawdown": F.lit(0.0)}
     )
     peak = F.greatest("_peak", "_capital")

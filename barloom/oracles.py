@@ -142,7 +142,7 @@ ORACLES["backfill_manifest"] = statement(
     + [
         """slots as (
       select symbol, t as ts, cast(floor(epoch(t - timestamp '2024-01-01') / 604800) as bigint) as chunk
-      from (select distinct symbol from bars),
+      from (select symbol from bars union select p_brand from part),
            (select unnest(generate_series(timestamp '2024-01-01', timestamp '2024-01-30 23:00:00',
                                           interval 1 hour)) as t))"""
     ],
@@ -907,7 +907,8 @@ ORACLES["confidence_buckets"] = statement(
 )
 ORACLES["probability_calibration"] = statement(
     EVAL,
-    f"""select symbol, bucket, count(*) as n, {r6("avg(p_up)", "mean_p_up")}, {r6("avg(actual_up::int)", "actual_up_rate")}
+    f"""select symbol, bucket, {r6("bucket / 10.0::double", "lo")}, {r6("(bucket + 1) / 10.0::double", "hi")},
+      count(*) as n, {r6("avg(p_up)", "mean_p_up")}, {r6("avg(actual_up::int)", "actual_up_rate")}
     from (select *, case {" ".join(f"when p_up < {(k + 1) * 0.1!r}::double then {k}" for k in range(9))} else 9 end::bigint
             as bucket from er)
     group by symbol, bucket having count(*) >= 20""",
@@ -926,13 +927,15 @@ ORACLES["magnitude_buckets"] = statement(
 )
 ORACLES["achieved_move_histogram"] = statement(
     EVAL,
-    f"""select symbol, correct, bin, count(*) as n, {r6("bin * any_value(p99) / 49", "lo")},
-      {r6("count(*) / (sum(count(*)) over (partition by symbol, correct) * any_value(p99) / 49)", "density")},
+    f"""select s.symbol, c.correct, g.bin, count(e.ts) as n, {r6("g.bin * any_value(p99) / 49", "lo")},
+      {r6("count(e.ts) / (nullif(sum(count(e.ts)) over (partition by s.symbol, c.correct), 0) * any_value(p99) / 49)",
+          "density")},
       {r6("any_value(greatest(p99, top)) * 1.05", "axis_limit")}
-    from (select er.*, p99, top, least(cast(floor(achieved_mag / (p99 / 49)) as bigint), 48) as bin
-          from er join (select symbol, quantile_cont(achieved_mag, 0.99) as p99, max(pred_mag) as top
-                        from er group by symbol) using (symbol) where achieved_mag <= p99)
-    group by symbol, correct, bin""",
+    from (select symbol, quantile_cont(achieved_mag, 0.99) as p99, max(pred_mag) as top from er group by symbol) s
+    cross join (values (true), (false)) c(correct) cross join (select unnest(range(49)) as bin) g
+    left join er e on e.symbol = s.symbol and e.correct = c.correct and e.achieved_mag <= p99
+      and g.bin = least(cast(floor(e.achieved_mag / (p99 / 49)) as bigint), 48)
+    group by s.symbol, c.correct, g.bin""",
 )
 ORACLES["validation_metrics"] = statement(
     PRED
@@ -958,7 +961,8 @@ SCENARIOS = """sc(scenario, min_conf, min_move, tpf, slf, cost, frac, capital, r
   ('base', 0.6::double, 0.6::double, 0.8::double, 0.5::double, 0.0014::double, 0.95::double, 100.0::double, 1.0::double, 20),
   ('bold', 0.5::double, 0.3::double, 1.0::double, 0.8::double, 0.0014::double, 0.95::double, 100.0::double, 1.0::double, 20),
   ('short_hold', 0.6::double, 0.6::double, 0.8::double, 0.5::double, 0.0014::double, 0.5::double, 100.0::double, 1.0::double, 5),
-  ('ruin', 0.5::double, 0.1::double, 0.8::double, 0.5::double, 0.1204::double, 0.95::double, 100.0::double, 40.0::double, 20))"""
+  ('ruin', 0.5::double, 0.1::double, 0.8::double, 0.5::double, 0.1204::double, 0.95::double, 100.0::double, 40.0::double, 20),
+  ('idle', 1.5::double, 0.6::double, 0.8::double, 0.5::double, 0.0014::double, 0.95::double, 100.0::double, 1.0::double, 20))"""
 CANDIDATES = [
     SCENARIOS,
     """paths as materialized (
@@ -1025,16 +1029,19 @@ ORACLES["equity_curve"] = statement(
     f"""select symbol, scenario, trade_no, {rolled("equity", "peak")}, {r6("(equity - peak) / peak", "drawdown")}
     from (select symbol, scenario, row_number() over w as trade_no, equity, greatest(max(equity) over w, capital) as peak
           from tr window w as (partition by symbol, scenario order by rn)
-          union all select symbol, scenario, 0, max(capital), max(capital) from tr group by 1, 2)""",
+          union all select symbol, scenario, 0, capital, capital from (select distinct symbol from pr), sc)""",
 )
 SUMMARY = f"""summ as materialized (
   select symbol, scenario, start_capital, final_capital, (final_capital / start_capital - 1) * 100 as total_return_pct,
-    (c1 / c0 - 1) * 100 as buy_hold_pct, max_drawdown_pct, trades, days, trades / days as trades_per_day
-  from (select symbol, scenario, max(capital) as start_capital, arg_max(equity, rn) as final_capital, count(*) as trades
-        from tr group by 1, 2)
+    (c1 / c0 - 1) * 100 as buy_hold_pct, coalesce(max_drawdown_pct, 0) as max_drawdown_pct, trades, days,
+    trades / days as trades_per_day
+  from (select s.symbol, sc.scenario, any_value(sc.capital) as start_capital,
+          coalesce(arg_max(tr.equity, tr.rn), any_value(sc.capital)) as final_capital, count(tr.rn) as trades
+        from (select distinct symbol from pr) s cross join sc
+        left join tr on tr.symbol = s.symbol and tr.scenario = sc.scenario group by 1, 2)
   join (select symbol, arg_min(close, ts) as c0, arg_max(close, ts) as c1,
           greatest((epoch(max(ts)) - epoch(min(ts))) / 86400, 1) as days from pr group by 1) using (symbol)
-  join {drawdown_sql("tr", "symbol, scenario", "rn", "1 + frac * net", True)} using (symbol, scenario))"""
+  left join {drawdown_sql("tr", "symbol, scenario", "rn", "1 + frac * net", True)} using (symbol, scenario))"""
 ORACLES["capital_summary"] = statement(
     DEALS + [SUMMARY],
     f"""select symbol, scenario, trades, {rolled("start_capital", "final_capital", "total_return_pct", "buy_hold_pct",
@@ -1081,12 +1088,12 @@ ORACLES["monthly_results"] = statement(
 )
 ORACLES["pnl_histogram"] = statement(
     DEALS,
-    f"""select symbol, scenario, bin, {r6("any_value(lo + bin * (hi - lo) / 39)", "lo")},
-      count(*) filter (net_ret_pct > 0) as wins, count(*) filter (net_ret_pct <= 0) as losses
-    from (select *, case when hi = lo then 0 else least(cast(floor((net_ret_pct - lo) / ((hi - lo) / 39)) as bigint), 38) end
-            as bin
-          from tr join (select symbol, scenario, min(net_ret_pct) as lo, max(net_ret_pct) as hi from tr group by 1, 2)
-          using (symbol, scenario))
+    f"""select s.symbol, s.scenario, g.bin, {r6("any_value(s.lo + g.bin * (s.hi - s.lo) / 39)", "lo")},
+      count(*) filter (d.net_ret_pct > 0) as wins, count(*) filter (d.net_ret_pct <= 0) as losses
+    from (select symbol, scenario, min(net_ret_pct) as lo, max(net_ret_pct) as hi from tr group by 1, 2) s
+    cross join (select unnest(range(39)) as bin) g
+    left join tr d on d.symbol = s.symbol and d.scenario = s.scenario and g.bin = case when s.hi = s.lo then 0
+      else least(cast(floor((d.net_ret_pct - s.lo) / ((s.hi - s.lo) / 39)) as bigint), 38) end
     group by 1, 2, 3""",
 )
 

@@ -170,8 +170,12 @@ def bar_freshness(spark, folder):
 
 @query
 def backfill_manifest(spark, folder):
+    """Hourly bars wanted for the event types, which have them, and for the brands, which have none."""
     bars = tab.hourly_bars(spark, folder)
-    return tidy(src.backfill_manifest(bars, ntz("2024-01-01 00:00:00"), ntz("2024-01-31 00:00:00"), 3600))
+    brands = tab.table(spark, folder, "part").select(F.col("p_brand").alias("symbol"))
+    wanted = bars.select("symbol").union(brands)
+    start, end = ntz("2024-01-01 00:00:00"), ntz("2024-01-31 00:00:00")
+    return tidy(src.backfill_manifest(bars, start, end, 3600, requested=wanted))
 
 
 @query
@@ -473,6 +477,7 @@ SWEEP = (
     TradeParams(name="bold", confidence=0.5, min_move=0.3, tp_fraction=1.0, sl_fraction=0.8),
     TradeParams(name="short_hold", max_hold=5, position_fraction=0.5),
     TradeParams(name="ruin", confidence=0.5, min_move=0.1, fee_pct=6.0, ruin_equity=40.0),
+    TradeParams(name="idle", confidence=1.5),  # never trades
 )
 
 
@@ -494,20 +499,23 @@ def trade_ledger(spark, folder):
 
 @query
 def equity_curve(spark, folder):
-    return tidy(td.equity_curve(_trades(spark, folder)))
+    predictions = _predictions(spark, folder)
+    opened = td.accounts(predictions, SWEEP)
+    return tidy(td.equity_curve(_trades(spark, folder, predictions), opened=opened))
 
 
 @query
 def capital_summary(spark, folder):
     predictions = _predictions(spark, folder)
-    return tidy(rp.capital_summary(_trades(spark, folder, predictions), predictions))
+    opened = td.accounts(predictions, SWEEP)
+    return tidy(rp.capital_summary(_trades(spark, folder, predictions), predictions, opened=opened))
 
 
 @query
 def trade_statistics(spark, folder):
     predictions = _predictions(spark, folder)
     trades = _trades(spark, folder, predictions)
-    return tidy(rp.trade_stats(trades, rp.capital_summary(trades, predictions)))
+    return tidy(rp.trade_stats(trades, rp.traded_span(predictions)))
 
 
 @query

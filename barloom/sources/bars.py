@@ -149,10 +149,18 @@ def freshness(bars: DataFrame, now: Column, interval: str = "15m", keys: Iterabl
 
 
 def backfill_manifest(
-    bars: DataFrame, start: Column, end: Column, step_seconds: int, chunk_days: int = 7, keys: Iterable[str] = KEYS
+    bars: DataFrame,
+    start: Column,
+    end: Column,
+    step_seconds: int,
+    chunk_days: int = 7,
+    keys: Iterable[str] = KEYS,
+    requested: DataFrame | None = None,
 ) -> DataFrame:
     """Missing bars of each symbol on the grid [start, end), rolled up to request chunks.
 
+    `requested` lists the symbols that are wanted, so that those without any bar show up as missing; without it
+    they are the symbols that have bars.
     The expected count of a chunk is arithmetic, so only bars that exist are shuffled (one count per
     symbol and chunk after map-side combining); the grid itself is never generated. The counts of a symbol
     then fit a map with one entry per chunk of the span.
@@ -167,6 +175,8 @@ def backfill_manifest(
     )
     entry = F.when(F.col("chunk").isNotNull(), F.struct("chunk", "present"))
     found = per_chunk.groupBy(*keys).agg(F.map_from_entries(F.collect_list(entry)).alias("_found"))
+    if requested is not None:
+        found = requested.select(*keys).distinct().join(found, keys, "left")
     chunks = F.sequence(F.lit(0).cast("long"), F.floor((t1 - t0 - 1) / width))
     grid = found.select(*keys, "_found", F.explode(chunks).alias("chunk"))
     first = F.col("chunk") * width

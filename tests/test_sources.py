@@ -49,6 +49,10 @@ def test_manifest_counts_missing_bars(spark, bars):
     lit = lambda t: F.expr(f"timestamp_ntz'{t}'")
     got = src.backfill_manifest(part, lit("2024-01-01"), lit("2024-01-20"), 3600).orderBy("chunk").toPandas()
     assert list(got["expected"]) == [168, 168, 120] and got["missing"].sum() == 46
+    wanted = spark.createDataFrame([("b",), ("nowhere",), ("nowhere",)], "symbol string")
+    both = src.backfill_manifest(part, lit("2024-01-01"), lit("2024-01-20"), 3600, requested=wanted).toPandas()
+    absent = both[both["symbol"] == "nowhere"]
+    assert len(both) == 6 and absent["present"].sum() == 0 and absent["missing"].sum() == 456
 
 
 @pytest.mark.parametrize("fmt", ["parquet", "csv", "json"])

@@ -116,9 +116,40 @@ def test_trades_never_overlap_and_reports_add_up(spark):
     assert summary["final_capital"] == pytest.approx(rows["equity"].iloc[-1])
     histogram = rp.pnl_histogram(trades).toPandas()
     assert histogram["wins"].sum() + histogram["losses"].sum() == len(rows)
+    assert sorted(histogram["bin"]) == list(range(rp.PNL_BINS))
+    stats = rp.trade_stats(trades, rp.traded_span(df)).toPandas().iloc[0]
+    assert stats["trades"] == len(rows) == stats["wins"] + stats["losses"]
     assert rp.last_trades(trades).count() == min(10, len(rows))
 
 
+def test_accounts_without_trades_keep_their_capital(spark):
+    df, _ = predictions(spark, seed=9)
+    sweep = (TradeParams(), TradeParams(name="idle", confidence=1.5, initial_capital=250.0))
+    trades, opened = td.backtest(df, sweep).cache(), td.accounts(df, sweep)
+    assert set(trades.toPandas()["scenario"]) == {"base"}
+    curve = td.equity_curve(trades, opened=opened).where("scenario = 'idle'").toPandas()
+    assert curve[["trade_no", "equity", "peak", "drawdown"]].values.tolist() == [[0, 250.0, 250.0, 0.0]]
+    summary = rp.capital_summary(trades, df, opened=opened).toPandas().set_index("scenario")
+    idle = summary.loc["idle"]
+    assert (idle["start_capital"], idle["final_capital"], idle["trades"]) == (250.0, 250.0, 0)
+    assert (idle["total_return_pct"], idle["max_drawdown_pct"], idle["trades_per_day"]) == (0.0, 0.0, 0.0)
+    assert summary.loc["base", "trades"] == trades.count()
+    none = trades.where("false")
+    assert rp.capital_summary(none, df, opened=opened).count() == 2
+    assert rp.pnl_histogram(none).count() == 0
+
+
+def test_histogram_lists_empty_bins(spark):
+    rows = [("x", True, 1.0, 0.5)] * 3 + [("x", True, 2.0, 4.0)]
+    got = ev.move_histogram(spark.createDataFrame(rows, "symbol string, correct boolean, pred_mag double, achieved_mag double"))
+    got = got.toPandas()
+    assert len(got) == 2 * ev.HISTOGRAM_BINS and got["n"].sum() == 3
+    right, wrong = got[got["correct"]], got[~got["correct"]]
+    assert wrong["n"].sum() == 0 and wrong["density"].isna().all()
+    width = right["lo"].max() / (ev.HISTOGRAM_BINS - 1)
+    assert right["density"].sum() * width == pytest.approx(1.0)
+
+
 def test_evaluation_counts_add_up(spark):
     df, _ = predictions(spark, seed=10)
     rows = ev.evaluation_rows(df.where("p_up is not null")).cache()
@@ -133,7 +164,9 @@ def test_evaluation_counts_add_up(spark):
     pick = frame[(frame["pred_mag"] >= 0.5) & (frame["pred_mag"] < 1.0)]
     got = magnitude[magnitude["lo"] == 0.5].iloc[0]
     assert got["median_achieved"] == pytest.approx(pick["achieved_mag"].median())
-    assert ev.calibration(rows).toPandas()["n"].min() >= 20
+    curve = ev.calibration(rows).toPandas()
+    assert curve["n"].min() >= 20
+    assert ((curve["lo"] <= curve["mean_p_up"]) & (curve["mean_p_up"] <= curve["hi"])).all()
 
 
 def test_profit_factor_without_losses(spark):
