@@ -95,6 +95,12 @@ ORACLES["hourly_event_bars"] = statement(HOURLY, f"select symbol, ts, {ROUNDED_B
 ORACLES["weekly_brand_bars"] = statement(
     BRANDS, f"select symbol, ts, {rolled('open', 'high', 'low', 'close', 'volume', fine=True)} from bars"
 )
+ORACLES["daily_part_bars"] = f"""
+select symbol, ts, {rolled('open', 'high', 'low', 'close', 'volume', fine=True)}
+from (select cast(l_partkey as varchar) as symbol, date_trunc('day', l_shipdate)::timestamp as ts,
+        arg_min(price, (l_orderkey, l_linenumber, l_extendedprice)) as open, max(price) as high, min(price) as low,
+        arg_max(price, (l_orderkey, l_linenumber, l_extendedprice)) as close, sum(l_quantity) as volume
+      from (select *, l_extendedprice / l_quantity as price from lineitem) group by 1, 2)"""
 ORACLES["candle_payload_bars"] = statement(
     HOURLY,
     f"""select symbol, ts, {rolled("open", "high", "low", "close")},

@@ -84,6 +84,11 @@ def weekly_brand_bars(spark, folder):
     return tidy(tab.brand_bars(spark, folder), fine=src.BAR_COLUMNS)
 
 
+@query
+def daily_part_bars(spark, folder):
+    return tidy(tab.daily_part_bars(tab.table(spark, folder, "lineitem")), fine=src.BAR_COLUMNS)
+
+
 @query
 def candle_payload_bars(spark, folder):
     """Daily candle payloads as JSON text, some unsuccessful and some without volume, back to typed bars."""

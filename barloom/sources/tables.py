@@ -100,6 +100,22 @@ def weekly_brand_bars(lineitem: DataFrame, part: DataFrame) -> DataFrame:
     )
 
 
+def daily_part_bars(lineitem: DataFrame) -> DataFrame:
+    """Daily bars of the price per unit of each part: very many short series."""
+    ticks = lineitem.select(
+        F.col("l_partkey").cast("string").alias("symbol"),
+        "l_shipdate",
+        "l_orderkey",
+        "l_linenumber",
+        "l_extendedprice",
+        F.try_divide("l_extendedprice", "l_quantity").alias("price"),
+        F.col("l_quantity").alias("quantity"),
+    )
+    day = F.date_trunc("day", F.col("l_shipdate")).cast("timestamp_ntz")
+    # lines that share order and number differ in price
+    return ticks_to_bars(ticks, day, "price", "quantity", ["l_orderkey", "l_linenumber", "l_extendedprice"])
+
+
 def hourly_bars(spark: SparkSession, folder: str) -> DataFrame:
     return hourly_event_bars(table(spark, folder, "events"))
 
