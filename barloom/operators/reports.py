@@ -302,32 +302,72 @@ def label_quality(labeled: DataFrame, keys: Iterable[str] = KEYS) -> DataFrame:
     )
 
 
-def _state_report(long_rows: DataFrame, states: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
-    """Quality of the trades found in each state, with empty states kept.
+def _state_report(
+    labeled: DataFrame, inputs: list[str], keys: list[str], by: list[str], states: dict[tuple[str, ...], Column]
+) -> DataFrame:
+    """Quality of the trades found in each state, with empty states kept. `states` maps the `by` values of a state
+    to the condition a trade in it meets.
 
-    `long_rows` has one row per trade and state it was in; `states` lists every state with the trade totals
-    of its direction.
+    Trades are sent once, not once per state: the trades of a tile form one array in time order, with an array of
+    the conditions they meet, and every state is folded over it. The first fold finds product and extremes of each
+    tile and state; running products and peaks over those rows give each tile its start for the second fold, which
+    finds sums and drawdown. The product is a plain one, as in `max_drawdown`.
     """
-    net = F.col("net_return_pct")
-    group = [*keys, "direction", *by]
-    stats = long_rows.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.sum((net > 0.0).cast("long")).alias("_wins"),
-        F.sum((net < 0.0).cast("long")).alias("_losses"),
-        F.sum("gross_return_pct").alias("_gross"),
-        F.sum(net).alias("_net"),
-        F.avg(net).alias("_avg"),
-        F.sum(F.when(net > 0.0, net)).alias("_won"),
-        F.sum(F.when(net < 0.0, net)).alias("_lost"),
-        F.avg(F.when(net > 0.0, net)).alias("_avg_win"),
-        F.avg(F.when(net < 0.0, net)).alias("_avg_loss"),
-        F.avg(F.col("bars_to_exit").cast("double")).alias("_held"),
+    group = [*keys, "direction"]
+    trades = _trades(labeled, keys, *inputs)
+    row = F.struct(
+        POS,
+        (1.0 + _zero(F.col("net_return_pct")) / 100.0).alias("f"),
+        F.col("net_return_pct").cast("double").alias("net"),
+        F.col("gross_return_pct").cast("double").alias("gross"),
+        F.col("bars_to_exit").cast("double").alias("held"),
+        F.array(*[F.coalesce(cond, F.lit(False)) for cond in states.values()]).alias("met"),
     )
-    fall = max_drawdown(long_rows, 1.0 + _zero(net) / 100.0, _tile(), [POS], group)
-    joined = states.join(stats, group, "left").join(fall, group, "left")
+    tiles = trades.groupBy(*group, _tile().alias("_tile")).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
+    tiles = settle(tiles)
+    in_state = [*group, "_k"]
+    curve = {
+        "_eq": ("1D", "a._eq * t.f"),
+        "_high": ("cast(null as double)", "greatest(a._high, a._eq * t.f)"),
+        "_low": ("cast(null as double)", "least(a._low, a._eq * t.f)"),
+    }
+    ends = f"posexplode(transform(sequence(0, {len(states) - 1}), k -> {_fold(curve, 'k')})) as (_k, _s)"
+    ends = tiles.selectExpr(*group, "_tile", ends).select(*in_state, "_tile", "_s.*").where("_high is not null")
+
+    earlier = Window.partitionBy(*in_state).orderBy("_tile").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ends.withColumn("_o", F.coalesce(F.product("_eq").over(earlier), F.lit(1.0)))
+    top = F.col("_o") * F.when(F.col("_o") < 0.0, F.col("_low")).otherwise(F.col("_high"))
+    starts = starts.withColumn("_top", top).withColumn("_peak", F.max("_top").over(earlier))
+    starts = starts.groupBy(*group, "_tile").agg(F.collect_list(F.struct("_k", "_o", "_peak")).alias("_starts"))
+    level = "x._o * (a._eq * t.f)"
+    sums = {
+        "_n": ("0L", "a._n + 1L"),
+        "_wins": ("0L", "a._wins + if(t.net > 0D, 1L, 0L)"),
+        "_losses": ("0L", "a._losses + if(t.net < 0D, 1L, 0L)"),
+        "_known": ("0L", "a._known + if(t.net is null, 0L, 1L)"),
+        "_timed": ("0L", "a._timed + if(t.held is null, 0L, 1L)"),
+        "_gross": ("0D", "a._gross + coalesce(t.gross, 0D)"),
+        "_net": ("0D", "a._net + coalesce(t.net, 0D)"),
+        "_won": ("0D", "a._won + if(t.net > 0D, t.net, 0D)"),
+        "_lost": ("0D", "a._lost + if(t.net < 0D, t.net, 0D)"),
+        "_held": ("0D", "a._held + coalesce(t.held, 0D)"),
+    }
+    falling = {
+        "_eq": ("1D", "a._eq * t.f"),
+        "_peak": ("x._peak", f"greatest(a._peak, {level})"),
+        "_fall": ("0D", f"least(a._fall, try_divide({level}, greatest(a._peak, {level})) - 1D)"),
+    }
+    found = f"inline(transform(_starts, x -> named_struct('_k', x._k, '_s', {_fold({**sums, **falling}, 'x._k')})))"
+    found = tiles.join(starts, [*group, "_tile"]).selectExpr(*group, found).select(*in_state, "_s.*")
+    stats = found.groupBy(*in_state).agg(*[F.sum(x).alias(x) for x in sums], F.min("_fall").alias("_fall"))
+
+    named = [F.struct(F.lit(k).alias("_k"), *[F.lit(v).alias(c) for c, v in zip(by, values, strict=True)]) for k, values in enumerate(states)]
+    every = _directions(labeled, keys).select("*", F.inline(F.array(*named)))
+    joined = every.join(stats, in_state, "left")
     n, wins, losses = (F.coalesce(F.col(x), F.lit(0).cast("long")) for x in ("_n", "_wins", "_losses"))
     return joined.select(
         *group,
+        *by,
         n.alias("total_trades"),
         pct(n, F.col("_of_direction")).alias("trade_pct_of_direction"),
         wins.alias("profitable_trades"),
@@ -336,15 +376,23 @@ def _state_report(long_rows: DataFrame, states: DataFrame, keys: list[str], by:
         pct(losses, n).alias("loss_rate_pct"),
         _zero(F.col("_gross")).alias("gross_return_pct"),
         _zero(F.col("_net")).alias("net_return_pct"),
-        _zero(F.col("_avg")).alias("avg_return_per_trade"),
+        _zero(F.try_divide("_net", "_known")).alias("avg_return_per_trade"),
         _ratio_or_infinite(F.col("_won"), F.col("_lost")).alias("profit_factor"),
-        _zero(F.col("_avg_win")).alias("average_win_pct"),
-        _zero(F.col("_avg_loss")).alias("average_loss_pct"),
-        (_zero(F.col("max_drawdown")) * 100.0).alias("max_drawdown_pct"),
-        _zero(F.col("_held")).alias("avg_bars_to_exit"),
+        _zero(F.try_divide("_won", "_wins")).alias("average_win_pct"),
+        _zero(F.try_divide("_lost", "_losses")).alias("average_loss_pct"),
+        (_zero(F.col("_fall")) * 100.0).alias("max_drawdown_pct"),
+        _zero(F.try_divide("_held", "_timed")).alias("avg_bars_to_exit"),
     )
 
 
+def _fold(fields: dict[str, tuple[str, str]], state: str) -> str:
+    """SQL text: the array `_rows` folded over the trades that meet the condition numbered `state`. `fields` gives
+    each part of the result its first value and its next one, from the result so far `a` and the trade `t`."""
+    first = ", ".join(f"'{name}', {start}" for name, (start, _) in fields.items())
+    after = ", ".join(f"'{name}', {step}" for name, (_, step) in fields.items())
+    return f"aggregate(_rows, named_struct({first}), (a, t) -> if(get(t.met, {state}), named_struct({after}), a))"
+
+
 def _directions(labeled: DataFrame, keys: list[str]) -> DataFrame:
     """Both directions of every key with the number of trades and of profitable trades."""
     net = F.col("net_return_pct")
@@ -376,26 +424,9 @@ def moving_average_report(labeled: DataFrame, keys: Iterable[str] = KEYS) -> Dat
     """Trade quality by side of each moving average the price was on, per direction."""
     keys = list(keys)
     flags = [f"price_above_{m}" for m in MOVING_AVERAGES]
-    trades = _trades(labeled, keys, *flags)
-    pairs = F.array(
-        *[
-            F.struct(
-                F.lit(m).alias("moving_average"),
-                F.when(F.col(f"price_above_{m}"), "above").otherwise("below").alias("relationship"),
-            )
-            for m in MOVING_AVERAGES
-        ]
-    )
-    long_rows = trades.select("*", F.inline(pairs)).drop(*flags)
-    grid = F.array(
-        *[
-            F.struct(F.lit(m).alias("moving_average"), F.lit(side).alias("relationship"))
-            for m in MOVING_AVERAGES
-            for side in ("above", "below")
-        ]
-    )
-    states = _directions(labeled, keys).select("*", F.inline(grid))
-    out = _state_report(long_rows, states, keys, ["moving_average", "relationship"])
+    above = {m: F.coalesce(F.col(f"price_above_{m}"), F.lit(False)) for m in MOVING_AVERAGES}
+    states = {(m, side): cond if side == "above" else ~cond for m, cond in above.items() for side in ("above", "below")}
+    out = _state_report(labeled, flags, keys, ["moving_average", "relationship"], states)
     expected = F.when(F.col("direction") == "BUY", "above").otherwise("below")
     out = out.withColumns(
         {
@@ -410,12 +441,7 @@ def condition_report(labeled: DataFrame, keys: Iterable[str] = KEYS) -> DataFram
     """Trade quality while each condition flag was set, per direction."""
     keys = list(keys)
     flags = [x for x in labeled.columns if x.startswith("condition_")]
-    trades = _trades(labeled, keys, *flags)
-    active = F.array(*[F.when(F.col(x), F.lit(x)) for x in flags])
-    set_flags = F.filter(active, lambda x: x.isNotNull())
-    long_rows = trades.withColumn("condition", F.explode(set_flags)).drop(*flags)
-    states = _directions(labeled, keys).withColumn("condition", F.explode(F.array(*[F.lit(x) for x in flags])))
-    return _state_report(long_rows, states, keys, ["condition"])
+    return _state_report(labeled, flags, keys, ["condition"], {(x,): F.col(x) for x in flags})
 
 
 def best_conditions(report: DataFrame, min_trades: int = 10) -> DataFrame:

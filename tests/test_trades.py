@@ -178,3 +178,38 @@ def test_profit_factor_without_losses(spark):
     none = spark.createDataFrame([("y", 0, 1, 0.0, 0.0, 0, 0.0, 0.0)], names)
     empty = rp.label_stats(none).toPandas().iloc[0]
     assert empty["profit_factor"] == 0.0 and empty["total_trades"] == 0 and empty["median_bars_to_exit"] == 0.0
+
+
+def test_state_report_over_tiles_equals_a_plain_pass(spark, monkeypatch):
+    monkeypatch.setattr(rp, "BLOCK_ROWS", 16)
+    written = []
+    monkeypatch.setattr(rp, "settle", lambda df, keep=rp.settle: written.append(df) or keep(df))
+    rng = np.random.default_rng(12)
+    n = 400
+    frame = pd.DataFrame({"symbol": rng.choice(["a", "b"], n), "rn": np.arange(n), "direction_label": rng.integers(0, 3, n)})
+    frame["net_return_pct"] = rng.normal(0.0, 20.0, n)
+    frame.loc[frame["rn"] == 205, "net_return_pct"] = -150.0
+    frame["gross_return_pct"], frame["bars_to_exit"] = frame["net_return_pct"] + 0.1, rng.integers(1, 20, n)
+    flags = [f"condition_{x}" for x in ("often", "rare", "never")]
+    for flag, share in zip(flags, (0.7, 0.02, 0.0)):
+        frame[flag] = rng.random(n) < share
+    df = spark.createDataFrame(frame).withColumn("condition_unknown", F.lit(None).cast("boolean"))
+    df = df.withColumn("net_return_pct", F.when(F.col("rn") % 37 != 5, F.col("net_return_pct")))
+    frame.loc[frame["rn"] % 37 == 5, "net_return_pct"] = np.nan
+    got = rp.condition_report(df).toPandas().set_index(["symbol", "direction", "condition"])
+    assert len(written) == 1 and set(written[0].columns) == {"symbol", "direction", "_tile", "_rows"}
+    assert len(got) == 2 * 2 * 4 and got.xs("condition_unknown", level=2)["total_trades"].sum() == 0
+    for (symbol, direction, flag), row in got.drop("condition_unknown", level=2).iterrows():
+        code = rp.LONG if direction == "BUY" else rp.SHORT
+        of = frame[(frame["symbol"] == symbol) & (frame["direction_label"] == code)]
+        mine = of[of[flag]]
+        net = mine["net_return_pct"]
+        assert row["total_trades"] == len(mine)
+        assert row["profitable_trades"] == (net > 0).sum()
+        assert row["net_return_pct"] == pytest.approx(net.sum())
+        assert row["avg_return_per_trade"] == pytest.approx(net.mean() if net.count() else 0.0)
+        assert row["average_loss_pct"] == pytest.approx(net[net < 0].mean() if (net < 0).any() else 0.0)
+        assert row["avg_bars_to_exit"] == pytest.approx(mine["bars_to_exit"].mean() if len(mine) else 0.0)
+        curve = (1 + net.fillna(0.0) / 100).cumprod().to_numpy()
+        fall = min(0.0, (curve / np.maximum.accumulate(curve) - 1).min()) if len(curve) else 0.0
+        assert row["max_drawdown_pct"] == pytest.approx(fall * 100)
