@@ -78,9 +78,12 @@ class BarrierParams:
 
 @dataclass(frozen=True)
 class ConfirmParams:
-    """Thresholds of the confirmation filter; `enabled=False` only scores."""
+    """Thresholds of the confirmation filter; `enabled=False` only scores. The required flags must all speak for a
+    label's side, whatever its score."""
 
     enabled: bool = False
     min_score: float = 8.0
     min_edge: float = 3.0
     min_return_pct: float = 0.0
+    required_bull: tuple[str, ...] = ()
+    required_bear: tuple[str, ...] = ()

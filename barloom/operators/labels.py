@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.config import KEYS, BarrierParams, ConfirmParams
@@ -325,10 +325,18 @@ def confirm(labeled: DataFrame, params: ConfirmParams = ConfirmParams()) -> Data
     trade = col("direction_label") != NEUTRAL
     if not params.enabled:
         return scored.withColumn("label_filter_reason", F.when(trade, "filter_disabled").otherwise("oracle_neutral"))
+
+    def holds(flags: tuple[str, ...], inverted: frozenset[str]) -> Column:
+        known = [x for x in flags if x in present]
+        return count_true(known, inverted, present) == float(len(known))
+
+    required = F.when(col("direction_label") == LONG, holds(params.required_bull, frozenset()))
+    required = required.otherwise(holds(params.required_bear, BEAR_INVERTED))
     reason = (
         F.when(~trade, "oracle_neutral")
         .when(~col("label_valid"), "invalid_lookahead_window")
         .when(col("net_return_pct") <= params.min_return_pct, "non_positive_return")
+        .when(~required, "missing_required_trend_confirmation")
         .when(col("confirmation_score") < params.min_score, "weak_confirmation")
         .when(col("confirmation_edge") < params.min_edge, "conflicting_confirmation")
         .otherwise("confirmed")

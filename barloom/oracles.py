@@ -698,30 +698,35 @@ BEAR_TRUE = [
 SCORES = f"""scored as materialized (
   select *, abs(bull - bear) as edge, case direction_label when 0 then bull when 2 then bear else 0 end as score
   from (select l.*, {" + ".join(f"{c}::int" for c in BULL)} as bull,
-          {" + ".join([f"(not {c})::int" for c in BEAR_FALSE] + [f"{c}::int" for c in BEAR_TRUE])} as bear
+          {" + ".join([f"(not {c})::int" for c in BEAR_FALSE] + [f"{c}::int" for c in BEAR_TRUE])} as bear,
+          price_above_ema20 and condition_mtf_4h_trend_up as bull_required,
+          not price_above_ema20 and condition_mtf_4h_trend_down as bear_required
         from labels l join (select * exclude (ts) from ma) using (symbol, rn)
         join (select * exclude (ts) from cond) using (symbol, rn)))"""
-CONFIRMED = f"""confirmed as (
+CONFIRMED = """confirmed as (
   select *, case when direction_label = 1 then 'oracle_neutral' when not label_valid then 'invalid_lookahead_window'
-      when net_return_pct <= 0 then 'non_positive_return' when score < 8 then 'weak_confirmation'
+      when net_return_pct <= 0 then 'non_positive_return' {required} when score < 8 then 'weak_confirmation'
       when edge < 3 then 'conflicting_confirmation' else 'confirmed' end as reason from scored)"""
+REQUIRED = """when not (case direction_label when 0 then bull_required else bear_required end)
+        then 'missing_required_trend_confirmation'"""
 KEEP = "reason in ('oracle_neutral', 'confirmed')"
-ORACLES["confirmed_labels"] = statement(
-    FULL + VOLATILITY + label_ctes("oracle_best", True) + [SCORES, CONFIRMED],
-    f"""select symbol, ts, cast(case when {KEEP} then direction_label else 1 end as bigint) as direction_label,
-      case when {KEEP} then direction_name else 'NEUTRAL' end as direction_name,
-      cast(direction_label as bigint) as oracle_direction_label, direction_name as oracle_direction_name,
-      {r6("bull::double", "confirmation_bull_score")}, {r6("bear::double", "confirmation_bear_score")},
-      {r6("score::double", "confirmation_score")}, {r6("edge::double", "confirmation_edge")},
-      true as confirmation_filter_used, reason as label_filter_reason,
-      {", ".join(r6(f"case when {KEEP} then {c} else 0 end", c) for c in LABEL_DOUBLES
-                 if c not in ("time_to_target", "entry_price", "exit_price"))},
-      {r6("time_to_target", "time_to_target")},
-      {", ".join(r6(f"case when {KEEP} then {c} end", c) for c in ("entry_price", "exit_price"))},
-      cast(case when {KEEP} then bars_to_exit else 0 end as bigint) as bars_to_exit,
-      case when {KEEP} then exit_reason else 'NONE' end as exit_reason
-    from confirmed""",
-)
+for name, required in {"confirmed_labels": "", "confirmed_with_required_flags": REQUIRED}.items():
+    ORACLES[name] = statement(
+        FULL + VOLATILITY + label_ctes("oracle_best", True) + [SCORES, CONFIRMED.format(required=required)],
+        f"""select symbol, ts, cast(case when {KEEP} then direction_label else 1 end as bigint) as direction_label,
+          case when {KEEP} then direction_name else 'NEUTRAL' end as direction_name,
+          cast(direction_label as bigint) as oracle_direction_label, direction_name as oracle_direction_name,
+          {r6("bull::double", "confirmation_bull_score")}, {r6("bear::double", "confirmation_bear_score")},
+          {r6("score::double", "confirmation_score")}, {r6("edge::double", "confirmation_edge")},
+          true as confirmation_filter_used, reason as label_filter_reason,
+          {", ".join(r6(f"case when {KEEP} then {c} else 0 end", c) for c in LABEL_DOUBLES
+                     if c not in ("time_to_target", "entry_price", "exit_price"))},
+          {r6("time_to_target", "time_to_target")},
+          {", ".join(r6(f"case when {KEEP} then {c} end", c) for c in ("entry_price", "exit_price"))},
+          cast(case when {KEEP} then bars_to_exit else 0 end as bigint) as bars_to_exit,
+          case when {KEEP} then exit_reason else 'NONE' end as exit_reason
+        from confirmed""",
+    )
 
 # Label reports
 

@@ -349,13 +349,25 @@ def _labeled(spark, folder, **options) -> DataFrame:
     return lb.label_bars(bars, groups=("averages", "technical"), **options)
 
 
-@query
-def confirmed_labels(spark, folder):
-    labeled = _labeled(spark, folder, confirm_params=ConfirmParams(enabled=True))
+def _confirmed(spark, folder, **params) -> DataFrame:
+    labeled = _labeled(spark, folder, confirm_params=ConfirmParams(enabled=True, **params))
     confirmation = [x for x in TRADE_LABEL_COLUMNS if x not in ("label_valid", "labeling_mode", "entry_mode")]
     return _only_features(labeled.select("symbol", "ts", *[x for x in confirmation if x != "sma_filter_used"]))
 
 
+@query
+def confirmed_labels(spark, folder):
+    return _confirmed(spark, folder)
+
+
+@query
+def confirmed_with_required_flags(spark, folder):
+    """Labels must also lie on their side of the 20-bar mean and of the four-hour trend."""
+    bull = ("price_above_ema20", "condition_mtf_4h_trend_up")
+    bear = ("price_above_ema20", "condition_mtf_4h_trend_down")
+    return _confirmed(spark, folder, required_bull=bull, required_bear=bear)
+
+
 # Label reports
 
 
