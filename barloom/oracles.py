@@ -1226,3 +1226,10 @@ ORACLES["model_input_columns"] = statement(
     f"""select symbol, count(*) as bars, cast(sum({" + ".join(f"({c} is not null)::int" for c in INPUTS)}) as bigint) as present,
       cast({len(INPUTS)} as bigint) as columns from tf join ma using (symbol, rn) group by symbol""",
 )
+
+# Sections of the evaluation that went through JSON, which has no infinite bound
+ORACLES["exported_scorecard"] = ORACLES["direction_scorecard"]
+ORACLES["exported_calibration"] = ORACLES["probability_calibration"]
+ORACLES["exported_magnitude_buckets"] = (
+    f"select * replace (case when isfinite(hi) then hi end as hi) from ({ORACLES['magnitude_buckets']})"
+)

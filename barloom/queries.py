@@ -673,6 +673,41 @@ def json_export(spark, folder):
     return tidy(back.select("symbol", "total_rows", "total_trades", "profit_factor", "win_rate_pct"))
 
 
+def _exported_evaluation(spark, folder, section: str) -> DataFrame:
+    """All sections of the evaluation written as JSON, one of them read back."""
+    from uuid import uuid4
+
+    from barloom.plans.settle import shared_folder
+
+    rows = settle(ev.evaluation_rows(_predictions(spark, folder)))
+    made = {
+        "direction": ev.direction_scorecard(rows),
+        "confidence": ev.confidence_buckets(rows),
+        "calibration": ev.calibration(rows),
+        "magnitude": ev.magnitude_buckets(rows),
+    }
+    result = ex.ResultFolder(spark, interval="1h")
+    for name, df in made.items():
+        result.add(name, df)
+    path = result.save(f"{shared_folder(spark)}/evaluation-{uuid4().hex}")
+    return tidy(spark.read.schema(made[section].schema).json(f"{path}/{section}"))
+
+
+@query
+def exported_scorecard(spark, folder):
+    return _exported_evaluation(spark, folder, "direction")
+
+
+@query
+def exported_calibration(spark, folder):
+    return _exported_evaluation(spark, folder, "calibration")
+
+
+@query
+def exported_magnitude_buckets(spark, folder):
+    return _exported_evaluation(spark, folder, "magnitude")
+
+
 @query
 def candle_json_records(spark, folder):
     """Hourly bars as JSON records with ISO times."""
