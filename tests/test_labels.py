@@ -103,3 +103,15 @@ def test_modes_are_validated(some):
         lb.trade_labels(some, entry_mode="other")
     with pytest.raises(ValueError):
         lb.trade_labels(some, keep_all_outcomes=True)
+
+
+def test_required_flags_reject_before_the_score_is_looked_at(bars):
+    need = ConfirmParams(enabled=True, required_bull=("condition_roc12_positive", "absent"), required_bear=("price_above_ema20",))
+    got = collected(lb.label_bars(bars.where("symbol = 'b'"), confirm_params=need, groups=("averages", "technical")))
+    reason = got["label_filter_reason"]
+    long, short = got["oracle_direction_label"] == 0, got["oracle_direction_label"] == 2
+    fails = (long & ~got["condition_roc12_positive"].fillna(False).astype(bool)) | (short & got["price_above_ema20"].fillna(False).astype(bool))
+    missing = reason == "missing_required_trend_confirmation"
+    assert missing.any() and (got.loc[missing, "direction_label"] == 1).all()
+    earlier = reason.isin(["invalid_lookahead_window", "non_positive_return"])
+    assert (missing == (fails & ~earlier)).all()
