@@ -1,11 +1,13 @@
-"""Interpolated modified Kneser-Ney bigram model: counted in Spark, kept as sorted arrays, memory-mapped by workers.
+"""Interpolated modified Kneser-Ney model of order two or three: counted in Spark, kept as sorted arrays, memory-mapped by workers.
 
 Files in a folder that all executors share (below `spark.checkpoint.dir`, which must be a mounted path):
 
 - `words-*`: sorted 64-bit hashes of the training tokens and their counts, split by the hashes' top bits. A word's
   number is its place over all shards, so numbers are dense.
 - `pairs-*`: sorted keys (number of the history << 32 | number of the word) with counts, split by a mix of the key:
-  a frequent history spreads over all shards.
+  a frequent history spreads over all shards. A pair's number is its place over all shards.
+- `triples-*` (order three): sorted keys (number of the pair * types + number of the word) with counts, split alike.
+  `pairs-*-a` then holds the distinct words before each pair, `-once`, `-twice` and `-more` the distinct words after it.
 - `stats-*`: arrays indexed by word number: count as history, distinct successors seen once, twice, and more often,
   distinct predecessors. Each file holds the 2^20 numbers of one part.
 
@@ -14,7 +16,9 @@ and pre-counted, so what is shuffled is distinct keys per task rather than token
 are written under another name and renamed: a repeated task writes the same file again, and a lost executor costs
 its running tasks only. Scoring reads texts once more and shuffles nothing; a worker maps the shards it touches.
 
-The order is two: see the README for what a third order would take.
+Counts are bytes, with a list of those that do not fit. A pair that comes once has one word before and one after it,
+so only pairs that come more often have these counted. Pairs that begin a text have no word before them and keep
+their plain counts; the first word of a text is scored with them.
 """
 
 from __future__ import annotations
@@ -78,6 +82,22 @@ def _save(folder: str, name: str, values: np.ndarray) -> None:
     os.replace(temporary, f"{folder}/{name}.npy")
 
 
+def _save_counts(folder: str, name: str, values: np.ndarray) -> None:
+    """One byte each; 255 stands for the counts listed apart."""
+    large = np.nonzero(values >= 255)[0]
+    _save(folder, f"{name}-at", large)
+    _save(folder, f"{name}-large", values[large].astype(np.int64))
+    _save(folder, name, np.minimum(values, 255).astype(np.uint8))
+
+
+def _counts(folder: str, name: str, at: np.ndarray) -> np.ndarray:
+    out = _mapped(f"{folder}/{name}.npy")[at].astype(np.int64)
+    large = np.nonzero(out == 255)[0]
+    if len(large):
+        out[large] = _mapped(f"{folder}/{name}-large.npy")[np.searchsorted(_mapped(f"{folder}/{name}-at.npy"), at[large])]
+    return out
+
+
 @dataclass(frozen=True)
 class Shards:
     """Where sorted arrays lie; `starts` is the number of keys before each shard."""
@@ -102,13 +122,34 @@ class Shards:
             rows = order[cuts[s] : cuts[s + 1]]
             if not len(rows) or not os.path.exists(f"{self.folder}/{self.kind}-{s}.npy"):
                 continue
-            known, counts = _mapped(f"{self.folder}/{self.kind}-{s}.npy"), _mapped(f"{self.folder}/{self.kind}-{s}-n.npy")
+            known = _mapped(f"{self.folder}/{self.kind}-{s}.npy")
             at = np.minimum(np.searchsorted(known, keys[rows]), len(known) - 1)
             hit = known[at] == keys[rows]
             place[rows[hit]] = start + at[hit]
-            count[rows[hit]] = counts[at[hit]]
+            count[rows[hit]] = _counts(self.folder, f"{self.kind}-{s}-n", at[hit])
         return place, count
 
+    def parts(self, places: np.ndarray):
+        """(shard, rows, offsets): the rows of sorted `places` that lie in a shard, and where."""
+        if not len(places):
+            return
+        shard = np.searchsorted(np.array(self.starts), places, "right") - 1
+        cuts = np.concatenate([[0], np.nonzero(np.diff(shard))[0] + 1, [len(places)]])
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            yield int(shard[a]), slice(a, b), places[a:b] - self.starts[shard[a]]
+
+    def keys(self, places: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(places), np.uint64)
+        for s, rows, at in self.parts(places):
+            out[rows] = _mapped(f"{self.folder}/{self.kind}-{s}.npy")[at]
+        return out
+
+    def counts(self, places: np.ndarray, column: str) -> np.ndarray:
+        out = np.zeros(len(places), np.int64)
+        for s, rows, at in self.parts(places):
+            out[rows] = _counts(self.folder, f"{self.kind}-{s}-{column}", at)
+        return out
+
 
 @lru_cache(maxsize=4096)
 def _mapped(path: str) -> np.ndarray:
@@ -125,6 +166,9 @@ class Model:
     word_discounts: tuple[float, float, float]
     #: Words with one, two, and more distinct predecessors, and the number of distinct pairs.
     word_classes: tuple[int, int, int, int]
+    #: Of order three.
+    triples: Shards | None = None
+    triple_discounts: tuple[float, float, float] | None = None
 
     def stats(self, numbers: np.ndarray) -> dict[str, np.ndarray]:
         """Arrays of STATS for sorted word numbers (the number `types` is the start of a text)."""
@@ -202,8 +246,13 @@ def _discounts(n: list[int]) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.0), float(k)) for k, d in zip((1, 2, 3), raw, strict=True))
 
 
-def fit(df: DataFrame, text: str = "text", folder: str | None = None, shard_bytes: int = SHARD_BYTES) -> Model:
-    """A model of the texts in `df`. NULL is an empty text: one END token. Repeated rows count as often as they come."""
+def fit(df: DataFrame, text: str = "text", folder: str | None = None, shard_bytes: int = SHARD_BYTES, order: int = 2) -> Model:
+    """A model of the texts in `df`. NULL is an empty text: one END token. Repeated rows count as often as they come.
+
+    With order three, a word's chance depends on the two words before it.
+    """
+    if order not in (2, 3):
+        raise ValueError(f"order {order}: 2 and 3 are built")
     spark: SparkSession = df.sparkSession
     place = mounted(folder or shared_folder(spark)) + f"/kneser-ney-{uuid.uuid4().hex}"
     os.makedirs(place)
@@ -215,9 +264,18 @@ def fit(df: DataFrame, text: str = "text", folder: str | None = None, shard_byte
     types, tokens = sum(r["types"] for r in found), sum(r["tokens"] for r in found)
     if types >= (1 << 32) - 1:
         raise ValueError("word numbers take 32 bits; split the corpus")
-    pairs, pair_counts, sent = _fit_pairs(texts, place, bits, words, types)
-    word_counts, classes = _fit_stats(sent, place)
-    return Model(words, pairs, tokens, types, _discounts(pair_counts), _discounts(word_counts), classes)
+    pairs, sent = _fit_pairs(texts, place, bits, words, types, order)
+    triples = None
+    if order == 3:
+        if (pairs.starts[-1] + (1 << 32)) * types >= 1 << 64:
+            raise ValueError("triple keys take 64 bits; split the corpus")
+        triples = Shards(place, "triples", bits, (0,) * (1 << bits))
+        sent = _fit_triples(texts, words, pairs, triples, types)
+    totals = np.zeros((2, 4), np.int64)
+    for row in sent.where("kind >= 2").select("kind", F.col("columns")[0].alias("n")).toLocalIterator():
+        totals[row["kind"] - 2] += np.frombuffer(bytes(row["n"]), np.uint64).astype(np.int64)
+    word_counts, classes = _fit_stats(sent.where("kind < 2"), place)
+    return Model(words, pairs, tokens, types, _discounts(totals[0].tolist()), _discounts(word_counts), classes, triples, _discounts(totals[1].tolist()) if triples else None)
 
 
 def _forget_at_exit(spark: SparkSession, place: str) -> None:
@@ -237,7 +295,7 @@ def _fit_words(texts: DataFrame, place: str, bits: int):
         shard = key[0].as_py()
         keys, counts = _merged(table)
         _save(place, f"words-{shard}", keys)
-        _save(place, f"words-{shard}-n", counts)
+        _save_counts(place, f"words-{shard}-n", counts)
         return pa.table({"shard": pa.array([shard], pa.int32()), "types": [len(keys)], "tokens": [int(counts.sum())]})
 
     blobs = texts.mapInArrow(counted, "shard int, keys binary, counts binary")
@@ -247,38 +305,119 @@ def _fit_words(texts: DataFrame, place: str, bits: int):
     return Shards(place, "words", bits, tuple(starts)), found
 
 
-def _fit_pairs(texts: DataFrame, place: str, bits: int, words: Shards, types: int):
-    blank = Shards(place, "pairs", bits, (0,) * (1 << bits))
+def _numbered(words: Shards, types: int, hashes: np.ndarray, sizes: np.ndarray):
+    """Numbers of known words, and keys of the pairs that end in them."""
+    known, where = np.unique(hashes, return_inverse=True)
+    numbers = words.find(known)[0][where].astype(np.uint64)
+    history = np.concatenate([[np.uint64(types)], numbers[:-1]])
+    history[np.cumsum(sizes)[:-1]] = types
+    return numbers, history << np.uint64(32) | numbers
+
+
+SENT = "part int, kind int, numbers binary, columns array<binary>"
+
+
+def _sent(rows) -> pa.Table:
+    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.binary()))
+    names = ("part", "kind", "numbers", "columns")
+    columns = [*zip(*rows, strict=True)] or [()] * 4
+    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+
+def _total(kind: int, counts: np.ndarray):
+    return -1, kind, b"", [np.array(_of_counts(counts), np.uint64).tobytes()]
+
+
+def _pair_rows(keys: np.ndarray, counts: np.ndarray):
+    """Rows of SENT that sum up sorted pairs by history (kind 0) and by word (1), and the counts of counts (2)."""
+    classes = [(counts == 1), (counts == 2), (counts >= 3)]
+    history = _summed(keys >> np.uint64(32), counts, *(c.astype(np.uint64) for c in classes))
+    before = _summed(keys & np.uint64(0xFFFFFFFF), np.ones(len(keys), np.uint64))
+    return [*_by_part(0, *history), *_by_part(1, *before), _total(2, counts)]
+
+
+def _fit_pairs(texts: DataFrame, place: str, bits: int, words: Shards, types: int, order: int):
+    """Pairs, and for order two the rows of SENT."""
+    blank = Shards(place, "pairs", bits, ())
 
     def counted(batches):
         for hashes, sizes in _chunks(_texts(batches)):
-            known, where = np.unique(hashes, return_inverse=True)
-            numbers = words.find(known)[0][where].astype(np.uint64)
-            history = np.concatenate([[np.uint64(types)], numbers[:-1]])
-            history[np.cumsum(sizes)[:-1]] = types
-            yield _blobs(blank, *np.unique(history << np.uint64(32) | numbers, return_counts=True))
+            yield _blobs(blank, *np.unique(_numbered(words, types, hashes, sizes)[1], return_counts=True))
 
     def kept(key, table):
         shard = key[0].as_py()
         keys, counts = _merged(table)
         _save(place, f"pairs-{shard}", keys)
-        _save(place, f"pairs-{shard}-n", counts)
-        ones = np.ones(len(keys), np.uint64)
-        classes = [(counts == 1), (counts == 2), (counts >= 3)]
-        history = _summed(keys >> np.uint64(32), counts, *(c.astype(np.uint64) for c in classes))
-        before = _summed(keys & np.uint64(0xFFFFFFFF), ones)
-        rows = [*_by_part(0, *history), *_by_part(1, *before)]
-        rows.append((2, -1, b"", [np.array(_of_counts(counts), np.uint64).tobytes()]))
-        kind, part, numbers, columns = zip(*rows, strict=True)
-        arrays = [pa.array(kind, pa.int32()), pa.array(part, pa.int32()), pa.array(numbers, pa.binary()), pa.array(columns, pa.list_(pa.binary()))]
-        return pa.Table.from_arrays(arrays, names=["kind", "part", "numbers", "columns"])
+        _save_counts(place, f"pairs-{shard}-n", counts)
+        size = np.array([len(keys)], np.uint64).tobytes()
+        return _sent([(shard, 4, b"", [size]), *(_pair_rows(keys, counts) if order == 2 else ())])
+
+    blobs = texts.mapInArrow(counted, "shard int, keys binary, counts binary")
+    sent = settle(blobs.groupBy("shard").applyInArrow(kept, SENT))
+    sizes = {r["part"]: int.from_bytes(bytes(r["n"]), "little") for r in sent.where("kind = 4").select("part", F.col("columns")[0].alias("n")).toLocalIterator()}
+    starts = list(accumulate((sizes.get(s, 0) for s in range(1 << bits)), initial=0))[:-1]
+    return Shards(place, "pairs", bits, tuple(starts)), sent.where("kind < 4")
+
 
+def _fit_triples(texts: DataFrame, words: Shards, pairs: Shards, triples: Shards, types: int) -> DataFrame:
+    """Writes triples, and the words before and after each pair; rows of SENT, kind 3 with the triples' counts of counts."""
+    place, wide = pairs.folder, np.uint64(max(types, 1))
+
+    def counted(batches):
+        for hashes, sizes in _chunks(_texts(batches)):
+            numbers, keys = _numbered(words, types, hashes, sizes)
+            distinct, back = np.unique(keys, return_inverse=True)
+            history = pairs.find(distinct)[0][back].astype(np.uint64)
+            inner = np.ones(len(keys), bool)
+            inner[np.cumsum(sizes) - sizes] = False
+            at = np.nonzero(inner)[0]
+            yield _blobs(triples, *np.unique(history[at - 1] * wide + numbers[at], return_counts=True))
+
+    def kept(key, table):
+        shard = key[0].as_py()
+        keys, counts = _merged(table)
+        _save(place, f"triples-{shard}", keys)
+        _save_counts(place, f"triples-{shard}-n", counts)
+        history, word = (keys // wide).astype(np.int64), keys % wide
+        last = pairs.keys(history) & np.uint64(0xFFFFFFFF)
+        classes = [c.astype(np.uint32) for c in (counts == 1, counts == 2, counts >= 3)]
+        often = pairs.counts(history, "n") > 1
+        after = _summed(history[often], *(c[often] for c in classes))
+        ends, before = np.unique(last << np.uint64(32) | word, return_counts=True)
+        found, n = pairs.find(ends)
+        often = np.nonzero(n > 1)[0]
+        often = often[np.argsort(found[often])]
+        rows = [_total(3, counts)]
+        for kind, places, columns in ((0, after[0], after[1:]), (1, found[often], [before[often]])):
+            rows += [(s, kind, _pack(at.astype(np.uint64)), [_pack(c[r].astype(np.uint32)) for c in columns]) for s, r, at in pairs.parts(places)]
+        return _sent(rows)
+
+    def told(key, table):
+        shard = key[0].as_py()
+        if shard < 0:  # the triples' counts of counts
+            return table
+        if not os.path.exists(f"{place}/pairs-{shard}.npy"):
+            return _sent([])
+        keys = np.array(_mapped(f"{place}/pairs-{shard}.npy"))
+        counts = _counts(place, f"pairs-{shard}-n", np.arange(len(keys)))
+        once = (counts == 1).astype(np.uint64)
+        before = np.where(keys >> np.uint64(32) == types, counts, once).astype(np.uint64)
+        after = [np.where(keys & np.uint64(0xFFFFFFFF) == end, 0, once).astype(np.uint64), *np.zeros((2, len(keys)), np.uint64)]
+        for kind, numbers, columns in zip(*(table.column(c).to_pylist() for c in ("kind", "numbers", "columns")), strict=True):
+            if kind == 4:
+                continue
+            at = _unpack(numbers, np.uint64).astype(np.int64)
+            for sums, data in zip(after if kind == 0 else [before], columns, strict=True):
+                sums[at] += _unpack(data, np.uint32)
+        for name, values in zip(("a", "once", "twice", "more"), (before, *after), strict=True):
+            _save_counts(place, f"pairs-{shard}-{name}", values)
+        return _sent(_pair_rows(keys, before))
+
+    end = np.uint64(max(int(words.find(np.array([END]))[0][0]), 0))
     blobs = texts.mapInArrow(counted, "shard int, keys binary, counts binary")
-    sent = settle(blobs.groupBy("shard").applyInArrow(kept, "kind int, part int, numbers binary, columns array<binary>"))
-    totals = np.zeros(4, np.int64)
-    for row in sent.where("kind = 2").select(F.col("columns")[0].alias("n")).toLocalIterator():
-        totals += np.frombuffer(bytes(row["n"]), np.uint64).astype(np.int64)
-    return blank, totals.tolist(), sent.where("kind < 2")
+    found = blobs.groupBy("shard").applyInArrow(kept, SENT)
+    every = texts.sparkSession.range(1 << pairs.bits).selectExpr("cast(id AS int) AS part", "4 AS kind", "X'' AS numbers", "array(X'') AS columns")
+    return settle(found.union(every).groupBy("part").applyInArrow(told, SENT))
 
 
 def _by_part(kind: int, numbers: np.ndarray, *columns: np.ndarray):
@@ -287,7 +426,7 @@ def _by_part(kind: int, numbers: np.ndarray, *columns: np.ndarray):
     cuts = np.concatenate([[0], np.nonzero(np.diff(parts))[0] + 1, [len(numbers)]]) if len(numbers) else [0]
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         packed = [_pack((c[a:b]).astype(np.uint32) if k or kind else _gaps(c[a:b])) for k, c in enumerate(columns)]
-        yield kind, int(parts[a]), _pack(numbers[a:b]), packed
+        yield int(parts[a]), kind, _pack(numbers[a:b]), packed
 
 
 def _gaps(counts: np.ndarray) -> np.ndarray:
@@ -348,7 +487,13 @@ def _score_chunk(model: Model, hashes: np.ndarray, sizes: np.ndarray):
     keys = numbers[history[full]].astype(np.uint64) << np.uint64(32) | number[where[full]].astype(np.uint64)
     distinct, back = np.unique(keys, return_inverse=True)
     together = np.zeros(len(hashes))
-    together[full] = model.pairs.find(distinct)[1][back]
+    place, plain = model.pairs.find(distinct)
+    order = np.argsort(place)
+    order = order[place[order] >= 0]
+    of_pair = plain.copy()
+    if model.triples:
+        of_pair[order] = model.pairs.counts(place[order], "a")
+    together[full] = of_pair[back]
     of_history = table["count"][history]
     some = of_history > 0
     held = sum(d * table[k] for d, k in zip(model.pair_discounts, ("once", "twice", "more"), strict=True))[history]
@@ -356,6 +501,23 @@ def _score_chunk(model: Model, hashes: np.ndarray, sizes: np.ndarray):
     share = lower[where]
     probability = np.where(some, _discounted(together, model.pair_discounts) / divide + held / divide * share, share)
     begins = ends - sizes
+    if model.triples and len(distinct):
+        # trigram level: the pair that ends one word before is the history
+        after = {k: np.zeros(len(distinct)) for k in ("once", "twice", "more")}
+        for k, values in after.items():
+            values[order] = model.pairs.counts(place[order], k)
+        held = sum(d * after[k] for d, k in zip(model.triple_discounts, after, strict=True))
+        row = np.full(len(hashes), -1)
+        row[full] = np.where(place >= 0, np.arange(len(distinct)), -1)[back]
+        inner = np.ones(len(hashes), bool)
+        inner[begins] = False
+        at = np.nonzero(inner)[0]
+        at = at[row[at - 1] >= 0]
+        pair, word = row[at - 1], number[where[at]]
+        keys, back = np.unique(place[pair[word >= 0]].astype(np.uint64) * np.uint64(max(model.types, 1)) + word[word >= 0].astype(np.uint64), return_inverse=True)
+        together = np.zeros(len(at))
+        together[word >= 0] = model.triples.find(keys)[1][back]
+        probability[at] = _discounted(together, model.triple_discounts) / plain[pair] + held[pair] / plain[pair] * probability[at]
     add = lambda x: np.add.reduceat(x, begins)  # noqa: E731  every text has a token
     return add(seen[where].astype(np.int64)), add(base[where]), add(np.log10(probability))
 

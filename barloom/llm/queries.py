@@ -79,7 +79,7 @@ def site_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def kneser_ney_scores(spark: SparkSession, folder: str) -> DataFrame:
     mark = F.pmod(F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(0)), F.lit(7)) == 2
     docs = _table(spark, folder, "documents").select("doc_id", "text", mark.alias("held_out"))
-    model = kneser_ney.fit(docs.where("NOT held_out"))
+    model = kneser_ney.fit(docs.where("NOT held_out"), order=3)
     found = kneser_ney.scored(docs, model, keys=("doc_id", "held_out"))
     return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
