@@ -21,8 +21,10 @@ from barloom.llm.text import ascii_lower
 from barloom.plans.settle import settle
 
 DAMPING = 0.85
+#: Largest change of a host's trust or distrust in the last round, as a share of it.
 TOLERANCE = 1e-6
-ROUNDS = 24
+#: Changes of values near the smallest double are not looked at.
+LEAST = 1e-290
 DOMAIN_WEIGHT = 1.0
 MARGIN = 1.0
 LINK = r"""(?i)\b(?:href|src|action)\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s<>]+)"""
@@ -79,13 +81,18 @@ def host_edges(pages: DataFrame, domain_weight: float = DOMAIN_WEIGHT) -> DataFr
     return linked.unionByName(both).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def host_trust(edges: DataFrame, hosts: DataFrame, rules: list[Rule], damping: float = DAMPING, tolerance: float = TOLERANCE, rounds: int = ROUNDS) -> DataFrame:
+def host_trust(edges: DataFrame, hosts: DataFrame, rules: list[Rule], damping: float = DAMPING, tolerance: float = TOLERANCE, rounds: int | None = None) -> DataFrame:
     """(host, trust, distrust), each summing to 1 over all hosts (0 without seeds).
 
     A host is trusted if the longest rule for its root path allows it, or if it has no such rule but an allowed path
     and no blocked one; it is blocked if the rule for its root path blocks it. The walk restarts at the seeds; what
     ends in hosts without edges goes back to them too, which only rescales the result and is done at the end.
+
+    The walk goes on until no host's value changes by more than `tolerance` of itself, so a host that is reached for
+    the first time keeps it going however far it is from the seeds. Only a caller who gives `rounds` ends it earlier.
     """
+    if rounds is None and not (tolerance > 0 and damping < 1):
+        raise ValueError("without a number of rounds the tolerance must be above 0 and the damping below 1")
     edges = settle(edges)
     out = edges.groupBy("src").agg(F.sum("weight").alias("out"))
     into = edges.groupBy("dst").agg(F.sum("weight").alias("into"))
@@ -109,16 +116,19 @@ def host_trust(edges: DataFrame, hosts: DataFrame, rules: list[Rule], damping: f
     sums = seeds.agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).first()
     seed = [F.col(c) / F.lit(sums[c] or 1.0) for c in ("good", "bad")]
     seeds = settle(seeds.select("host", seed[0].alias("good"), seed[1].alias("bad")))
-    ranks = seeds.select("host", F.col("good").alias("trust"), F.col("bad").alias("distrust"))
-    for _ in range(rounds):
-        sent = ways.join(ranks, F.col("from") == F.col("host"))
+    ranks = seeds.select("*", F.col("good").alias("trust"), F.col("bad").alias("distrust"))
+    step = lambda s, v: ((1 - damping) * F.col(s) + damping * F.coalesce(F.col(v), F.lit(0.0)))
+    change = lambda new, old: F.abs(F.col(new) - F.col(old)) / F.greatest(F.col(new), F.col(old), F.lit(LEAST))
+    done = 0
+    while rounds is None or done < rounds:
+        sent = ways.join(ranks.select("host", "trust", "distrust"), F.col("from") == F.col("host"))
         sent = sent.groupBy("to").agg(F.sum(F.col("trust") * F.col("forth")).alias("t"), F.sum(F.col("distrust") * F.col("back")).alias("d"))
-        step = lambda s, v: ((1 - damping) * F.col(s) + damping * F.coalesce(F.col(v), F.lit(0.0)))
-        before, ranks = ranks, seeds.join(sent, F.col("host") == F.col("to"), "left").select("host", step("good", "t").alias("trust"), step("bad", "d").alias("distrust"))
-        ranks = settle(ranks)
-        old = before.select("host", F.col("trust").alias("t"), F.col("distrust").alias("d"))
-        moved = ranks.join(old, "host").agg(F.sum(F.abs(F.col("trust") - F.col("t")) + F.abs(F.col("distrust") - F.col("d")))).first()[0]
-        if (moved or 0.0) < tolerance:
+        old = ranks.select("host", "good", "bad", F.col("trust").alias("old_t"), F.col("distrust").alias("old_d"))
+        ranks = old.join(sent, F.col("host") == F.col("to"), "left").select("host", "good", "bad", step("good", "t").alias("trust"), step("bad", "d").alias("distrust"), "old_t", "old_d")
+        moved = F.greatest(change("trust", "old_t"), change("distrust", "old_d"))
+        ranks = settle(ranks.select("host", "good", "bad", "trust", "distrust", moved.alias("moved")))
+        done += 1
+        if (ranks.agg(F.max("moved")).first()[0] or 0.0) < tolerance:
             break
     sums = ranks.agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")).first()
     return ranks.select("host", *[(F.col(c) / F.lit(sums[c] or 1.0)).alias(c) for c in ("trust", "distrust")])
