@@ -45,8 +45,10 @@ FOLD = bytes(32 if chr(b).isspace() and b < 128 and not 28 <= b <= 31 else ord(c
 
 
 def trigrams(data: bytes):
-    """Yields arrays of trigram buckets of a text given as UTF-8, in blocks, from its first to its last word."""
+    """Yields arrays of trigram buckets of a text given as UTF-8, in blocks; white space counts as one blank."""
     bare = data.strip().translate(FOLD)
+    if b"  " in bare:
+        bare = b" ".join(bare.split())
     if not bare:
         return
     codes = np.frombuffer(b" " + bare + b" ", np.uint8).astype(np.uint32)
