@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -102,16 +102,15 @@ def _rounded(last: bool):
     return rounded
 
 
-def copies(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST_COPIES, seed: int = SEED) -> DataFrame:
-    """The columns of `rows` (key, mark, size, source) with source_size, target and `copies`, the times it is taken.
-
-    `mark` tells documents with equal keys apart and orders ties. Documents without words are taken 0 times. Rows
-    equal in every column get their copies as if told apart. NULL is a source of its own.
-    """
+def kind_copies(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST_COPIES, seed: int = SEED) -> DataFrame:
+    """`rows` without repetition, with source_size, target, `alike` (how many rows are equal) and `copies`, the times
+    that these are taken in all. Rows equal in every column are one row that wants `alike` times the copies, so a
+    chunk holds each kind once."""
     targets = settle(source_targets(rows, weights, share, most).withColumnRenamed("source", "of"))
-    wide = rows.join(targets, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    kinds = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("alike"))
+    wide = kinds.join(targets, F.col("source").eqNullSafe(F.col("of"))).drop("of")
     want = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    want = F.when(F.col("size") > 0, want).otherwise(0.0)
+    want = F.when(F.col("size") > 0, want * F.col("alike")).otherwise(0.0)
     whole = F.floor(want)
     chance = F.pmod(F.xxhash64("key", "mark", F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
     wide = wide.select("*", whole.cast("long").alias("whole"), (want - whole).alias("part"), chance.alias("chance"))
@@ -132,10 +131,30 @@ def copies(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float =
     result = done[0]
     for more in done[1:]:
         result = result.unionByName(more)
-    names = [*rows.columns, "source_size", "target"]
+    names = [*rows.columns, "source_size", "target", "alike"]
     return result.select(*names, (F.col("whole") + F.round("part").cast("long")).alias("copies"))
 
 
+def _share(number: Column) -> Column:
+    """Copies of one of `alike` rows, numbered from 0: they differ by one at most."""
+    return F.floor(F.col("copies") / F.col("alike")) + (number < F.col("copies") % F.col("alike")).cast("long")
+
+
+def copies(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST_COPIES, seed: int = SEED) -> DataFrame:
+    """The columns of `rows` (key, mark, size, source) with source_size, target and `copies`, the times it is taken.
+
+    `mark` tells documents with equal keys apart and orders ties. Documents without words are taken 0 times. Rows
+    equal in every column share the copies of their kind evenly. NULL is a source of its own.
+    """
+    kinds = settle(kind_copies(rows, weights, share, most, seed))
+    parts = kinds.withColumn("block", F.explode(F.expr(f"sequence(0L, (alike - 1) div {CHUNK_ROWS})")))
+    if (kinds.agg(F.max("alike")).first()[0] or 1) > CHUNK_ROWS:  # the rows of a large kind are made in many tasks
+        parts = parts.repartition("key", "mark", "block")
+    number = F.expr(f"sequence(block * {CHUNK_ROWS}, least(alike, (block + 1) * {CHUNK_ROWS}) - 1)")
+    each = parts.withColumn("number", F.explode(number))
+    return each.select(*rows.columns, "source_size", "target", _share(F.col("number")).alias("copies"))
+
+
 def sized(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The narrow rows that `copies` works on: words of the text, its source, and a hash of the text as mark."""
     cols = [F.col(f"`{key}`").alias("key"), F.xxhash64(f"`{text}`").alias("mark"), word_count(f"`{text}`").alias("size"), F.col(f"`{source}`").alias("source")]
@@ -145,13 +164,24 @@ def sized(df: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 def mixed(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """The documents of the mix with the columns of `df`, each repeated as often as it is taken.
 
-    Rows alike in key, text and source are one kind: the kind is taken as often as all its rows are. NULL texts have
-    no words and are not taken. Columns of any name are carried along.
+    Rows alike in key, text and source are one kind: the kind is taken as often as all its rows are, its rows equally
+    often or once more, and each keeps its own other columns. Which of them are taken once more follows the order in
+    which they are stored. NULL texts have no words and are not taken. Columns of any name are carried along.
     """
-    taken = copies(settle(sized(df, key, text, source)), **options)
     kind = F.struct("key", "mark", "source").alias("kind")
-    taken = settle(taken.groupBy(kind).agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("n")).where("copies > 0"))
+    taken = settle(kind_copies(settle(sized(df, key, text, source)), **options).where("copies > 0").select(kind, "alike", "copies"))
     rows = packed(df, kind=F.struct(F.col(f"`{key}`").alias("key"), F.xxhash64(f"`{text}`").alias("mark"), F.col(f"`{source}`").alias("source")))
-    if (taken.agg(F.max("n")).first()[0] or 1) > 1:
-        rows = rows.dropDuplicates(["kind"])
-    return unpacked(rows.join(taken, "kind").withColumn("copy", F.explode(F.expr("sequence(1, copies)"))))
+    if (taken.agg(F.max("alike")).first()[0] or 1) > 1:
+        # numbered in the blocks they are written in: no window holds more of a kind than one task wrote
+        rows = settle(rows.withColumn("block", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id())).join(taken, "kind")
+        blocks = rows.groupBy("kind", "block").agg(F.count(F.lit(1)).alias("n"))
+        before = F.sum("n").over(Window.partitionBy("kind").orderBy("block")) - F.col("n")
+        blocks = blocks.select(F.col("kind").alias("of"), F.col("block").alias("in"), before.alias("before"))
+        inside = F.row_number().over(Window.partitionBy("kind", "block").orderBy("at")) - 1
+        numbers = rows.select("kind", "block", "at", inside.alias("inside")).join(blocks, (F.col("kind") == F.col("of")) & (F.col("block") == F.col("in")))
+        numbers = settle(numbers.select(F.col("at").alias("here"), (F.col("before") + F.col("inside")).alias("number")))
+        rows = rows.join(numbers, F.col("at") == F.col("here"))
+    else:
+        rows = rows.join(taken, "kind").withColumn("number", F.lit(0))
+    rows = rows.withColumn("times", _share(F.col("number"))).where("times > 0")
+    return unpacked(rows.withColumn("copy", F.explode(F.expr("sequence(1, times)"))))
