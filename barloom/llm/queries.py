@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import balanced_shards, bit_simhash, byte_bpe, cap_filters, kneser_ney, language_evidence, line_crf, link_trust, pivotal_mix, site_lines
+from barloom.llm import balanced_shards, bit_simhash, byte_bpe, cap_filters, kneser_ney, language_evidence, line_crf, link_trust, merkle, piece_table, pivotal_mix, site_lines, vector_file
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 RULES = [
@@ -84,6 +84,27 @@ def kneser_ney_scores(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    found = piece_table.digests(_table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("row.doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+
+
+def merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Every seventh row or so is checked as if its n_chars had been raised by one."""
+    hit = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, F.lit(False))
+    more = F.when(hit, F.col("n_chars").cast("decimal(20,0)") + 1).otherwise(F.col("n_chars"))
+    fields = ("doc_id", "source", "lang", "n_chars", "text")
+    changed = merkle.leaf(*[more if c == "n_chars" else F.col(c) for c in fields])
+    found = merkle.manifest(_table(spark, folder, "documents"), fields, found=F.when(hit, changed))
+    rebuilt = found.select("*", merkle.proof_digest(F.col("path")).alias("proof_sha256"), merkle.folded(F.col("path"), F.col("found")).alias("folded_root"))
+    return rebuilt.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def exact_top_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    found = vector_file.top_k(_table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+    return found.select(F.col("query").alias("query_id"), F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
 QUERIES = {
     "op1_cap_filter_near_dup": embedding_near_duplicates,
     "op2_line_crf_quality": line_quality,
@@ -95,5 +116,8 @@ QUERIES = {
     "op8_pivotal_mix": target_mix,
     "op9_site_line_dedup": site_line_dedup,
     "op10_kneser_ney_scores": kneser_ney_scores,
+    "op11_piece_table_middle": fill_in_middle,
+    "op12_merkle_manifest": merkle_manifest,
+    "op13_vector_file_top_k": exact_top_vectors,
     "page_language_evidence": page_languages,
 }
