@@ -78,72 +78,71 @@ def ranked(rows: DataFrame, group: str, *order: str) -> DataFrame:
     return joined.select(*[f"r.{c}" for c in rows.columns], (F.col("_place") + F.col("_shift")).alias("rank"), "n")
 
 
-def _up(nodes: DataFrame, shape: Shape) -> DataFrame:
+def _up(nodes: DataFrame, shape: Shape, digits: int) -> DataFrame:
     """Blocks (g, block, n, top): `top` nests every node of the block, and `n` counts the group's blocks.
 
     nodes: g, rank, n, h, item. A group's only node is its root and not hashed again.
     """
-    run, digits = shape.run, shape.digits
+    run, block = shape.run, shape.run**digits
     names = [f"d{i}" for i in range(digits)]
-    digit = {c: F.pmod(F.floor(F.col("rank") / run**i), F.lit(run)).cast("int") for i, c in enumerate(names)}
-    block = F.floor(F.col("rank") / shape.block).alias("block")
-    start = F.struct(F.col("h").alias("h"), F.col("item").alias("item"))
-    level = nodes.select("g", block, "n", *[c.alias(name) for name, c in digit.items()], start.alias("node")).repartition("g", "block")
+    digit = [f"cast(pmod(floor(rank / {run**i}), {run}) as int) as {c}" for i, c in enumerate(names)]
+    level = nodes.selectExpr("g", f"floor(rank / {block}) as block", "n", *digit, "named_struct('h', h, 'item', item) as node").repartition("g", "block")
+    sql = "{level}"
     for i, name in enumerate(names):
-        rest = names[i + 1 :]
-        below = F.ceil(F.col("n") / run**i)  # nodes of the group at the level that is grouped away
-        level = level.groupBy("g", "block", "n", *rest).agg(F.collect_list(F.struct(F.col(name).alias("d"), F.col("node").alias("node"))).alias("found"))
-        sorted_ = F.array_sort("found", lambda a, b: a["d"] - b["d"])
-        level = level.withColumn("kids", F.transform(sorted_, lambda k: k["node"]))
-        hashes = F.transform("kids", lambda k: k["h"])
-        h = F.when(below == 1, F.element_at(hashes, 1)).otherwise(H(F.array_join(hashes, "")))
-        level = level.select("g", "block", "n", *rest, F.struct(h.alias("h"), F.col("kids").alias("kids")).alias("node"))
-    return level.select("g", "block", F.ceil(F.col("n") / shape.block).alias("n"), F.col("node").alias("top"))
-
-
-def _down(blocks: DataFrame, shape: Shape) -> DataFrame:
-    """(g, item, h, path, above): every node of the blocks with its steps up to its root; blocks: g, top, above."""
-    empty = F.expr(f"cast(array() AS array<{STEP}>)")
-    opened = F.array(F.struct(F.col("top").alias("node"), empty.alias("path")))
-
-    def children(at: Column) -> Column:
-        kids, path = at["node"]["kids"], at["path"]
-        hashes = F.transform(kids, lambda k: k["h"])
-
-        def opened_kid(kid: Column, i: Column) -> Column:
-            before, after = F.slice(hashes, F.lit(1), i), F.slice(hashes, i + 2, F.size(kids))
-            step = F.struct(F.array_join(before, "").alias("before"), F.array_join(after, "").alias("after"))
-            handed_up = kid["h"] == at["node"]["h"]  # its group's only node: there is no step
-            return F.struct(kid.alias("node"), F.when(handed_up, path).otherwise(F.concat(F.array(step), path)).alias("path"))
-
-        return F.transform(kids, opened_kid)
+        rest = ", ".join(["g", "block", "n", *names[i + 1 :]])
+        found = f"array_sort(collect_list(named_struct('d', {name}, 'node', node)), (a, b) -> a.d - b.d)"
+        # the group's only node at this level is handed up
+        h = f"if(ceil(n / {run**i}) = 1, kids[0].h, sha2(array_join(transform(kids, k -> k.h), ''), 256))"
+        sql = f"(SELECT {rest}, named_struct('h', {h}, 'kids', kids) AS node FROM (SELECT {rest}, transform({found}, f -> f.node) AS kids FROM {sql} GROUP BY {rest}))"
+    return nodes.sparkSession.sql(f"SELECT g, block, ceil(n / {block}) AS n, node AS top FROM {sql}", level=level)
 
-    for _ in range(shape.digits):
-        opened = F.flatten(F.transform(opened, children))
-    found = blocks.select("g", "above", F.explode(opened).alias("at"))
-    return found.select("g", F.col("at.node.item").alias("item"), F.col("at.node.h").alias("h"), F.concat("at.path", "above.path").alias("path"), "above")
 
-
-def _tiers(nodes: DataFrame, shape: Shape) -> list[DataFrame]:
-    """Blocks of every tier, up to the one where each group is a single block."""
-    tiers = [settle(_up(nodes, shape))]
-    while (tiers[-1].agg(F.max("n")).first()[0] or 0) > 1:
-        up = tiers[-1].select("g", F.col("block").alias("rank"), "n", F.col("top.h").alias("h"), F.col("block").alias("item"))
-        tiers.append(settle(_up(up, shape)))
-    return tiers
+def _down(blocks: DataFrame, digits: int) -> DataFrame:
+    """(g, item, h, path, above): every node of the blocks with its steps up to its root; blocks: g, top, above."""
+    opened = f"array(named_struct('node', top, 'path', cast(array() AS array<{STEP}>)))"
+    for i in range(digits):
+        at, kid = f"at{i}", f"kid{i}"
+        kids = f"{at}.node.kids"
+        side = lambda start, length: f"array_join(transform(slice({kids}, {start}, {length}), k -> k.h), '')"
+        step = f"named_struct('before', {side('1', 'i')}, 'after', {side('i + 2', f'size({kids})')})"
+        # a node that was handed up is its parent: there is no step
+        path = f"if({kid}.h = {at}.node.h, {at}.path, concat(array({step}), {at}.path))"
+        opened = f"flatten(transform({opened}, {at} -> transform({kids}, ({kid}, i) -> named_struct('node', {kid}, 'path', {path}))))"
+    found = blocks.selectExpr("g", "above", f"explode({opened}) as at")
+    return found.selectExpr("g", "at.node.item as item", "at.node.h as h", "concat(at.path, above.path) as path", "above")
 
 
-def _told(tiers: list[DataFrame], above: DataFrame, shape: Shape) -> DataFrame:
+@dataclass(frozen=True)
+class Tier:
+    blocks: DataFrame
+    digits: int
+
+
+def _tiers(nodes: DataFrame, shape: Shape) -> list[Tier]:
+    """Blocks of every tier, up to the one where each group is a single block; nodes are written."""
+    most, tiers = nodes.agg(F.max("n")).first()[0] or 0, []
+    while True:
+        digits = 1
+        while digits < shape.digits and shape.run**digits < most:
+            digits += 1
+        blocks = settle(_up(nodes, shape, digits))
+        tiers.append(Tier(blocks, digits))
+        most = -(-most // shape.run**digits)
+        if most <= 1:
+            return tiers
+        nodes = blocks.selectExpr("g", "block as rank", "n", "top.h as h", "block as item")
+
+
+def _told(tiers: list[Tier], above: DataFrame) -> DataFrame:
     """`_down` of the lowest tier; above: (g, above) with one row per group."""
-    known = above.select("g", F.lit(0).cast("long").alias("block"), "above")
-    for number, blocks in reversed(list(enumerate(tiers))):
-        both = blocks.select("g", "block", "top").unionByName(known, allowMissingColumns=True)
+    known = above.selectExpr("g", "0L as block", "above")
+    for number, tier in reversed(list(enumerate(tiers))):
+        both = tier.blocks.select("g", "block", "top").unionByName(known, allowMissingColumns=True)
         both = both.groupBy("g", "block").agg(F.first("top", ignorenulls=True).alias("top"), F.first("above", ignorenulls=True).alias("above"))
-        found = _down(both, shape)
-        if number == 0:
-            return found
-        lifted = F.struct("path", F.col("above.subroot").alias("subroot"), F.col("above.root").alias("root"))
-        known = settle(found.select("g", F.col("item").alias("block"), lifted.alias("above")))
+        found = _down(both, tier.digits)
+        if number:
+            known = found.selectExpr("g", "item as block", "named_struct('path', path, 'subroot', above.subroot, 'root', above.root) as above")
+    return found
 
 
 def folded(path: Column, start: Column) -> Column:
@@ -169,13 +168,13 @@ def manifest(df: DataFrame, fields: tuple[str, ...], key: str = "doc_id", group:
     rows = df.select(F.col(f"`{group}`").cast("string").alias("g"), F.col(f"`{key}`").alias("key"), own.alias("leaf"), (own if found is None else found).alias("found"))
     # a leaf that is as expected is stored once
     rows = settle(rows.select("g", "key", "leaf", F.when(F.col("found") != F.col("leaf"), F.col("found")).alias("found")))
-    leaves = ranked(rows, "g", "key", "leaf").select("g", "rank", "n", F.col("leaf").alias("h"), F.struct("key", "found").alias("item"))
+    leaves = settle(ranked(rows, "g", "key", "leaf").select("g", "rank", "n", F.col("leaf").alias("h"), F.struct("key", "found").alias("item")))
     tiers = _tiers(leaves, shape)
-    roots = ranked(tiers[-1].select(F.lit(0).alias("all"), F.col("g").alias("group"), F.col("top.h").alias("h")), "all", "group")
+    roots = ranked(tiers[-1].blocks.select(F.lit(0).alias("all"), F.col("g").alias("group"), F.col("top.h").alias("h")), "all", "group")
     upper = _tiers(roots.select(F.col("all").alias("g"), "rank", "n", "h", F.col("group").alias("item")), shape)
     none = F.expr(f"cast(array() AS array<{STEP}>)")
-    start = upper[-1].select("g", F.struct(none.alias("path"), F.lit(None).cast("string").alias("subroot"), F.col("top.h").alias("root")).alias("above"))
-    groups = _told(upper, start, shape)
+    start = upper[-1].blocks.select("g", F.struct(none.alias("path"), F.lit(None).cast("string").alias("subroot"), F.col("top.h").alias("root")).alias("above"))
+    groups = _told(upper, start)
     each = F.struct("path", F.col("h").alias("subroot"), F.col("above.root").alias("root")).alias("above")
-    proofs = _told(tiers, settle(groups.select(F.col("item").alias("g"), each)), shape)
+    proofs = _told(tiers, settle(groups.select(F.col("item").alias("g"), each)))
     return proofs.select(F.col("item.key").alias(key), F.col("h").alias("leaf"), F.coalesce("item.found", "h").alias("found"), "path", "above.subroot", "above.root")
