@@ -4,6 +4,11 @@ The rank file is a parameter and stays where the cluster has it; each Python wor
 `piece_chars` are first cut where no match of the splitting pattern can reach across: before a blank or newline that
 follows a letter or digit, or else between a letter and a digit. The ids of the pieces, joined, are the ids of the
 whole text. A text without such a place stays one piece.
+
+Long runs of white space are taken out first. Of a run before another character the pattern matches all but the last
+character at once, and all of a run that ends the text; tiktoken's matcher backtracks over the run to find that out
+and runs out of stack at about a million. The match is merged as one piece of bytes instead, which is what the library
+does with it after matching.
 """
 
 from __future__ import annotations
@@ -23,9 +28,13 @@ from pyspark.sql import types as T
 from barloom.llm.text import packed, slices, utf8
 
 PIECE_CHARS = 50_000
+RUN_CHARS = 10_000
 #: No alternative of the pattern goes from a letter or digit on to white space, nor between letters and digits.
 SAFE = regex.compile(r"(?<=[\p{L}\p{N}])(?=[ \n])|(?<=\p{L})(?=\p{N})|(?<=\p{N})(?=\p{L})")
 
+#: White space as the library's pattern language sees it.
+LONG_RUN = regex.compile(r"\p{White_Space}{%d,}" % RUN_CHARS)
+
 
 @lru_cache(maxsize=4)
 def encoding(path: str, pattern: str) -> tiktoken.Encoding:
@@ -47,9 +56,15 @@ def pieces(text: str, most: int = PIECE_CHARS) -> list[str]:
 
 
 def encode(text: str, enc: tiktoken.Encoding, most: int = PIECE_CHARS) -> list[int]:
+    """Ids of a whole text, however long it or any run in it is."""
     if len(text) <= most:
         return enc.encode_ordinary(text)
-    return [i for piece in pieces(text, most) for i in enc.encode_ordinary(piece)]
+    out, start = [], 0
+    for run in LONG_RUN.finditer(text):
+        out += [i for piece in pieces(text[start : run.start()], most) for i in enc.encode_ordinary(piece)]
+        start = run.end() if run.end() == len(text) else run.end() - 1
+        out += enc._encode_single_piece(text[run.start() : start].encode())
+    return out + [i for piece in pieces(text[start:], most) for i in enc.encode_ordinary(piece)]
 
 
 def decode(ids, enc: tiktoken.Encoding) -> bytes:
@@ -60,7 +75,8 @@ def decode(ids, enc: tiktoken.Encoding) -> bytes:
 def tokenized(df: DataFrame, path: str, pattern: str, text: str = "text", piece_chars: int = PIECE_CHARS) -> DataFrame:
     """(`row`, `ids` array<int>, `decoded` binary): `row` holds all columns of `df`, one output row per input row.
 
-    NULL and empty texts have no ids and decode to no bytes. Bytes that are not UTF-8 are read as U+FFFD.
+    NULL and empty texts have no ids and decode to no bytes. Bytes that are not UTF-8 are read as U+FFFD. Very long
+    texts are whole texts too, also where they are one run of white space.
     Repeated rows stay repeated; columns of any name are carried inside `row`.
     """
 
