@@ -238,7 +238,7 @@ def label_stats(labeled: DataFrame, keys: Iterable[str] = KEYS) -> DataFrame:
     )
     taken = labeled.where(trade).select(*keys, POS, net, held.alias("_held"))
     fall = max_drawdown(taken, 1.0 + _zero(net) / 100.0, _tile(), [POS], keys)
-    median = exact_quantile(taken, keys, "_held", 0.5, "median_bars_to_exit", width=1.0)
+    median = exact_quantile(taken, keys, "_held", 0.5, "median_bars_to_exit")
     out = stats.join(fall, keys, "left").join(median, keys, "left")
     return out.select(
         *keys,

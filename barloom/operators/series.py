@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from barloom.config import KEYS
 from barloom.functions.text import crossed_above, crossed_below, div, flag, sdiv
 from barloom.operators import indicators as ind
-from barloom.plans.blocks import BLOCK_ROWS, POS, Ewm, back, in_blocks
+from barloom.plans.blocks import BLOCK_ROWS, POS, Ewm, Extreme, back, fits_blocks, in_blocks
+from barloom.plans import scan
 from barloom.plans.scan import forward_fill, running
 
 ROLLING = {"mean": "avg", "sum": "sum", "min": "min", "max": "max", "std": "stddev_samp"}
@@ -21,9 +22,10 @@ def rolling(
 ) -> DataFrame:
     """Rolling statistics: output -> (mean | sum | min | max | std, column, size, min_periods or None for size)."""
     b = in_blocks(bars, back=max(size for _, _, size, _ in outputs.values()), keys=keys)
-    return b.with_columns(
-        {name: b.roll(ROLLING[kind], x, size, min_periods=need) for name, (kind, x, size, need) in outputs.items()}
-    ).core()
+    ends = {name: Extreme(kind, x, size, need) for name, (kind, x, size, need) in outputs.items() if kind in ("max", "min")}
+    others = {name: b.roll(ROLLING[kind], x, size, min_periods=need) for name, (kind, x, size, need) in outputs.items() if name not in ends}
+    rolled = b.extremes(ends).with_columns(others).core()
+    return rolled.select(*[c for c in rolled.columns if c not in outputs], *outputs)
 
 
 def changes(bars: DataFrame, column: str, lags: Iterable[int], keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -43,10 +45,15 @@ def changes(bars: DataFrame, column: str, lags: Iterable[int], keys: tuple[str,
 def smoothed(
     bars: DataFrame, outputs: dict[str, tuple[str, float, int]], keys: tuple[str, ...] = KEYS, rows: int = BLOCK_ROWS
 ) -> DataFrame:
-    """Exponentially weighted means: output -> (column without missing values, weight of the newest, min_periods)."""
-    alphas = [alpha for _, alpha, _ in outputs.values()]
-    b = in_blocks(bars, back=max(ind.reach(a) for a in alphas), alphas=alphas, keys=keys, rows=rows)
-    return b.ewm({name: Ewm(x, alpha, need) for name, (x, alpha, need) in outputs.items()}).core()
+    """Exponentially weighted means: output -> (column without missing values, weight of the newest, min_periods).
+
+    Weights that forget within a few blocks are smoothed there; any other one makes it a scan over segments.
+    """
+    requests = {name: Ewm(x, alpha, need) for name, (x, alpha, need) in outputs.items()}
+    alphas = [r.alpha for r in requests.values()]
+    if not all(map(fits_blocks, alphas)):
+        return scan.smoothed(bars, requests, keys)
+    return in_blocks(bars, back=max(map(ind.reach, alphas)), alphas=alphas, keys=keys, rows=rows).ewm(requests).core()
 
 
 def weighted_means(

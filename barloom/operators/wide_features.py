@@ -37,7 +37,7 @@ from barloom.functions.text import (
 )
 from barloom.operators import indicators as ind
 from barloom.operators.resample import with_context
-from barloom.plans.blocks import BLOCK, BLOCK_ROWS, CORE, POS, Blocked, Ewm, back, in_blocks
+from barloom.plans.blocks import BLOCK, BLOCK_ROWS, CORE, POS, Blocked, Ewm, Extreme, back, in_blocks
 
 ALPHAS = [ind.span(n) for n in (5, 9, 12, 20, 21, 26, 50, 200)] + [ind.wilder(n) for n in (7, 14, 21)]
 # The slowest mean plus its slope look-back; the longest finite chain (192 bars) is shorter.
@@ -57,18 +57,26 @@ RANGE_FEATURES = (
 
 @dataclass
 class Level:
-    """Window columns, then expressions on them, then smoothed means of those."""
+    """Rolling extremes, window columns, then expressions on them, then smoothed means of those."""
 
+    extremes: dict[str, Extreme] = field(default_factory=dict)
     windows: dict[str, str] = field(default_factory=dict)
     values: dict[str, str] = field(default_factory=dict)
     smooth: dict[str, Ewm] = field(default_factory=dict)
 
-    def add(self, windows=None, values=None, smooth=None) -> None:
+    def add(self, windows=None, values=None, smooth=None, extremes=None) -> None:
+        self.extremes |= extremes or {}
         self.windows |= windows or {}
         self.values |= values or {}
         self.smooth |= smooth or {}
 
 
+def _swings(*sizes: int) -> dict[str, Extreme]:
+    """Highest high and lowest low of the last bars."""
+    high = {f"_hi{n}": Extreme("max", "high", n, skip=0) for n in sizes}
+    return high | {f"_lo{n}": Extreme("min", "low", n, skip=0) for n in sizes}
+
+
 RAW_HULLS = "struct(" + ", ".join(f"_raw{n} as r{n}" for n in HULL_PERIODS) + ")"
 
 
@@ -117,10 +125,9 @@ def _technical_levels(b: Blocked, levels: list[Level]) -> None:
     _base_levels(b, levels)
     upper, lower = ind.bollinger("_sma20", "_std20")
     levels[0].add(
+        extremes=_swings(6, 24, 72),
         windows={
             "_std20": b.roll("stddev_samp", "close", 20, skip=0),
-            **{f"_hi{n}": b.roll("max", "high", n, skip=0) for n in (6, 24, 72)},
-            **{f"_lo{n}": b.roll("min", "low", n, skip=0) for n in (6, 24, 72)},
             **{f"_v{n}": b.roll("avg", "volume", n, skip=0) for n in (5, 10, 20, 50)},
             "_vs50": b.roll("stddev_samp", "volume", 50, skip=0),
             "_vsum20": b.roll("sum", "volume", 20, skip=0),
@@ -285,12 +292,11 @@ def _structure_levels(b: Blocked, levels: list[Level]) -> None:
     """Breaks of structure, swing comparison, gaps, displacement, place in the long range."""
     swings, trends, zones = (5, 10, 20, 48), (20, 48), (96, 192)
     levels[0].add(
+        extremes=_swings(*swings, *zones),
         windows={
             "_c1": b.lag("close", 1),
             "_h2": b.lag("high", 2),
             "_l2": b.lag("low", 2),
-            **{f"_hi{n}": b.roll("max", "high", n, skip=0) for n in swings + zones},
-            **{f"_lo{n}": b.roll("min", "low", n, skip=0) for n in swings + zones},
         },
         values={"_rng": zero_to_null("high - low")},
     )
@@ -332,7 +338,7 @@ def add_wide_features(b: Blocked, groups: Iterable[str] = tuple(GROUPS), conditi
     for name in groups:
         GROUPS[name](b, levels)
     for level in levels:
-        b = b.with_columns(level.windows)
+        b = b.extremes(level.extremes).with_columns(level.windows)
         # Groups share some averages; the first level that yields a column wins.
         b = b.with_columns({name: text for name, text in level.values.items() if name not in b.df.columns})
         if level.smooth:

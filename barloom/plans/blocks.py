@@ -21,6 +21,7 @@ from barloom.functions.scalar import local_seconds
 
 POS, TOTAL, BLOCK, CORE = "rn", "n", "blk", "in_core"
 BLOCK_ROWS = 1 << 15
+SPAN = 16
 TILE_SECONDS = 30 * 86400
 BYTES_PER_TASK = 32 << 20
 MAX_TASKS = 100_000
@@ -92,6 +93,16 @@ def segment_sizes(alphas: Iterable[float], largest: int = BLOCK_ROWS) -> tuple[i
     return tuple(sorted(sizes, reverse=True))
 
 
+def fits_blocks(alpha: float) -> bool:
+    """Whether `Blocked.ewm` can smooth with this weight; `scan.smoothed` can with any."""
+    if not 0.0 < alpha < 1.0:
+        return False
+    try:
+        return bool(segment_sizes([alpha]))
+    except ValueError:
+        return False
+
+
 def back(trail: str, k: int) -> str:
     """Value k rows ago from a `Blocked.trail`; NULL where the series has no such row."""
     return f"get({trail}, size({trail}) - {k + 1})"
@@ -107,6 +118,18 @@ class Ewm:
     skip: int = 0
 
 
+@dataclass(frozen=True)
+class Extreme:
+    """Request for one rolling extreme: max or min, column, size, values needed (all without a number), and how many
+    leading values of a series are missing (not known without a number)."""
+
+    fn: str
+    source: str
+    size: int
+    min_periods: int | None = None
+    skip: int | None = None
+
+
 @dataclass(frozen=True)
 class Blocked:
     """A numbered frame cut into blocks; every method adds columns (as SQL text) and keeps the layout."""
@@ -153,6 +176,40 @@ class Blocked:
         full = f"{POS} >= {skip + need - 1}" if skip is not None else f"count({x}) {over} >= {need}"
         return f"case when {full} then {fn}({x}) {over} end"
 
+    def extremes(self, requests: dict[str, Extreme]) -> Blocked:
+        """Rolling maxima and minima of any size, each row at the cost of a few offsets instead of its whole frame.
+
+        The extreme of the last 16 rows is a frame; that of 256, 4096, ... rows is taken from 16 of the next narrower
+        ones, and any size from at most 16 overlapping spans of the widest that fits (overlaps do not change an
+        extreme). Spans of one width are one Window node for all requests.
+        """
+        width = lambda size: SPAN ** max(int(math.log(size, SPAN) + 1e-9), 0)
+        wide = [r for r in requests.values() if r.size > SPAN]
+        name = lambda r, w: r.source if w == 1 else f"_{r.fn}{w}_{r.source}"
+
+        def combined(r: Extreme, w: int, size: int) -> str:
+            places = sorted({*range(0, size - w, w), size - w})
+            parts = [f"lag({name(r, w)}, {k}) {self.window()}" if k else name(r, w) for k in places]
+            return f"{'greatest' if r.fn == 'max' else 'least'}({', '.join(parts)})" if len(parts) > 1 else parts[0]
+
+        def full(r: Extreme, text: str) -> str:
+            need = r.size if r.min_periods is None else r.min_periods
+            if need <= 1:
+                return text
+            frame = self.window(f"rows between {r.size - 1} preceding and current row")
+            there = f"{POS} >= {r.skip + need - 1}" if r.skip is not None else f"count({r.source}) {frame} >= {need}"
+            return f"case when {there} then {text} end"
+
+        step, w = self, SPAN
+        while any(width(r.size) >= w for r in wide):
+            made = {name(r, w): self.roll(r.fn, r.source, SPAN, min_periods=1) if w == SPAN else combined(r, w // SPAN, w)
+                    for r in wide if width(r.size) >= w}
+            step, w = step.with_columns(made), w * SPAN
+        texts = {out: combined(r, width(r.size), r.size) if r.size > SPAN else self.roll(r.fn, r.source, r.size, min_periods=1)
+                 for out, r in requests.items()}
+        step = step.with_columns({out: full(requests[out], text) for out, text in texts.items()})
+        return step.drop(*{name(r, SPAN**k) for r in wide for k in range(1, 8)})
+
     def forward(self, fn: str, x: str, size: int) -> str:
         """Aggregate over the next `size` rows, without the row itself."""
         return f"{fn}({x}) {self.window(f'rows between 1 following and {size} following')}"
@@ -227,9 +284,13 @@ def in_blocks(
     alphas: Iterable[float] = (),
     keys: Iterable[str] = KEYS,
     rows: int = BLOCK_ROWS,
+    segments: Iterable[int] | None = None,
 ) -> Blocked:
-    """Lay a numbered frame out in blocks whose frames may reach `back` rows back and `ahead` rows on."""
-    sizes = segment_sizes(alphas)
+    """Lay a numbered frame out in blocks whose frames may reach `back` rows back and `ahead` rows on.
+
+    `segments` gives nested segment lengths (widest first) instead of those that the weights `alphas` need.
+    """
+    sizes = segment_sizes(alphas) if segments is None else tuple(segments)
     rows = max(rows, back, ahead)
     own = F.floor(F.col(POS) / rows)
     first = F.greatest(F.floor((F.col(POS) - ahead) / rows), F.lit(0).cast("long"))

@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from barloom.operators import series as sr
-from barloom.plans.blocks import decay_rate, in_blocks, number_rows, number_short_series, segment_sizes
-from barloom.plans.quantile import exact_quantile
+from barloom.plans import scan
+from barloom.plans.blocks import Ewm, decay_rate, fits_blocks, in_blocks, number_rows, number_short_series, segment_sizes
+from barloom.plans.quantile import exact_quantile, exact_quantiles
 from barloom.plans.scan import forward_fill, max_drawdown, running
 from conftest import collected
 
@@ -37,6 +38,24 @@ def test_smoothing_equals_pandas_in_any_layout(bars, bars_frame, rows):
         np.testing.assert_allclose(got[name], want, rtol=1e-13)
 
 
+def test_smoothing_with_any_weight_equals_pandas(bars, bars_frame, monkeypatch):
+    """Weights that forget nothing, fast ones, and segments and groups small enough to need every level."""
+    weights = {"never": 1e-12, "slow": 1e-6, "mild": 2 / 6, "fast": 0.9, "last": 1.0 - 1e-9, "now": 1.0}
+    requests = {name: Ewm("close", a, 3) for name, a in weights.items()}
+    requests["late"] = Ewm("volume", 1e-5, 4, skip=2)
+    wants = {name: bars_frame.groupby("symbol")["close"].transform(lambda x, a=a: x.ewm(alpha=a, adjust=False, min_periods=3).mean()) for name, a in weights.items()}
+    skipped = bars_frame["volume"].where(bars_frame["rn"] >= 2)
+    wants["late"] = skipped.groupby(bars_frame["symbol"]).transform(lambda x: x.ewm(alpha=1e-5, adjust=False, min_periods=4).mean())
+    for group, rows in ((4096, scan.BLOCK_ROWS), (4, 8)):
+        monkeypatch.setattr(scan, "GROUP", group)
+        monkeypatch.setattr(scan, "BLOCK_ROWS", rows)
+        got = collected(scan.smoothed(bars, requests))
+        for name, want in wants.items():
+            np.testing.assert_allclose(got[name], want, rtol=1e-12, err_msg=name)
+    assert not fits_blocks(1e-12) and fits_blocks(2 / 6)
+    np.testing.assert_allclose(collected(sr.smoothed(bars, {"y": ("close", 1e-6, 3)}))["y"], wants["slow"], rtol=1e-12)
+
+
 def test_blocks_copy_only_the_edges(bars):
     b = in_blocks(bars, back=100, ahead=20, rows=1000)
     counts = b.df.where("symbol = 'a'").groupBy("blk").agg(F.count("*").alias("k"), F.sum(F.col("in_core").cast("int")))
@@ -61,6 +80,18 @@ def test_rolling_equals_pandas(bars, bars_frame):
         np.testing.assert_allclose(got[name], want, rtol=1e-7, atol=1e-6)
 
 
+def test_extremes_of_any_size_equal_pandas(bars, bars_frame):
+    sizes = (1, 2, 15, 16, 17, 31, 32, 33, 72, 96, 192, 255, 256, 257, 2000)
+    outputs = {f"{kind}{size}": (kind, column, size, None) for kind, column in (("max", "high"), ("min", "low")) for size in sizes}
+    outputs |= {"early": ("max", "gaps", 40, 1), "some": ("min", "gaps", 300, 25)}
+    holes = bars.withColumn("gaps", F.when(F.col("rn") % 7 > 2, F.col("close")))
+    got = collected(sr.rolling(holes, outputs))
+    frame = bars_frame.assign(gaps=bars_frame["close"].where(bars_frame["rn"] % 7 > 2))
+    for name, (kind, source, size, need) in outputs.items():
+        want = frame.groupby("symbol")[source].transform(lambda x: getattr(x.rolling(size, min_periods=need), kind)())
+        pd.testing.assert_series_equal(got[name], want, check_names=False, obj=name)
+
+
 def test_weighted_hull_and_rank_equal_pandas(bars, bars_frame):
     got = collected(sr.weighted_means(bars, "close", [4, 10], [9]))
 
@@ -110,11 +141,36 @@ def test_quantile_equals_numpy(spark, q):
     frame = pd.DataFrame({"k": rng.integers(0, 4, 5000), "x": np.round(rng.normal(0, 1, 5000), 2)})
     frame.loc[frame["k"] == 1, "x"] = 7.0
     frame = pd.concat([frame, pd.DataFrame({"k": [9], "x": [-3.25]})])
-    got = exact_quantile(spark.createDataFrame(frame), ["k"], "x", q, "v", width=0.1).toPandas().set_index("k")["v"]
+    got = exact_quantile(spark.createDataFrame(frame), ["k"], "x", q, "v").toPandas().set_index("k")["v"]
     want = frame.groupby("k")["x"].quantile(q)
     np.testing.assert_allclose(got.loc[want.index], want, atol=1e-12)
 
 
+def test_quantiles_at_any_scale_and_in_one_pass(spark):
+    rng = np.random.default_rng(16)
+    parts = {
+        "tiny": rng.normal(0, 1e-12, 3000),
+        "huge": rng.normal(0, 1e12, 3000),
+        "both": np.concatenate([rng.normal(0, 1e-12, 1501), rng.normal(0, 1e12, 1500)]),
+        "ulps": np.nextafter(1.0, 2.0) + np.arange(1000) * np.finfo(float).eps,
+        "ends": np.array([-np.inf, -1.0, 0.0, -0.0, 5e-324, np.inf, 1.7e308]),
+        "two": np.array([3.0, 8.0]),
+        None: np.array([2.5]),
+    }
+    frame = pd.DataFrame([(k, float(x)) for k, xs in parts.items() for x in xs], columns=["k", "x"])
+    rows = spark.createDataFrame([(k, x) for k, x in zip(frame["k"], frame["x"])] + [("two", None), ("none", None)], "k string, x double")
+    wanted = {"low": 0.0, "a": 0.13, "mid": 0.5, "p99": 0.99, "top": 1.0}
+    got = {r["k"]: r for r in exact_quantiles(rows, ["k"], "x", wanted).collect()}
+    assert set(got) == set(parts)
+    for k, xs in parts.items():
+        for name, q in wanted.items():
+            ordered = np.sort(xs)
+            rank = (len(xs) - 1) * q
+            low, high = ordered[int(np.floor(rank))], ordered[int(np.ceil(rank))]
+            want = low if low == high else low + (high - low) * (rank - np.floor(rank))
+            assert got[k][name] == want or (np.isnan(want) and np.isnan(got[k][name])), (k, name)
+
+
 def test_drawdown_takes_losses_beyond_everything_and_leaves_null_out(spark):
     from pyspark.sql import functions as F
 
