@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,7 @@ from barloom.operators import indicators as ind
 from barloom.operators import wide_features as wide
 from barloom.operators.resample import with_context
 from barloom.plans.blocks import POS, TOTAL, Blocked, Ewm, in_blocks
+from barloom.plans.touch import ahead_of
 from barloom.sources.bars import check_choice
 
 MODES = ("oracle_best", "fixed_rule")
@@ -55,23 +58,23 @@ def volatility_back(params: BarrierParams) -> int:
     return ind.reach(ind.wilder(params.atr_length)) + 102
 
 
-def add_paths(b: Blocked, lookahead: int) -> Blocked:
-    """Highs and lows of the next bars as arrays, the close a timeout exits at, and the next open."""
-    ahead = b.window(f"rows between 1 following and {lookahead} following")
+def add_next(b: Blocked, lookahead: int) -> Blocked:
+    """The next open and the close a timeout exits at: that of the last bar in the look-ahead."""
+    whole = b.window("rows between unbounded preceding and unbounded following")
     return b.with_columns(
         {
-            "_highs": f"collect_list(high) {ahead}",
-            "_lows": f"collect_list(low) {ahead}",
-            "_last_close": f"coalesce(last(close) {ahead}, close)",
             "_next_open": f"lead(open, 1) {b.window()}",
+            "_last_close": f"coalesce(lead(close, {lookahead}) {b.window()}, last(close) {whole})",
         }
     )
 
 
-def first_touch(price: str, upper: bool) -> str:
-    """Step (from 1) at which the path first reaches the price from below (or above), NULL if it does not."""
-    test = f"transform(_highs, x -> x >= {price})" if upper else f"transform(_lows, x -> x <= {price})"
-    return f"nullif(array_position({test}, true), 0)"
+def add_touches(b: Blocked, lookahead: int, prices: dict[str, tuple[str, bool]]) -> Blocked:
+    """Step (from 1) at which the next bars first reach each price from below (true) or above, NULL without one."""
+    b = b.with_columns({f"{name}_at": price for name, (price, _) in prices.items()})
+    ahead = ahead_of(b, lookahead)
+    steps = {name: ahead.reach(f"r.{name}_at", upper) for name, (_, upper) in prices.items()}
+    return ahead.rows(steps, drop=[f"{name}_at" for name in prices])
 
 
 def outcome(tp_step: str, sl_step: str) -> str:
@@ -100,6 +103,45 @@ def barrier_price(entry: str, pct: str, up: bool) -> str:
     return f"({entry} * (1 {'+' if up else '-'} {pct} / 100D))"
 
 
+def ratio_test(target: float, stop: float, params: BarrierParams) -> str:
+    """Condition on `atr_pct` under which a grid cell's bounded target is at least `min_rr` times its bounded stop.
+
+    The multiples and bounds are decimals, so the ranges are found exactly and written as text: where neither side is
+    bounded the ratio is that of the multiples, whatever the last bit of the volatility.
+    """
+    exact = lambda x: Fraction(repr(float(x)))
+    t, s, rr = exact(target), exact(stop), exact(params.min_rr)
+    target_ends = exact(params.min_target_pct), exact(params.max_target_pct)
+    stop_ends = max(exact(params.min_stop_pct), exact(1e-9)), max(exact(params.max_stop_pct), exact(1e-9))
+
+    def holds(atr: Fraction) -> bool:
+        bounded = lambda x, ends: min(max(x, ends[0]), ends[1])
+        return bounded(atr * t, target_ends) >= rr * bounded(atr * s, stop_ends)
+
+    # the test can only change where a bound begins or ends to hold, or where a bound is the ratio times the other side
+    turns = {e / m for m, ends in ((t, target_ends), (s, stop_ends)) if m > 0 for e in ends}
+    turns |= {e / (rr * s) for e in target_ends if rr * s > 0} | {rr * e / t for e in stop_ends if t > 0}
+    points = sorted(p for p in turns if p > 0)
+    # open ranges and the points between them, in order
+    parts = []
+    for low, high in zip([Fraction(0), *points], [*points, None], strict=True):
+        parts.append((low, high, holds((low + high) / 2 if high is not None else low + 1)))
+        if high is not None:
+            parts.append((high, high, holds(high)))
+    texts, at = [], 0
+    while at < len(parts):
+        end = at
+        while end < len(parts) and parts[end][2]:
+            end += 1
+        if end > at:
+            (low, first, _), (last, high, _) = parts[at], parts[end - 1]
+            checks = [] if low == 0 else [f"atr_pct {'>=' if low == first else '>'} {float(low)!r}D"]
+            checks += [] if high is None else [f"atr_pct {'<=' if last == high else '<'} {float(high)!r}D"]
+            texts.append(f"({' and '.join(checks) or 'true'})")
+        at = end + 1
+    return f"({' or '.join(texts) or 'false'})"
+
+
 def barrier_outcomes(
     bars: DataFrame,
     params: BarrierParams = BarrierParams(),
@@ -116,7 +158,7 @@ def barrier_outcomes(
     b = in_blocks(
         bars, back=volatility_back(params), ahead=params.lookahead, alphas=volatility_alphas(params), keys=keys
     )
-    b = add_paths(add_volatility(b, params), params.lookahead)
+    b = add_next(add_volatility(b, params), params.lookahead)
     base = "_next_open" if entry_mode == "next_open" else "close"
     slip = params.slippage_pct / 100.0
 
@@ -127,21 +169,25 @@ def barrier_outcomes(
         {
             "take_profit_pct": bounded(params.fixed_tp_multiplier, params.min_target_pct, params.max_target_pct),
             "stop_loss_pct": bounded(params.fixed_sl_multiplier, params.min_stop_pct, params.max_stop_pct),
+            **{f"_e{side}": f"{base} * (1 + {sign} * {slip!r}D)" for side, sign in SIDES.items()},
         }
     )
+    prices = {}
+    for side in SIDES:
+        long = side == LONG
+        prices[f"_t{side}"] = (barrier_price(f"_e{side}", "take_profit_pct", long), long)
+        prices[f"_s{side}"] = (barrier_price(f"_e{side}", "stop_loss_pct", not long), not long)
+    b = add_touches(b, params.lookahead, prices)
     rows = b.core().where(f"atr_pct > 0 and {base} is not null")
-    rows = rows.withColumn("sign", F.explode(F.array(F.lit(1), F.lit(-1))))
-    rows = rows.selectExpr("*", f"{base} * (1 + sign * {slip!r}D) as entry_price")
+    sides = ", ".join(
+        f"named_struct('sign', {sign}, 'entry_price', _e{side}, '_tp_step', _t{side}, '_sl_step', _s{side})" for side, sign in SIDES.items()
+    )
+    rows = rows.selectExpr("*", f"inline(array({sides}))")
     rows = rows.selectExpr(
         "*",
         "entry_price * (1 + sign * take_profit_pct / 100D) as _tp",
         "entry_price * (1 - sign * stop_loss_pct / 100D) as _sl",
     )
-    rows = rows.selectExpr(
-        "*",
-        f"if(sign = 1, {first_touch('_tp', True)}, {first_touch('_tp', False)}) as _tp_step",
-        f"if(sign = 1, {first_touch('_sl', False)}, {first_touch('_sl', True)}) as _sl_step",
-    )
     rows = rows.selectExpr("*", f"{outcome('_tp_step', '_sl_step')} as exit_code")
     rows = rows.selectExpr(
         "*",
@@ -158,8 +204,7 @@ def barrier_outcomes(
             "net_return_pct": F.col("gross_return_pct") - F.lit(params.cost_pct),
         }
     )
-    scratch = ("_highs", "_lows", "_last_close", "_next_open", "_tp", "_sl", "_tp_step", "_sl_step", "sign")
-    return rows.drop(*scratch)
+    return rows.drop("sign", *[x for x in rows.columns if x.startswith("_")])
 
 
 def add_best_trade(
@@ -172,7 +217,7 @@ def add_best_trade(
 ) -> Blocked:
     """Per bar, the trade of the barrier grid with the best net return among those that reach their target.
 
-    Touch steps are found once per barrier level; grid cells only compare them. Ties keep the first cell by
+    Touch steps are found once per barrier level (see `plans/touch.py`); grid cells only compare them. Ties keep the first cell by
     target, stop, long before short. `keep_all_outcomes` (fixed rule only) also accepts losing exits.
     """
     check_choice("labeling_mode", mode, MODES)
@@ -196,15 +241,15 @@ def add_best_trade(
     for side in SIDES:
         long = side == LONG
         for i in range(len(targets)):
-            steps[f"_t{side}_{i}"] = first_touch(barrier_price(f"_e{side}", f"_tp{i}", long), long)
+            steps[f"_t{side}_{i}"] = (barrier_price(f"_e{side}", f"_tp{i}", long), long)
         for j in range(len(stops)):
-            steps[f"_s{side}_{j}"] = first_touch(barrier_price(f"_e{side}", f"_sl{j}", not long), not long)
-    b = b.with_columns(steps)
+            steps[f"_s{side}_{j}"] = (barrier_price(f"_e{side}", f"_sl{j}", not long), not long)
+    b = add_touches(b, params.lookahead, steps)
 
     usable = f"atr_pct > 0 and {POS} < {TOTAL} - {params.lookahead} and {base} is not null"
     if not fixed:
         usable += f" and atr_level <= {params.max_atr_ratio!r}D"
-    checks = {f"_rr{i}_{j}": f"_tp{i} / greatest(_sl{j}, 1e-9)" for i in range(len(targets)) for j in range(len(stops))}
+    checks = {f"_rr{i}_{j}": ratio_test(t, s, params) for i, t in enumerate(targets) for j, s in enumerate(stops)}
     for side in SIDES:
         trend = f" and close {'>' if side == LONG else '<'} sma20_or_close" if use_sma_filter else ""
         checks[f"_ok{side}"] = usable + trend
@@ -215,7 +260,7 @@ def add_best_trade(
     for i in range(len(targets)):
         for j in range(len(stops)):
             for side in SIDES:
-                allowed = f"_ok{side} and _rr{i}_{j} >= {float(params.min_rr)!r}D"
+                allowed = f"_ok{side} and _rr{i}_{j}"
                 net = f"_tp{i} - {params.cost_pct!r}D"
                 if keep_all_outcomes:
                     exits = _exit_text(f"_t{side}_{i}", f"_s{side}_{j}", f"_tp{i}", f"_sl{j}", f"_e{side}", side, params)
@@ -291,7 +336,7 @@ def trade_labels(
     b = in_blocks(
         bars, back=volatility_back(params), ahead=params.lookahead, alphas=volatility_alphas(params), keys=keys
     )
-    b = add_paths(add_volatility(b, params), params.lookahead)
+    b = add_next(add_volatility(b, params), params.lookahead)
     b = add_best_trade(b, params, mode, use_sma_filter, entry_mode, keep_all_outcomes).drop_scratch()
     return _named(b.core().drop("atr_pct", "atr_level", "sma20_or_close"))
 
@@ -381,7 +426,7 @@ def label_bars(
         alphas=[*wide.ALPHAS, *volatility_alphas(params)],
         keys=keys,
     )
-    b = add_paths(add_volatility(b, params), params.lookahead)
+    b = add_next(add_volatility(b, params), params.lookahead)
     b = add_best_trade(b, params, mode, use_sma_filter, entry_mode, keep_all_outcomes).drop_scratch()
     b = b.drop("atr_pct", "atr_level", "sma20_or_close")
     b = wide.add_wide_features(b, groups, conditions=True)

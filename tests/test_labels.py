@@ -61,7 +61,8 @@ def test_best_label_equals_a_search_of_the_grid(some, bars_frame):
                 for tp_m in params.tp_multipliers:
                     for sl_m in params.sl_multipliers:
                         tp, sl = np.clip(atr * tp_m, 0.1, 10), np.clip(atr * sl_m, 0.05, 5)
-                        if tp / max(sl, 1e-9) < 1.5:
+                        free = 0.1 < atr * tp_m < 10 and 0.05 < atr * sl_m < 5
+                        if (tp_m < 1.5 * sl_m) if free else (tp / max(sl, 1e-9) < 1.5):
                             continue
                         for side, sign in ((0, 1), (2, -1)):
                             entry = series["open"][r.rn + 1] * (1 + sign * 0.0002)
