@@ -644,7 +644,9 @@ ORACLES["barrier_outcomes"] = statement(
 
 
 def label_ctes(mode: str, sma_filter: bool, entry: str = "next_open", every: bool = False) -> list[str]:
-    allowed = "tp / greatest(sl, 1e-9) >= 1.5::double and rn < n - 20"
+    # free of bounds the ratio is that of the multiples, which are decimals
+    allowed = """case when atr_pct * tp_m::double between 0.1 and 10.0 and atr_pct * sl_m::double between 0.05 and 5.0
+        then tp_m >= 1.5 * sl_m else tp / greatest(sl, 1e-9) >= 1.5::double end and rn < n - 20"""
     if mode == "oracle_best":
         allowed += " and atr_level <= 2.0"
     if sma_filter:
@@ -1214,6 +1216,7 @@ ORACLES["streamed_indicators"] = statement(
     f"""select symbol, ts, {rolled("close", "ema", "atr")}, {r6("100 - 100 / (1 + g / (l + 1e-9))", "rsi")}
     from b join e using (symbol, rn)""",
 )
+ORACLES["streamed_indicators_with_late_bars"] = ORACLES["streamed_indicators"]
 ORACLES["streamed_context"] = ORACLES["higher_timeframe_context"]
 
 _LEFT_OUT = {*AVERAGES, "ema21", "vwap", "vol_percentile_100", "dist_ema_5", "dist_ema_9", "dist_ema_20", "dist_ema_50",
@@ -1233,3 +1236,66 @@ ORACLES["exported_calibration"] = ORACLES["probability_calibration"]
 ORACLES["exported_magnitude_buckets"] = (
     f"select * replace (case when isfinite(hi) then hi end as hi) from ({ORACLES['magnitude_buckets']})"
 )
+ORACLES["slow_means"] = statement(
+    HOURLY + ewm("e", "b", {"mean_1e6": ("close", 1e-6, 1), "mean_1e9": ("volume", 1e-9, 5), "mean_fast": ("close", 0.97, 3)}),
+    f"select symbol, ts, {rolled('mean_1e6', 'mean_1e9', 'mean_fast')} from b join e using (symbol, rn)",
+)
+
+# As-of joins
+
+NEAR = "s.ts >= p.ts - interval 2 days"
+ORACLES["last_view_before_purchase"] = f"""
+with p as (select user_id, ts, event_id, value from events where event_type = 'purchase'),
+s as (select user_id, ts, max(event_id) as event_id, max_by(value, event_id) as value from events
+      where event_type = 'view' group by user_id, ts)
+select p.user_id, p.ts, p.event_id, {r6("p.value", "value")}, case when {NEAR} then s.ts end as view_ts,
+  case when {NEAR} then s.event_id end as view_event_id, {r6(f"case when {NEAR} then s.value end", "view_value")}
+from p asof left join s on p.user_id = s.user_id and p.ts >= s.ts"""
+ORACLES["previous_order_of_customer"] = f"""
+with d as (select o_custkey, o_orderdate, max(o_orderkey) as k, max_by(o_totalprice, o_orderkey) as price
+           from orders group by o_custkey, o_orderdate)
+select o.o_custkey, o.o_orderdate, o.o_orderkey, {r6("o.o_totalprice", "o_totalprice")}, d.o_orderdate as last_o_orderdate,
+  d.k as last_o_orderkey, {r6("d.price", "last_o_totalprice")}
+from orders o asof join d on o.o_custkey = d.o_custkey and o.o_orderdate > d.o_orderdate"""
+
+# Payload files
+
+ORACLES["payload_folder_bars"] = statement(
+    HOURLY, f"select symbol, ts, {ROUNDED_BARS} from bars where ts >= timestamp '2024-01-09 06:00:00' and ts < timestamp '2024-01-24'"
+)
+ORACLES["streamed_payload_bars"] = statement(HOURLY, f"select symbol, ts, {ROUNDED_BARS} from bars where symbol in ('click', 'view')")
+LOCAL = "zoned as materialized (select * replace (ts + interval '5 hours 30 minutes' as ts) from bars)"
+ORACLES["half_hour_zone_bars"] = statement(
+    HOURLY + [LOCAL, resampled("h4", 14400).replace("from bars", "from zoned")], f"select symbol, ts, {ROUNDED_BARS} from h4"
+)
+
+# Full tables: every group joined
+
+_CONTEXT_COLUMNS = [f"mtf_{t}_{c}" for t in ("4h", "1d") for c in CONTEXT]
+_OWN = [c for c in TECHNICAL_COLUMNS if c not in MA_DOUBLES]
+_EVERY = [*MA_DOUBLES, *_OWN, *STRUCTURE_COLUMNS, *_CONTEXT_COLUMNS]
+_BOOLEANS = [f"price_above_{m}" for m in AVERAGES] + [f"condition_{n}" for n in FLAGS]
+_JOINED = f"""whole as materialized (
+  select b.symbol, b.ts, b.rn, {", ".join(f"ma.{c}" for c in MA_DOUBLES)}, {", ".join(f"tf.{c}" for c in _OWN)},
+    {", ".join(f"ms.{c}" for c in STRUCTURE_COLUMNS)}, h4_ctx.* exclude (symbol, rn), d1_ctx.* exclude (symbol, rn),
+    {", ".join(_BOOLEANS)}
+  from b join ma using (symbol, rn) join tf using (symbol, rn) join ms using (symbol, rn) join cond using (symbol, rn)
+    join h4_ctx using (symbol, rn) join d1_ctx using (symbol, rn))"""
+ORACLES["filled_table"] = statement(
+    FULL + [SWINGS, STRUCTURE, _JOINED],
+    f"select symbol, ts, {', '.join(_BOOLEANS)}, "
+    + ", ".join(r6(f"coalesce(last_value({c} ignore nulls) {frame(10**9)}, 0)", c) for c in _EVERY)
+    + " from whole",
+)
+ORACLES["labeled_table"] = statement(
+    FULL + [SWINGS, STRUCTURE, _JOINED] + VOLATILITY + label_ctes("oracle_best", True) + [SCORES],
+    f"""select symbol, w.ts, {", ".join(f"w.{c}" for c in _BOOLEANS)}, {", ".join(r6(f"w.{c}", c) for c in _EVERY)},
+      cast(direction_label as bigint) as direction_label, direction_name, {rolled(*LABEL_DOUBLES)}, exit_reason,
+      cast(bars_to_exit as bigint) as bars_to_exit, sma_filter_used, labeling_mode, entry_mode, label_valid,
+      cast(direction_label as bigint) as oracle_direction_label, direction_name as oracle_direction_name,
+      {r6("bull::double", "confirmation_bull_score")}, {r6("bear::double", "confirmation_bear_score")},
+      {r6("score::double", "confirmation_score")}, {r6("edge::double", "confirmation_edge")},
+      false as confirmation_filter_used,
+      case when direction_label = 1 then 'oracle_neutral' else 'filter_disabled' end as label_filter_reason
+    from whole w join scored using (symbol, rn)""",
+)

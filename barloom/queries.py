@@ -5,6 +5,7 @@ Doubles are rounded to 6 decimals so that summation order does not show.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 from functools import wraps
 
@@ -15,6 +16,7 @@ from pyspark.sql import types as T
 from barloom.config import ConfirmParams, SplitParams, TradeParams
 from barloom.functions.names import MODEL_FEATURES, TRADE_LABEL_COLUMNS
 from barloom.operators import (
+    asof,
     dataset,
     evaluate as ev,
     labels as lb,
@@ -28,11 +30,13 @@ from barloom.operators import (
 )
 from barloom.plans.blocks import number_rows
 from barloom.plans.session import tune
-from barloom.plans.settle import settle
+from barloom.plans.settle import scratch_path as _scratch, settle
 from barloom.sources import bars as src
 from barloom.sources import export as ex
+from barloom.sources import payloads as pay
 from barloom.sources import tables as tab
 from barloom.streaming import bars as sm
+from barloom.streaming.indicators import running_indicators
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -143,14 +147,10 @@ def symbols_side_by_side(spark, folder):
 @query
 def bars_through_files(spark, folder):
     """Bars written as one folder per symbol in parquet and CSV, read back and compared per symbol."""
-    from uuid import uuid4
-
-    from barloom.plans.settle import shared_folder
-
     bars = settle(tab.hourly_bars(spark, folder))
     out = None
     for fmt in ("parquet", "csv"):
-        path = f"{shared_folder(spark)}/bars-{fmt}-{uuid4().hex}"
+        path = _scratch(spark, f"bars-{fmt}")
         src.write_bars(bars, path, fmt)
         back = src.read_bars(spark, path, fmt)
         part = back.groupBy("symbol").agg(
@@ -163,6 +163,36 @@ def bars_through_files(spark, folder):
     return tidy(out)
 
 
+def _payload_folder(spark, bars) -> str:
+    path = _scratch(spark, "payloads")
+    pay.write_payloads(pay.to_payloads(bars), path)
+    return path
+
+
+@query
+def payload_folder_bars(spark, folder):
+    """All symbols' payload files of some chunks, read as one table."""
+    path = _payload_folder(spark, tab.hourly_bars(spark, folder))
+    return tidy(pay.read_payloads(spark, path, start=dt.datetime(2024, 1, 9, 6), end=dt.datetime(2024, 1, 24)))
+
+
+@query
+def streamed_payload_bars(spark, folder):
+    """The payload files of two symbols as a stream of three files a batch."""
+    path = _payload_folder(spark, tab.hourly_bars(spark, folder))
+    bars = pay.stream_payloads(spark, path, symbols=["click", "view"], files_per_batch=3)
+    rows, checkpoint = _paths(spark, "payload-stream")
+    sm.run_updates(bars, rows, checkpoint)
+    return tidy(spark.read.parquet(rows).drop("part", sm.BATCH))
+
+
+@query
+def half_hour_zone_bars(spark, folder):
+    """Four-hour bars on the wall clock of a zone that is half an hour off."""
+    path = _payload_folder(spark, tab.hourly_bars(spark, folder))
+    return tidy(rs.resample(pay.read_payloads(spark, path, time_zone="Asia/Kolkata"), 4 * 3600))
+
+
 @query
 def bar_contract(spark, folder):
     return tidy(src.bar_contract(tab.hourly_bars(spark, folder)))
@@ -305,6 +335,12 @@ def filled_features(spark, folder):
     return _only_features(filled, *[x for x in filled.columns if x.startswith(("ema", "sma", "hma"))])
 
 
+@query
+def filled_table(spark, folder):
+    """All feature groups, context and flags without a gap."""
+    return _only_features(wf.filled_features(tab.numbered_bars(spark, folder)))
+
+
 @query
 def condition_flags(spark, folder):
     wide = wf.wide_features(tab.numbered_bars(spark, folder), ["technical"], conditions=True)
@@ -368,6 +404,12 @@ def confirmed_with_required_flags(spark, folder):
     return _confirmed(spark, folder, required_bull=bull, required_bear=bear)
 
 
+@query
+def labeled_table(spark, folder):
+    """Every column of the full labelling: features of all groups, context, flags, labels and their confirmation."""
+    return _only_features(lb.label_bars(tab.numbered_bars(spark, folder)))
+
+
 # Label reports
 
 
@@ -582,6 +624,13 @@ def smoothed_means(spark, folder):
     return _only_features(sr.smoothed(tab.numbered_bars(spark, folder), outputs))
 
 
+@query
+def slow_means(spark, folder):
+    """Weights that remember the whole series, and one that forgets at once."""
+    outputs = {"mean_1e6": ("close", 1e-6, 1), "mean_1e9": ("volume", 1e-9, 5), "mean_fast": ("close", 0.97, 3)}
+    return _only_features(sr.smoothed(tab.numbered_bars(spark, folder), outputs))
+
+
 @query
 def weighted_means(spark, folder):
     return _only_features(sr.weighted_means(tab.numbered_bars(spark, folder), "close", (4, 10, 25), (9, 21, 50)))
@@ -626,6 +675,24 @@ def model_input_columns(spark, folder):
     return tidy(out.withColumn("columns", F.lit(len(names)).cast("long")))
 
 
+# As-of joins
+
+
+@query
+def last_view_before_purchase(spark, folder):
+    """Each purchase with its user's last view in the two days up to it."""
+    events = tab.table(spark, folder, "events").select("user_id", "ts", "event_id", "value", "event_type")
+    bought, seen = (events.where(F.col("event_type") == kind).drop("event_type") for kind in ("purchase", "view"))
+    return tidy(asof.asof_join(bought, seen, ["user_id"], tie=["event_id"], tolerance_seconds=2 * 86400, prefix="view_"))
+
+
+@query
+def previous_order_of_customer(spark, folder):
+    """Each order with the same customer's last order of an earlier day; first orders go."""
+    orders = tab.table(spark, folder, "orders").select("o_custkey", "o_orderdate", "o_orderkey", "o_totalprice")
+    return tidy(asof.asof_join(orders, orders, ["o_custkey"], "o_orderdate", tie=["o_orderkey"], strict=True, how="inner", prefix="last_"))
+
+
 # Model
 
 
@@ -662,23 +729,15 @@ def external_model_scores(spark, folder):
 @query
 def json_export(spark, folder):
     """Sections written as JSON lines and read back: infinite profit factors come back as NULL."""
-    from uuid import uuid4
-
-    from barloom.plans.settle import shared_folder
-
     stats = rp.label_stats(_settled_labels(spark, folder))
     result = ex.ResultFolder(spark, interval="1h").add("label_stats", stats).set_meta(source="events")
-    path = result.save(f"{shared_folder(spark)}/result-{uuid4().hex}")
+    path = result.save(_scratch(spark, "result"))
     back = spark.read.schema(stats.schema).json(f"{path}/label_stats")
     return tidy(back.select("symbol", "total_rows", "total_trades", "profit_factor", "win_rate_pct"))
 
 
 def _exported_evaluation(spark, folder, section: str) -> DataFrame:
     """All sections of the evaluation written as JSON, one of them read back."""
-    from uuid import uuid4
-
-    from barloom.plans.settle import shared_folder
-
     rows = settle(ev.evaluation_rows(_predictions(spark, folder)))
     made = {
         "direction": ev.direction_scorecard(rows),
@@ -689,7 +748,7 @@ def _exported_evaluation(spark, folder, section: str) -> DataFrame:
     result = ex.ResultFolder(spark, interval="1h")
     for name, df in made.items():
         result.add(name, df)
-    path = result.save(f"{shared_folder(spark)}/evaluation-{uuid4().hex}")
+    path = result.save(_scratch(spark, "evaluation"))
     return tidy(spark.read.schema(made[section].schema).json(f"{path}/{section}"))
 
 
@@ -719,11 +778,7 @@ def candle_json_records(spark, folder):
 
 
 def _paths(spark, name: str) -> tuple[str, str]:
-    from uuid import uuid4
-
-    from barloom.plans.settle import shared_folder
-
-    base = f"{shared_folder(spark)}/{name}-{uuid4().hex}"
+    base = _scratch(spark, name)
     return f"{base}/rows", f"{base}/checkpoint"
 
 
@@ -759,11 +814,7 @@ def streamed_first_candles(spark, folder):
 
 def _bar_stream(spark, folder) -> DataFrame:
     """Hourly bars as a stream of files."""
-    from uuid import uuid4
-
-    from barloom.plans.settle import shared_folder
-
-    path = f"{shared_folder(spark)}/bar-files-{uuid4().hex}"
+    path = _scratch(spark, "bar-files")
     bars = tab.hourly_bars(spark, folder)
     bars.write.parquet(path)
     return spark.readStream.schema(bars.schema).parquet(path)
@@ -772,8 +823,26 @@ def _bar_stream(spark, folder) -> DataFrame:
 @query
 def streamed_indicators(spark, folder):
     rows, checkpoint = _paths(spark, "stream-indicators")
-    sm.run_updates(sm.running_indicators(_bar_stream(spark, folder)), rows, checkpoint)
-    return tidy(spark.read.parquet(rows).drop("part", sm.BATCH))
+    sm.run_updates(running_indicators(_bar_stream(spark, folder)), rows, checkpoint)
+    return tidy(sm.latest(spark, rows, ["symbol", "ts"]))
+
+
+@query
+def streamed_indicators_with_late_bars(spark, folder):
+    """Bars in eight files read one by one, every third bar a file late and every seventh one sent twice."""
+    bars = tab.numbered_bars(spark, folder)
+    width = F.ceil(F.col("n") / 6)
+    sent = F.floor(F.col("rn") / width) + (F.col("rn") % 3 == 0).cast("int")
+    again = bars.where("rn % 7 = 0").withColumn("part", sent + 1)
+    path = _scratch(spark, "late-bars")
+    columns = bars.drop("rn", "n").columns
+    rows = settle(bars.withColumn("part", sent).unionByName(again).select(*columns, "part"))
+    for part in sorted(r["part"] for r in rows.select("part").distinct().collect()):  # eight at most
+        rows.where(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(f"{path}/{part}")
+    stream = spark.readStream.schema(rows.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
+    out, checkpoint = _paths(spark, "late-indicators")
+    sm.run_updates(running_indicators(stream, lateness_seconds=400 * 86400), out, checkpoint)
+    return tidy(sm.latest(spark, out, ["symbol", "ts"]))
 
 
 @query

@@ -1,13 +1,12 @@
-"""Bars, de-duplication, running indicators and coarse context over Structured Streaming."""
+"""Bars, de-duplication and coarse context over Structured Streaming; `indicators.py` has running indicators."""
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from barloom.config import KEYS
 from barloom.functions.scalar import from_local_seconds
@@ -15,6 +14,8 @@ from barloom.operators.resample import bin_label, context_table, join_context, n
 from barloom.plans.settle import settle
 
 BATCH = "batch_id"
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def stream_bars(
@@ -38,6 +39,17 @@ def first_seen(candles: DataFrame, lateness: str, keys: tuple[str, ...] = KEYS,
     return candles.withWatermark(ts, lateness).dropDuplicatesWithinWatermark([*keys, ts])
 
 
+@contextmanager
+def _state_in_rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB, which operators with several state variables need."""
+    before = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.unset(STATE_STORE) if before is None else spark.conf.set(STATE_STORE, before)
+
+
 def run_updates(stream: DataFrame, path: str, checkpoint: str) -> None:
     """Drain the stream and keep every update with its batch number in a table under `path`."""
 
@@ -45,13 +57,9 @@ def run_updates(stream: DataFrame, path: str, checkpoint: str) -> None:
         # A batch that is retried replaces its own folder, so it counts once.
         batch.withColumn(BATCH, F.lit(number)).write.mode("overwrite").parquet(f"{path}/part={number}")
 
-    query = (
-        stream.writeStream.outputMode("update")
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .foreachBatch(keep)
-        .start()
-    )
+    writer = stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+    with _state_in_rocksdb(stream.sparkSession):
+        query = writer.trigger(availableNow=True).foreachBatch(keep).start()
     query.awaitTermination()
 
 
@@ -63,46 +71,6 @@ def latest(spark: SparkSession, path: str, keys: Iterable[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), BATCH).alias("_r")).select(*keys, "_r.*")
 
 
-RUNNING_SCHEMA = "symbol string, ts timestamp_ntz, close double, ema double, atr double, rsi double"
-STATE_SCHEMA = "seen long, close double, ema double, atr double, gain double, loss double"
-
-
-def running_indicators(bars: DataFrame, ema_span: int = 21, length: int = 14) -> DataFrame:
-    """EMA, ATR and RSI of every arriving bar; the state per symbol is six numbers.
-
-    Bars of a symbol must arrive in order; within a batch they are sorted. Values appear once enough bars
-    were seen, as in the batch operators.
-    """
-    a, w = 2.0 / (ema_span + 1.0), 1.0 / length
-
-    def advance(
-        key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        seen, last, ema, atr, gain, loss = state.get if state.exists else (0, 0.0, 0.0, 0.0, 0.0, 0.0)
-        rows = pd.concat(list(batches)).sort_values("ts")
-        out = []
-        for ts, high, low, close in zip(rows["ts"], rows["high"], rows["low"], rows["close"]):
-            if seen == 0:
-                ema, atr = close, high - low
-            else:
-                move = close - last
-                true_range = max(high - low, abs(high - last), abs(low - last))
-                up, down = max(move, 0.0), max(-move, 0.0)
-                ema = (1.0 - a) * ema + a * close
-                atr = (1.0 - w) * atr + w * true_range
-                gain = up if seen == 1 else (1.0 - w) * gain + w * up
-                loss = down if seen == 1 else (1.0 - w) * loss + w * down
-            seen, last = seen + 1, close
-            rsi = 100.0 - 100.0 / (1.0 + gain / (loss + 1e-9)) if seen > length else None
-            out.append((key[0], ts, close, ema if seen >= ema_span else None, atr if seen >= length else None, rsi))
-        state.update((seen, last, ema, atr, gain, loss))
-        yield pd.DataFrame(out, columns=["symbol", "ts", "close", "ema", "atr", "rsi"])
-
-    return bars.groupBy("symbol").applyInPandasWithState(
-        advance, RUNNING_SCHEMA, STATE_SCHEMA, "update", GroupStateTimeout.NoTimeout
-    )
-
-
 def _partial_bars(bars: DataFrame, seconds: int, keys: tuple[str, ...]) -> DataFrame:
     """What one batch adds to the coarse bars: first and last bar of each bin keep their time."""
     return bars.groupBy(*keys, from_local_seconds(bin_label(F.col("ts"), seconds)).alias("bin")).agg(

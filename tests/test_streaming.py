@@ -1,8 +1,11 @@
 import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
 
 from barloom.operators import resample as rs
 from barloom.operators import series as sr
 from barloom.streaming import bars as sm
+from barloom.streaming.indicators import running_indicators, state_after
 from conftest import collected
 
 
@@ -21,7 +24,7 @@ BARS = ["symbol", "ts", "open", "high", "low", "close", "volume"]
 def test_running_indicators_over_batches_equal_the_batch(spark, bars, tmp_path):
     some = bars.where("symbol = 'b'")
     stream = stream_in_three(spark, some, str(tmp_path / "in"), BARS)
-    sm.run_updates(sm.running_indicators(stream), str(tmp_path / "out"), str(tmp_path / "cp"))
+    sm.run_updates(running_indicators(stream), str(tmp_path / "out"), str(tmp_path / "cp"))
     got = collected(spark.read.parquet(str(tmp_path / "out")), ("symbol", "ts"))
     assert got["batch_id"].nunique() == 3
     want = collected(sr.basic_indicators(some))
@@ -31,6 +34,36 @@ def test_running_indicators_over_batches_equal_the_batch(spark, bars, tmp_path):
     np.testing.assert_allclose(got["ema"], ema["ema"], rtol=1e-12)
 
 
+def test_late_repeated_and_unordered_bars_equal_the_batch(spark, bars, tmp_path):
+    """Five batches: bars come shuffled, a batch late, twice, and one far too late; the first bars came before the stream."""
+    rng = np.random.default_rng(4)
+    some = collected(bars.where("symbol <> 'a'"), ("symbol", "ts"))
+    stream = some[(some["rn"] >= 100) | (some["symbol"] == "c")].copy()
+    stream["batch"] = (stream["rn"] // 180 + rng.integers(0, 2, len(stream))).clip(0, 4)
+    again = stream.sample(frac=0.3, random_state=1).assign(batch=lambda x: (x["batch"] + rng.integers(0, 2, len(x))).clip(0, 4))
+    old = some[(some["symbol"] == "b") & (some["rn"] == 5)].assign(batch=4, close=1.0)
+    sent = pd.concat([stream, again, old]).sample(frac=1.0, random_state=2)
+    schema = bars.select(*BARS).schema
+    for k in range(5):
+        rows = sent.loc[sent["batch"] == k, BARS]
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    history = bars.where("symbol = 'b' and rn < 100").withColumn("n", F.lit(100).cast("long"))
+    out = running_indicators(source, lateness_seconds=400 * 3600, start=state_after(history))
+    sm.run_updates(out, str(tmp_path / "out"), str(tmp_path / "cp"))
+    updates = spark.read.parquet(str(tmp_path / "out"))
+    assert updates.select("batch_id").distinct().count() == 5
+    got = collected(sm.latest(spark, str(tmp_path / "out"), ["symbol", "ts"]), ("symbol", "ts"))
+    assert updates.count() > len(got) == len(stream)
+    kept = bars.where("symbol = 'c' or symbol = 'b'")
+    want = collected(sr.basic_indicators(kept), ("symbol", "ts"))
+    ema = collected(sr.smoothed(kept, {"ema": ("close", 2 / 22, 21)}), ("symbol", "ts"))
+    inside = ((want["rn"] >= 100) | (want["symbol"] == "c")).to_numpy()
+    np.testing.assert_allclose(got["atr"], want["atr"][inside], rtol=1e-9)
+    np.testing.assert_allclose(got["rsi"], want["rsi"][inside], rtol=1e-7)
+    np.testing.assert_allclose(got["ema"], ema["ema"][inside], rtol=1e-12)
+
+
 def test_context_over_batches_equals_the_batch(spark, bars, tmp_path):
     some = bars.where("symbol = 'b'")
     stream = stream_in_three(spark, some, str(tmp_path / "in"), BARS)
@@ -68,8 +101,6 @@ def test_context_of_sparse_weekly_bars_with_a_late_symbol(spark, tmp_path):
     """Ten years of weekly bars of two symbols in three batches, one symbol behind: nothing is forgotten."""
     from conftest import SCHEMA, walk
 
-    import pandas as pd
-
     frame = pd.concat([walk("a", 520, 5, "2014-01-05", "7D"), walk("b", 520, 6, "2014-01-05", "7D")], ignore_index=True)
     rows = spark.createDataFrame(frame, SCHEMA)
     parts = ["symbol = 'a' and rn < 300", "symbol = 'b' and rn < 400 or symbol = 'a' and rn between 300 and 419", "rn >= 400 and symbol = 'b' or rn >= 420"]
