@@ -157,12 +157,11 @@ def _compare(radius: int):
         low = np.where(same, np.arange(n) + 1, np.where(side == 0, fronts, n))
         high = np.where(same | (side == 0), ends, n)
         low = np.minimum(low, high)
-        found = [(i, j) for i, j in near_pairs(fp, low, high, radius)]
-        left = np.concatenate([i for i, _ in found]) if found else np.empty(0, np.int64)
-        right = np.concatenate([j for _, j in found]) if found else np.empty(0, np.int64)
         # one fingerprint may stand in several cells of the group: its first place speaks for it
         values, place = np.unique(fp, return_inverse=True)
-        root = forest(len(values), place[left], place[right])
+        root = np.arange(len(values))
+        for i, j in near_pairs(fp, low, high, radius):  # links are folded as they come, never held together
+            root = forest(len(values), root[place[i]], root[place[j]])[root]
         moved = np.nonzero(root != np.arange(len(values)))[0]
         return pd.DataFrame({"a": values[moved].view(np.int64), "b": values[root[moved]].view(np.int64)})
 
@@ -175,8 +174,8 @@ def near_links(nodes: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> Da
     masks = F.array(*[F.lit(m).cast("long") for m in block_masks(n, radius)])
     entries = nodes.select("fp", F.posexplode(masks).alias("mask", "bits")).select("fp", "mask", F.col("fp").bitwiseAND(F.col("bits")).alias("bucket"))
     sizes = settle(entries.groupBy("mask", "bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
-    total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     chunks = F.ceil(F.col("size") / chunk).cast("int")
+    total = sizes.agg(F.coalesce(F.sum(F.col("size") * chunks), F.lit(0))).first()[0]  # a row goes to a cell per chunk
     parts = entries.join(sizes, ["mask", "bucket"]).withColumn("chunks", chunks)
     parts = parts.withColumn("part", F.pmod(F.xxhash64("fp", "mask"), F.col("chunks")).cast("int"))
     cells = parts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))

@@ -236,8 +236,9 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
     coded = settle(spread.mapInArrow(_coded(codes, kind), "node long, dims int, plain binary, filters binary"))
     entries = settle(coded.select("node", "dims", "filters").mapInArrow(_listed, "dims int, filter long, node long, place int"))
     sizes = settle(entries.groupBy("dims", "filter").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
-    total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    parts = entries.join(sizes, ["dims", "filter"]).withColumn("chunks", F.ceil(F.col("size") / chunk).cast("int"))
+    chunks = F.ceil(F.col("size") / chunk).cast("int")
+    total = sizes.agg(F.coalesce(F.sum(F.col("size") * chunks), F.lit(0))).first()[0]  # a row goes to a cell per chunk
+    parts = entries.join(sizes, ["dims", "filter"]).withColumn("chunks", chunks)
     parts = parts.withColumn("part", F.pmod(F.xxhash64("node", F.lit(SEED)), F.col("chunks")).cast("int"))
     cells = parts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     cells = cells.select("dims", "filter", "node", "place", "part", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"))
