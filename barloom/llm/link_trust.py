@@ -6,25 +6,30 @@ hosts they block along reversed edges (who links to a blocked host inherits dist
 `margin` times its trust is blocked.
 
 Host edges are absolute links of the pages, counted per pair of hosts, and edges between a host and the domain above
-it, both ways. Edges are pre-aggregated per pair and hold both directions' weights; every round is one join of
-the edges with one row per host and one sum per host, so a hub is joined to a single row and its edges may be split.
+it, both ways; a host's user and port are no part of its node. Edges are pre-aggregated per pair and hold both
+directions' weights; every step is one join of the edges with one row per host and one sum per host, so a hub is
+joined to a single row and its edges may be split. Some steps make a round, which is one job: it writes the new values
+and finds the largest change, and the round before is removed.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from barloom.llm.text import ascii_lower
-from barloom.plans.settle import settle
+from barloom.plans.settle import Rounds, settle
 
 DAMPING = 0.85
 #: Largest change of a host's trust or distrust in the last round, as a share of it.
 TOLERANCE = 1e-6
 #: Changes of values near the smallest double are not looked at.
 LEAST = 1e-290
+#: Steps of the walk between two tests of the change, and hosts per written file.
+STEPS = 5
+HOSTS_PER_FILE = 200_000
 DOMAIN_WEIGHT = 1.0
 MARGIN = 1.0
 LINK = r"""(?i)\b(?:href|src|action)\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s<>]+)"""
@@ -56,6 +61,11 @@ def url_parts(url: Column) -> tuple[Column, Column]:
     return F.coalesce(ascii_lower(host), F.lit("")), F.coalesce(path, F.lit(""))
 
 
+def node(host: Column) -> Column:
+    """The graph's name for a host: without user and port."""
+    return F.regexp_replace(host, r"^[^@]*@|:\d*$", "")
+
+
 def _first(rules: list[Rule], fits) -> tuple[Column, Column]:
     """Name and verdict of the longest rule that fits, NULL without one; block goes before allow at equal length."""
     name = verdict = F.lit(None).cast("string")
@@ -69,7 +79,7 @@ def host_edges(pages: DataFrame, domain_weight: float = DOMAIN_WEIGHT) -> DataFr
     """(src, dst, weight). pages: host, html. Links within a host are left out."""
     pages = pages.where("host <> ''")
     linked = pages.select("host", F.explode(F.regexp_extract_all("html", F.lit(LINK), 1)).alias("to"))
-    linked = linked.select(F.col("host").alias("src"), ascii_lower(F.regexp_replace("to", r"^[^@]*@|:\d*$", "")).alias("dst"))
+    linked = linked.select(F.col("host").alias("src"), ascii_lower(node(F.col("to"))).alias("dst"))
     linked = linked.where("dst <> '' AND src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight"))
     hosts = pages.select("host").distinct().union(linked.select(F.col("dst").alias("host"))).distinct()
     labels = r"size(split(host, '[.]'))"
@@ -88,8 +98,9 @@ def host_trust(edges: DataFrame, hosts: DataFrame, rules: list[Rule], damping: f
     and no blocked one; it is blocked if the rule for its root path blocks it. The walk restarts at the seeds; what
     ends in hosts without edges goes back to them too, which only rescales the result and is done at the end.
 
-    The walk goes on until no host's value changes by more than `tolerance` of itself, so a host that is reached for
-    the first time keeps it going however far it is from the seeds. Only a caller who gives `rounds` ends it earlier.
+    The walk goes on until no host's value has changed by more than `tolerance` of itself over the last few steps, so a
+    host that is reached for the first time keeps it going however far it is from the seeds. Only a caller who gives
+    `rounds` (the steps to take) ends it earlier.
     """
     if rounds is None and not (tolerance > 0 and damping < 1):
         raise ValueError("without a number of rounds the tolerance must be above 0 and the damping below 1")
@@ -113,22 +124,30 @@ def host_trust(edges: DataFrame, hosts: DataFrame, rules: list[Rule], damping: f
     good = (root == "allow") | (root.isNull() & allowed & ~blocked)
     nodes = nodes.select("host", F.coalesce(good, F.lit(False)).cast("double").alias("good"), F.coalesce(root == "block", F.lit(False)).cast("double").alias("bad"))
     seeds = settle(nodes)
-    sums = seeds.agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).first()
+    sums = seeds.agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"), F.count(F.lit(1)).alias("n")).first()
+    parts = max(1, -(-sums["n"] // HOSTS_PER_FILE))
     seed = [F.col(c) / F.lit(sums[c] or 1.0) for c in ("good", "bad")]
-    seeds = settle(seeds.select("host", seed[0].alias("good"), seed[1].alias("bad")))
-    ranks = seeds.select("*", F.col("good").alias("trust"), F.col("bad").alias("distrust"))
-    step = lambda s, v: ((1 - damping) * F.col(s) + damping * F.coalesce(F.col(v), F.lit(0.0)))
-    change = lambda new, old: F.abs(F.col(new) - F.col(old)) / F.greatest(F.col(new), F.col(old), F.lit(LEAST))
-    done = 0
+    seeds = settle(seeds.select("host", seed[0].alias("good"), seed[1].alias("bad")).coalesce(parts))
+    # what every step adds to a host, and the values it starts with
+    again = seeds.select("host", ((1 - damping) * F.col("good")).alias("trust"), ((1 - damping) * F.col("bad")).alias("distrust"))
+    ranks = seeds.select("host", F.col("good").alias("trust"), F.col("bad").alias("distrust"))
+
+    def step(ranks: DataFrame) -> DataFrame:
+        sent = ways.join(ranks, F.col("from") == F.col("host"))
+        sent = sent.select(F.col("to").alias("host"), (damping * F.col("trust") * F.col("forth")).alias("trust"), (damping * F.col("distrust") * F.col("back")).alias("distrust"))
+        return sent.unionByName(again).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
+
+    change = lambda c: F.abs(F.col(c) - F.col(f"old_{c}")) / F.greatest(F.col(c), F.col(f"old_{c}"), F.lit(LEAST))
+    written, done = Rounds(), 0
     while rounds is None or done < rounds:
-        sent = ways.join(ranks.select("host", "trust", "distrust"), F.col("from") == F.col("host"))
-        sent = sent.groupBy("to").agg(F.sum(F.col("trust") * F.col("forth")).alias("t"), F.sum(F.col("distrust") * F.col("back")).alias("d"))
-        old = ranks.select("host", "good", "bad", F.col("trust").alias("old_t"), F.col("distrust").alias("old_d"))
-        ranks = old.join(sent, F.col("host") == F.col("to"), "left").select("host", "good", "bad", step("good", "t").alias("trust"), step("bad", "d").alias("distrust"), "old_t", "old_d")
-        moved = F.greatest(change("trust", "old_t"), change("distrust", "old_d"))
-        ranks = settle(ranks.select("host", "good", "bad", "trust", "distrust", moved.alias("moved")))
-        done += 1
-        if (ranks.agg(F.max("moved")).first()[0] or 0.0) < tolerance:
+        old = ranks.select("host", F.col("trust").alias("old_trust"), F.col("distrust").alias("old_distrust"))
+        for _ in range(STEPS if rounds is None else min(STEPS, rounds - done)):
+            ranks, done = step(ranks), done + 1
+        seen = Observation()
+        moved = F.greatest(change("trust"), change("distrust"))
+        both = ranks.join(old, "host").observe(seen, F.max(moved).alias("moved"))
+        ranks = written.settle(both.select("host", "trust", "distrust").coalesce(parts))
+        if (seen.get["moved"] or 0.0) < tolerance:
             break
     sums = ranks.agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")).first()
     return ranks.select("host", *[(F.col(c) / F.lit(sums[c] or 1.0)).alias(c) for c in ("trust", "distrust")])
@@ -139,16 +158,19 @@ def judged(df: DataFrame, rules: list[Rule], key: str = "page_id", url: str = "u
 
     NULL urls and urls without `://` have an empty host and path, fit no rule and are allowed. Hosts without seeds in
     reach have no trust and no distrust and are allowed; so are ties. Pages without html have no links. Repeated rows
-    are judged alike, their links count once per row.
+    are judged alike, their links count once per row. A host with a port is judged by the trust of its node without
+    it. Pages are read whole, however long. The key must not be named like an output; other columns may.
     """
+    if key in ("host", "path", "rule", "verdict", "trust", "distrust"):
+        raise ValueError(f"key column {key} is named like an output")
     host, path = url_parts(F.col(f"`{url}`"))
     pages = df.select(F.col(f"`{key}`").alias("key"), host.alias("host"), path.alias("path"), F.col(f"`{html}`").alias("html"))
-    edges = settle(host_edges(pages))
-    hosts = pages.where("host <> ''").select("host").distinct()
-    trust = settle(host_trust(edges, hosts, rules))
+    sites = pages.select(node(F.col("host")).alias("host"), "html")
+    edges = settle(host_edges(sites))
+    trust = settle(host_trust(edges, sites.where("host <> ''").select("host").distinct(), rules))
     name, verdict = _first(rules, lambda r: r.fits(F.col("host"), F.col("path")))
-    narrow = pages.select("key", "host", "path", name.alias("rule"), verdict.alias("by_rule"))
-    joined = narrow.join(trust, "host", "left")
+    narrow = pages.select("key", "host", "path", node(F.col("host")).alias("node"), name.alias("rule"), verdict.alias("by_rule"))
+    joined = narrow.join(trust.withColumnRenamed("host", "node"), "node", "left")
     distrusted = F.coalesce(F.col("distrust") > margin * F.col("trust"), F.lit(False))
     method = F.when(distrusted, "block").otherwise("allow")
     return joined.select(F.col("key").alias(key), "host", "path", "rule", F.coalesce("by_rule", method).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))

@@ -35,3 +35,15 @@ def test_trust_is_walked_to_convergence(spark):
     assert got["c0.com"]["distrust"] > got["c0.com"]["trust"] == 0.0
     with pytest.raises(ValueError):
         link_trust.host_trust(frame, frame.select(F.col("src").alias("host")), RULES, tolerance=0.0)
+
+
+def test_a_host_with_a_port_gets_the_links_to_it(spark):
+    pages = [(1, "http://a.com/", '<a href="http://b.com:8080/x">'), (2, "http://b.com:8080/x", None), (3, "http://u@b.com/", "x" * 300_000),
+             (4, "http://c.org/fr/", '<a href="//b.com/y">' * 5), (5, None, None), (6, "http://z.net/", '<a href="http://a.com">')]
+    frame = spark.createDataFrame([(*p, 0.5) for p in pages], "page_id long, url string, html string, bystander double")
+    got = {r["page_id"]: r for r in link_trust.judged(frame, RULES).collect()}
+    assert got[2]["host"] == "b.com:8080" and got[3]["host"] == "u@b.com"
+    assert got[2]["trust"] == got[3]["trust"] > 0
+    assert (got[5]["host"], got[5]["verdict"], got[5]["trust"]) == ("", "allow", 0.0)
+    with pytest.raises(ValueError):
+        link_trust.judged(frame.withColumnRenamed("page_id", "host"), RULES, key="host")
