@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import os
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 from itertools import accumulate
 from urllib.parse import unquote, urlparse
@@ -38,15 +38,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.text import utf8
+from barloom.llm.text import slices, utf8
 from barloom.plans.settle import settle, shared_folder
 
 #: Hash that stands for the end of a text.
 END = np.uint64(0)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 PART_BITS = 20
-#: Tokens handled at once by a worker.
-TOKENS_AT_ONCE = 1 << 21
+#: Tokens that a worker counts, and scores, at once; scoring holds about twenty arrays per token.
+TOKENS_AT_ONCE, TOKENS_SCORED = 1 << 21, 1 << 18
 SHARD_BYTES = 16 << 20
 STATS = {"count": np.uint64, "once": np.uint32, "twice": np.uint32, "more": np.uint32, "before": np.uint32}
 
@@ -100,12 +100,16 @@ def _counts(folder: str, name: str, at: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Shards:
-    """Where sorted arrays lie; `starts` is the number of keys before each shard."""
+    """Where sorted arrays lie; `starts` is the number of keys before each shard, `held` the shards that have keys.
+
+    A shard in `held` whose file is gone is an error, not a shard without the key.
+    """
 
     folder: str
     kind: str
     bits: int
     starts: tuple[int, ...]
+    held: frozenset[int] = frozenset()
 
     def of(self, keys: np.ndarray) -> np.ndarray:
         """Shard of each key: by its own top bits for words, by the top bits of a mix for pairs."""
@@ -120,7 +124,7 @@ class Shards:
         cuts = np.searchsorted(shard[order], np.arange(len(self.starts) + 1))
         for s, start in enumerate(self.starts):
             rows = order[cuts[s] : cuts[s + 1]]
-            if not len(rows) or not os.path.exists(f"{self.folder}/{self.kind}-{s}.npy"):
+            if not len(rows) or s not in self.held:
                 continue
             known = _mapped(f"{self.folder}/{self.kind}-{s}.npy")
             at = np.minimum(np.searchsorted(known, keys[rows]), len(known) - 1)
@@ -169,6 +173,8 @@ class Model:
     #: Of order three.
     triples: Shards | None = None
     triple_discounts: tuple[float, float, float] | None = None
+    #: Parts of the number range that have statistics.
+    parts: frozenset[int] = frozenset()
 
     def stats(self, numbers: np.ndarray) -> dict[str, np.ndarray]:
         """Arrays of STATS for sorted word numbers (the number `types` is the start of a text)."""
@@ -177,10 +183,8 @@ class Model:
         cuts = np.concatenate([[0], np.nonzero(np.diff(parts))[0] + 1, [len(numbers)]]) if len(numbers) else [0]
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             inside = numbers[a:b] & ((1 << PART_BITS) - 1)
-            for k, values in out.items():
-                path = f"{self.words.folder}/stats-{parts[a]}-{k}.npy"
-                if os.path.exists(path):
-                    values[a:b] = _mapped(path)[inside]
+            for k, values in out.items() if int(parts[a]) in self.parts else ():
+                values[a:b] = _mapped(f"{self.words.folder}/stats-{parts[a]}-{k}.npy")[inside]
         return out
 
 
@@ -197,13 +201,13 @@ def token_hashes(data: bytes) -> np.ndarray:
     return np.array([*map(xxhash.xxh64_intdigest, data.lower().split()), END], np.uint64)
 
 
-def _chunks(texts):
-    """Yields (hashes, number of tokens of each text) for about TOKENS_AT_ONCE tokens of whole texts."""
+def _chunks(texts, most: int = TOKENS_AT_ONCE):
+    """Yields (hashes, number of tokens of each text) for about `most` tokens of whole texts."""
     parts, total = [], 0
     for data in texts:
         parts.append(token_hashes(data))
         total += len(parts[-1])
-        if total >= TOKENS_AT_ONCE:
+        if total >= most:
             yield np.concatenate(parts), np.array([len(p) for p in parts])
             parts, total = [], 0
     if parts:
@@ -211,7 +215,7 @@ def _chunks(texts):
 
 
 def _texts(batches):
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole)):
         yield from batch.column(0).to_pylist()
 
 
@@ -249,7 +253,8 @@ def _discounts(n: list[int]) -> tuple[float, float, float]:
 def fit(df: DataFrame, text: str = "text", folder: str | None = None, shard_bytes: int = SHARD_BYTES, order: int = 2) -> Model:
     """A model of the texts in `df`. NULL is an empty text: one END token. Repeated rows count as often as they come.
 
-    With order three, a word's chance depends on the two words before it.
+    With order three, a word's chance depends on the two words before it. Of an empty table the model knows no word:
+    every token then has the share of an unseen one.
     """
     if order not in (2, 3):
         raise ValueError(f"order {order}: 2 and 3 are built")
@@ -271,11 +276,14 @@ def fit(df: DataFrame, text: str = "text", folder: str | None = None, shard_byte
             raise ValueError("triple keys take 64 bits; split the corpus")
         triples = Shards(place, "triples", bits, (0,) * (1 << bits))
         sent = _fit_triples(texts, words, pairs, triples, types)
+        written = (s for s in range(1 << bits) if os.path.exists(f"{place}/triples-{s}.npy"))
+        triples = replace(triples, held=frozenset(written))
     totals = np.zeros((2, 4), np.int64)
     for row in sent.where("kind >= 2").select("kind", F.col("columns")[0].alias("n")).toLocalIterator():
         totals[row["kind"] - 2] += np.frombuffer(bytes(row["n"]), np.uint64).astype(np.int64)
-    word_counts, classes = _fit_stats(sent.where("kind < 2"), place)
-    return Model(words, pairs, tokens, types, _discounts(totals[0].tolist()), _discounts(word_counts), classes, triples, _discounts(totals[1].tolist()) if triples else None)
+    word_counts, classes, parts = _fit_stats(sent.where("kind < 2"), place)
+    of_triples = _discounts(totals[1].tolist()) if triples else None
+    return Model(words, pairs, tokens, types, _discounts(totals[0].tolist()), _discounts(word_counts), classes, triples, of_triples, parts)
 
 
 def _forget_at_exit(spark: SparkSession, place: str) -> None:
@@ -302,7 +310,7 @@ def _fit_words(texts: DataFrame, place: str, bits: int):
     found = blobs.groupBy("shard").applyInArrow(kept, "shard int, types long, tokens long").collect()  # a row per shard
     sizes = {r["shard"]: r["types"] for r in found}
     starts = list(accumulate((sizes.get(s, 0) for s in range(1 << bits)), initial=0))[:-1]
-    return Shards(place, "words", bits, tuple(starts)), found
+    return Shards(place, "words", bits, tuple(starts), frozenset(sizes)), found
 
 
 def _numbered(words: Shards, types: int, hashes: np.ndarray, sizes: np.ndarray):
@@ -356,7 +364,7 @@ def _fit_pairs(texts: DataFrame, place: str, bits: int, words: Shards, types: in
     sent = settle(blobs.groupBy("shard").applyInArrow(kept, SENT))
     sizes = {r["part"]: int.from_bytes(bytes(r["n"]), "little") for r in sent.where("kind = 4").select("part", F.col("columns")[0].alias("n")).toLocalIterator()}
     starts = list(accumulate((sizes.get(s, 0) for s in range(1 << bits)), initial=0))[:-1]
-    return Shards(place, "pairs", bits, tuple(starts)), sent.where("kind < 4")
+    return Shards(place, "pairs", bits, tuple(starts), frozenset(sizes)), sent.where("kind < 4")
 
 
 def _fit_triples(texts: DataFrame, words: Shards, pairs: Shards, triples: Shards, types: int) -> DataFrame:
@@ -396,7 +404,7 @@ def _fit_triples(texts: DataFrame, words: Shards, pairs: Shards, triples: Shards
         shard = key[0].as_py()
         if shard < 0:  # the triples' counts of counts
             return table
-        if not os.path.exists(f"{place}/pairs-{shard}.npy"):
+        if shard not in pairs.held:
             return _sent([])
         keys = np.array(_mapped(f"{place}/pairs-{shard}.npy"))
         counts = _counts(place, f"pairs-{shard}-n", np.arange(len(keys)))
@@ -449,12 +457,13 @@ def _fit_stats(sent: DataFrame, place: str):
         for name, dtype in STATS.items():
             _save(place, f"stats-{part}-{name}", dense[name].astype(dtype))
         before = dense["before"]
-        return pa.table({"n": [_of_counts(before)], "classes": [[int((before == 1).sum()), int((before == 2).sum()), int((before >= 3).sum())]], "total": [int(before.sum())]})
+        classes = [int((before == 1).sum()), int((before == 2).sum()), int((before >= 3).sum())]
+        return pa.table({"part": pa.array([part], pa.int32()), "n": [_of_counts(before)], "classes": [classes], "total": [int(before.sum())]})
 
-    found = sent.groupBy("part").applyInArrow(kept, "n array<long>, classes array<long>, total long").collect()  # a row per 2^20 words
+    found = sent.groupBy("part").applyInArrow(kept, "part int, n array<long>, classes array<long>, total long").collect()  # a row per 2^20 words
     counts = [sum(r["n"][k] for r in found) for k in range(4)]
     classes = tuple(sum(r["classes"][k] for r in found) for k in range(3))
-    return counts, (*classes, sum(r["total"] for r in found))
+    return counts, (*classes, sum(r["total"] for r in found)), frozenset(r["part"] for r in found)
 
 
 def _discounted(counts: np.ndarray, discounts) -> np.ndarray:
@@ -526,14 +535,20 @@ def scored(df: DataFrame, model: Model, text: str = "text", keys: tuple[str, ...
     """(keys, n_tokens, n_known, base_score, score) of every row; scores are log10 probabilities of the whole text.
 
     NULL and empty texts consist of the END token. Unknown words have the share of an unseen word. Perplexity is
-    10 ** (-score / n_tokens). Repeated rows are scored alike.
+    10 ** (-score / n_tokens). Repeated rows are scored alike, equal counts or scores need no rule. A very long text is
+    one chunk by itself. Key columns named like an output are refused, other columns of `df` may have any name.
     """
+    outputs = ("n_tokens", "n_known", "base_score", "score")
+    if {*keys} & {*outputs}:
+        raise ValueError(f"key columns {sorted({*keys} & {*outputs})} are named like outputs")
+    if len({*keys}) < len(keys):
+        raise ValueError("a key column is named twice")
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             rows = batch.num_rows
             parts, done = [], 0
-            for hashes, sizes in _chunks(batch.column("bytes").to_pylist()):
+            for hashes, sizes in _chunks(batch.column(len(keys)).to_pylist(), TOKENS_SCORED):
                 parts.append((sizes, *_score_chunk(model, hashes, sizes)))
                 done += len(sizes)
             assert done == rows
@@ -542,7 +557,7 @@ def scored(df: DataFrame, model: Model, text: str = "text", keys: tuple[str, ...
             arrays = [pa.array(c.astype(np.int64) if k == pa.int64() else c, k) for c, k in zip(columns, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keys))), *arrays], names=schema.names)
 
-    rows = df.select(*[F.col(f"`{k}`") for k in keys], utf8(f"`{text}`").alias("bytes"))
+    rows = df.select(*[F.col(f"`{k}`") for k in keys], utf8(f"`{text}`").alias("bytes of the text"))
     kinds = (("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType()))
     schema = T.StructType([*rows.schema.fields[:-1], *(T.StructField(n, t) for n, t in kinds)])
     return rows.mapInArrow(run, schema)

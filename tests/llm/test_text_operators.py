@@ -156,3 +156,36 @@ def test_markup_and_address(spark):
     got = spark.createDataFrame(rows, "html string, url string").select(lang, text, host, suffix).collect()
     assert [got[0][0], got[0][1].split(), got[0][2], got[0][3]] == ["de", ["yes", "on"], "www.example.org", "org"]
     assert tuple(got[1]) == (None,) * 4 and got[2][0] is None and got[2][2] is None
+
+
+def merged(data, ranks):
+    """The merge rule written out: the pair with the lowest rank is joined first, the leftmost among equals."""
+    parts = [data[i : i + 1] for i in range(len(data))]
+    while len(parts) > 1:
+        rank, at = min(((ranks.get(a + b, 1 << 40), i) for i, (a, b) in enumerate(zip(parts, parts[1:]))))
+        if rank == 1 << 40:
+            break
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    return [ranks[p] for p in parts]
+
+
+@pytest.mark.parametrize("white", [" ", "\n", "\t", "\r", "\x0b", "\x0c", "\n ", "　"])
+def test_bpe_of_long_white_space(white):
+    enc = byte_bpe.encoding(PATH, PATTERN)
+    ranks = {enc.decode_single_token_bytes(i): i for i in range(enc.n_vocab) if i < 50_256}
+    for n in (1000, 12_000, 60_000):
+        for text in (white * n, "ab" + white * n, white * n + "cd", "a\n" + white * n + "!" + white * n + "'s"):
+            assert byte_bpe.encode(text, enc, 500) == enc.encode_ordinary(text)
+    assert byte_bpe.encode(white * 300 + "x", enc) == [*merged((white * 300)[:-1].encode(), ranks), *enc.encode_ordinary(white[-1] + "x")]
+    # where the library itself gives up, from a run of a length that it can take
+    for text, tail in (("ab%scd", "cd"), ("%s", ""), ("%s!", "!")):
+        ids = byte_bpe.encode(text % (white * 2_000_000), enc)
+        assert byte_bpe.decode(ids, enc) == (text % (white * 2_000_000)).encode()
+        short = enc.encode_ordinary(text % (white * 20_000))
+        assert ids[:1000] == short[:1000] and ids[-50:] == short[-50:]
+
+
+def test_bpe_of_a_table_with_ten_million_blanks(spark):
+    text = "start" + " " * 10_000_000 + "end"
+    (row,) = byte_bpe.token_digests(frame(spark, [(1, text, None, None)]), PATH, PATTERN).collect()
+    assert row["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()

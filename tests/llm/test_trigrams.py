@@ -1,6 +1,7 @@
 """The n-gram model of order three against its definition over dictionaries."""
 
 import math
+import os
 import re
 from collections import Counter, defaultdict
 
@@ -76,3 +77,29 @@ def test_trigram_edges(spark):
     assert all(r["score"] <= 0 for r in kneser_ney.scored(docs, textless).collect())
     with pytest.raises(ValueError):
         kneser_ney.fit(docs, order=4)
+
+
+def test_a_lost_shard_is_an_error_and_chunks_do_not_matter(spark, monkeypatch):
+    texts = [*ngram_texts(), "word " * 50_000]
+    docs = frame(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    model = kneser_ney.fit(docs, shard_bytes=2000, order=3)
+    whole = {r["doc_id"]: r["score"] for r in kneser_ney.scored(docs, model).collect()}
+    assert all(math.isclose(whole[r["doc_id"]], r["score"], rel_tol=1e-12) for r in kneser_ney.scored(docs.repartition(13), model).collect())
+    for kind in ("triples", "pairs", "words"):
+        shard = max(getattr(model, kind).held)
+        path = f"{model.words.folder}/{kind}-{shard}.npy"
+        kept = np.load(path)
+        os.remove(path)
+        kneser_ney._mapped.cache_clear()
+        with pytest.raises(FileNotFoundError):
+            getattr(model, kind).find(np.array(kept))
+        np.save(path, kept)
+
+
+def test_columns_named_like_outputs(spark):
+    docs = frame(spark, [(1, "a b", "s")]).withColumnRenamed("doc_id", "bytes")
+    model = kneser_ney.fit(docs, order=3)
+    assert kneser_ney.scored(docs, model, keys=("bytes",)).columns == ["bytes", "n_tokens", "n_known", "base_score", "score"]
+    for keys in (("score",), ("bytes", "bytes")):
+        with pytest.raises(ValueError):
+            kneser_ney.scored(docs.withColumnRenamed("text", "t").selectExpr("*", "t AS text", "0 AS score"), model, keys=keys)
