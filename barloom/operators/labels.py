@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
@@ -27,7 +28,7 @@ from barloom.functions.text import div, finite_or
 from barloom.operators import indicators as ind
 from barloom.operators import wide_features as wide
 from barloom.operators.resample import with_context
-from barloom.plans.blocks import POS, TOTAL, Blocked, Ewm, in_blocks
+from barloom.plans.blocks import CORE, POS, TOTAL, Blocked, Ewm, in_blocks
 from barloom.plans.touch import ahead_of
 from barloom.sources.bars import check_choice
 
@@ -207,26 +208,21 @@ def barrier_outcomes(
     return rows.drop("sign", *[x for x in rows.columns if x.startswith("_")])
 
 
-def add_best_trade(
-    b: Blocked,
-    params: BarrierParams,
-    mode: str = "oracle_best",
-    use_sma_filter: bool = True,
-    entry_mode: str = "next_open",
-    keep_all_outcomes: bool = False,
-) -> Blocked:
-    """Per bar, the trade of the barrier grid with the best net return among those that reach their target.
+def _multiples(params: BarrierParams, mode: str) -> tuple[tuple[float, ...], tuple[float, ...]]:
+    """Target and stop multiples of the grid."""
+    if mode == "fixed_rule":
+        return (params.fixed_tp_multiplier,), (params.fixed_sl_multiplier,)
+    return params.tp_multipliers, params.sl_multipliers
+
+
+def add_grid(b: Blocked, params: BarrierParams, mode: str = "oracle_best", entry_mode: str = "next_open") -> Blocked:
+    """Entries, bounded barriers and the steps that touch them: what labellings of one mode share.
 
-    Touch steps are found once per barrier level (see `plans/touch.py`); grid cells only compare them. Ties keep the first cell by
-    target, stop, long before short. `keep_all_outcomes` (fixed rule only) also accepts losing exits.
+    Touch steps are found once per barrier level (see `plans/touch.py`).
     """
     check_choice("labeling_mode", mode, MODES)
     check_choice("entry_mode", entry_mode, ENTRIES)
-    if keep_all_outcomes and mode != "fixed_rule":
-        raise ValueError("keep_all_outcomes needs labeling_mode fixed_rule")
-    fixed = mode == "fixed_rule"
-    targets = (params.fixed_tp_multiplier,) if fixed else params.tp_multipliers
-    stops = (params.fixed_sl_multiplier,) if fixed else params.sl_multipliers
+    targets, stops = _multiples(params, mode)
     slip = params.slippage_pct / 100.0
     base = "_next_open" if entry_mode == "next_open" else "close"
 
@@ -244,15 +240,35 @@ def add_best_trade(
             steps[f"_t{side}_{i}"] = (barrier_price(f"_e{side}", f"_tp{i}", long), long)
         for j in range(len(stops)):
             steps[f"_s{side}_{j}"] = (barrier_price(f"_e{side}", f"_sl{j}", not long), not long)
-    b = add_touches(b, params.lookahead, steps)
+    return add_touches(b, params.lookahead, steps)
+
+
+def pick_trade(
+    b: Blocked,
+    params: BarrierParams,
+    mode: str = "oracle_best",
+    use_sma_filter: bool | str = True,
+    entry_mode: str = "next_open",
+    keep_all_outcomes: bool = False,
+) -> Blocked:
+    """Per bar with its grid, the trade with the best net return among those that reach their target.
+
+    Grid cells only compare touch steps. Ties keep the first cell by target, stop, long before short.
+    `keep_all_outcomes` (fixed rule only) also accepts losing exits. The side filter may be a boolean column.
+    """
+    if keep_all_outcomes and mode != "fixed_rule":
+        raise ValueError("keep_all_outcomes needs labeling_mode fixed_rule")
+    fixed = mode == "fixed_rule"
+    targets, stops = _multiples(params, mode)
+    base = "_next_open" if entry_mode == "next_open" else "close"
+    filtered = use_sma_filter if isinstance(use_sma_filter, str) else str(bool(use_sma_filter)).lower()
 
     usable = f"atr_pct > 0 and {POS} < {TOTAL} - {params.lookahead} and {base} is not null"
     if not fixed:
         usable += f" and atr_level <= {params.max_atr_ratio!r}D"
     checks = {f"_rr{i}_{j}": ratio_test(t, s, params) for i, t in enumerate(targets) for j, s in enumerate(stops)}
     for side in SIDES:
-        trend = f" and close {'>' if side == LONG else '<'} sma20_or_close" if use_sma_filter else ""
-        checks[f"_ok{side}"] = usable + trend
+        checks[f"_ok{side}"] = f"{usable} and (not {filtered} or close {'>' if side == LONG else '<'} sma20_or_close)"
     b = b.with_columns(checks)
 
     # A cell is (net, order, target, stop, side); the largest net wins and the earliest among equals.
@@ -306,7 +322,7 @@ def add_best_trade(
             "gross_return_pct": "coalesce(_x_gross, 0D)",
             "net_return_pct": "coalesce(_best.net, 0D)",
             "rr_ratio": "coalesce(_tp / greatest(_sl, 1e-9), 0D)",
-            "sma_filter_used": str(bool(use_sma_filter)).lower(),
+            "sma_filter_used": filtered,
             "labeling_mode": f"'{mode}'",
             "entry_mode": f"'{entry_mode}'",
             "label_valid": f"{POS} < {TOTAL} - {params.lookahead}",
@@ -337,7 +353,31 @@ def trade_labels(
         bars, back=volatility_back(params), ahead=params.lookahead, alphas=volatility_alphas(params), keys=keys
     )
     b = add_next(add_volatility(b, params), params.lookahead)
-    b = add_best_trade(b, params, mode, use_sma_filter, entry_mode, keep_all_outcomes).drop_scratch()
+    b = add_grid(b, params, mode, entry_mode)
+    b = pick_trade(b, params, mode, use_sma_filter, entry_mode, keep_all_outcomes).drop_scratch()
+    return _named(b.core().drop("atr_pct", "atr_level", "sma20_or_close"))
+
+
+def trade_labels_by_filter(
+    bars: DataFrame,
+    scenarios: dict[str, bool],
+    params: BarrierParams = BarrierParams(),
+    mode: str = "oracle_best",
+    entry_mode: str = "next_open",
+    keep_all_outcomes: bool = False,
+    keys: tuple[str, ...] = KEYS,
+) -> DataFrame:
+    """`trade_labels` with and without the side filter (scenario -> use it), in a `scenario` column.
+
+    Volatility, barriers and touches are found once; a bar is copied per scenario only for the choice of its trade.
+    """
+    b = in_blocks(
+        bars, back=volatility_back(params), ahead=params.lookahead, alphas=volatility_alphas(params), keys=keys
+    )
+    b = add_grid(add_next(add_volatility(b, params), params.lookahead), params, mode, entry_mode)
+    each = ", ".join(f"named_struct('scenario', '{name}', '_filtered', {str(used).lower()})" for name, used in scenarios.items())
+    b = replace(b, df=b.df.where(CORE).selectExpr("*", f"inline(array({each}))"))
+    b = pick_trade(b, params, mode, "_filtered", entry_mode, keep_all_outcomes).drop_scratch()
     return _named(b.core().drop("atr_pct", "atr_level", "sma20_or_close"))
 
 
@@ -427,7 +467,8 @@ def label_bars(
         keys=keys,
     )
     b = add_next(add_volatility(b, params), params.lookahead)
-    b = add_best_trade(b, params, mode, use_sma_filter, entry_mode, keep_all_outcomes).drop_scratch()
+    b = add_grid(b, params, mode, entry_mode)
+    b = pick_trade(b, params, mode, use_sma_filter, entry_mode, keep_all_outcomes).drop_scratch()
     b = b.drop("atr_pct", "atr_level", "sma20_or_close")
     b = wide.add_wide_features(b, groups, conditions=True)
     return confirm(_named(b.core()), confirm_params)

@@ -266,15 +266,11 @@ def label_stats(labeled: DataFrame, keys: Iterable[str] = KEYS) -> DataFrame:
     )
 
 
-def compare_scenarios(labeled: dict[str, DataFrame], keys: Iterable[str] = KEYS) -> DataFrame:
-    """`label_stats` of several labellings side by side in a `scenario` column; written once, read by each measure."""
-    columns = [*keys, POS, "direction_label", "net_return_pct", "gross_return_pct", "bars_to_exit",
+def compare_scenarios(labeled: DataFrame, keys: Iterable[str] = KEYS) -> DataFrame:
+    """`label_stats` of several labellings side by side, told apart by `scenario`; written once, read by each measure."""
+    columns = [*keys, "scenario", POS, "direction_label", "net_return_pct", "gross_return_pct", "bars_to_exit",
                "take_profit_pct", "stop_loss_pct"]
-    out = None
-    for name, frame in labeled.items():
-        tagged = frame.select(*columns, F.lit(name).alias("scenario"))
-        out = tagged if out is None else out.unionByName(tagged)
-    return label_stats(settle(out), [*keys, "scenario"])
+    return label_stats(settle(labeled.select(*columns)), [*keys, "scenario"])
 
 
 def label_quality(labeled: DataFrame, keys: Iterable[str] = KEYS) -> DataFrame:

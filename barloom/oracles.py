@@ -1217,6 +1217,7 @@ ORACLES["streamed_indicators"] = statement(
     from b join e using (symbol, rn)""",
 )
 ORACLES["streamed_indicators_with_late_bars"] = ORACLES["streamed_indicators"]
+ORACLES["streamed_context_with_late_bars"] = ORACLES["higher_timeframe_context"]
 ORACLES["streamed_context"] = ORACLES["higher_timeframe_context"]
 
 _LEFT_OUT = {*AVERAGES, "ema21", "vwap", "vol_percentile_100", "dist_ema_5", "dist_ema_9", "dist_ema_20", "dist_ema_50",
@@ -1299,3 +1300,12 @@ ORACLES["labeled_table"] = statement(
       case when direction_label = 1 then 'oracle_neutral' else 'filter_disabled' end as label_filter_reason
     from whole w join scored using (symbol, rn)""",
 )
+
+# The minimum of a smooth loss: no slope by any weight
+_NAMES = ", ".join(f"('{name}')" for name in (*MODEL_FEATURES, "constant"))
+ORACLES["joint_model_gradient"] = statement(
+    DATASET + [SCALED],
+    f"""select head, feature, 0.0::double as gradient, rows
+    from (values ('logit'), ('up_pred'), ('dn_pred')) h(head), (values {_NAMES}) f(feature),
+      (select count(*) as rows from z where split = 'train')""",
+)

@@ -19,6 +19,7 @@ from barloom.operators import (
     asof,
     dataset,
     evaluate as ev,
+    joint as jt,
     labels as lb,
     model_features as mf,
     predict as pm,
@@ -36,6 +37,7 @@ from barloom.sources import export as ex
 from barloom.sources import payloads as pay
 from barloom.sources import tables as tab
 from barloom.streaming import bars as sm
+from barloom.streaming.context import live_context
 from barloom.streaming.indicators import running_indicators
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -431,11 +433,8 @@ def label_statistics(spark, folder):
 @query
 def sma_filter_comparison(spark, folder):
     bars = tab.numbered_bars(spark, folder)
-    both = {
-        "without_sma20": lb.trade_labels(bars, mode="fixed_rule", use_sma_filter=False),
-        "with_sma20": lb.trade_labels(bars, mode="fixed_rule", use_sma_filter=True),
-    }
-    return tidy(rp.compare_scenarios(both))
+    both = {"without_sma20": False, "with_sma20": True}
+    return tidy(rp.compare_scenarios(lb.trade_labels_by_filter(bars, both, mode="fixed_rule")))
 
 
 @query
@@ -708,6 +707,13 @@ def trained_model_metrics(spark, folder):
     return tidy(dataset.validation_metrics(_scored(spark, folder), keys=("symbol", "split")))
 
 
+@query
+def joint_model_gradient(spark, folder):
+    """Slope of the two-task loss at the jointly fitted weights: zero everywhere."""
+    rows = settle(dataset.standardize(settle(_dataset(spark, folder))).where(F.col("split") == "train"))
+    return tidy(jt.joint_gradient(jt.fit_joint(rows), rows))
+
+
 @query
 def external_model_scores(spark, folder):
     """Scores of a model given as a plain function on feature batches."""
@@ -827,27 +833,36 @@ def streamed_indicators(spark, folder):
     return tidy(sm.latest(spark, rows, ["symbol", "ts"]))
 
 
-@query
-def streamed_indicators_with_late_bars(spark, folder):
+def _late_bar_stream(spark, folder) -> DataFrame:
     """Bars in eight files read one by one, every third bar a file late and every seventh one sent twice."""
     bars = tab.numbered_bars(spark, folder)
-    width = F.ceil(F.col("n") / 6)
-    sent = F.floor(F.col("rn") / width) + (F.col("rn") % 3 == 0).cast("int")
+    sent = F.floor(F.col("rn") / F.ceil(F.col("n") / 6)) + (F.col("rn") % 3 == 0).cast("int")
     again = bars.where("rn % 7 = 0").withColumn("part", sent + 1)
     path = _scratch(spark, "late-bars")
-    columns = bars.drop("rn", "n").columns
-    rows = settle(bars.withColumn("part", sent).unionByName(again).select(*columns, "part"))
-    for part in sorted(r["part"] for r in rows.select("part").distinct().collect()):  # eight at most
-        rows.where(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(f"{path}/{part}")
-    stream = spark.readStream.schema(rows.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
+    rows = settle(bars.withColumn("part", sent).unionByName(again).drop("rn", "n"))
+    parts = sorted(r["part"] for r in rows.select("part").distinct().collect())  # eight at most
+    for part in parts:
+        rows.where(F.col("part") == part).drop("part").coalesce(1).write.parquet(f"{path}/{part}")
+    return spark.readStream.schema(rows.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
+
+
+@query
+def streamed_indicators_with_late_bars(spark, folder):
     out, checkpoint = _paths(spark, "late-indicators")
-    sm.run_updates(running_indicators(stream, lateness_seconds=400 * 86400), out, checkpoint)
+    sm.run_updates(running_indicators(_late_bar_stream(spark, folder), lateness_seconds=400 * 86400), out, checkpoint)
     return tidy(sm.latest(spark, out, ["symbol", "ts"]))
 
 
 @query
 def streamed_context(spark, folder):
     rows, checkpoint = _paths(spark, "stream-context")
-    out, _ = _paths(spark, "stream-context-out")
-    sm.run_live_context(_bar_stream(spark, folder), rows, out, checkpoint)
-    return _only_features(spark.read.parquet(out).drop("part"))
+    sm.run_updates(live_context(_bar_stream(spark, folder)), rows, checkpoint)
+    return _only_features(sm.latest(spark, rows, ["symbol", "ts"]))
+
+
+@query
+def streamed_context_with_late_bars(spark, folder):
+    """The late and repeated bars of `streamed_indicators_with_late_bars`."""
+    rows, checkpoint = _paths(spark, "late-context")
+    sm.run_updates(live_context(_late_bar_stream(spark, folder), lateness_seconds=400 * 86400), rows, checkpoint)
+    return _only_features(sm.latest(spark, rows, ["symbol", "ts"]))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.scalar import from_local_seconds, local_seconds
-from barloom.plans.blocks import number_short_series
+from barloom.plans.blocks import number_rows
 from barloom.plans.settle import settle
 from barloom.sources.bars import ticks_to_bars
 
@@ -14,6 +14,8 @@ from barloom.sources.bars import ticks_to_bars
 START_PRICE = 1000
 STEP_UNITS = 5
 UNITS = 10_000
+# Weeks whose bars are numbered together.
+TILE_WEEKS = 4096
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -126,8 +128,8 @@ def brand_bars(spark: SparkSession, folder: str) -> DataFrame:
 
 def numbered_bars(spark: SparkSession, folder: str) -> DataFrame:
     """Numbered hourly bars, written once so that several consumers do not re-read the events."""
-    return settle(number_short_series(hourly_bars(spark, folder)))
+    return settle(number_rows(settle(hourly_bars(spark, folder))))
 
 
 def numbered_brand_bars(spark: SparkSession, folder: str) -> DataFrame:
-    return settle(number_short_series(brand_bars(spark, folder)))
+    return settle(number_rows(settle(brand_bars(spark, folder)), tile_seconds=TILE_WEEKS * 7 * 86400))

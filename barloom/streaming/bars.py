@@ -1,4 +1,4 @@
-"""Bars, de-duplication and coarse context over Structured Streaming; `indicators.py` has running indicators."""
+"""Bars and de-duplication over Structured Streaming; `indicators.py` and `context.py` keep features of bars."""
 
 from __future__ import annotations
 
@@ -9,9 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.config import KEYS
-from barloom.functions.scalar import from_local_seconds
-from barloom.operators.resample import bin_label, context_table, join_context, narrowest
-from barloom.plans.settle import settle
 
 BATCH = "batch_id"
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
@@ -69,58 +66,3 @@ def latest(spark: SparkSession, path: str, keys: Iterable[str]) -> DataFrame:
     keys = list(keys)
     rest = [x for x in rows.columns if x not in (*keys, BATCH)]
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), BATCH).alias("_r")).select(*keys, "_r.*")
-
-
-def _partial_bars(bars: DataFrame, seconds: int, keys: tuple[str, ...]) -> DataFrame:
-    """What one batch adds to the coarse bars: first and last bar of each bin keep their time."""
-    return bars.groupBy(*keys, from_local_seconds(bin_label(F.col("ts"), seconds)).alias("bin")).agg(
-        F.min(F.struct("ts", "open")).alias("first"),
-        F.max("high").alias("high"),
-        F.min("low").alias("low"),
-        F.max(F.struct("ts", "close")).alias("last"),
-        F.sum("volume").alias("volume"),
-    )
-
-
-def _merged_bars(partial: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    return (
-        partial.groupBy(*keys, F.col("bin").alias("ts"))
-        .agg(
-            F.min("first").alias("first"), F.max("high").alias("high"), F.min("low").alias("low"),
-            F.max("last").alias("last"), F.sum("volume").alias("volume"),
-        )
-        .select(*keys, "ts", F.col("first.open").alias("open"), "high", "low", F.col("last.close").alias("close"), "volume")
-    )
-
-
-def run_live_context(
-    bars: DataFrame, history: str, out: str, checkpoint: str, keys: tuple[str, ...] = KEYS
-) -> None:
-    """Drain a stream of finished bars and add the coarse context to the new ones.
-
-    The history table holds what each batch adds to the narrowest coarse bars, so a batch reads coarse bars
-    only, of the symbols it touches only, and all of their past: smoothing forgets nothing. Bars that arrive
-    late are merged into their bin by time.
-    """
-    columns = [*keys, "ts", "open", "high", "low", "close", "volume"]
-    width = narrowest()
-
-    def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        new = settle(batch.select(*columns))
-        if new.isEmpty():
-            return
-        _partial_bars(new, width, keys).write.mode("overwrite").parquet(f"{history}/part={number}")
-        # A retried batch must not see folders a later batch wrote.
-        stored = spark.read.parquet(history).where(F.col("part") <= number)
-        touched = stored.join(new.select(*keys).distinct(), list(keys), "left_semi")
-        table = context_table(_merged_bars(touched, keys), keys=keys)
-        join_context(new, table, keys=keys).write.mode("overwrite").parquet(f"{out}/part={number}")
-
-    query = (
-        bars.writeStream.option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .foreachBatch(step)
-        .start()
-    )
-    query.awaitTermination()

@@ -41,7 +41,7 @@ class Known:
     loss: float
 
 
-def _smoothed(before: float, values: np.ndarray, alpha: float) -> np.ndarray:
+def smoothed_on(before: float, values: np.ndarray, alpha: float) -> np.ndarray:
     """Means after each value, from the mean before them (missing: the first value starts it)."""
     return pd.Series(np.concatenate([[before], values])).ewm(alpha=alpha, adjust=False).mean().to_numpy()[1:]
 
@@ -60,10 +60,10 @@ def advanced(known: Known | None, bars: pd.DataFrame, lengths: Lengths) -> pd.Da
             "seen": start.seen + np.arange(1, len(bars) + 1),
             "at": bars["at"].to_numpy(),
             "close": close,
-            "ema": _smoothed(start.ema, close, ind.span(lengths.ema)),
-            "atr": _smoothed(start.atr, true_range, w),
-            "gain": _smoothed(start.gain, up, w),
-            "loss": _smoothed(start.loss, down, w),
+            "ema": smoothed_on(start.ema, close, ind.span(lengths.ema)),
+            "atr": smoothed_on(start.atr, true_range, w),
+            "gain": smoothed_on(start.gain, up, w),
+            "loss": smoothed_on(start.loss, down, w),
         }
     )
 
@@ -130,11 +130,11 @@ def state_after(bars: DataFrame, lengths: Lengths = Lengths()) -> DataFrame:
     b = b.ewm({"ema": Ewm("close", alphas[0], 1), "atr": Ewm("_tr", w, 1), "gain": Ewm("_gain", w, 1, skip=1), "loss": Ewm("_loss", w, 1, skip=1)})
     last = b.core().where(F.col(POS) == F.col(TOTAL) - 1)
     missing = F.lit(float("nan"))
-    return last.select("symbol", F.col(TOTAL).alias("seen"), _micros(), "close", "ema", "atr", F.coalesce("gain", missing).alias("gain"), F.coalesce("loss", missing).alias("loss"))
+    return last.select("symbol", F.col(TOTAL).alias("seen"), wall_micros(), "close", "ema", "atr", F.coalesce("gain", missing).alias("gain"), F.coalesce("loss", missing).alias("loss"))
 
 
-def _micros():
-    """The wall clock of `ts` in microseconds."""
+def wall_micros():
+    """The wall clock of `ts` in microseconds, as `at`."""
     whole = F.unix_date(F.to_date("ts")).cast("long") * 86400 + F.hour("ts") * 3600 + F.minute("ts") * 60
     return (whole * MICROS + F.expr("cast(extract(second from ts) * 1000000 as bigint)")).alias("at")
 
@@ -151,6 +151,6 @@ def running_indicators(
     """
     lengths = Lengths(ema_span, length)
     processor = RunningIndicators(lengths, int(lateness_seconds * MICROS))
-    rows = bars.select("symbol", _micros(), "high", "low", "close").groupBy("symbol")
+    rows = bars.select("symbol", wall_micros(), "high", "low", "close").groupBy("symbol")
     begin = None if start is None else start.groupBy("symbol")
     return rows.transformWithStateInPandas(processor, ROWS_SCHEMA, "Update", "none", begin)

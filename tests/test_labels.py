@@ -3,6 +3,8 @@ import pytest
 
 from barloom.config import BarrierParams, ConfirmParams
 from barloom.operators import labels as lb
+from barloom.plans.blocks import in_blocks
+from barloom.plans.touch import ahead_of
 from conftest import SCHEMA, collected, walk
 
 
@@ -97,6 +99,63 @@ def test_confirmation_rejects_and_keeps_the_original(bars):
     assert len(kept) and (kept["confirmation_score"] >= 12).all() and (kept["confirmation_edge"] >= 3).all()
 
 
+def test_ratio_is_decided_on_decimals():
+    """Equal ratios count whatever the last bit of the volatility; bounded sides are compared as they are."""
+    params = BarrierParams()
+
+    def accepts(target, stop, atr):
+        text = lb.ratio_test(target, stop, params).replace("atr_pct", repr(atr)).replace("D", "")
+        return eval(text.replace("true", "True").replace("false", "False"))  # numbers, comparisons, and/or
+
+    rng = np.random.default_rng(0)
+    for atr in rng.uniform(0.2, 3.0, 500):
+        assert accepts(1.5, 1.0, atr) and accepts(3.0, 1.0, atr) and not accepts(1.0, 0.75, atr)
+    for target in params.tp_multipliers:
+        for stop in params.sl_multipliers:
+            for atr in 10.0 ** rng.uniform(-4, 3, 300):
+                tp, sl = np.clip(atr * target, 0.1, 10), np.clip(atr * stop, 0.05, 5)
+                if abs(tp / sl - 1.5) > 1e-9:
+                    assert accepts(target, stop, atr) == (tp / sl >= 1.5), (target, stop, atr)
+    assert lb.ratio_test(1.0, 0.5, BarrierParams(min_rr=0.0)) == "((true))"
+
+
+@pytest.mark.parametrize("lookahead", [1, 2, 20, 2000])
+def test_first_touch_at_any_distance(some, bars_frame, lookahead):
+    """Barriers near and far, for look-aheads beyond the series, equal a walk over the bars."""
+    params = BarrierParams(lookahead=lookahead, fixed_tp_multiplier=6.0, fixed_sl_multiplier=5.0, max_stop_pct=50.0, max_target_pct=50.0)
+    got = lb.barrier_outcomes(some, params).toPandas()
+    for symbol, part in got.groupby("symbol"):
+        series = bars_frame[bars_frame["symbol"] == symbol].reset_index(drop=True)
+        high, low, close = (series[c].to_numpy() for c in ("high", "low", "close"))
+        for r in part.itertuples():
+            sign = 1 if r.direction_name == "LONG" else -1
+            up, down = (r.entry_price * (1 + sign * s * p / 100) for s, p in ((1, r.take_profit_pct), (-1, r.stop_loss_pct)))
+            ahead = slice(r.rn + 1, r.rn + 1 + lookahead)
+            goal = np.flatnonzero(high[ahead] >= up if sign == 1 else low[ahead] <= up)
+            stop = np.flatnonzero(low[ahead] <= down if sign == 1 else high[ahead] >= down)
+            first = lambda hits: hits[0] + 1 if len(hits) else np.inf
+            t, s = first(goal), first(stop)
+            want = ("SL", s, down) if s <= t and s < np.inf else ("TP", t, up) if t < np.inf else ("TIMEOUT", lookahead, close[ahead][-1])
+            assert (r.exit_reason, r.bars_to_exit) == want[:2]
+            assert r.exit_price == pytest.approx(want[2], rel=1e-12)
+
+
+def test_touch_work_grows_with_the_logarithm(some):
+    """No window frame as long as the look-ahead is left in the plan."""
+    plan = lb.barrier_outcomes(some, BarrierParams(lookahead=2000))._jdf.queryExecution().analyzed().toString().lower()
+    assert "rowframe, 1, 2000" not in plan
+    b = in_blocks(some, ahead=2000)
+    assert [ahead_of(b, k).levels for k in (1, 20, 2000)] == [1, 5, 11]
+
+
+def test_filters_share_their_grid(some):
+    both = lb.trade_labels_by_filter(some, {"on": True, "off": False})
+    for name, used in (("on", True), ("off", False)):
+        want = collected(lb.trade_labels(some, use_sma_filter=used))
+        got = collected(both.where(f"scenario = '{name}'").drop("scenario"))
+        assert got[want.columns].equals(want)
+
+
 def test_modes_are_validated(some):
     with pytest.raises(ValueError):
         lb.trade_labels(some, mode="other")
