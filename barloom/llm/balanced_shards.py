@@ -21,10 +21,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.ranks import global_rank
-from barloom.plans.settle import settle
+from barloom.plans.settle import Rounds, settle
 
 SHARDS = 16
-ROUNDS = 5
+#: Rounds go on while the share of link weight inside shards grows by this much.
+GAIN = 0.005
+#: Shorter lines make no link; 0 takes all lines.
 MIN_LINE = 20
 #: Room above an even share while texts move; the last step is exact whatever it is.
 SLACK = 0.03
@@ -57,14 +59,25 @@ def _allowed(flows: dict[tuple[int, int], float], held: list[float], room: float
     return allowed
 
 
-def propagated(nodes: DataFrame, pairs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, slack: float = SLACK) -> DataFrame:
-    """(node, weight, shard) after `rounds` of balanced label propagation. nodes: node, weight; pairs: node, hub."""
+def propagated(
+    nodes: DataFrame, pairs: DataFrame, shards: int = SHARDS, gain: float = GAIN, slack: float = SLACK,
+    rounds: int | None = None, report: list[float] | None = None,
+) -> DataFrame:
+    """(node, weight, shard) by balanced label propagation. nodes: node, weight; pairs: node, hub.
+
+    A round is the last one if the share of link weight that stays inside shards grew by less than `gain` since the one
+    before, or if no text wants to move; only a caller who gives `rounds` ends it earlier. `report` takes that share
+    before each round.
+    """
+    if rounds is None and not gain > 0:
+        raise ValueError("without a number of rounds the gain must be above 0")
     pairs = settle(pairs)
     start = F.pmod(F.xxhash64("node", F.lit(SEED + 1)), F.lit(shards)).cast("int")
     state = settle(nodes.select("node", "weight", start.alias("shard")))
     total = state.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0]
     per_shard = [F.sum(F.when(F.col("shard") == s, F.col("weight")).otherwise(0)).cast("double") for s in range(shards)]
-    for turn in range(rounds):
+    written, turn, inside = Rounds(), 0, None
+    while rounds is None or turn < rounds:
         hubs = pairs.join(state, "node").groupBy("hub").agg(F.array(*per_shard).alias("held"), F.sum("weight").cast("double").alias("all"))
         # a line's word counts by how few texts share it
         hubs = settle(hubs.select("hub", F.transform("held", lambda x: x / F.col("all")).alias("held")))
@@ -72,10 +85,19 @@ def propagated(nodes: DataFrame, pairs: DataFrame, shards: int = SHARDS, rounds:
         votes = rows.groupBy("node").agg(F.array(*[F.sum(F.col("held")[s]) for s in range(shards)]).alias("votes"))
         best = F.array_max("votes")
         to = (F.array_position("votes", best) - 1).cast("int")
-        wish = state.join(votes, "node", "left").select("node", "weight", "shard", F.when(best > F.get("votes", F.col("shard")) + 1e-9, to).otherwise(F.col("shard")).alias("to"))
+        own = F.get("votes", F.col("shard"))
+        linked = F.aggregate("votes", F.lit(0.0), lambda a, x: a + x)
+        wish = state.join(votes, "node", "left").select("node", "weight", "shard", F.when(best > own + 1e-9, to).otherwise(F.col("shard")).alias("to"), own.alias("own"), linked.alias("linked"))
         wish = settle(wish)
         # one row for each two shards
-        counts = {(r["shard"], r["to"]): float(r["w"]) for r in wish.groupBy("shard", "to").agg(F.sum("weight").alias("w")).collect()}
+        sums = [F.sum("weight").alias("w"), *(F.sum(F.coalesce(F.col("weight") * F.col(c), F.lit(0.0))).alias(c) for c in ("own", "linked"))]
+        moves = wish.groupBy("shard", "to").agg(*sums).collect()
+        counts = {(r["shard"], r["to"]): float(r["w"]) for r in moves}
+        before, inside = inside, sum(r["own"] for r in moves) / (sum(r["linked"] for r in moves) or 1.0)
+        if report is not None:
+            report.append(inside)
+        if rounds is None and before is not None and inside - before < gain:
+            break
         held = [sum(w for (a, _), w in counts.items() if a == s) for s in range(shards)]
         flows = {ab: w for ab, w in counts.items() if ab[0] != ab[1]}
         if not flows:
@@ -83,7 +105,8 @@ def propagated(nodes: DataFrame, pairs: DataFrame, shards: int = SHARDS, rounds:
         allowed = _allowed(flows, held, (1 + slack) * total / shards)
         chance = [x for (a, b), w in flows.items() for x in (F.lit(a * shards + b), F.lit(min(1.0, allowed[a, b] / w)))]
         goes = _draw(SEED + 2 + turn) < F.coalesce(F.create_map(*chance)[F.col("shard") * shards + F.col("to")], F.lit(0.0))
-        state = settle(wish.select("node", "weight", F.when(goes, F.col("to")).otherwise(F.col("shard")).alias("shard")))
+        state = written.settle(wish.select("node", "weight", F.when(goes, F.col("to")).otherwise(F.col("shard")).alias("shard")))
+        turn += 1
     return state
 
 
@@ -115,7 +138,7 @@ def placed(rows: DataFrame, state: DataFrame, shards: int = SHARDS) -> DataFrame
     return ranked.select(*cols, F.when(stays, F.col("shard")).otherwise(to).cast("int").alias("shard"), F.when(stays, slot).otherwise(seat).alias("slot"))
 
 
-def assigned(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def assigned(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int = SHARDS, min_line: int = MIN_LINE, gain: float = GAIN) -> DataFrame:
     """(key, size, text_crc32, shard, slot) of every row.
 
     NULL texts count as empty. Texts without a shared line stay where their hash puts them. A text with more
@@ -126,6 +149,6 @@ def assigned(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int
     rows = settle(rows)
     texts = df.select(F.xxhash64(body, F.lit(SEED)).alias("node"), body.alias("text"))
     nodes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("weight"))
-    state = propagated(nodes, memberships(texts), shards, rounds)
+    state = propagated(nodes, memberships(texts, min_line), shards, gain)
     out = placed(rows, state, shards)
     return out.select(F.col("key").alias(key), "size", "text_crc32", "shard", "slot")

@@ -73,16 +73,18 @@ class TextModel:
 
 
 def fit_text_model(df: DataFrame, text: str = "text", declared: str = "lang", languages=LANGUAGES, sample_rows: int = SAMPLE_ROWS) -> TextModel:
-    """Trigram models from rows that declare one of `languages`, about `sample_rows` of each, chosen by hash."""
+    """Trigram models from texts that rows declare to be in one of `languages`, about `sample_rows` texts of each, chosen
+    by hash. Copies of a text count once, so that a hot text is neither the whole sample nor more than its bound."""
     names = sorted(languages)
     value = ascii_lower(F.col(f"`{declared}`"))
     rows = df.select(value.alias("lang"), F.col(f"`{text}`").alias("text")).where(F.col("lang").isin(names))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r["lang"]: max(1, r["n"]) for r in rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n")).collect()}
     share = F.lit(0.0)
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, min(1.0, sample_rows / n)).otherwise(share)
     chance = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) / 1e6
-    sample = rows.where(chance < share).select("lang", utf8("text").alias("bytes"))
+    sample = rows.where(chance < share).groupBy("lang", F.xxhash64("text").alias("hash")).agg(F.min("text").alias("text"))
+    sample = sample.select("lang", utf8("text").alias("bytes"))
     order = {lang: i for i, lang in enumerate(names)}
 
     def counted(batches):
@@ -194,7 +196,7 @@ def identified(df: DataFrame, text: str = "text", declared: Column | None = None
     judged = joined.select("row", "scores", posterior.alias("posterior"))
     most = F.array_max("posterior")
     weight = F.aggregate(F.transform("posterior", lambda x: F.exp(x - most)), F.lit(0.0), lambda a, x: a + x)
-    judged = judged.select("row", "scores", names[_best(F.col("posterior"))].alias("language"), (1 / weight).alias("probability"), names[_best(F.col("scores"))].alias("text_language"))
+    judged = judged.select("row", "scores", F.get(names, _best(F.col("posterior"))).alias("language"), (1 / weight).alias("probability"), F.get(names, _best(F.col("scores"))).alias("text_language"))
     accepted = F.col("scores").isNotNull() & (F.col("language") != UND)
     return judged.select("row", "language", "probability", "text_language", accepted.alias("accepted"))
 

@@ -178,12 +178,15 @@ def fit_lines(texts: list[tuple[np.ndarray, int]], rounds: int = ROUNDS) -> Line
 
 def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", quality: str = "quality", sample_docs: int = SAMPLE_DOCS) -> LineField:
     """A field fitted on about `sample_docs` labelled documents, chosen by a hash of their key. Several labels of one
-    document count as good if one is. Without labels of both kinds the field calls every line content."""
+    document count as good if one is, and of several rows with its key one text is read. Without labels of both kinds
+    the field calls every line content."""
     marks = labels.where(F.col(quality).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.max(quality).cast("int").alias("quality"))
     n = marks.count()
     chance = lambda c: F.pmod(F.xxhash64(c), F.lit(1_000_000)) < int(1e6 * min(1.0, sample_docs / max(n, 1)))
     rows = df.select(F.col(f"`{key}`").alias("key"), utf8(f"`{text}`").alias("bytes")).where(chance(F.col("key")))
-    chosen = rows.join(marks.where(chance(F.col("key"))), "key").select("bytes", "quality")
+    # a key that many rows share is one row before it is joined or read
+    first = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("bytes").alias("hash"), "bytes")).alias("text"))
+    chosen = first.join(marks.where(chance(F.col("key"))), "key").select("text.bytes", "quality")
 
     def seen(batches):
         for batch in batches:
