@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +9,7 @@ from pyspark.sql import functions as F
 from barloom.llm import bit_simhash, byte_bpe, language_evidence, pivotal_mix, site_lines
 from barloom.llm.queries import RANKS
 from barloom.llm.text import packed, unpacked
-from barloom.plans.settle import settle, shared_folder
+from barloom.plans.settle import scratch_path, settle, shuffles_removed
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,13 +26,13 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest doc_id."""
+    """One document of each group: the one with the smallest doc_id, of equal ids and texts the first by all columns."""
     kind = F.struct("doc_id", F.xxhash64("text").alias("text"))
     found = bit_simhash.near_duplicates(docs.select(kind.alias("kind"), "text"), key="kind")
     kept = settle(found.where(F.col("kind").eqNullSafe(F.col("component"))).groupBy("kind").agg(F.count(F.lit(1)).alias("n")))
     rows = packed(docs, kind=kind).join(kept, "kind", "left_semi")
-    if (kept.agg(F.max("n")).first()[0] or 1) > 1:  # rows repeated as they are
-        rows = rows.dropDuplicates(["kind"])
+    if (kept.agg(F.max("n")).first()[0] or 1) > 1:  # repeated ids with one text
+        rows = rows.groupBy("kind").agg(F.min("row").alias("row"))
     return unpacked(rows)
 
 
@@ -60,13 +58,14 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of `sf_dir`; each stage's rows are written and read again by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = scratch_path(spark, "pipeline")
     for number, (_, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
-        out.write.parquet(f"{folder}/{number}")
+        with shuffles_removed(spark):
+            out.write.parquet(f"{folder}/{number}")
         docs = spark.read.schema(out.schema).parquet(f"{folder}/{number}")
     return docs
 
 
-#: The near-duplicate, mixing and encoding stages are beyond SQL; tests/llm/test_pipeline.py has a plain counterpart.
+#: The near-duplicate, mixing and encoding stages are beyond SQL; tests/llm/test_corpus_operators.py has a plain counterpart.
 ORACLE_SQL = None
