@@ -904,6 +904,12 @@ ORACLES["direction_scorecard"] = statement(
       {r6("greatest(avg(actual_up::int), 1 - avg(actual_up::int))", "best_constant")}
     from er group by symbol""",
 )
+ORACLES["split_scorecards"] = ORACLES["direction_scorecard"].replace(
+    ",\n".join([EVALUATED]), ",\n".join([SPLIT, EVALUATED])
+).replace("select symbol, count(*) as n_total", "select symbol, split, count(*) as n_total").replace(
+    "from er group by symbol",
+    "from er join (select symbol, rn, split from sp) using (symbol, rn) where split in ('val', 'test') group by symbol, split",
+)
 ORACLES["confidence_buckets"] = statement(
     EVAL,
     f"""select symbol, {r6("lo", "lo")}, {r6("hi", "hi")}, count(confidence) as n,

@@ -773,6 +773,20 @@ def exported_magnitude_buckets(spark, folder):
     return _exported_evaluation(spark, folder, "magnitude")
 
 
+@query
+def split_scorecards(spark, folder):
+    """Validation and test rows apart: a JSON section of each, read back."""
+    split = dataset.with_split(mf.labeled_features(tab.numbered_bars(spark, folder))).select("symbol", "rn", "split")
+    rows = settle(ev.evaluation_rows(_predictions(spark, folder)).join(split, ["symbol", "rn"]))
+    result, made = ex.ResultFolder(spark, interval="1h"), {}
+    for name in ("val", "test"):
+        made[name] = ev.direction_scorecard(rows.where(F.col("split") == name)).withColumn("split", F.lit(name))
+        result.add(f"{name}_direction", made[name])
+    path = result.save(_scratch(spark, "splits"))
+    back = [spark.read.schema(df.schema).json(f"{path}/{name}_direction") for name, df in made.items()]
+    return tidy(back[0].unionByName(back[1]))
+
+
 @query
 def candle_json_records(spark, folder):
     """Hourly bars as JSON records with ISO times."""
