@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import math
 
-from barloom.functions.text import div, sdiv
+from barloom.functions.text import ln, ratio, sdiv
 from barloom.plans.blocks import Blocked, Ewm, memory_rows
 
 MACD_FAST, MACD_SLOW, MACD_SIGNAL = 12, 26, 9
@@ -41,8 +41,8 @@ def moves() -> dict[str, str]:
         "_loss": "case when close > _pc then 0D else _pc - close end",
         "_pdm": f"case when {up} > {down} and {up} > 0 then {up} else 0D end",
         "_ndm": f"case when {down} > {up} and {down} > 0 then {down} else 0D end",
-        "_lr1": f"ln({div('close', '_pc')})",
-        "_ret": f"{div('close', '_pc')} - 1",
+        "_lr1": ln(ratio("close", "_pc")),
+        "_ret": f"{ratio('close', '_pc')} - 1",
     }
 
 

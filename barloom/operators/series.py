@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.config import KEYS
-from barloom.functions.text import crossed_above, crossed_below, div, flag, sdiv
+from barloom.functions.text import crossed_above, crossed_below, div, flag, ln, ratio, sdiv
 from barloom.operators import indicators as ind
 from barloom.plans.blocks import BLOCK_ROWS, POS, Ewm, Extreme, back, fits_blocks, in_blocks
 from barloom.plans import scan
@@ -37,8 +37,8 @@ def changes(bars: DataFrame, column: str, lags: Iterable[int], keys: tuple[str,
     for k in lags:
         before = f"_lag{k}"
         out[f"diff_{k}"] = f"{column} - {before}"
-        out[f"pct_change_{k}"] = f"{div(column, before)} - 1"
-        out[f"log_return_{k}"] = f"ln({div(column, before)})"
+        out[f"pct_change_{k}"] = f"{ratio(column, before)} - 1"
+        out[f"log_return_{k}"] = ln(ratio(column, before))
     return b.with_columns(out).drop_scratch().core()
 
 
