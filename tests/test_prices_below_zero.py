@@ -12,6 +12,7 @@ FOLDER = "/root/testdata/sf0.001"
 PICKED = [
     "validation_metrics",
     "technical_features",
+    "model_input_columns",
 ]
 
 pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="test tables not present")
