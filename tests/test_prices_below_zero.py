@@ -14,6 +14,7 @@ PICKED = [
     "technical_features",
     "model_input_columns",
     "condition_flags",
+    "confirmed_labels",
 ]
 
 pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="test tables not present")
