@@ -15,6 +15,7 @@ PICKED = [
     "model_input_columns",
     "condition_flags",
     "confirmed_labels",
+    "confirmed_with_required_flags",
 ]
 
 pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="test tables not present")
