@@ -19,6 +19,7 @@ PICKED = [
     "filled_features",
     "market_structure",
     "filled_table",
+    "labeled_table",
 ]
 
 pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="test tables not present")
