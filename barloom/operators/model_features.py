@@ -12,8 +12,10 @@ from barloom.functions.text import (
     change_pct,
     clip,
     div,
+    filled,
     finite_or,
     larger,
+    ratio,
     sdiv,
     smaller,
     zero_to_null,
@@ -25,8 +27,12 @@ ALPHAS = [ind.span(n) for n in (9, 12, 21, 26, 50)] + [ind.wilder(14)]
 BACK = max(ind.reach(ind.span(50)), ind.reach(ind.span(26), ind.span(9)), ind.reach(ind.wilder(14))) + 1
 
 
-def add_model_features(b: Blocked) -> Blocked:
-    """Append the model inputs; warm-up values are filled as the model expects them."""
+def add_model_features(b: Blocked, finite: bool = True) -> Blocked:
+    """Append the model inputs; warm-up values are filled as the model expects them.
+
+    Prices that reach 0 or below give infinite and NaN values (a logarithm of a negative ratio); they are filled like
+    missing ones, or kept without `finite`.
+    """
     b = b.with_columns(
         {
             **ind.previous_bar(b),
@@ -44,29 +50,32 @@ def add_model_features(b: Blocked) -> Blocked:
         "body_pct": (div("abs(close - open)", "_rng"), 0.0, True),
         "upper_shadow_pct": (div(f"high - {larger('open', 'close')}", "_rng"), 0.0, True),
         "lower_shadow_pct": (div(f"{smaller('open', 'close')} - low", "_rng"), 0.0, True),
-        "natr": (f"{div('_atr', 'close')} * 100", 0.0, False),
+        "natr": (f"{ratio('_atr', 'close')} * 100", 0.0, False),
         "candle_vs_atr": (div("_rng", "_atr"), 1.0, False),
         "log_return_1": ("_lr1", 0.0, False),
-        "roc_6": (f"({div('close', '_c6')} - 1) * 100", 0.0, False),
+        "roc_6": (f"({ratio('close', '_c6')} - 1) * 100", 0.0, False),
         "dist_ema_21_pct": (change_pct("close", "_ema21"), 0.0, False),
         "ema_9_21_spread_pct": (change_pct("_ema9", "_ema21"), 0.0, False),
         "dist_ema_50_pct": (change_pct("close", "_ema50"), 0.0, False),
-        "macd_hist_pct": (f"{div(f'{ind.MACD_LINE} - _sig', 'close')} * 100", 0.0, False),
+        "macd_hist_pct": (f"{ratio(f'{ind.MACD_LINE} - _sig', 'close')} * 100", 0.0, False),
         "rsi_14": (ind.rsi(14), 50.0, False),
         "bb_position": (sdiv(f"close - {lower}", f"{upper} - {lower}"), 0.5, True),
         "volume_ratio_20": (sdiv("volume", "_v20"), 1.0, False),
     }
-    filled = {}
+    fill = finite_or if finite else filled
+    inputs = {}
     for name, (text, default, unit) in raw.items():
-        value = finite_or(text, default)
-        filled[name] = clip(value, 0.0, 1.0) if unit else value
-    return b.with_columns({**filled, **calendar_cycle("ts")}).drop_scratch()
+        value = fill(text, default)
+        inputs[name] = clip(value, 0.0, 1.0) if unit else value
+    return b.with_columns({**inputs, **calendar_cycle("ts")}).drop_scratch()
 
 
-def model_features(bars: DataFrame, keys: tuple[str, ...] = KEYS, rows: int | None = None) -> DataFrame:
+def model_features(
+    bars: DataFrame, keys: tuple[str, ...] = KEYS, rows: int | None = None, finite: bool = True
+) -> DataFrame:
     """Numbered bars -> bars with the 18 inputs, one exchange."""
     extra = {} if rows is None else {"rows": rows}
-    return add_model_features(in_blocks(bars, back=BACK, alphas=ALPHAS, keys=keys, **extra)).core()
+    return add_model_features(in_blocks(bars, back=BACK, alphas=ALPHAS, keys=keys, **extra), finite).core()
 
 
 def add_horizon_label(b: Blocked, lookahead: int = LOOKAHEAD_BARS) -> Blocked:
@@ -100,14 +109,14 @@ def direction_targets(labeled: DataFrame, cap: float = MAX_RETURN_PCT) -> DataFr
 
 
 def labeled_features(
-    bars: DataFrame, lookahead: int = LOOKAHEAD_BARS, keys: tuple[str, ...] = KEYS
+    bars: DataFrame, lookahead: int = LOOKAHEAD_BARS, keys: tuple[str, ...] = KEYS, finite: bool = True
 ) -> DataFrame:
     """Inputs, horizon label and targets of the bars with a full look-ahead, behind one exchange.
 
     The features are causal, so dropping the unlabeled tail after computing them changes nothing.
     """
     b = in_blocks(bars, back=BACK, ahead=lookahead, alphas=ALPHAS, keys=keys)
-    b = add_model_features(add_horizon_label(b, lookahead))
+    b = add_model_features(add_horizon_label(b, lookahead), finite)
     return direction_targets(b.core().where("horizon_label_valid"))
 
 

@@ -20,6 +20,7 @@ PICKED = [
     "market_structure",
     "filled_table",
     "labeled_table",
+    "model_features",
 ]
 
 pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="test tables not present")
