@@ -307,7 +307,7 @@ def _fit_words(texts: DataFrame, place: str, bits: int):
         return pa.table({"shard": pa.array([shard], pa.int32()), "types": [len(keys)], "tokens": [int(counts.sum())]})
 
     blobs = texts.mapInArrow(counted, "shard int, keys binary, counts binary")
-    found = blobs.groupBy("shard").applyInArrow(kept, "shard int, types long, tokens long").collect()  # a row per shard
+    found = settle(blobs.groupBy("shard").applyInArrow(kept, "shard int, types long, tokens long")).collect()  # a row per shard
     sizes = {r["shard"]: r["types"] for r in found}
     starts = list(accumulate((sizes.get(s, 0) for s in range(1 << bits)), initial=0))[:-1]
     return Shards(place, "words", bits, tuple(starts), frozenset(sizes)), found
@@ -423,7 +423,8 @@ def _fit_triples(texts: DataFrame, words: Shards, pairs: Shards, triples: Shards
 
     end = np.uint64(max(int(words.find(np.array([END]))[0][0]), 0))
     blobs = texts.mapInArrow(counted, "shard int, keys binary, counts binary")
-    found = blobs.groupBy("shard").applyInArrow(kept, SENT)
+    # written before the next step: the triples' shuffle, the largest, is gone by then
+    found = settle(blobs.groupBy("shard").applyInArrow(kept, SENT))
     every = texts.sparkSession.range(1 << pairs.bits).selectExpr("cast(id AS int) AS part", "4 AS kind", "X'' AS numbers", "array(X'') AS columns")
     return settle(found.union(every).groupBy("part").applyInArrow(told, SENT))
 
@@ -460,7 +461,8 @@ def _fit_stats(sent: DataFrame, place: str):
         classes = [int((before == 1).sum()), int((before == 2).sum()), int((before >= 3).sum())]
         return pa.table({"part": pa.array([part], pa.int32()), "n": [_of_counts(before)], "classes": [classes], "total": [int(before.sum())]})
 
-    found = sent.groupBy("part").applyInArrow(kept, "part int, n array<long>, classes array<long>, total long").collect()  # a row per 2^20 words
+    kinds = "part int, n array<long>, classes array<long>, total long"
+    found = settle(sent.groupBy("part").applyInArrow(kept, kinds)).collect()  # a row per 2^20 words
     counts = [sum(r["n"][k] for r in found) for k in range(4)]
     classes = tuple(sum(r["classes"][k] for r in found) for k in range(3))
     return counts, (*classes, sum(r["total"] for r in found)), frozenset(r["part"] for r in found)
