@@ -4,9 +4,10 @@ Files in a folder that all executors share (below `spark.checkpoint.dir`, which
 
 - `words-*`: sorted 64-bit hashes of the training tokens and their counts, split by the hashes' top bits. A word's
   number is its place over all shards, so numbers are dense.
-- `pairs-*`: sorted keys (number of the history << 32 | number of the word) with counts, split by a mix of the key:
-  a frequent history spreads over all shards. A pair's number is its place over all shards.
-- `triples-*` (order three): sorted keys (number of the pair * types + number of the word) with counts, split alike.
+- `pairs-*`: sorted keys (number of the history * wide + number of the word) with counts, split by the key's low bits:
+  a frequent history spreads over all shards, and so does a frequent word, as `wide` (the types, made odd) shares no
+  factor with their number. A pair's number is its place over all shards.
+- `triples-*` (order three): sorted keys (number of the pair * wide + number of the word) with counts, split alike.
   `pairs-*-a` then holds the distinct words before each pair, `-once`, `-twice` and `-more` the distinct words after it.
 - `stats-*`: arrays indexed by word number: count as history, distinct successors seen once, twice, and more often,
   distinct predecessors. Each file holds the 2^20 numbers of one part.
@@ -16,7 +17,8 @@ and pre-counted, so what is shuffled is distinct keys per task rather than token
 are written under another name and renamed: a repeated task writes the same file again, and a lost executor costs
 its running tasks only. Scoring reads texts once more and shuffles nothing; a worker maps the shards it touches.
 
-Counts are bytes, with a list of those that do not fit. A pair that comes once has one word before and one after it,
+Of the keys of pairs and triples every 16th is stored whole, the others by their distance from it without the bits that
+tell their shard: four and a half bytes a key instead of eight. Counts are bytes, with a list of those that do not fit. A pair that comes once has one word before and one after it,
 so only pairs that come more often have these counted. Pairs that begin a text have no word before them and keep
 their plain counts; the first word of a text is scored with them.
 """
@@ -43,8 +45,9 @@ from barloom.plans.settle import settle, shared_folder
 
 #: Hash that stands for the end of a text.
 END = np.uint64(0)
-MIX = np.uint64(0x9E3779B97F4A7C15)
 PART_BITS = 20
+#: Keys from one that is stored whole to the next.
+RUN = 16
 #: Tokens that a worker counts, and scores, at once; scoring holds about twenty arrays per token.
 TOKENS_AT_ONCE, TOKENS_SCORED = 1 << 21, 1 << 18
 SHARD_BYTES = 16 << 20
@@ -90,6 +93,44 @@ def _save_counts(folder: str, name: str, values: np.ndarray) -> None:
     _save(folder, name, np.minimum(values, 255).astype(np.uint8))
 
 
+def _save_keys(folder: str, name: str, keys: np.ndarray, bits: int = 0) -> None:
+    """Sorted keys that share their lowest `bits`: every 16th whole, and how far each lies behind the one before it of these."""
+    first = keys[::RUN]
+    behind = (keys - np.repeat(first, RUN)[: len(keys)]) >> np.uint64(bits)
+    kind = np.uint32 if not len(keys) or int(behind.max()) < 1 << 32 else np.uint64
+    _save(folder, f"{name}-behind", behind.astype(kind))
+    _save(folder, name, first)
+
+
+class Keys:
+    """The keys of `_save_keys`, mapped."""
+
+    def __init__(self, path: str, bits: int = 0) -> None:
+        self.first, self.behind, self.bits = _mapped(f"{path}.npy"), _mapped(f"{path}-behind.npy"), np.uint64(bits)
+
+    def __len__(self) -> int:
+        return len(self.behind)
+
+    def at(self, places: np.ndarray) -> np.ndarray:
+        """The keys at these places."""
+        return self.first[places // RUN] + (self.behind[places].astype(np.uint64) << self.bits)
+
+    def all(self) -> np.ndarray:
+        return np.repeat(self.first, RUN)[: len(self)] + (self.behind.astype(np.uint64) << self.bits)
+
+    def find(self, keys: np.ndarray):
+        """(place, whether it is the key's), for keys with the same lowest bits: the run, then binary steps inside it."""
+        run = np.searchsorted(self.first, keys, "right") - 1
+        inside = run >= 0
+        run[~inside] = 0
+        want = (keys - self.first[run]) >> self.bits
+        place, last = run * RUN, len(self) - 1
+        for step in (8, 4, 2, 1):
+            ahead = np.minimum(place + step, last)
+            place = np.where(self.behind[ahead] <= want, ahead, place)
+        return place, inside & (self.behind[place] == want)
+
+
 def _counts(folder: str, name: str, at: np.ndarray) -> np.ndarray:
     out = _mapped(f"{folder}/{name}.npy")[at].astype(np.int64)
     large = np.nonzero(out == 255)[0]
@@ -112,9 +153,17 @@ class Shards:
     held: frozenset[int] = frozenset()
 
     def of(self, keys: np.ndarray) -> np.ndarray:
-        """Shard of each key: by its own top bits for words, by the top bits of a mix for pairs."""
-        spread = keys if self.kind == "words" else keys * MIX
-        return (spread >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(keys), np.int64)
+        """Shard of each key: by its own top bits for words, which are hashes, by the low bits for others."""
+        if self.kind == "words":
+            return (keys >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(keys), np.int64)
+        return (keys & np.uint64((1 << self.bits) - 1)).astype(np.int64)
+
+    def short(self, keys: np.ndarray) -> np.ndarray:
+        """Keys of one shard without the bits that tell it."""
+        return keys if self.kind == "words" else keys >> np.uint64(self.bits)
+
+    def whole(self, shard: int, short: np.ndarray) -> np.ndarray:
+        return short if self.kind == "words" else short << np.uint64(self.bits) | np.uint64(shard)
 
     def find(self, keys: np.ndarray):
         """(place, count) of each key, -1 and 0 if it is absent. Sorted keys touch each page of a shard once."""
@@ -126,9 +175,12 @@ class Shards:
             rows = order[cuts[s] : cuts[s + 1]]
             if not len(rows) or s not in self.held:
                 continue
-            known = _mapped(f"{self.folder}/{self.kind}-{s}.npy")
-            at = np.minimum(np.searchsorted(known, keys[rows]), len(known) - 1)
-            hit = known[at] == keys[rows]
+            if self.kind == "words":
+                known = _mapped(f"{self.folder}/{self.kind}-{s}.npy")
+                at = np.minimum(np.searchsorted(known, keys[rows]), len(known) - 1)
+                hit = known[at] == keys[rows]
+            else:
+                at, hit = Keys(f"{self.folder}/{self.kind}-{s}", self.bits).find(keys[rows])
             place[rows[hit]] = start + at[hit]
             count[rows[hit]] = _counts(self.folder, f"{self.kind}-{s}-n", at[hit])
         return place, count
@@ -145,7 +197,7 @@ class Shards:
     def keys(self, places: np.ndarray) -> np.ndarray:
         out = np.zeros(len(places), np.uint64)
         for s, rows, at in self.parts(places):
-            out[rows] = _mapped(f"{self.folder}/{self.kind}-{s}.npy")[at]
+            out[rows] = Keys(f"{self.folder}/{self.kind}-{s}", self.bits).at(at)
         return out
 
     def counts(self, places: np.ndarray, column: str) -> np.ndarray:
@@ -220,14 +272,14 @@ def _texts(batches):
 
 
 def _blobs(shards: Shards, keys: np.ndarray, counts: np.ndarray):
-    """One record batch: the keys of each shard, still sorted, with their counts."""
+    """One record batch: the short keys of each shard, still sorted, with their counts."""
     shard = shards.of(keys)
     order = np.argsort(shard, kind="stable")
     cuts = np.searchsorted(shard[order], np.arange((1 << shards.bits) + 1))
     rows = [(s, order[a:b]) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
     columns = [
         pa.array([s for s, _ in rows], pa.int32()),
-        pa.array([_pack(keys[r]) for _, r in rows], pa.binary()),
+        pa.array([_pack(shards.short(keys[r])) for _, r in rows], pa.binary()),
         pa.array([_pack(counts[r].astype(np.uint32)) for _, r in rows], pa.binary()),
     ]
     return pa.RecordBatch.from_arrays(columns, names=["shard", "keys", "counts"])
@@ -272,7 +324,7 @@ def fit(df: DataFrame, text: str = "text", folder: str | None = None, shard_byte
     pairs, sent = _fit_pairs(texts, place, bits, words, types, order)
     triples = None
     if order == 3:
-        if (pairs.starts[-1] + (1 << 32)) * types >= 1 << 64:
+        if (pairs.starts[-1] + (1 << 32)) * (types + 1) >= 1 << 64:
             raise ValueError("triple keys take 64 bits; split the corpus")
         triples = Shards(place, "triples", bits, (0,) * (1 << bits))
         sent = _fit_triples(texts, words, pairs, triples, types)
@@ -319,7 +371,12 @@ def _numbered(words: Shards, types: int, hashes: np.ndarray, sizes: np.ndarray):
     numbers = words.find(known)[0][where].astype(np.uint64)
     history = np.concatenate([[np.uint64(types)], numbers[:-1]])
     history[np.cumsum(sizes)[:-1]] = types
-    return numbers, history << np.uint64(32) | numbers
+    return numbers, history * _wide(types) + numbers
+
+
+def _wide(types: int) -> np.uint64:
+    """Odd, so that the low bits of keys with the same word differ."""
+    return np.uint64(types | 1)
 
 
 SENT = "part int, kind int, numbers binary, columns array<binary>"
@@ -336,11 +393,11 @@ def _total(kind: int, counts: np.ndarray):
     return -1, kind, b"", [np.array(_of_counts(counts), np.uint64).tobytes()]
 
 
-def _pair_rows(keys: np.ndarray, counts: np.ndarray):
+def _pair_rows(keys: np.ndarray, counts: np.ndarray, types: int):
     """Rows of SENT that sum up sorted pairs by history (kind 0) and by word (1), and the counts of counts (2)."""
     classes = [(counts == 1), (counts == 2), (counts >= 3)]
-    history = _summed(keys >> np.uint64(32), counts, *(c.astype(np.uint64) for c in classes))
-    before = _summed(keys & np.uint64(0xFFFFFFFF), np.ones(len(keys), np.uint64))
+    history = _summed(keys // _wide(types), counts, *(c.astype(np.uint64) for c in classes))
+    before = _summed(keys % _wide(types), np.ones(len(keys), np.uint64))
     return [*_by_part(0, *history), *_by_part(1, *before), _total(2, counts)]
 
 
@@ -355,10 +412,11 @@ def _fit_pairs(texts: DataFrame, place: str, bits: int, words: Shards, types: in
     def kept(key, table):
         shard = key[0].as_py()
         keys, counts = _merged(table)
-        _save(place, f"pairs-{shard}", keys)
+        keys = blank.whole(shard, keys)
+        _save_keys(place, f"pairs-{shard}", keys, bits)
         _save_counts(place, f"pairs-{shard}-n", counts)
         size = np.array([len(keys)], np.uint64).tobytes()
-        return _sent([(shard, 4, b"", [size]), *(_pair_rows(keys, counts) if order == 2 else ())])
+        return _sent([(shard, 4, b"", [size]), *(_pair_rows(keys, counts, types) if order == 2 else ())])
 
     blobs = texts.mapInArrow(counted, "shard int, keys binary, counts binary")
     sent = settle(blobs.groupBy("shard").applyInArrow(kept, SENT))
@@ -369,7 +427,7 @@ def _fit_pairs(texts: DataFrame, place: str, bits: int, words: Shards, types: in
 
 def _fit_triples(texts: DataFrame, words: Shards, pairs: Shards, triples: Shards, types: int) -> DataFrame:
     """Writes triples, and the words before and after each pair; rows of SENT, kind 3 with the triples' counts of counts."""
-    place, wide = pairs.folder, np.uint64(max(types, 1))
+    place, wide = pairs.folder, _wide(types)
 
     def counted(batches):
         for hashes, sizes in _chunks(_texts(batches)):
@@ -384,14 +442,15 @@ def _fit_triples(texts: DataFrame, words: Shards, pairs: Shards, triples: Shards
     def kept(key, table):
         shard = key[0].as_py()
         keys, counts = _merged(table)
-        _save(place, f"triples-{shard}", keys)
+        keys = triples.whole(shard, keys)
+        _save_keys(place, f"triples-{shard}", keys, triples.bits)
         _save_counts(place, f"triples-{shard}-n", counts)
         history, word = (keys // wide).astype(np.int64), keys % wide
-        last = pairs.keys(history) & np.uint64(0xFFFFFFFF)
+        last = pairs.keys(history) % wide
         classes = [c.astype(np.uint32) for c in (counts == 1, counts == 2, counts >= 3)]
         often = pairs.counts(history, "n") > 1
         after = _summed(history[often], *(c[often] for c in classes))
-        ends, before = np.unique(last << np.uint64(32) | word, return_counts=True)
+        ends, before = np.unique(last * wide + word, return_counts=True)
         found, n = pairs.find(ends)
         often = np.nonzero(n > 1)[0]
         often = often[np.argsort(found[often])]
@@ -406,11 +465,11 @@ def _fit_triples(texts: DataFrame, words: Shards, pairs: Shards, triples: Shards
             return table
         if shard not in pairs.held:
             return _sent([])
-        keys = np.array(_mapped(f"{place}/pairs-{shard}.npy"))
+        keys = Keys(f"{place}/pairs-{shard}", pairs.bits).all()
         counts = _counts(place, f"pairs-{shard}-n", np.arange(len(keys)))
         once = (counts == 1).astype(np.uint64)
-        before = np.where(keys >> np.uint64(32) == types, counts, once).astype(np.uint64)
-        after = [np.where(keys & np.uint64(0xFFFFFFFF) == end, 0, once).astype(np.uint64), *np.zeros((2, len(keys)), np.uint64)]
+        before = np.where(keys // wide == types, counts, once).astype(np.uint64)
+        after = [np.where(keys % wide == end, 0, once).astype(np.uint64), *np.zeros((2, len(keys)), np.uint64)]
         for kind, numbers, columns in zip(*(table.column(c).to_pylist() for c in ("kind", "numbers", "columns")), strict=True):
             if kind == 4:
                 continue
@@ -419,7 +478,7 @@ def _fit_triples(texts: DataFrame, words: Shards, pairs: Shards, triples: Shards
                 sums[at] += _unpack(data, np.uint32)
         for name, values in zip(("a", "once", "twice", "more"), (before, *after), strict=True):
             _save_counts(place, f"pairs-{shard}-{name}", values)
-        return _sent(_pair_rows(keys, before))
+        return _sent(_pair_rows(keys, before, types))
 
     end = np.uint64(max(int(words.find(np.array([END]))[0][0]), 0))
     blobs = texts.mapInArrow(counted, "shard int, keys binary, counts binary")
@@ -495,7 +554,7 @@ def _score_chunk(model: Model, hashes: np.ndarray, sizes: np.ndarray):
     history[ends[:-1]] = len(known)
     numbers = np.append(number, model.types)
     full = (numbers[history] >= 0) & (number[where] >= 0)
-    keys = numbers[history[full]].astype(np.uint64) << np.uint64(32) | number[where[full]].astype(np.uint64)
+    keys = numbers[history[full]].astype(np.uint64) * _wide(model.types) + number[where[full]].astype(np.uint64)
     distinct, back = np.unique(keys, return_inverse=True)
     together = np.zeros(len(hashes))
     place, plain = model.pairs.find(distinct)
@@ -525,7 +584,7 @@ def _score_chunk(model: Model, hashes: np.ndarray, sizes: np.ndarray):
         at = np.nonzero(inner)[0]
         at = at[row[at - 1] >= 0]
         pair, word = row[at - 1], number[where[at]]
-        keys, back = np.unique(place[pair[word >= 0]].astype(np.uint64) * np.uint64(max(model.types, 1)) + word[word >= 0].astype(np.uint64), return_inverse=True)
+        keys, back = np.unique(place[pair[word >= 0]].astype(np.uint64) * _wide(model.types) + word[word >= 0].astype(np.uint64), return_inverse=True)
         together = np.zeros(len(at))
         together[word >= 0] = model.triples.find(keys)[1][back]
         probability[at] = _discounted(together, model.triple_discounts) / plain[pair] + held[pair] / plain[pair] * probability[at]
