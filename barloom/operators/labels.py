@@ -463,7 +463,7 @@ def label_bars(
         with_context(bars, keys=keys),
         back=max(wide.BACK, volatility_back(params)),
         ahead=params.lookahead,
-        alphas=[*wide.ALPHAS, *volatility_alphas(params)],
+        alphas=volatility_alphas(params),
         keys=keys,
     )
     b = add_next(add_volatility(b, params), params.lookahead)

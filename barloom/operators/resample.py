@@ -15,7 +15,6 @@ from barloom.plans.blocks import Blocked, as_one_block, in_blocks
 # Widths of the two context timeframes in seconds, widest last; each must divide the next.
 CONTEXTS = {"mtf_4h_": 4 * 3600, "mtf_1d_": 86400}
 
-ALPHAS = [ind.span(n) for n in (9, 21, 50)] + [ind.wilder(n) for n in (7, 14, 21)]
 BACK = max(ind.reach(ind.span(50)), ind.reach(ind.wilder(14), ind.wilder(14)), ind.reach(ind.wilder(21))) + 3
 
 
@@ -50,7 +49,7 @@ def add_context_features(b: Blocked) -> Blocked:
             "_vs20": b.roll("stddev_samp", "volume", 20, skip=0),
         }
     ).with_columns(ind.moves())
-    b = b.ewm(
+    b = b.recursive(
         {
             "_atr": ind.atr_request(),
             **ind.ema_requests(9, 21, 50),
@@ -58,7 +57,7 @@ def add_context_features(b: Blocked) -> Blocked:
             **ind.rsi_requests(7, 14, 21),
         }
     )
-    b = b.with_columns(ind.dmi()).ewm({"adx": ind.adx_request()})
+    b = b.with_columns(ind.dmi()).recursive({"adx": ind.adx_request()})
     upper, lower = ind.bollinger("_mid", "_std")
     return b.with_columns(
         {
@@ -78,13 +77,13 @@ def add_context_features(b: Blocked) -> Blocked:
 
 def context_features(bars: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Numbered bars -> their context features."""
-    b = add_context_features(in_blocks(bars, back=BACK, alphas=ALPHAS, keys=keys))
+    b = add_context_features(in_blocks(bars, back=BACK, keys=keys))
     return b.core().select(*keys, "ts", *CONTEXT_FEATURES)
 
 
 def _closed_context(coarse: DataFrame, prefix: str, seconds: int, keys: tuple[str, ...]) -> DataFrame:
     """Per coarse bar, the features of the bar before it and of the one before that."""
-    b = add_context_features(as_one_block(coarse, ALPHAS, keys))
+    b = add_context_features(as_one_block(coarse, keys=keys))
     both = f"struct({', '.join(CONTEXT_FEATURES)})"
     b = b.with_columns({f"{prefix}1": b.lag(both, 1), f"{prefix}2": b.lag(both, 2)})
     return b.core().select(*keys, local_seconds(F.col("ts")).alias(f"_bin{seconds}"), f"{prefix}1", f"{prefix}2")

@@ -22,6 +22,7 @@ from barloom.functions.scalar import local_seconds
 POS, TOTAL, BLOCK, CORE = "rn", "n", "blk", "in_core"
 BLOCK_ROWS = 1 << 15
 SPAN = 16
+PIECE = 64
 TILE_SECONDS = 30 * 86400
 BYTES_PER_TASK = 32 << 20
 MAX_TASKS = 100_000
@@ -71,8 +72,12 @@ def decay_rate(alpha: float) -> float:
 
 
 def memory_rows(alpha: float) -> int:
-    """Rows after which the weight of a value has fallen below e^-40, under half an ulp of a double."""
-    return math.ceil(40.0 / decay_rate(alpha))
+    """Rows after which the weight of a value has fallen below e^-64.
+
+    From e^-37, half an ulp of a double, on two recursions over the same values can only lie a few bits apart; the rest
+    is for these to meet, so that copied edges give the bits of the whole series.
+    """
+    return math.ceil(64.0 / decay_rate(alpha))
 
 
 def segment_sizes(alphas: Iterable[float], largest: int = BLOCK_ROWS) -> tuple[int, ...]:
@@ -258,6 +263,32 @@ class Blocked:
         )
         return step.drop(*[f"_{tag}_{name}" for tag in "usc" for name in requests], *decay.values())
 
+    def recursive(self, requests: dict[str, Ewm]) -> Blocked:
+        """`ewm` row by row: y0 = x0, y = (1-a) y + a x, with the bits of that recursion; a missing value keeps y.
+
+        On flat prices means of different weights are equal but for their last bits, and comparing them compares these
+        bits. A block's rows become one array, which is folded in pieces, so that appending stays cheap; the rows come
+        back on the same layout, for one more sort.
+        """
+        kept = [c for c in self.df.columns if c not in (*self.keys, BLOCK)]
+        inputs = {f"_u_{name}": r.source for name, r in requests.items()}
+        rest = [c for c in kept if c != POS]
+        rows = F.sort_array(F.collect_list(F.struct(POS, *rest, *inputs)))  # a place stands once in a block
+        df = self.with_columns(inputs).df.groupBy(*self.keys, BLOCK).agg(rows.alias("_rows"))
+        folds = []
+        for name, r in requests.items():
+            x, y = f"v._u_{name}", "element_at(ys, -1)"
+            next_y = f"case when {x} is null then {y} when {y} is null then {x} else {1.0 - r.alpha!r}D * {y} + {r.alpha!r}D * {x} end"
+            piece = f"aggregate(slice(_rows, k, {PIECE}), array(element_at(element_at(done, -1), -1)), (ys, v) -> array_append(ys, {next_y}))"
+            pieces = f"aggregate(sequence(1, size(_rows), {PIECE}), array(array(double(null))), (done, k) -> array_append(done, {piece}))"
+            # the first piece is the empty start, and a piece begins with the last value of the one before
+            folds.append(f"flatten(transform(slice({pieces}, 2, size(_rows)), ys -> slice(ys, 2, {PIECE}))) as _y_{name}")
+        fields = [f"'{c}', r.{c}" for c in kept]
+        fields += [f"'{name}', case when r.{POS} >= {r.skip + r.min_periods - 1} then get(_y_{name}, i) end" for name, r in requests.items()]
+        made = f"inline(transform(_rows, (r, i) -> named_struct({', '.join(fields)})))"
+        folded = df.selectExpr(*self.keys, BLOCK, "_rows", *folds)
+        return replace(self, df=folded.selectExpr(*self.keys, BLOCK, made))
+
     def core(self) -> DataFrame:
         """The rows the blocks own, without copies and layout columns."""
         names = [f"_seg{s}" for s in self.segments]
