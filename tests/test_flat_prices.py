@@ -12,7 +12,7 @@ from barloom.plans.blocks import Ewm, in_blocks
 from conftest import SCHEMA, collected, walk
 
 FOLDER = "/root/testdata/sf0.001"
-PICKED = ["confirmed_labels"]
+PICKED = ["confirmed_labels", "confirmed_with_required_flags"]
 
 
 def recursion(x, alpha):
