@@ -8,14 +8,20 @@ Files in a folder that all executors share (below `spark.checkpoint.dir`, which
   a frequent history spreads over all shards, and so does a frequent word, as `wide` (the types, made odd) shares no
   factor with their number. A pair's number is its place over all shards.
 - `triples-*` (order three): sorted keys (number of the pair * wide + number of the word) with counts, split alike.
-  `pairs-*-a` then holds the distinct words before each pair, `-once`, `-twice` and `-more` the distinct words after it.
+  The further counts of a pair are the distinct words before it, and those after it that come once, twice and more often.
+- `*-n` holds the counts of each of these tables, `pairs-*-rest` the four further counts of a pair side by side.
 - `stats-*`: arrays indexed by word number: count as history, distinct successors seen once, twice, and more often,
   distinct predecessors. Each file holds the 2^20 numbers of one part.
 
 Every table is built by a grouped Arrow function over blobs: each map task sends its distinct keys, sorted, packed
 and pre-counted, so what is shuffled is distinct keys per task rather than tokens, and grows with the corpus. Files
 are written under another name and renamed: a repeated task writes the same file again, and a lost executor costs
-its running tasks only. Scoring reads texts once more and shuffles nothing; a worker maps the shards it touches.
+its running tasks only. Scoring reads texts once more and shuffles nothing; a worker maps the shards it touches and keeps
+up to `MAPS` files mapped, without holding them open.
+
+Keys are counted and looked up in their shards' order: they are turned so that the bits that tell the shard stand on top,
+and plain sorts of 64-bit numbers do the rest (`_counted`, `_grouped`). Words are hashed eight bytes at a time, all words of
+a few megabytes at once.
 
 Of the keys of pairs and triples every 16th is stored whole, the others by their distance from it without the bits that
 tell their shard: four and a half bytes a key instead of eight. Counts are bytes, with a list of those that do not fit. A pair that comes once has one word before and one after it,
@@ -25,7 +31,9 @@ their plain counts; the first word of a text is scored with them.
 
 from __future__ import annotations
 
+import mmap
 import os
+import sys
 import uuid
 from dataclasses import dataclass, replace
 from functools import lru_cache
@@ -34,13 +42,12 @@ from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.text import slices, utf8
+from barloom.llm.text import utf8
 from barloom.plans.settle import settle, shared_folder
 
 #: Hash that stands for the end of a text.
@@ -49,34 +56,73 @@ PART_BITS = 20
 #: Keys from one that is stored whole to the next.
 RUN = 16
 #: Tokens that a worker counts, and scores, at once; scoring holds about twenty arrays per token.
-TOKENS_AT_ONCE, TOKENS_SCORED = 1 << 21, 1 << 18
+TOKENS_AT_ONCE, TOKENS_SCORED = 1 << 21, 1 << 20
+#: Bytes of text that are cut into words at once.
+BYTES_AT_ONCE = 2 << 20
 SHARD_BYTES = 16 << 20
+#: From 3.13 on a map need not hold its file open.
+UNTRACKED = {"trackfd": False} if sys.version_info >= (3, 13) else {}
+#: Files that a worker keeps mapped: a shard has up to thirteen, and each chunk of texts touches all of them. Linux maps
+#: 65,530 in a process unless told otherwise.
+MAPS = 56_000 if UNTRACKED else 1 << 12
 STATS = {"count": np.uint64, "once": np.uint32, "twice": np.uint32, "more": np.uint32, "before": np.uint32}
 
 
+_PRESS, _EXPAND = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def _pack(values: np.ndarray) -> bytes:
     """Compressed; sorted 64-bit keys as gaps, byte planes apart."""
     if values.dtype == np.uint64:
         values = np.diff(values, prepend=np.uint64(0))
     planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T)
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    return _PRESS.compress(planes)
 
 
 def _unpack(data: bytes, dtype) -> np.ndarray:
-    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    flat = np.frombuffer(_EXPAND.decompress(data), np.uint8)
     size = np.dtype(dtype).itemsize
     values = np.ascontiguousarray(flat.reshape(size, -1).T).view(dtype).ravel()
     return np.cumsum(values, dtype=np.uint64) if dtype == np.uint64 else values
 
 
+def _runs(keys: np.ndarray) -> np.ndarray:
+    """Where each run of equal keys begins."""
+    new = np.empty(len(keys), bool)
+    new[:1] = True
+    np.not_equal(keys[1:], keys[:-1], out=new[1:])
+    return np.flatnonzero(new)
+
+
 def _summed(keys: np.ndarray, *columns: np.ndarray):
-    """Equal keys added up: sorted keys, then the columns' sums."""
-    if not len(keys):
-        return keys, *columns
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    starts = np.concatenate([[0], np.nonzero(keys[1:] != keys[:-1])[0] + 1])
-    return keys[starts], *(np.add.reduceat(c[order], starts) for c in columns)
+    """Equal ones of sorted keys added up: the keys, then the columns' sums."""
+    starts = _runs(keys)
+    return keys[starts], *(np.add.reduceat(c, starts) if len(keys) else c for c in columns)
+
+
+def _counted(keys: np.ndarray):
+    """(sorted distinct keys, how often each comes); sorts `keys` in place."""
+    keys.sort()
+    starts = _runs(keys)
+    return keys[starts], np.diff(starts, append=len(keys))
+
+
+def _grouped(keys: np.ndarray, bits: int = 64):
+    """(groups, group of each key) for keys below 2^bits: equal keys share a group, nearly always a single one.
+
+    Groups come sorted by the keys' upper bits. What is sorted are the upper bits with each key's place below them.
+    """
+    below = len(keys).bit_length()
+    packed = (keys >> np.uint64(max(0, bits + below - 64))) << np.uint64(below)
+    packed |= np.arange(len(keys), dtype=np.uint64)
+    packed.sort()
+    packed &= np.uint64((1 << below) - 1)
+    order = packed.view(np.int64)
+    ordered = keys[order]
+    starts = _runs(ordered)
+    back = np.empty(len(keys), np.int64)
+    back[order] = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(keys)))
+    return ordered[starts], back
 
 
 def _save(folder: str, name: str, values: np.ndarray) -> None:
@@ -86,10 +132,9 @@ def _save(folder: str, name: str, values: np.ndarray) -> None:
 
 
 def _save_counts(folder: str, name: str, values: np.ndarray) -> None:
-    """One byte each; 255 stands for the counts listed apart."""
-    large = np.nonzero(values >= 255)[0]
-    _save(folder, f"{name}-at", large)
-    _save(folder, f"{name}-large", values[large].astype(np.int64))
+    """One byte each; 255 stands for the counts listed apart, behind their places."""
+    large = np.flatnonzero(values >= 255)
+    _save(folder, f"{name}-large", np.concatenate([large, values[large].astype(np.int64)]))
     _save(folder, name, np.minimum(values, 255).astype(np.uint8))
 
 
@@ -127,16 +172,19 @@ class Keys:
         place, last = run * RUN, len(self) - 1
         for step in (8, 4, 2, 1):
             ahead = np.minimum(place + step, last)
-            place = np.where(self.behind[ahead] <= want, ahead, place)
+            np.copyto(place, ahead, where=self.behind[ahead] <= want)
         return place, inside & (self.behind[place] == want)
 
 
-def _counts(folder: str, name: str, at: np.ndarray) -> np.ndarray:
-    out = _mapped(f"{folder}/{name}.npy")[at].astype(np.int64)
-    large = np.nonzero(out == 255)[0]
+def _counts(folder: str, name: str, at: np.ndarray, width: int = 1) -> np.ndarray:
+    """Counts at these places, `width` columns if they lie side by side."""
+    values = _mapped(f"{folder}/{name}.npy")
+    out = (values[at] if width == 1 else values.reshape(-1, width)[at].ravel()).astype(np.int64)
+    large = np.flatnonzero(out == 255)
     if len(large):
-        out[large] = _mapped(f"{folder}/{name}-large.npy")[np.searchsorted(_mapped(f"{folder}/{name}-at.npy"), at[large])]
-    return out
+        places, counts = _mapped(f"{folder}/{name}-large.npy").reshape(2, -1)
+        out[large] = counts[np.searchsorted(places, at[large // width] * width + large % width)]
+    return out if width == 1 else out.reshape(-1, width)
 
 
 @dataclass(frozen=True)
@@ -165,25 +213,51 @@ class Shards:
     def whole(self, shard: int, short: np.ndarray) -> np.ndarray:
         return short if self.kind == "words" else short << np.uint64(self.bits) | np.uint64(shard)
 
-    def find(self, keys: np.ndarray):
-        """(place, count) of each key, -1 and 0 if it is absent. Sorted keys touch each page of a shard once."""
-        place, count = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64)
+    def turned(self, keys: np.ndarray):
+        """(keys with the bits that tell the shard on top, the bits that they take): sorted, they are in shard order."""
+        if self.kind == "words":
+            return keys, 64
+        most = max(self.bits + 1, int(keys.max()).bit_length() if len(keys) else 0)
+        return (keys & np.uint64((1 << self.bits) - 1)) << np.uint64(most - self.bits) | keys >> np.uint64(self.bits), most
+
+    def turned_back(self, turned: np.ndarray, most: int) -> np.ndarray:
+        if self.kind == "words":
+            return turned
+        return (turned & np.uint64((1 << (most - self.bits)) - 1)) << np.uint64(self.bits) | turned >> np.uint64(most - self.bits)
+
+    def grouped(self, keys: np.ndarray):
+        """(groups, group of each key) as by `_grouped`, in shard order."""
+        turned, most = self.turned(keys)
+        groups, back = _grouped(turned, most)
+        return self.turned_back(groups, most), back
+
+    def find(self, keys: np.ndarray, *columns: tuple[str, int]):
+        """(place, the columns named with their widths, else the count) of each key, -1 and 0 if it is absent.
+
+        Keys in shard order are not dealt out first; sorted ones touch each page of a shard once.
+        """
+        columns = columns or (("n", 1),)
+        place, found = np.full(len(keys), -1, np.int64), [np.zeros((len(keys), w)[: 1 + (w > 1)], np.int64) for _, w in columns]
         shard = self.of(keys)
-        order = np.argsort(shard, kind="stable")
-        cuts = np.searchsorted(shard[order], np.arange(len(self.starts) + 1))
+        order = None if (shard[1:] >= shard[:-1]).all() else np.argsort(shard.astype(np.uint16) if self.bits <= 16 else shard, kind="stable")
+        cuts = np.searchsorted(shard if order is None else shard[order], np.arange(len(self.starts) + 1)).tolist()
         for s, start in enumerate(self.starts):
-            rows = order[cuts[s] : cuts[s + 1]]
-            if not len(rows) or s not in self.held:
+            if cuts[s] == cuts[s + 1] or s not in self.held:
                 continue
+            rows = np.arange(cuts[s], cuts[s + 1]) if order is None else order[cuts[s] : cuts[s + 1]]
+            own = keys[rows]
             if self.kind == "words":
                 known = _mapped(f"{self.folder}/{self.kind}-{s}.npy")
-                at = np.minimum(np.searchsorted(known, keys[rows]), len(known) - 1)
-                hit = known[at] == keys[rows]
+                at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                hit = known[at] == own
             else:
-                at, hit = Keys(f"{self.folder}/{self.kind}-{s}", self.bits).find(keys[rows])
-            place[rows[hit]] = start + at[hit]
-            count[rows[hit]] = _counts(self.folder, f"{self.kind}-{s}-n", at[hit])
-        return place, count
+                at, hit = Keys(f"{self.folder}/{self.kind}-{s}", self.bits).find(own)
+            if not hit.all():
+                rows, at = rows[hit], at[hit]
+            place[rows] = at + start
+            for out, (name, width) in zip(found, columns, strict=True):
+                out[rows] = _counts(self.folder, f"{self.kind}-{s}-{name}", at, width)
+        return place, *found
 
     def parts(self, places: np.ndarray):
         """(shard, rows, offsets): the rows of sorted `places` that lie in a shard, and where."""
@@ -207,9 +281,20 @@ class Shards:
         return out
 
 
-@lru_cache(maxsize=4096)
+@lru_cache(maxsize=MAPS)
 def _mapped(path: str) -> np.ndarray:
-    return np.load(path, mmap_mode="r")
+    """A saved array of one dimension, mapped."""
+    with open(path, "rb") as file:
+        np.lib.format.read_magic(file)
+        (size,), _, dtype = np.lib.format.read_array_header_1_0(file)
+        if not size:
+            return np.empty(0, dtype)
+        try:
+            held = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ, **UNTRACKED)
+        except OSError:  # fewer maps, or open files, are allowed here
+            _mapped.cache_clear()
+            held = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ, **UNTRACKED)
+        return np.frombuffer(held, dtype, size, file.tell())
 
 
 @dataclass(frozen=True)
@@ -248,47 +333,110 @@ def mounted(folder: str) -> str:
     return os.path.abspath(unquote(parsed.path))
 
 
-def token_hashes(data: bytes) -> np.ndarray:
-    """Hashes of a text's words, ASCII lower-cased, and END."""
-    return np.array([*map(xxhash.xxh64_intdigest, data.lower().split()), END], np.uint64)
+_SPACE = np.zeros(256, bool)
+_SPACE[list(b" \t\n\r\x0b\x0c")] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: Of a word's last eight bytes, those that are its own.
+_OWN = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Each 64-bit number changed to another one, each of whose bits depends on all (the finalizer of SplitMix64)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
 
+def _word_hashes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Hash of each word by its size and bytes; behind the last word `data` has eight bytes more.
 
-def _chunks(texts, most: int = TOKENS_AT_ONCE):
+    Words of one size of up to eight bytes never share a hash.
+    """
+    eight = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+    out = _mixed(sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    out = _mixed(out ^ (eight[starts] & _OWN[np.minimum(sizes, 8)]))
+    left = np.flatnonzero(sizes > 8)
+    for at in range(8, int(sizes.max(initial=0)), 8):
+        left = left[sizes[left] > at] if at > 8 else left
+        out[left] = _mixed(out[left] ^ (eight[starts[left] + at] & _OWN[np.minimum(sizes[left] - at, 8)]))
+    return out
+
+
+def _hashed(data: np.ndarray, cuts: np.ndarray):
+    """(hashes, number of tokens of each text): words, ASCII lower-cased, and END; text i is data[cuts[i]:cuts[i + 1]]."""
+    if len(cuts) == 1:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    data, cuts = data[cuts[0] : cuts[-1]], cuts - cuts[0]
+    word = ~_SPACE[data]
+    edges = cuts[(cuts > 0) & (cuts < len(data))]
+    first, last = word.copy(), word.copy()
+    first[1:] &= ~word[:-1]
+    last[:-1] &= ~word[1:]
+    first[edges], last[edges - 1] = word[edges], word[edges - 1]
+    starts = np.flatnonzero(first)
+    sizes = np.flatnonzero(last) + 1 - starts
+    held = np.diff(np.searchsorted(starts, cuts))
+    hashes = np.full(len(starts) + len(held), END)
+    hashes[np.arange(len(starts)) + np.repeat(np.arange(len(held)), held)] = _word_hashes(np.append(_LOWER[data], np.zeros(8, np.uint8)), starts, sizes)
+    return hashes, held + 1
+
+
+def _pieces(texts: pa.Array):
+    """Yields (hashes, number of tokens of each text) for about BYTES_AT_ONCE bytes of whole texts."""
+    texts = texts.cast(pa.large_binary())
+    cuts = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(cuts, cuts[at] + BYTES_AT_ONCE, "right")) - 1)
+        yield _hashed(data, cuts[at : to + 1])
+        at = to
+
+
+def _chunks(arrays, most: int = TOKENS_AT_ONCE):
     """Yields (hashes, number of tokens of each text) for about `most` tokens of whole texts."""
     parts, total = [], 0
-    for data in texts:
-        parts.append(token_hashes(data))
-        total += len(parts[-1])
+    for part in (part for texts in arrays for part in _pieces(texts)):
+        parts.append(part)
+        total += len(part[0])
         if total >= most:
-            yield np.concatenate(parts), np.array([len(p) for p in parts])
+            yield tuple(map(np.concatenate, zip(*parts, strict=True)))
             parts, total = [], 0
     if parts:
-        yield np.concatenate(parts), np.array([len(p) for p in parts])
+        yield tuple(map(np.concatenate, zip(*parts, strict=True)))
 
 
 def _texts(batches):
-    for batch in (part for whole in batches for part in slices(whole)):
-        yield from batch.column(0).to_pylist()
-
-
-def _blobs(shards: Shards, keys: np.ndarray, counts: np.ndarray):
-    """One record batch: the short keys of each shard, still sorted, with their counts."""
-    shard = shards.of(keys)
-    order = np.argsort(shard, kind="stable")
-    cuts = np.searchsorted(shard[order], np.arange((1 << shards.bits) + 1))
-    rows = [(s, order[a:b]) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+    return (batch.column(0) for batch in batches)
+
+
+def _blobs(shards: Shards, keys: np.ndarray):
+    """One record batch: the short keys of each shard, sorted, with their counts."""
+    turned, most = shards.turned(keys)
+    turned, counts = _counted(turned)
+    every = range(1 << shards.bits)
+    cuts = [*np.searchsorted(turned, np.array([s << (most - shards.bits) for s in every], np.uint64)).tolist(), len(turned)]
+    short = turned if shards.kind == "words" else turned & np.uint64((1 << (most - shards.bits)) - 1)
+    counts = counts.astype(np.uint32)
+    rows = [(s, slice(cuts[s], cuts[s + 1])) for s in every if cuts[s + 1] > cuts[s]]
     columns = [
         pa.array([s for s, _ in rows], pa.int32()),
-        pa.array([_pack(shards.short(keys[r])) for _, r in rows], pa.binary()),
-        pa.array([_pack(counts[r].astype(np.uint32)) for _, r in rows], pa.binary()),
+        pa.array([_pack(short[r]) for _, r in rows], pa.binary()),
+        pa.array([_pack(counts[r]) for _, r in rows], pa.binary()),
     ]
     return pa.RecordBatch.from_arrays(columns, names=["shard", "keys", "counts"])
 
 
 def _merged(table: pa.Table):
-    keys = [_unpack(x, np.uint64) for x in table.column("keys").to_pylist()]
-    counts = [_unpack(x, np.uint32).astype(np.uint64) for x in table.column("counts").to_pylist()]
-    return _summed(np.concatenate(keys), np.concatenate(counts))
+    """Sorted keys and the sums of their counts: equal keys are counted, and what counts have above one is added."""
+    keys = np.concatenate([_unpack(x.as_py(), np.uint64) for x in table.column("keys")])
+    counts = np.concatenate([_unpack(x.as_py(), np.uint32) for x in table.column("counts")])
+    more = np.flatnonzero(counts > 1)
+    often, above = keys[more], counts[more].astype(np.int64) - 1
+    keys, total = _counted(keys)
+    np.add.at(total, np.searchsorted(keys, often), above)
+    return keys, total
 
 
 def _of_counts(values: np.ndarray) -> list[int]:
@@ -349,7 +497,7 @@ def _fit_words(texts: DataFrame, place: str, bits: int):
 
     def counted(batches):
         for hashes, _ in _chunks(_texts(batches)):
-            yield _blobs(blank, *np.unique(hashes, return_counts=True))
+            yield _blobs(blank, hashes)
 
     def kept(key, table):
         shard = key[0].as_py()
@@ -367,8 +515,8 @@ def _fit_words(texts: DataFrame, place: str, bits: int):
 
 def _numbered(words: Shards, types: int, hashes: np.ndarray, sizes: np.ndarray):
     """Numbers of known words, and keys of the pairs that end in them."""
-    known, where = np.unique(hashes, return_inverse=True)
-    numbers = words.find(known)[0][where].astype(np.uint64)
+    known, where = words.grouped(hashes)
+    numbers = words.find(known)[0].astype(np.uint64)[where]
     history = np.concatenate([[np.uint64(types)], numbers[:-1]])
     history[np.cumsum(sizes)[:-1]] = types
     return numbers, history * _wide(types) + numbers
@@ -396,8 +544,9 @@ def _total(kind: int, counts: np.ndarray):
 def _pair_rows(keys: np.ndarray, counts: np.ndarray, types: int):
     """Rows of SENT that sum up sorted pairs by history (kind 0) and by word (1), and the counts of counts (2)."""
     classes = [(counts == 1), (counts == 2), (counts >= 3)]
-    history = _summed(keys // _wide(types), counts, *(c.astype(np.uint64) for c in classes))
-    before = _summed(keys % _wide(types), np.ones(len(keys), np.uint64))
+    history = keys // _wide(types)
+    before = _counted(keys - history * _wide(types))
+    history = _summed(history, counts, *(c.astype(np.uint64) for c in classes))
     return [*_by_part(0, *history), *_by_part(1, *before), _total(2, counts)]
 
 
@@ -407,7 +556,7 @@ def _fit_pairs(texts: DataFrame, place: str, bits: int, words: Shards, types: in
 
     def counted(batches):
         for hashes, sizes in _chunks(_texts(batches)):
-            yield _blobs(blank, *np.unique(_numbered(words, types, hashes, sizes)[1], return_counts=True))
+            yield _blobs(blank, _numbered(words, types, hashes, sizes)[1])
 
     def kept(key, table):
         shard = key[0].as_py()
@@ -432,12 +581,12 @@ def _fit_triples(texts: DataFrame, words: Shards, pairs: Shards, triples: Shards
     def counted(batches):
         for hashes, sizes in _chunks(_texts(batches)):
             numbers, keys = _numbered(words, types, hashes, sizes)
-            distinct, back = np.unique(keys, return_inverse=True)
-            history = pairs.find(distinct)[0][back].astype(np.uint64)
+            distinct, back = pairs.grouped(keys)
+            history = pairs.find(distinct)[0].astype(np.uint64)[back]
             inner = np.ones(len(keys), bool)
             inner[np.cumsum(sizes) - sizes] = False
             at = np.nonzero(inner)[0]
-            yield _blobs(triples, *np.unique(history[at - 1] * wide + numbers[at], return_counts=True))
+            yield _blobs(triples, history[at - 1] * wide + numbers[at])
 
     def kept(key, table):
         shard = key[0].as_py()
@@ -445,15 +594,19 @@ def _fit_triples(texts: DataFrame, words: Shards, pairs: Shards, triples: Shards
         keys = triples.whole(shard, keys)
         _save_keys(place, f"triples-{shard}", keys, triples.bits)
         _save_counts(place, f"triples-{shard}-n", counts)
-        history, word = (keys // wide).astype(np.int64), keys % wide
-        last = pairs.keys(history) % wide
+        history = keys // wide
+        word = keys - history * wide
         classes = [c.astype(np.uint32) for c in (counts == 1, counts == 2, counts >= 3)]
+        starts = _runs(history)
+        sums = [np.add.reduceat(c, starts) if len(keys) else c for c in classes]
+        history, come = history[starts].astype(np.int64), np.diff(starts, append=len(keys))
+        last = np.repeat(pairs.keys(history) % wide, come)
         often = pairs.counts(history, "n") > 1
-        after = _summed(history[often], *(c[often] for c in classes))
-        ends, before = np.unique(last * wide + word, return_counts=True)
-        found, n = pairs.find(ends)
-        often = np.nonzero(n > 1)[0]
-        often = often[np.argsort(found[often])]
+        after = history[often], *(c[often] for c in sums)
+        ends, most = pairs.turned(last * wide + word)
+        ends, before = _counted(ends)
+        found, n = pairs.find(pairs.turned_back(ends, most))  # their places rise, as they are in shard order
+        often = np.flatnonzero(n > 1)
         rows = [_total(3, counts)]
         for kind, places, columns in ((0, after[0], after[1:]), (1, found[often], [before[often]])):
             rows += [(s, kind, _pack(at.astype(np.uint64)), [_pack(c[r].astype(np.uint32)) for c in columns]) for s, r, at in pairs.parts(places)]
@@ -467,17 +620,16 @@ def _fit_triples(texts: DataFrame, words: Shards, pairs: Shards, triples: Shards
             return _sent([])
         keys = Keys(f"{place}/pairs-{shard}", pairs.bits).all()
         counts = _counts(place, f"pairs-{shard}-n", np.arange(len(keys)))
-        once = (counts == 1).astype(np.uint64)
-        before = np.where(keys // wide == types, counts, once).astype(np.uint64)
-        after = [np.where(keys % wide == end, 0, once).astype(np.uint64), *np.zeros((2, len(keys)), np.uint64)]
+        once, history = counts == 1, keys // wide
+        before = np.where(history == types, counts, once).astype(np.uint64)
+        after = [(once & (keys - history * wide != end)).astype(np.uint64), *np.zeros((2, len(keys)), np.uint64)]
         for kind, numbers, columns in zip(*(table.column(c).to_pylist() for c in ("kind", "numbers", "columns")), strict=True):
             if kind == 4:
                 continue
             at = _unpack(numbers, np.uint64).astype(np.int64)
             for sums, data in zip(after if kind == 0 else [before], columns, strict=True):
                 sums[at] += _unpack(data, np.uint32)
-        for name, values in zip(("a", "once", "twice", "more"), (before, *after), strict=True):
-            _save_counts(place, f"pairs-{shard}-{name}", values)
+        _save_counts(place, f"pairs-{shard}-rest", np.stack([before, *after], axis=1).ravel())
         return _sent(_pair_rows(keys, before, types))
 
     end = np.uint64(max(int(words.find(np.array([END]))[0][0]), 0))
@@ -528,68 +680,63 @@ def _fit_stats(sent: DataFrame, place: str):
 
 
 def _discounted(counts: np.ndarray, discounts) -> np.ndarray:
-    return np.maximum(counts - np.choose(np.minimum(counts, 3).astype(np.int64), [0.0, *discounts]), 0.0)
+    return np.maximum(counts - np.array([0.0, *discounts])[np.minimum(counts, 3).astype(np.int64)], 0.0)
 
 
 def _score_chunk(model: Model, hashes: np.ndarray, sizes: np.ndarray):
     """(known tokens, base score, score) of each text of a chunk."""
-    known, where = np.unique(hashes, return_inverse=True)
+    known, where = model.words.grouped(hashes)
     number, count = model.words.find(known)
     base = np.log10((count + 1.0) / (model.tokens + model.types + 1.0))
     # unigram level: from distinct predecessors, interpolated with a uniform share that unseen words have too
     seen = number >= 0
     own = {k: np.zeros(len(known)) for k in STATS}
-    order = np.argsort(number[seen])
-    rows = np.nonzero(seen)[0][order]
+    rows = np.flatnonzero(seen)
+    rows = rows[np.argsort(number[rows], kind="stable")]
     for k, values in model.stats(number[rows]).items():
         own[k][rows] = values
     total = float(model.word_classes[3])
     spare = sum(d * n for d, n in zip(model.word_discounts, model.word_classes[:3], strict=True)) / total if total else 1.0
     lower = _discounted(own["before"], model.word_discounts) / (total or 1.0) + spare / (model.types + 1.0)
-    # bigram level
+    # bigram level: of each word as history (the last is the start of a text), its count and the share left for the unigram
     start = model.stats(np.array([model.types]))
     table = {k: np.append(own[k], start[k]) for k in STATS}
+    some = table["count"] > 0
+    divide = np.where(some, table["count"], 1.0)
+    left = np.where(some, sum(d * table[k] for d, k in zip(model.pair_discounts, ("once", "twice", "more"), strict=True)) / divide, 1.0)
     ends = np.cumsum(sizes)
-    history = np.concatenate([[len(known)], where[:-1]])
-    history[ends[:-1]] = len(known)
-    numbers = np.append(number, model.types)
-    full = (numbers[history] >= 0) & (number[where] >= 0)
-    keys = numbers[history[full]].astype(np.uint64) * _wide(model.types) + number[where[full]].astype(np.uint64)
-    distinct, back = np.unique(keys, return_inverse=True)
-    together = np.zeros(len(hashes))
-    place, plain = model.pairs.find(distinct)
-    order = np.argsort(place)
-    order = order[place[order] >= 0]
-    of_pair = plain.copy()
-    if model.triples:
-        of_pair[order] = model.pairs.counts(place[order], "a")
-    together[full] = of_pair[back]
-    of_history = table["count"][history]
-    some = of_history > 0
-    held = sum(d * table[k] for d, k in zip(model.pair_discounts, ("once", "twice", "more"), strict=True))[history]
-    divide = np.where(some, of_history, 1.0)
-    share = lower[where]
-    probability = np.where(some, _discounted(together, model.pair_discounts) / divide + held / divide * share, share)
     begins = ends - sizes
+    history = np.empty(len(hashes), np.int64)
+    history[1:] = where[:-1]
+    history[begins] = len(known)
+    word, before = number[where], np.append(number, model.types)[history]
+    full = (before >= 0) & (word >= 0)
+    every = bool(full.all())
+    keys = (before if every else before[full]).astype(np.uint64) * _wide(model.types) + (word if every else word[full]).astype(np.uint64)
+    del before
+    distinct, back = model.pairs.grouped(keys)
+    of_triples = (("n", 1), ("rest", 4)) if model.triples else ()
+    place, plain, *rest = model.pairs.find(distinct, *of_triples)
+    together = _discounted(rest[0][:, 0] if rest else plain, model.pair_discounts)[back]
+    probability = left[history] * lower[where]
+    probability[full] += together / divide[history if every else history[full]]
     if model.triples and len(distinct):
         # trigram level: the pair that ends one word before is the history
-        after = {k: np.zeros(len(distinct)) for k in ("once", "twice", "more")}
-        for k, values in after.items():
-            values[order] = model.pairs.counts(place[order], k)
-        held = sum(d * after[k] for d, k in zip(model.triple_discounts, after, strict=True))
+        counted = np.maximum(plain, 1)
+        left = sum(d * rest[0][:, k] for k, d in enumerate(model.triple_discounts, 1)) / counted
         row = np.full(len(hashes), -1)
         row[full] = np.where(place >= 0, np.arange(len(distinct)), -1)[back]
-        inner = np.ones(len(hashes), bool)
-        inner[begins] = False
-        at = np.nonzero(inner)[0]
-        at = at[row[at - 1] >= 0]
-        pair, word = row[at - 1], number[where[at]]
-        keys, back = np.unique(place[pair[word >= 0]].astype(np.uint64) * _wide(model.types) + word[word >= 0].astype(np.uint64), return_inverse=True)
-        together = np.zeros(len(at))
-        together[word >= 0] = model.triples.find(keys)[1][back]
-        probability[at] = _discounted(together, model.triple_discounts) / plain[pair] + held[pair] / plain[pair] * probability[at]
+        row[ends - 1] = -1  # the last token of a text is nobody's history
+        at = np.flatnonzero(row[:-1] >= 0) + 1
+        pair, word = row[at - 1], word[at]
+        held = np.flatnonzero(word >= 0)
+        keys, back = model.triples.grouped(place[pair[held]].astype(np.uint64) * _wide(model.types) + word[held].astype(np.uint64))
+        changed = left[pair] * probability[at]
+        changed[held] += _discounted(model.triples.find(keys)[1], model.triple_discounts)[back] / counted[pair[held]]
+        probability[at] = changed
+    np.log10(probability, out=probability)
     add = lambda x: np.add.reduceat(x, begins)  # noqa: E731  every text has a token
-    return add(seen[where].astype(np.int64)), add(base[where]), add(np.log10(probability))
+    return add(seen.astype(np.int64)[where]), add(base[where]), add(probability)
 
 
 def scored(df: DataFrame, model: Model, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -606,10 +753,10 @@ def scored(df: DataFrame, model: Model, text: str = "text", keys: tuple[str, ...
         raise ValueError("a key column is named twice")
 
     def run(batches):
-        for batch in (part for whole in batches for part in slices(whole)):
+        for batch in batches:
             rows = batch.num_rows
             parts, done = [], 0
-            for hashes, sizes in _chunks(batch.column(len(keys)).to_pylist(), TOKENS_SCORED):
+            for hashes, sizes in _chunks([batch.column(len(keys))], TOKENS_SCORED):
                 parts.append((sizes, *_score_chunk(model, hashes, sizes)))
                 done += len(sizes)
             assert done == rows
