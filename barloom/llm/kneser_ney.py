@@ -56,7 +56,7 @@ PART_BITS = 20
 #: Keys from one that is stored whole to the next.
 RUN = 16
 #: Tokens that a worker counts, and scores, at once; scoring holds about twenty arrays per token.
-TOKENS_AT_ONCE, TOKENS_SCORED = 1 << 21, 1 << 20
+TOKENS_AT_ONCE, TOKENS_SCORED = 1 << 21, 3 << 18
 #: Bytes of text that are cut into words at once.
 BYTES_AT_ONCE = 2 << 20
 SHARD_BYTES = 16 << 20
@@ -118,11 +118,12 @@ def _grouped(keys: np.ndarray, bits: int = 64):
     packed.sort()
     packed &= np.uint64((1 << below) - 1)
     order = packed.view(np.int64)
-    ordered = keys[order]
-    starts = _runs(ordered)
+    groups = keys[order]
+    starts = _runs(groups)
+    groups = groups[starts]
     back = np.empty(len(keys), np.int64)
     back[order] = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(keys)))
-    return ordered[starts], back
+    return groups, back
 
 
 def _save(folder: str, name: str, values: np.ndarray) -> None:
@@ -218,7 +219,9 @@ class Shards:
         if self.kind == "words":
             return keys, 64
         most = max(self.bits + 1, int(keys.max()).bit_length() if len(keys) else 0)
-        return (keys & np.uint64((1 << self.bits) - 1)) << np.uint64(most - self.bits) | keys >> np.uint64(self.bits), most
+        turned = keys >> np.uint64(self.bits)
+        turned |= keys << np.uint64(64 - self.bits) >> np.uint64(64 - most)
+        return turned, most
 
     def turned_back(self, turned: np.ndarray, most: int) -> np.ndarray:
         if self.kind == "words":
@@ -396,15 +399,18 @@ def _pieces(texts: pa.Array):
 
 def _chunks(arrays, most: int = TOKENS_AT_ONCE):
     """Yields (hashes, number of tokens of each text) for about `most` tokens of whole texts."""
-    parts, total = [], 0
-    for part in (part for texts in arrays for part in _pieces(texts)):
-        parts.append(part)
-        total += len(part[0])
+    hashes, sizes, total = [], [], 0
+    for piece in (piece for texts in arrays for piece in _pieces(texts)):
+        hashes.append(piece[0])
+        sizes.append(piece[1])
+        total += len(piece[0])
+        del piece
         if total >= most:
-            yield tuple(map(np.concatenate, zip(*parts, strict=True)))
-            parts, total = [], 0
-    if parts:
-        yield tuple(map(np.concatenate, zip(*parts, strict=True)))
+            hashes, sizes, total = [np.concatenate(hashes)], [np.concatenate(sizes)], 0
+            yield hashes.pop(), sizes.pop()
+    if hashes:
+        hashes, sizes = [np.concatenate(hashes)], [np.concatenate(sizes)]
+        yield hashes.pop(), sizes.pop()
 
 
 def _texts(batches):
@@ -581,12 +587,18 @@ def _fit_triples(texts: DataFrame, words: Shards, pairs: Shards, triples: Shards
     def counted(batches):
         for hashes, sizes in _chunks(_texts(batches)):
             numbers, keys = _numbered(words, types, hashes, sizes)
+            del hashes
             distinct, back = pairs.grouped(keys)
+            del keys
             history = pairs.find(distinct)[0].astype(np.uint64)[back]
-            inner = np.ones(len(keys), bool)
+            del distinct, back
+            inner = np.ones(len(numbers), bool)
             inner[np.cumsum(sizes) - sizes] = False
-            at = np.nonzero(inner)[0]
-            yield _blobs(triples, history[at - 1] * wide + numbers[at])
+            history, numbers = history[:-1][inner[1:]], numbers[inner]
+            history *= wide
+            history += numbers
+            del numbers
+            yield _blobs(triples, history)
 
     def kept(key, table):
         shard = key[0].as_py()
@@ -687,11 +699,13 @@ def _score_chunk(model: Model, hashes: np.ndarray, sizes: np.ndarray):
     """(known tokens, base score, score) of each text of a chunk."""
     known, where = model.words.grouped(hashes)
     number, count = model.words.find(known)
-    base = np.log10((count + 1.0) / (model.tokens + model.types + 1.0))
+    begins = np.cumsum(sizes) - sizes
+    add = lambda x: np.add.reduceat(x, begins)  # noqa: E731  every text has a token
+    n_known = add((number >= 0).astype(np.int64)[where])
+    base = add(np.log10((count + 1.0) / (model.tokens + model.types + 1.0))[where])
     # unigram level: from distinct predecessors, interpolated with a uniform share that unseen words have too
-    seen = number >= 0
     own = {k: np.zeros(len(known)) for k in STATS}
-    rows = np.flatnonzero(seen)
+    rows = np.flatnonzero(number >= 0)
     rows = rows[np.argsort(number[rows], kind="stable")]
     for k, values in model.stats(number[rows]).items():
         own[k][rows] = values
@@ -704,39 +718,51 @@ def _score_chunk(model: Model, hashes: np.ndarray, sizes: np.ndarray):
     some = table["count"] > 0
     divide = np.where(some, table["count"], 1.0)
     left = np.where(some, sum(d * table[k] for d, k in zip(model.pair_discounts, ("once", "twice", "more"), strict=True)) / divide, 1.0)
-    ends = np.cumsum(sizes)
-    begins = ends - sizes
     history = np.empty(len(hashes), np.int64)
     history[1:] = where[:-1]
     history[begins] = len(known)
-    word, before = number[where], np.append(number, model.types)[history]
-    full = (before >= 0) & (word >= 0)
+    word, probability = number[where], lower[where]
+    del where  # arrays of a chunk's tokens go as soon as they can: a few of them are the worker's memory
+    probability *= left[history]
+    full = np.append(number, model.types)[history]
+    keys = full.astype(np.uint64)
+    full = (full >= 0) & (word >= 0)
     every = bool(full.all())
-    keys = (before if every else before[full]).astype(np.uint64) * _wide(model.types) + (word if every else word[full]).astype(np.uint64)
-    del before
+    if not every:
+        keys, history = keys[full], history[full]
+    keys *= _wide(model.types)
+    keys += (word if every else word[full]).astype(np.uint64)
     distinct, back = model.pairs.grouped(keys)
+    del keys
     of_triples = (("n", 1), ("rest", 4)) if model.triples else ()
     place, plain, *rest = model.pairs.find(distinct, *of_triples)
     together = _discounted(rest[0][:, 0] if rest else plain, model.pair_discounts)[back]
-    probability = left[history] * lower[where]
-    probability[full] += together / divide[history if every else history[full]]
+    together /= divide[history]
+    probability[full] += together
+    del together, history
     if model.triples and len(distinct):
         # trigram level: the pair that ends one word before is the history
         counted = np.maximum(plain, 1)
         left = sum(d * rest[0][:, k] for k, d in enumerate(model.triple_discounts, 1)) / counted
+        del rest, plain, distinct
         row = np.full(len(hashes), -1)
-        row[full] = np.where(place >= 0, np.arange(len(distinct)), -1)[back]
-        row[ends - 1] = -1  # the last token of a text is nobody's history
+        row[full] = np.where(place >= 0, np.arange(len(place)), -1)[back]
+        row[begins[1:] - 1] = row[-1] = -1  # the last token of a text is nobody's history
+        del back, full
         at = np.flatnonzero(row[:-1] >= 0) + 1
         pair, word = row[at - 1], word[at]
-        held = np.flatnonzero(word >= 0)
-        keys, back = model.triples.grouped(place[pair[held]].astype(np.uint64) * _wide(model.types) + word[held].astype(np.uint64))
-        changed = left[pair] * probability[at]
-        changed[held] += _discounted(model.triples.find(keys)[1], model.triple_discounts)[back] / counted[pair[held]]
-        probability[at] = changed
+        del row
+        probability[at] *= left[pair]
+        if (word < 0).any():  # nothing is added for unknown words
+            at, pair, word = (x[word >= 0] for x in (at, pair, word))
+        keys, back = model.triples.grouped(place[pair].astype(np.uint64) * _wide(model.types) + word.astype(np.uint64))
+        del word
+        together = _discounted(model.triples.find(keys)[1], model.triple_discounts)[back]
+        del keys, back
+        together /= counted[pair]
+        probability[at] += together
     np.log10(probability, out=probability)
-    add = lambda x: np.add.reduceat(x, begins)  # noqa: E731  every text has a token
-    return add(seen.astype(np.int64)[where]), add(base[where]), add(probability)
+    return n_known, base, add(probability)
 
 
 def scored(df: DataFrame, model: Model, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
