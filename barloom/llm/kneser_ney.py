@@ -56,7 +56,7 @@ PART_BITS = 20
 #: Keys from one that is stored whole to the next.
 RUN = 16
 #: Tokens that a worker counts, and scores, at once; scoring holds about twenty arrays per token.
-TOKENS_AT_ONCE, TOKENS_SCORED = 1 << 21, 3 << 18
+TOKENS_AT_ONCE, TOKENS_SCORED = 1 << 21, 1 << 19
 #: Bytes of text that are cut into words at once.
 BYTES_AT_ONCE = 2 << 20
 SHARD_BYTES = 16 << 20
